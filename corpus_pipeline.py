@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import mixing, neardup, pii, rules
+from quarry.llm import mixing, neardup, packing, pii, rules
 from quarry.llm.common import stored, table
 
 
@@ -31,7 +31,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("personal data", personal_data), ("mixing", mixture)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("personal data", personal_data), ("mixing", mixture), ("packing", packed)]
 #: The decision list, the links and the draw of the mixture can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, neardup, pii, rules, urls
+from quarry.llm import ann, htmltext, linededup, mixing, neardup, packing, pii, rules, urls, weaklabel
 from quarry.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.size("removed").cast("bigint").alias("n_removed"), "removed")
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels table's ids are taken as page ids: quality 1 is a good page."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -35,11 +43,39 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
+def op7_ivfpq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = htmltext.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = rules.judge(documents, rules.fit(documents, table(spark, sf_dir, "labels")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_url_reputation, op5_minhash_groups, op6_personal_data, op9_quality_rules)}
+def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaklabel.classified(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "votes", F.round("posterior", 9).alias("posterior"), F.round("score", 9).alias("score"), "kept")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_lexical_packing,
+        op3_url_reputation,
+        op4_line_dedup,
+        op5_minhash_groups,
+        op6_personal_data,
+        op7_ivfpq_neighbours,
+        op8_main_text,
+        op9_quality_rules,
+        op10_weak_labels,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
