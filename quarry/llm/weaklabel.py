@@ -30,20 +30,21 @@ from quarry.llm.common import stored, worker_cache
 
 FIT_ROWS, SLOTS, KEEP = 4096, 2048, 0.5
 SYMBOLS = "#*$%&|<>"
-#: labeller: votes bad from here, votes good up to here (or the other way round where the first is smaller)
-LABELLERS = {
-    "symbols per character": (0.03, 0.004),
-    "capital words": (0.35, 0.12),
-    "bars per word": (0.1, 0.005),
-    "exclamation marks per word": (0.25, 0.02),
-    "words equal to the one before": (0.2, 0.05),
-    "distinct words": (0.2, 0.35),
-    "lines equal to one before": (0.4, 0.1),
-    "log of words": (2.0, 3.5),
+#: labeller: votes bad from here, votes good up to here (or the other way round where the first is smaller); None: never good
+LABELLERS: dict[str, tuple[float, float | None]] = {
+    "symbols per character": (0.03, None),
+    "capital words": (0.35, None),
+    "bars per word": (0.1, None),
+    "exclamation marks per word": (0.25, None),
+    "words equal to the one before": (0.2, 0.02),
+    "distinct words": (0.15, 0.4),
+    "lines equal to one before": (0.4, None),
+    "plain words": (0.7, 0.9),
 }
+_PLAIN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*[.,;:!?)]?")
 
 
-def statistics(text: str, words: list[str]) -> tuple[float, ...]:
+def statistics(text: str, words: list[str], plain: dict) -> tuple[float, ...]:
     n, chars = max(1, len(words)), max(1, sum(map(len, words)))
     lines = [x for x in text.split("\n") if x.strip()]
     return (
@@ -54,24 +55,31 @@ def statistics(text: str, words: list[str]) -> tuple[float, ...]:
         sum(map(str.__eq__, words, words[1:])) / n,
         len(set(words)) / n,
         1 - len(set(lines)) / max(1, len(lines)),
-        math.log(n),
+        sum(plain[w] for w in words) / n,
     )
 
 
 def votes(values: tuple[float, ...]) -> str:
     """One character a labeller: b (bad), g (good) or - (no vote)."""
-    return "".join("b" if (x >= bad if bad > good else x <= bad) else "g" if (x <= good if bad > good else x >= good) else "-" for x, (bad, good) in zip(values, LABELLERS.values()))
+    out = ""
+    for x, (bad, good) in zip(values, LABELLERS.values()):
+        up = good is None or bad > good
+        out += "b" if (x >= bad if up else x <= bad) else "g" if good is not None and (x <= good if up else x >= good) else "-"
+    return out
 
 
-def estimate(counts: dict[str, int], rounds: int = 60) -> tuple[dict[str, float], np.ndarray, float]:
-    """Posterior of bad for each combination of votes; labellers x (good, bad) x (b, g, -) probabilities; share of bad."""
+def estimate(counts: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], np.ndarray, float]:
+    """Posterior of bad for each combination of votes; labellers x (good, bad) x (b, g, -) probabilities; share of bad.
+
+    A labeller's accuracy is its own for good and for bad documents: one that knows a single defect says nothing, or good,
+    of most bad documents. It starts from: bad where any labeller says so.
+    """
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
     v = np.array([["bg-".index(c) for c in p] for p in patterns]).reshape(len(patterns), len(LABELLERS))
-    post = np.where((v == 0).any(axis=1), 0.8, 0.02)
+    post, table, share = np.where((v == 0).any(axis=1), 0.9, 0.01), np.zeros((len(LABELLERS), 2, 3)), 0.5
     for _ in range(rounds):
-        share = float(np.clip((n @ post + 1) / (n.sum() + 2), 1e-4, 0.5))
-        table = np.zeros((len(LABELLERS), 2, 3))
+        share = float(np.clip((n @ post + 1) / (n.sum() + 2), 1e-3, 0.5))
         for j in range(len(LABELLERS)):
             for y, w in ((0, n * (1 - post)), (1, n * post)):
                 c = np.bincount(v[:, j], w, 3) + 0.1
@@ -93,6 +101,14 @@ class _Shapes(dict):
         return s
 
 
+class _Plain(dict):
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 300_000:
+            self.clear()
+        p = self[word] = bool(_PLAIN.fullmatch(word))
+        return p
+
+
 def features(words: list[str], values: tuple[float, ...], shapes: dict) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values: shares of the hashed word shapes, and in the last slots three statistics."""
     if not words:
@@ -122,14 +138,14 @@ def classified(documents: DataFrame, carry: list[str] | None = None, fit_rows: i
     schema = rows.select(*names, "w_h", "w_id", F.col("w_t").alias("votes"), F.lit(b"").alias("w_s"), F.lit(b"").alias("w_v")).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = worker_cache("shapes").setdefault("s", _Shapes())
+        shapes, plain = worker_cache("shapes").setdefault("s", _Shapes()), worker_cache("plain").setdefault("p", _Plain())
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch, out = whole.slice(at, 256), []
                 for text in batch.column(len(names) + 2):
                     text = text.as_py() or ""
                     words = text.split()
-                    values = statistics(text, words)
+                    values = statistics(text, words, plain)
                     out.append((votes(values), *(x.tobytes() for x in features(words, values, shapes))))
                 more = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], schema.names)
