@@ -212,15 +212,19 @@ def _apart(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: i
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(len(ids), slots)
             i, j, owner = (rows.column(c)[0].as_py() for c in ("i", "j", "owner"))
             chunk = next(c for c, (a, b) in enumerate(cut) if a <= owner < b)
-            right, found = np.flatnonzero(cell == j), []
+            starts, first = [a for a, _ in cut], owner == cut[chunk][0]
+            names, n = np.unique(label, return_counts=True)
+            minor = label != names[np.argmax(n)]  # of two classes from different components at least one is
+            found = []
             for x in np.flatnonzero(cell == i):
+                right = np.flatnonzero((cell == j) & (label != label[x]) if minor[x] else (cell == j) & minor)
+                if i == j:
+                    right = right[right > x]
                 unlike = sig[right] != sig[x]
-                ok = (label[right] != label[x]) & (ids[right] > ids[x] if i == j else True) & (unlike.sum(axis=1) <= radius)
-                for y in np.flatnonzero(ok):
-                    # a pair comes out under its first key only
-                    errors = [np.flatnonzero(unlike[y, a:b]) + a for a, b in cut[: chunk + 1]]
-                    if all(len(e) > 1 for e in errors[:-1]) and owner == (errors[-1][0] if len(errors[-1]) else cut[chunk][0]):
-                        found.append(sorted((ids[x], ids[right[y]])))
+                errors = np.add.reduceat(unlike, starts, axis=1, dtype=np.int16)
+                # a pair comes out under the first of its keys only
+                own = (np.argmax(errors <= 1, axis=1) == chunk) & np.where(errors[:, chunk] == 0, first, unlike[:, owner])
+                found += [sorted((ids[x], ids[y])) for y in right[own & (errors.sum(axis=1) <= radius)]]
             return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
         pairs = pairs.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint"))

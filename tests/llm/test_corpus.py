@@ -255,7 +255,7 @@ def test_near_duplicates(docs, empty, k, percent):
     kept = neardup.deduplicated(docs, k, percent)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None and (r["text"] or "").strip()]
-    assert sorted(ids) == sorted({c for d, n, c in brute_components(rows, k, percent) if n and d is not None and d == c})
+    assert sorted(ids) == sorted(c for d, n, c in brute_components(rows, k, percent) if n and d is not None and d == c)
 
 
 def test_many_near_copies(spark):
