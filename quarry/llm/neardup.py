@@ -7,12 +7,12 @@
    chunks: by the pigeonhole principle a pair within the radius differs in at most one position of some chunk. The
    allowed error is enumerated: a chunk of n positions gives n keys, each with one position left out. So every pair
    within the radius shares a key.
-3. Classes that share a key are linked in three rounds, none of which pairs all members of a hot key. First each member
-   is paired with its key's smallest class only; the links that hold make components. Then only keys whose members are
-   still in several components count, and only pairs from different components: small keys pair them, larger ones are
-   cut into blocks of `SIDE` classes, compared as matrices, so that only pairs within the radius come out, each under
-   one key. The nearest two for each class and component are tried second, the others third, where their ends are still
-   apart. Nothing is capped: a link between different texts is either confirmed or was superfluous, because its ends
+3. Classes that share a key are linked in rounds, none of which pairs all members of a hot key. First each member is paired
+   with its key's smallest class only; the links that hold make components. Second, each class outside its key's largest
+   component is paired with one member of that, another one for each key. Then only keys whose members are still in several
+   components count, and only pairs from different components: small keys pair them, larger ones are cut into blocks of
+   `SIDE` classes, compared as matrices, so that only pairs within the radius come out, each under one key. The nearest two
+   for each class and component are tried third, the others fourth, where their ends are still apart. Nothing is capped: a link between different texts is either confirmed or was superfluous, because its ends
    were connected already.
 4. Every pair within the radius is confirmed on the whole sets before it counts.
 
@@ -84,22 +84,19 @@ def shingle_hashes(text: str | None, k: int, hashes: dict | None = None) -> np.n
 
 def _family(slots: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.RandomState(97)
-    return r.randint(0, 2**32, slots, dtype=np.uint64).astype(np.uint32) | np.uint32(1), r.randint(0, 2**32, slots, dtype=np.uint64).astype(np.uint32)
+    return tuple(r.randint(0, 2**32, slots, dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(2))
 
 
 def signature(hashes: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """Low 16 bits of the least value of each of `slots` hash functions over a set."""
+    """16 bits of the least value of each of `slots` hash functions over a set; a function weighs the two halves of a hash."""
     a, b = _family(slots)
     least = np.full(slots, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096]
-        low, high = part.astype(np.uint32), (part >> np.uint64(32)).astype(np.uint32)
-        v = low[None, :] * a[:, None] + b[:, None]
-        v ^= v >> np.uint32(15)
-        v = (v ^ high[None, :]) * np.uint32(0x85EBCA6B)
-        v ^= v >> np.uint32(13)
+    low, high = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(hashes), 256):  # a block that stays in the processor's cache
+        v = low[at : at + 256] * a[:, None]
+        v += high[at : at + 256] * b[:, None]
         np.minimum(least, v.min(axis=1), out=least)
-    return ((least ^ (least >> np.uint32(16))) & np.uint32(0xFFFF)).astype("<u2")
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2")
 
 
 def _arrow(values: list[np.ndarray]) -> pa.Array:
@@ -150,11 +147,16 @@ def _keyed(classes: DataFrame, radius: int, slots: int) -> DataFrame:
 
 def _near(pairs: DataFrame, classes: DataFrame, percent: int, radius: int, slots: int) -> DataFrame:
     """a, b, na, nb, far (positions that differ) of the pairs (a, b) within the radius whose sizes allow the similarity."""
-    sized = classes.select("id", "n", F.hex("sig").alias("s"))
-    pairs = pairs.join(sized.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a").join(sized.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
-    pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    far = F.size(F.filter(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.substr("sa", i * 4 + 1, F.lit(4)) != F.substr("sb", i * 4 + 1, F.lit(4))))
-    return pairs.select("a", "b", "na", "nb", far.alias("far")).where(F.col("far") <= radius)
+    sized = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    pairs = pairs.join(sized("a"), "a").join(sized("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, slots) for i in (4, 5))
+            far = (sa != sb).sum(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(far)], ["a", "b", "na", "nb", "far"]).filter(pa.array(far <= radius))
+
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(distances, "a bigint, b bigint, na bigint, nb bigint, far int")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -194,11 +196,24 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("id"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
 
 
-def _apart(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, radius: int, slots: int) -> DataFrame:
-    """Pairs within the radius that share a key and are in different components: a, b, na, nb, far, la, lb."""
+def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id, owner, label and members (their number) of the keys whose classes are in several components."""
     rows = members.join(labels, "id", "left").select("key", "id", "owner", F.coalesce("label", "id").alias("label"))
     split = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo != hi").select("key", "members")
-    rows = stored(rows.join(split, "key"))
+    return stored(rows.join(split, "key"))
+
+
+def _to_majority(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b): each key's classes outside its largest component, with one member of it, another one for each key."""
+    rows = _split(members, labels)
+    largest = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id")).alias("c")).groupBy("key").agg(F.max(F.struct("n", "label", "c.id")).alias("m")).select("key", "m.label", F.col("m.id").alias("c"))
+    others = rows.join(largest.withColumnRenamed("label", "most"), "key").where("label != most")
+    return others.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+
+
+def _apart(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, radius: int, slots: int) -> DataFrame:
+    """Pairs within the radius that share a key and are in different components: a, b, na, nb, far, la, lb."""
+    rows = _split(members, labels)
     few = rows.where(F.col("members") <= SMALL)
     pairs = few.select("key", F.col("id").alias("a"), F.col("label").alias("la")).join(few.select("key", F.col("id").alias("b"), F.col("label").alias("lb")), "key").where("a < b and la != lb").select("a", "b")
     many = rows.where(F.col("members") > SMALL)
@@ -249,6 +264,10 @@ def groups(documents: DataFrame, k: int = 5, percent: int = 80, slots: int = SLO
     star = members.where("id != c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirmed(stored(_near(star, classes, percent, radius, slots)), classes, documents, k, percent)
     labels = components(links)
+    second = stored(_near(_to_majority(members, labels), classes, percent, radius, slots))
+    if second.limit(1).count():
+        links = links.unionByName(_confirmed(second, classes, documents, k, percent))
+        labels = components(links)
     apart = stored(_apart(members, labels, classes, percent, radius, slots))
     if apart.limit(1).count():
         best = Window.partitionBy("a", "lb").orderBy("far", "b")
