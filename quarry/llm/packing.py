@@ -17,24 +17,26 @@ go to the smaller doc_id, then the smaller text hash; an empty table gives no ro
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import worker_cache
+from quarry.llm.common import stored, worker_cache
 
 WINDOW = 1024
 SHARD = 256
 TERMS = 2**18
 K1, B = 1.2, 0.75
-#: White space before a space, or the special tokens' opening: such texts are tokenized whole.
-_WHOLE = re.compile(r"\s |<\|")
+#: Texts whose words aren't parted by one space or line end each, or that may hold a special token, are tokenized whole.
+_WHOLE = re.compile(r"\s[ \n]|[^\S \n]|\s\Z|<\||\0")
+_BATCH_BYTES = 16_000_000
 
 
 def default_tokenizer() -> str:
@@ -43,68 +45,138 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str):
-    """texts -> their ids as little-endian unsigned 32-bit bytes.
+class Encoder:
+    """texts -> their ids, as the tokenizer file gives them.
 
-    Byte-level BPE merges nothing across the gap before a single space, so each word with the space before it has the same
-    ids everywhere; they are kept for the worker's lifetime, up to a bound. Texts with other white space before a space are
-    tokenized whole.
+    Byte-level BPE merges nothing across the gap before a space or a line end between two words, so a word with the white
+    space before it has the same ids everywhere: each distinct one of a batch is encoded once. That is done from the file's
+    own merge table, where its ids follow the order of its merges; other files go through the tokenizers library throughout.
     """
-    home = worker_cache(f"tokenizer {path}")
-    if "tokenizer" not in home:
-        from tokenizers import Tokenizer
-
-        home["tokenizer"], home["ids"] = Tokenizer.from_file(path), {}
-    tokenizer, ids = home["tokenizer"], home["ids"]
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(ids) > 600_000:
-            ids.clear()
-        split = [None if _WHOLE.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        new = list({w for words in split if words for w in words if w not in ids})
-        for at in range(0, len(new), 20_000):
-            ids.update(zip(new[at : at + 20_000], whole(new[at : at + 20_000])))
-        rest = iter(whole([t for t, words in zip(texts, split) if words is None]))
-        return [next(rest) if words is None else b"".join([ids[w] for w in words]) for words in split]
-
-    return encode
-
-
-class _Terms(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        t = self[word] = xxhash.xxh3_64_intdigest(word) % TERMS
-        return t
-
-
-def terms_of(text: str, terms: dict) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashed words of a text and how often each occurs."""
-    t = np.array([terms[w] for w in text.encode("utf-8", "surrogatepass").lower().split()], np.int32)
-    return np.unique(t, return_counts=True)
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def corpus_statistics(documents: DataFrame) -> tuple[int, float, np.ndarray]:
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path) as f:
+            raw = json.load(f)
+        self.fast = None
+        kind, model = raw.get("pre_tokenizer") or {}, raw["model"]
+        if kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and raw.get("normalizer") is None and model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("ignore_merges"):
+            special = {t["content"] for t in raw["added_tokens"]}
+            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            table = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
+            merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+            ranks = {bytes(table[c] for c in k): v for k, v in model["vocab"].items() if k not in special}
+            if all(model["vocab"][x + y] == 256 + i for i, (x, y) in enumerate(merges)) and len(ranks) == 256 + len(merges):
+                import tiktoken
+
+                pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # the byte-level split, a fixed value
+                self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+                self.starts = np.zeros(max(ranks.values()) + 1, bool)
+                self.starts[[v for k, v in ranks.items() if k[:1] in (b" ", b"\n")]] = True
+
+    def whole(self, text: str) -> np.ndarray:
+        if self.fast is None or "<|" in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.fast.encode_to_numpy(text).astype("<u4")
+
+    def words(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all forms in a row, and where each form's begin (and the last one's end). Each form is one white space and
+        a word without any."""
+        if not forms:
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        ids = self.fast.encode_to_numpy("".join(forms)).astype("<u4")
+        begin = np.flatnonzero(self.starts[ids])
+        if len(begin) != len(forms):
+            raise ValueError("the tokenizer's words don't begin with their white space")
+        return ids, np.append(begin, len(ids))
+
+
+def hashed_words(words: pa.Array) -> np.ndarray:
+    """The term number of each word, A-Z as a-z, without a space or line end before it; -1 for empty ones."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int32)
+    words = words.cast(pa.large_binary())
+    o = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[o[0] : o[-1]]
+    o, size = o - o[0], np.diff(o)
+    begin = o[:-1] + ((size > 0) & np.isin(np.append(data, 0)[np.minimum(o[:-1], len(data))], (32, 10)))
+    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64)
+    at = np.arange(len(data)) - np.repeat(begin, size)
+    power = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    part = np.where(at < 0, np.uint64(0), (low + np.uint64(1)) * power[at % 4096])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(part, dtype=np.uint64)])
+    h = sums[o[1:]] - sums[o[:-1]]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.where(o[1:] > begin, ((h >> np.uint64(32)) % np.uint64(TERMS)).astype(np.int32), np.int32(-1))
+
+
+def read_texts(texts: list[str], encoder: Encoder) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For each text: its ids, its distinct terms in order, and how often each occurs."""
+    ids: list = [None] * len(texts)
+    whole = [i for i, t in enumerate(texts) if encoder.fast is None or not t or _WHOLE.search(t)]
+    for i in whole:
+        ids[i] = encoder.whole(texts[i])
+    rest = sorted(set(range(len(texts))) - set(whole))
+    doc, term = [], []
+    if rest:
+        cut = pa.array([texts[i] for i in rest], pa.large_string())
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(cut, " ", "\0 "), "\n", "\0\n"), "\0")
+        coded = cut.flatten().dictionary_encode()
+        forms, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # a text's first word has no white space before it; it is encoded by itself
+        led = np.array([f[:1] in (" ", "\n") for f in forms], bool)
+        flat, ends = encoder.words([f for f, x in zip(forms, led) if x])
+        first, size = np.zeros(len(forms), np.int64), np.zeros(len(forms), np.int64)
+        first[led], size[led] = ends[:-1], np.diff(ends)
+        own = [encoder.whole(f) for f, x in zip(forms, led) if not x]
+        size[~led] = [len(x) for x in own]
+        first[~led] = len(flat) + np.concatenate([[0], np.cumsum(size[~led])])[:-1]
+        flat = np.concatenate([flat, *own])
+        n = size[index]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        every = flat[np.repeat(first[index] - upto[:-1], n) + np.arange(upto[-1])]
+        bounds = cut.offsets.to_numpy()
+        for k, i in enumerate(rest):
+            ids[i] = every[upto[bounds[k]] : upto[bounds[k + 1]]]
+        doc.append(np.repeat(np.array(rest), np.diff(bounds)))
+        term.append(hashed_words(coded.dictionary)[index])
+    for i in whole:
+        own = hashed_words(pa.array(texts[i].encode("utf-8", "surrogatepass").split(), pa.binary()))
+        doc.append(np.full(len(own), i))
+        term.append(own)
+    doc, term = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (doc, term))
+    key, count = np.unique((doc * TERMS + term)[term >= 0], return_counts=True)
+    at = np.searchsorted(key, np.arange(len(texts) + 1) * TERMS)
+    term = (key % TERMS).astype(np.int32)
+    return ids, [term[a:b] for a, b in zip(at, at[1:])], [count[a:b] for a, b in zip(at, at[1:])]
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """batch in parts of about _BATCH_BYTES of text, or of one row."""
+    size, at = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(column)]), 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _BATCH_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def corpus_statistics(read: DataFrame) -> tuple[int, float, np.ndarray]:
     """Number of documents, mean number of words, and document frequency of each hashed term, over all documents.
 
-    Each task sums its own batches first; one row of `TERMS` counters a task is what is shuffled.
+    read: terms, counts. Each task sums its own rows first; at most `TERMS` counters a task are shuffled.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, df, n, total = worker_cache("terms").setdefault("t", _Terms()), np.zeros(TERMS, np.int64), 0, 0
+        df, n, total = np.zeros(TERMS, np.int64), 0, 0
         for batch in batches:
-            for text in batch.column(0):
-                t, c = terms_of(text.as_py() or "", terms)
-                df[t] += 1
-                n, total = n + 1, total + int(c.sum())
+            df += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i4"), minlength=TERMS)
+            n, total = n + len(batch), total + int(np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").sum(dtype=np.int64))
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *seen], pa.int32()), pa.array([n, total, *df[seen]], pa.int64())], ["t", "n"])
 
-    sums = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
-    rows = sums.toArrow()  # TERMS + 2 rows at most
+    rows = read.select("terms", "counts").mapInArrow(count, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # TERMS + 2 rows at most
     t, n = rows.column("t").to_numpy(), rows.column("n").to_numpy()
     df = np.zeros(TERMS, np.int64)
     df[t[t >= 0]] = n[t >= 0]
@@ -190,30 +262,31 @@ def pack_shard(left: list[int], index: ShardIndex | None, window: int = WINDOW)
 def pack(documents: DataFrame, tokenizer: str | None = None, end: int = 0, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """One row a piece: doc_id, text_hash, start, length, ids_crc32, doc_tokens, sequence_id, offset, shard."""
     path = tokenizer or default_tokenizer()
-    docs, mean, df = corpus_statistics(documents)
-    idf = np.log1p((docs - df + 0.5) / (df + 0.5)).astype(np.float32)
-    idf = documents.sparkSession.sparkContext.broadcast(idf)  # TERMS floats
-    shards = max(1, -(-docs // shard))
-    last = np.array([end], "<u4").tobytes()
+    last = np.array([end], "<u4")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, terms = encoder(path), worker_cache("terms").setdefault("t", _Terms())
+        home = worker_cache("encoders")
+        encoder = home.get(path) or home.setdefault(path, Encoder(path))
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
+            for batch in _slices(whole, 1):
                 n, crcs, rest, found, counts = [], [], [], [], []
-                for text, ids in zip(texts, encode(texts)):
-                    ids += last
-                    full = len(ids) // (4 * window)
-                    n.append(len(ids) // 4)
-                    crcs.append(np.array([zlib.crc32(ids[4 * window * i : 4 * window * (i + 1)]) for i in range(full)], "<u4").tobytes())
-                    tail = np.frombuffer(ids[4 * window * full :], "<u4")
+                for ids, t, c in zip(*read_texts([t or "" for t in batch.column(1).to_pylist()], encoder)):
+                    ids = np.concatenate([ids, last])
+                    full = len(ids) // window
+                    n.append(len(ids))
+                    crcs.append(np.array([zlib.crc32(ids[window * i : window * (i + 1)]) for i in range(full)], "<u4").tobytes())
+                    tail = ids[window * full :]
                     rest.append(tail.astype("<u2").tobytes() if not len(tail) or tail.max() < 65536 else b"\1" + tail.tobytes())
-                    t, c = terms_of(text, terms)
                     found.append(t.astype("<i4").tobytes())
                     counts.append(np.minimum(c, 65535).astype("<u2").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (crcs, rest, found, counts))], ["doc_id", "h", "s", "n", "crcs", "rest", "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (crcs, rest, found, counts))], ["doc_id", "h", "n", "crcs", "rest", "terms", "counts"])
+
+    h = F.xxhash64(F.col("text").cast("string"))
+    read = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"))
+    read = stored(read.mapInArrow(tokens, "doc_id bigint, h bigint, n bigint, crcs binary, rest binary, terms binary, counts binary"))
+    docs, mean, df = corpus_statistics(read)
+    idf = documents.sparkSession.sparkContext.broadcast(np.log1p((docs - df + 0.5) / (df + 0.5)).astype(np.float32))  # TERMS floats
+    shards = max(1, -(-docs // shard))
 
     def tail_of(b: bytes) -> np.ndarray:
         return np.frombuffer(b, "<u2").astype("<u4") if len(b) % 2 == 0 else np.frombuffer(b[1:], "<u4")
@@ -237,8 +310,5 @@ def pack(documents: DataFrame, tokenizer: str | None = None, end: int = 0, windo
         names = ("doc_id", "text_hash", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
         return pa.table({k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(names)})
 
-    h = F.xxhash64(F.col("text").cast("string"))
-    dealt = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"), F.pmod(F.xxhash64("doc_id", h, F.lit("shard")), F.lit(shards)).cast("bigint").alias("s"))
-    dealt = dealt.mapInArrow(tokens, "doc_id bigint, h bigint, s bigint, n bigint, crcs binary, rest binary, terms binary, counts binary")
+    dealt = read.withColumn("s", F.pmod(F.xxhash64("doc_id", "h", F.lit("shard")), F.lit(shards)).cast("bigint"))
     return dealt.groupBy("s").applyInArrow(pack_one, "doc_id bigint, text_hash bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
-

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,10 +149,14 @@ def test_retrieval_orders_neighbours():
 def test_encoder_equals_tokenizer(texts):
     from tokenizers import Tokenizer
 
-    tokenizer, encode = Tokenizer.from_file(packing.default_tokenizer()), packing.encoder(packing.default_tokenizer())
-    odd = ["a  b", "a \n b", "\n a", "a\n", " a ", "é ü", "it's I'LL 12 3!?", "a\u00a0 b", "\u3000x y", "a\tb c", "\0 a"]
-    for t, ids in zip([t or "" for t in texts] + odd, encode([t or "" for t in texts] + odd)):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    tokenizer, encoder = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer())
+    assert encoder.fast is not None
+    odd = ["a  b", "a \n b", "\n a", "a\n", " a ", "é ü", "it's I'LL 12 3!?", "a\u00a0 b", "\u3000x y", "a\tb c", "\0 a", "x\n", "\nx y", "x\x1c y", "x\x85y"]
+    every = [t or "" for t in texts] + odd
+    for t, ids, terms, counts in zip(every, *packing.read_texts(every, encoder)):
+        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:50]
+        want = Counter(packing.hashed_words(pa.array(re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()), pa.binary())).tolist())
+        assert dict(zip(terms.tolist(), counts.tolist())) == want
 
 
 # ---- 3 --------------------------------------------------------------------------------------------------------------
