@@ -23,20 +23,20 @@ def _mean(sum_: Column, n: Column) -> Column:
 
 
 def by_split(rows: DataFrame, *more: str) -> DataFrame:
-    g = rows.groupBy("split", *more).agg(F.count(F.lit(1)).alias("n"), F.sum("acc").alias("s"), F.sum("citations_count").alias("c"))
-    return g.select("split", *more, "n", _mean(F.col("s"), F.col("n")).alias("acc"), _mean(F.col("c").cast("double"), F.col("n")).alias("avg_citations"))
+    g = rows.groupBy("split", *more).agg(F.count(F.lit(1)).alias("n"), F.sum("acc").alias("e_s"), F.sum("citations_count").alias("e_c"))
+    return g.select("split", *more, "n", _mean(F.col("e_s"), F.col("n")).alias("acc"), _mean(F.col("e_c").cast("double"), F.col("n")).alias("avg_citations"))
 
 
 def micro(rows: DataFrame) -> DataFrame:
     """split, n, acc, avg_citations of every split and, under 'ALL', of all rows: one rollup."""
-    g = rows.rollup("split").agg(F.count(F.lit(1)).alias("n"), F.sum("acc").alias("s"), F.sum("citations_count").alias("c"))
-    return g.select(F.coalesce("split", F.lit("ALL")).alias("split"), "n", _mean(F.col("s"), F.col("n")).alias("acc"), _mean(F.col("c").cast("double"), F.col("n")).alias("avg_citations"))
+    g = rows.rollup("split").agg(F.count(F.lit(1)).alias("n"), F.sum("acc").alias("e_s"), F.sum("citations_count").alias("e_c"))
+    return g.select(F.coalesce("split", F.lit("ALL")).alias("split"), "n", _mean(F.col("e_s"), F.col("n")).alias("acc"), _mean(F.col("e_c").cast("double"), F.col("n")).alias("avg_citations"))
 
 
 def merged(shards: DataFrame) -> DataFrame:
     """Summaries of shards (split, n, acc, avg_citations) weighted by n, per split and under 'ALL'."""
-    g = shards.rollup("split").agg(F.sum("n").alias("n"), F.sum(F.col("acc") * F.col("n")).alias("s"), F.sum(F.col("avg_citations") * F.col("n")).alias("c"))
-    return g.select(F.coalesce("split", F.lit("ALL")).alias("split"), "n", _mean(F.col("s"), F.col("n")).alias("acc"), _mean(F.col("c"), F.col("n")).alias("avg_citations"))
+    g = shards.rollup("split").agg(F.sum("n").alias("n"), F.sum(F.col("acc") * F.col("n")).alias("e_s"), F.sum(F.col("avg_citations") * F.col("n")).alias("e_c"))
+    return g.select(F.coalesce("split", F.lit("ALL")).alias("split"), "n", _mean(F.col("e_s"), F.col("n")).alias("acc"), _mean(F.col("e_c"), F.col("n")).alias("avg_citations"))
 
 
 def missing_rate(rows: DataFrame) -> DataFrame:
