@@ -18,7 +18,6 @@ go to the smaller doc_id, then the smaller text hash; an empty table gives no ro
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,8 +34,8 @@ SHARD = 256
 TERMS = 2**18
 K1, B = 1.2, 0.75
 #: Texts whose words aren't parted by one space or line end each, or that may hold a special token, are tokenized whole.
-_WHOLE = re.compile(r"\s[ \n]|[^\S \n]|\s\Z|<\||\0")
-_BATCH_BYTES = 16_000_000
+_WHOLE = r"[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]\z|<\||\x00"
+_BATCH_BYTES = 24_000_000
 
 
 def default_tokenizer() -> str:
@@ -80,32 +79,42 @@ class Encoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return self.fast.encode_to_numpy(text).astype("<u4")
 
-    def words(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, forms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all forms in a row, and where each form's begin (and the last one's end). Each form is one white space and
         a word without any."""
-        if not forms:
-            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
-        ids = self.fast.encode_to_numpy("".join(forms)).astype("<u4")
+        if not len(forms):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int32)
+        ids = self.fast.encode_to_numpy(_bytes(forms)[1].tobytes().decode()).astype("<u4")
         begin = np.flatnonzero(self.starts[ids])
         if len(begin) != len(forms):
             raise ValueError("the tokenizer's words don't begin with their white space")
-        return ids, np.append(begin, len(ids))
+        return ids, np.append(begin, len(ids)).astype(np.int32)
+
+
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins in the bytes of all (and the last one ends), and those bytes."""
+    words = words.cast(pa.large_binary())
+    o = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return o - o[0], np.frombuffer(words.buffers()[2] or b"", np.uint8)[o[0] : o[-1]]
+
+
+def _led(words: pa.Array) -> np.ndarray:
+    """Which words begin with a space or a line end."""
+    o, data = _bytes(words)
+    return (np.diff(o) > 0) & np.isin(np.append(data, 0)[o[:-1]], (32, 10))
 
 
 def hashed_words(words: pa.Array) -> np.ndarray:
     """The term number of each word, A-Z as a-z, without a space or line end before it; -1 for empty ones."""
-    n = len(words)
-    if not n:
+    if not len(words):
         return np.zeros(0, np.int32)
-    words = words.cast(pa.large_binary())
-    o = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
-    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[o[0] : o[-1]]
-    o, size = o - o[0], np.diff(o)
-    begin = o[:-1] + ((size > 0) & np.isin(np.append(data, 0)[np.minimum(o[:-1], len(data))], (32, 10)))
-    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64)
-    at = np.arange(len(data)) - np.repeat(begin, size)
+    o, data = _bytes(words)
+    begin = o[:-1] + _led(words)
+    low = np.where((data >= 65) & (data <= 90), data + np.uint8(33), data + np.uint8(1)).astype(np.uint64)
+    at = np.arange(len(data)) - np.repeat(begin, np.diff(o))
     power = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
-    part = np.where(at < 0, np.uint64(0), (low + np.uint64(1)) * power[at % 4096])
+    part = low * power[at & 4095]
+    part[at < 0] = 0
     sums = np.concatenate([[np.uint64(0)], np.cumsum(part, dtype=np.uint64)])
     h = sums[o[1:]] - sums[o[:-1]]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -115,32 +124,31 @@ def hashed_words(words: pa.Array) -> np.ndarray:
 def read_texts(texts: list[str], encoder: Encoder) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """For each text: its ids, its distinct terms in order, and how often each occurs."""
     ids: list = [None] * len(texts)
-    whole = [i for i, t in enumerate(texts) if encoder.fast is None or not t or _WHOLE.search(t)]
+    column = pa.array(texts, pa.large_string())
+    odd = np.ones(len(texts), bool) if encoder.fast is None else pc.match_substring_regex(column, _WHOLE).to_numpy(zero_copy_only=False)
+    whole, rest = np.flatnonzero(odd), np.flatnonzero(~odd)
     for i in whole:
         ids[i] = encoder.whole(texts[i])
-    rest = sorted(set(range(len(texts))) - set(whole))
     doc, term = [], []
-    if rest:
-        cut = pa.array([texts[i] for i in rest], pa.large_string())
-        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(cut, " ", "\0 "), "\n", "\0\n"), "\0")
+    if len(rest):
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(column.take(pa.array(rest)), " ", "\0 "), "\n", "\0\n"), "\0")
         coded = cut.flatten().dictionary_encode()
-        forms, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        index, led = coded.indices.to_numpy(), _led(coded.dictionary)
         # a text's first word has no white space before it; it is encoded by itself
-        led = np.array([f[:1] in (" ", "\n") for f in forms], bool)
-        flat, ends = encoder.words([f for f, x in zip(forms, led) if x])
-        first, size = np.zeros(len(forms), np.int64), np.zeros(len(forms), np.int64)
+        flat, ends = encoder.words(coded.dictionary.filter(pa.array(led)))
+        own = [encoder.whole(f) for f in coded.dictionary.filter(pa.array(~led)).to_pylist()]
+        first, size = np.zeros(len(led), np.int32), np.zeros(len(led), np.int32)
         first[led], size[led] = ends[:-1], np.diff(ends)
-        own = [encoder.whole(f) for f, x in zip(forms, led) if not x]
         size[~led] = [len(x) for x in own]
-        first[~led] = len(flat) + np.concatenate([[0], np.cumsum(size[~led])])[:-1]
+        first[~led] = len(flat) + np.cumsum(size[~led]) - size[~led]
         flat = np.concatenate([flat, *own])
         n = size[index]
-        upto = np.concatenate([[0], np.cumsum(n)])
+        upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         every = flat[np.repeat(first[index] - upto[:-1], n) + np.arange(upto[-1])]
         bounds = cut.offsets.to_numpy()
         for k, i in enumerate(rest):
             ids[i] = every[upto[bounds[k]] : upto[bounds[k + 1]]]
-        doc.append(np.repeat(np.array(rest), np.diff(bounds)))
+        doc.append(np.repeat(rest, np.diff(bounds)))
         term.append(hashed_words(coded.dictionary)[index])
     for i in whole:
         own = hashed_words(pa.array(texts[i].encode("utf-8", "surrogatepass").split(), pa.binary()))
