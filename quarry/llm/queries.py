@@ -78,4 +78,31 @@ QUERIES = {
         op10_weak_labels,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _level(level: str, above: str | None) -> str:
+    """The statements for one level of the shrinkage: sums, prior strength, posterior."""
+    up = "(SELECT m FROM total)" if above is None else "u.up"
+    join = "" if above is None else f" JOIN {above}_m u USING ({above})"
+    return f"""
+{level}_s AS (SELECT {level}{"" if above is None else ", " + above}, sum(n) AS n, sum(g) AS g FROM hd GROUP BY ALL),
+{level}_u AS (SELECT s.*, {up} AS up FROM {level}_s s{join}),
+{level}_k AS (SELECT 1 / least(0.5::DOUBLE, greatest(0.001::DOUBLE, coalesce(sum(n * pow(g / n - up, 2) - up * (1 - up)) / nullif(sum((n - 1) * up * (1 - up)), 0), 0.001::DOUBLE))) - 1 AS k FROM {level}_u),
+{level}_ab AS (SELECT {level} AS name, g + k * up AS a, n - g + k * (1 - up) AS b FROM {level}_u, {level}_k),
+{level}_m AS (SELECT name AS {level}, a / (a + b) AS up FROM {level}_ab),
+{level}_p AS (SELECT name, a / (a + b) + 2 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) AS upper FROM {level}_ab)"""
+
+
+_RULED = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2])))
+_SAYS = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in urls.RULES)
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_reputation": rf"""WITH hp AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+seen AS (SELECT doc_id AS page_id, count(*) AS n, sum(quality)::DOUBLE AS g FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+hosts AS (SELECT host, sum(n)::DOUBLE AS n, sum(g) AS g FROM hp JOIN seen USING (page_id) GROUP BY host),
+hd AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM hosts),
+total AS (SELECT sum(n) AS n, sum(g) AS g, sum(g) / sum(n) AS m FROM hosts),
+all_p AS (SELECT m + 2 * sqrt(g * (n - g) / (n * n * (n + 1))) AS upper FROM total),{_level("suffix", None)},{_level("domain", "suffix")},{_level("host", "domain")},
+judged AS (SELECT hp.*, CASE {_RULED} END AS rule, coalesce(h.upper, d.upper, s.upper, (SELECT upper FROM all_p)) AS upper FROM hp LEFT JOIN host_p h ON h.name = hp.host
+  LEFT JOIN domain_p d ON d.name = array_to_string(string_split(hp.host, '.')[-2:], '.') LEFT JOIN suffix_p s ON s.name = string_split(hp.host, '.')[-1])
+SELECT page_id, host, path, rule, CASE rule {_SAYS} ELSE CASE WHEN upper < 0.5 THEN 'block' ELSE 'allow' END END AS verdict FROM judged""",
+}

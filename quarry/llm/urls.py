@@ -68,6 +68,7 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """level (host, domain, suffix, all), name, mean and upper for all that have outcomes. outcomes: page_id, good (0 or 1)."""
     seen = outcomes.where("page_id is not null and good is not null").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("double")).alias("g"))
     hosts = pages.select("page_id", host_of(F.col("url")).alias("host")).join(seen, "page_id").groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("g").alias("g"))
+    hosts = stored(hosts)  # every level is summed from it
     hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     total = hosts.agg(F.sum("n").alias("n"), F.sum("g").alias("g")).where("n > 0").select("n", "g", (F.col("g") / F.col("n")).alias("m"))
     out, up, levels = [total.select(F.lit("all").alias("level"), F.lit("").alias("name"), F.col("g").alias("a"), (F.col("n") - F.col("g")).alias("b"))], None, (("suffix", None), ("domain", "suffix"), ("host", "domain"))
