@@ -11,8 +11,7 @@
    with its key's smallest class only; the links that hold make components. Second, each class outside its key's largest
    component is paired with one member of that, another one for each key. Then only keys whose members are still in several
    components count, and only pairs from different components: small keys pair them, larger ones are cut into blocks of
-   `SIDE` classes, compared as matrices, so that only pairs within the radius come out, each under one key. The nearest two
-   for each class and component are tried third, the others fourth, where their ends are still apart. Nothing is capped: a link between different texts is either confirmed or was superfluous, because its ends
+   `SIDE` classes, compared as matrices, so that only pairs within the radius come out, each under one key. Nothing is capped: a link between different texts is either confirmed or was superfluous, because its ends
    were connected already.
 4. Every pair within the radius is confirmed on the whole sets before it counts.
 
@@ -32,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored, worker_cache
@@ -159,8 +158,8 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int, radius: int, slots
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(distances, "a bigint, b bigint, na bigint, nb bigint, far int")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b, na, nb) whose whole sets have the similarity asked for."""
+def _sets(members: DataFrame, classes: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """id, x: the whole shingle set of every class that shares a key with another."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_cache("words").setdefault("h", _Hashes())
@@ -169,31 +168,33 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, k: in
                 found = [h for t in batch.slice(at, 64).column(1) if len(h := shingle_hashes(t.as_py(), k, hashes))]
                 yield pa.RecordBatch.from_arrays([pa.array([_class_of(h) for h in found], pa.int64()), _arrow(found)], ["id", "x"])
 
-    members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = classes.join(members, "id", "left_semi").select(F.col("doc_id").alias("d")).distinct()
+    rows = classes.join(members.select("id").distinct(), "id", "left_semi").select(F.col("doc_id").alias("d")).distinct()
     texts = documents.select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("string").alias("t")).join(rows, "d", "left_semi")
-    whole = stored(texts.mapInArrow(sets, "id bigint, x array<bigint>").dropDuplicates(["id"]))
-    pairs = pairs.join(whole.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(whole.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
+    return stored(texts.mapInArrow(sets, "id bigint, x array<bigint>").dropDuplicates(["id"]))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b, na, nb) whose whole sets have the similarity asked for."""
+    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
     both = F.size(F.array_intersect("xa", "xb"))
     return stored(pairs.where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, label (the smallest id connected with it) for the ids of links (a, b): large-star and small-star in turn."""
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    """id, label (the smallest id connected with it) for the ids of links (a, b): large-star and small-star in turn, until
+    every id hangs under one that hangs under none."""
     edges = stored(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    now = mark(edges)
     while True:
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("over"), F.lit(0).alias("under")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("over"), F.lit(1).alias("under")))
+        if not ends.groupBy("x").agg(F.max("over").alias("over"), F.sum("under").alias("under")).where("over + under > 1").limit(1).count():
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
         up = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(up, "x").select(F.col("y").alias("x"), "m").where("x != m").unionByName(up)
         edges = stored(small.select(F.col("m").alias("a"), F.col("x").alias("b")).distinct())
-        before, now = now, mark(edges)
-        if now == before:
-            break
-    return edges.select(F.col("b").alias("id"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
+    return stored(edges.select(F.col("b").alias("id"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct()))
 
 
 def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def _to_majority(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, radius: int, slots: int) -> DataFrame:
-    """Pairs within the radius that share a key and are in different components: a, b, na, nb, far, la, lb."""
+    """Pairs within the radius that share a key and are in different components: a, b, na, nb, far."""
     rows = _split(members, labels)
     few = rows.where(F.col("members") <= SMALL)
     pairs = few.select("key", F.col("id").alias("a"), F.col("label").alias("la")).join(few.select("key", F.col("id").alias("b"), F.col("label").alias("lb")), "key").where("a < b and la != lb").select("a", "b")
@@ -243,14 +244,7 @@ def _apart(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: i
             return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
         pairs = pairs.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint"))
-    out = _near(pairs.distinct(), classes, percent, radius, slots)
-    return _labelled(out, labels)
-
-
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    a, b = (labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}_")) for x in "ab")
-    out = pairs.join(a, "a", "left").join(b, "b", "left").withColumns({"la": F.coalesce("la_", "a"), "lb": F.coalesce("lb_", "b")})
-    return out.drop("la_", "lb_").where("la != lb")
+    return _near(pairs.distinct(), classes, percent, radius, slots)
 
 
 def groups(documents: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS) -> DataFrame:
@@ -262,21 +256,14 @@ def groups(documents: DataFrame, k: int = 5, percent: int = 80, slots: int = SLO
     shared = keys.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("d")).where("c != d").select("key", "c")
     members = stored(keys.join(shared, "key"))
     star = members.where("id != c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(stored(_near(star, classes, percent, radius, slots)), classes, documents, k, percent)
+    sets = _sets(members, classes, documents, k)
+    links = _confirmed(_near(star, classes, percent, radius, slots), sets, percent)
+    labels = components(links)
+    links = links.unionByName(_confirmed(_near(_to_majority(members, labels), classes, percent, radius, slots), sets, percent))
     labels = components(links)
-    second = stored(_near(_to_majority(members, labels), classes, percent, radius, slots))
-    if second.limit(1).count():
-        links = links.unionByName(_confirmed(second, classes, documents, k, percent))
-        labels = components(links)
-    apart = stored(_apart(members, labels, classes, percent, radius, slots))
-    if apart.limit(1).count():
-        best = Window.partitionBy("a", "lb").orderBy("far", "b")
-        apart = stored(apart.withColumn("try", F.row_number().over(best)))
-        links = links.unionByName(_confirmed(apart.where("try <= 2").select("a", "b", "na", "nb"), classes, documents, k, percent))
-        labels = components(links)
-        still = stored(_labelled(apart.where("try > 2").select("a", "b", "na", "nb"), labels))
-        if still.limit(1).count():
-            labels = components(links.unionByName(_confirmed(still, classes, documents, k, percent)))
+    more = _confirmed(_apart(members, labels, classes, percent, radius, slots), sets, percent)
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
     at = classes.join(labels, "id", "left").select("id", "doc_id", F.coalesce("label", "id").alias("label"))
     least = at.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     at = at.join(least, "label").select(F.col("id").alias("cid"), "component_id")
@@ -287,20 +274,19 @@ def groups(documents: DataFrame, k: int = 5, percent: int = 80, slots: int = SLO
 
 def deduplicated(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents kept, one of each group, with documents' columns. Of rows that repeat an id and a text one is kept."""
-    found = groups(documents, k, percent)
-    gone = found.where("not kept").groupBy("doc_id", "cid").count().select(F.col("doc_id").alias("d_i"), F.col("cid").alias("d_c"))
-    again = found.where("kept and doc_id is not null and cid is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("d_i"))
+    found = stored(groups(documents, k, percent))
+    odd = stored(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("d_i")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("d_i"))
+    gone = stored(found.where("not kept").select(F.col("doc_id").alias("d_i")).unionByName(odd).distinct())
     ids = documents.withColumn("d_k", F.col("doc_id").cast("bigint"))
-    repeated = stored(again)
-    mixed = found.groupBy("doc_id").agg(F.min(F.col("kept").cast("int")).alias("lo"), F.max(F.col("kept").cast("int")).alias("hi")).where("doc_id is not null and lo != hi").select(F.col("doc_id").alias("d_i"))
-    odd = stored(repeated.unionByName(mixed).distinct())
+    rest = ids.join(gone, F.col("d_k") == F.col("d_i"), "left_anti").select(*documents.columns)
+    if not odd.limit(1).count():
+        return rest
     # an id with several rows: its texts are told apart by their sets
-    rest = ids.join(odd, F.col("d_k") == F.col("d_i"), "left_anti").join(gone.select("d_i").distinct(), F.col("d_k") == F.col("d_i"), "left_anti")
+    lost = found.where("not kept").join(odd, F.col("doc_id") == F.col("d_i"), "left_semi").select(F.col("doc_id").alias("d_a"), F.col("cid").alias("d_c")).distinct()
     some = ids.join(odd, F.col("d_k") == F.col("d_i"), "left_semi").select("*", _cid(k)(F.col("text").cast("string")).alias("d_s"))
-    some = some.join(gone, (F.col("d_k") == F.col("d_i")) & (F.col("d_s") == F.col("d_c")), "left_anti")
-    first = Window.partitionBy("d_k", "d_s").orderBy("d_k")
-    some = some.withColumn("d_n", F.row_number().over(first)).where(F.col("d_s").isNull() | (F.col("d_n") == 1))
-    return rest.select(*documents.columns).unionByName(some.select(*documents.columns))
+    some = stored(some.join(lost, (F.col("d_k") == F.col("d_a")) & (F.col("d_s") == F.col("d_c")), "left_anti"))
+    once = some.where("d_s is not null").dropDuplicates(["d_k", "d_s"])
+    return rest.unionByName(once.select(*documents.columns)).unionByName(some.where("d_s is null").select(*documents.columns))
 
 
 def _cid(k: int):
