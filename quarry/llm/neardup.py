@@ -10,7 +10,8 @@
 3. Classes that share a key are linked in rounds, none of which pairs all members of a hot key. First each member is paired
    with its key's smallest class only; the links that hold make components. Second, each class outside its key's largest
    component is paired with one member of that, another one for each key. Then only keys whose members are still in several
-   components count, and only pairs from different components: small keys pair them, larger ones are cut into blocks of
+   components count, only classes enough of whose shingles occur in other components to have a link there, and only pairs
+   from different components: small keys pair them, larger ones are cut into blocks of
    `SIDE` classes, compared as matrices, so that only pairs within the radius come out, each under one key. Nothing is capped: a link between different texts is either confirmed or was superfluous, because its ends
    were connected already.
 4. Every pair within the radius is confirmed on the whole sets before it counts.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import stored, worker_cache
 
-SLOTS = 96
+SLOTS = 64
 SMALL = 16
 SIDE = 512
 
@@ -212,9 +213,26 @@ def _to_majority(members: DataFrame, labels: DataFrame) -> DataFrame:
     return others.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
-def _apart(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, radius: int, slots: int) -> DataFrame:
-    """Pairs within the radius that share a key and are in different components: a, b, na, nb, far."""
-    rows = _split(members, labels)
+def _able(rows: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """id of the classes in rows (id, label) that may have a link into another component: at least `percent` of their shingles
+    occur in classes of other components. A class with fewer has no such link; without those, others may turn out the same."""
+    left = stored(rows.select("id", "label").distinct())
+    size = left.count()
+    while size:
+        tokens = left.join(sets, "id").select("id", "label", F.explode("x").alias("t"))
+        shared = tokens.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("t")
+        enough = tokens.join(shared, "t").groupBy("id", "label").agg(F.count(F.lit(1)).alias("m")).join(classes.select("id", "n"), "id").where(F.col("m") * 100 >= F.col("n") * percent)
+        left = stored(enough.select("id", "label"))
+        before, size = size, left.count()
+        if size > before * 0.9:
+            break
+    return left.select("id")
+
+
+def _apart(members: DataFrame, labels: DataFrame, sets: DataFrame, classes: DataFrame, percent: int, radius: int, slots: int) -> DataFrame:
+    """Pairs within the radius that share a key, are in different components and may be linked: a, b, na, nb, far."""
+    able = _able(_split(members, labels), sets, classes, percent)
+    rows = _split(members.join(able, "id", "left_semi"), labels)
     few = rows.where(F.col("members") <= SMALL)
     pairs = few.select("key", F.col("id").alias("a"), F.col("label").alias("la")).join(few.select("key", F.col("id").alias("b"), F.col("label").alias("lb")), "key").where("a < b and la != lb").select("a", "b")
     many = rows.where(F.col("members") > SMALL)
@@ -261,7 +279,7 @@ def groups(documents: DataFrame, k: int = 5, percent: int = 80, slots: int = SLO
     labels = components(links)
     links = links.unionByName(_confirmed(_near(_to_majority(members, labels), classes, percent, radius, slots), sets, percent))
     labels = components(links)
-    more = _confirmed(_apart(members, labels, classes, percent, radius, slots), sets, percent)
+    more = _confirmed(_apart(members, labels, sets, classes, percent, radius, slots), sets, percent)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     at = classes.join(labels, "id", "left").select("id", "doc_id", F.coalesce("label", "id").alias("label"))
