@@ -32,6 +32,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def computed(value: Column) -> Column:
+    """value, behind a generator: filters on it aren't moved below, where they would repeat how it is computed."""
+    return F.explode(F.array(value))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where the session names none."""
     sc = spark.sparkContext

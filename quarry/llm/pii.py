@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import let, text_or_empty
+from quarry.llm.common import computed, let, text_or_empty
 
 LOCAL = "A-Za-z0-9._%+-"
 #: kind: pattern, a cheap test that any text with a match passes, score once confirmed, context words that raise it.
@@ -106,7 +106,7 @@ def find(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     more = reduce(F.concat, [_found(F.col("p_t"), k) for k in KINDS if k not in BASE])
     df = df.withColumn("p_m", F.filter(more, lambda s: s["score"] >= least))
     clear = F.filter("p_m", lambda s: ~F.exists("p_b", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return df.select(*keep, F.when(F.size("p_m") == 0, F.col("p_b")).otherwise(F.array_sort(F.concat("p_b", clear))).alias("pii"))
+    return df.select(*keep, computed(F.when(F.size("p_m") == 0, F.col("p_b")).otherwise(F.array_sort(F.concat("p_b", clear)))).alias("pii"))
 
 
 def listed(spans: Column) -> Column:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE_CHARS, text_or_empty, words
+from quarry.llm.common import SPACE_CHARS, computed, text_or_empty, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -64,7 +64,7 @@ def with_stats(df: DataFrame, text: str = "text", keep: list[str] | None = None)
         "repeated_words": F.col("q_r") / n,
         "distinct_words": F.col("q_u") / n,
     }
-    return df.select(*keep, F.struct(F.col("q_n").alias("n_words"), F.col("q_c").alias("word_chars"), F.col("q_y").alias("n_symbols"), F.col("q_d").alias("n_dup_lines"), F.col("q_r").alias("n_repeat_words"), F.struct(*[v.cast("double").alias(k) for k, v in features.items()]).alias("f")).alias("q_"))
+    return df.select(*keep, computed(F.struct(F.col("q_n").alias("n_words"), F.col("q_c").alias("word_chars"), F.col("q_y").alias("n_symbols"), F.col("q_d").alias("n_dup_lines"), F.col("q_r").alias("n_repeat_words"), F.struct(*[v.cast("double").alias(k) for k, v in features.items()]).alias("f"))).alias("q_"))
 
 
 @dataclass(frozen=True)
