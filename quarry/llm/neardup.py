@@ -10,8 +10,8 @@
 3. Classes that share a key are linked in rounds, none of which pairs all members of a hot key. First each member is paired
    with its key's smallest class only; the links that hold make components. Second, each class outside its key's largest
    component is paired with one member of that, another one for each key. Then only keys whose members are still in several
-   components count, only classes enough of whose shingles occur in other components to have a link there, and only pairs
-   from different components: small keys pair them, larger ones are cut into blocks of
+   components count, and only pairs from different components that share one of their rarest shingles, as linked sets must
+   (prefix filtering): small keys pair them, larger ones are cut into blocks of
    `SIDE` classes, compared as matrices, so that only pairs within the radius come out, each under one key. Nothing is capped: a link between different texts is either confirmed or was superfluous, because its ends
    were connected already.
 4. Every pair within the radius is confirmed on the whole sets before it counts.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import stored, worker_cache
 
 SLOTS = 64
-SMALL = 16
+SMALL = 8
 SIDE = 512
 
 
@@ -213,37 +213,36 @@ def _to_majority(members: DataFrame, labels: DataFrame) -> DataFrame:
     return others.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
-def _able(rows: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """id of the classes in rows (id, label) that may have a link into another component: at least `percent` of their shingles
-    occur in classes of other components. A class with fewer has no such link; without those, others may turn out the same."""
-    left = stored(rows.select("id", "label").distinct())
-    size = left.count()
-    while size:
-        tokens = left.join(sets, "id").select("id", "label", F.explode("x").alias("t"))
-        shared = tokens.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("t")
-        enough = tokens.join(shared, "t").groupBy("id", "label").agg(F.count(F.lit(1)).alias("m")).join(classes.select("id", "n"), "id").where(F.col("m") * 100 >= F.col("n") * percent)
-        left = stored(enough.select("id", "label"))
-        before, size = size, left.count()
-        if size > before * 0.9:
-            break
-    return left.select("id")
+def _prefixes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """id, n, prefix of the classes in rows that may have a link: the rarest shingles of each, rarest first, as many as a
+    class that lacks all of them couldn't be linked with it; null in the place of those that no other class has.
+
+    Rarity is counted among these classes. A class all of whose prefix is its own has no link to any of them.
+    """
+    tokens = rows.select("id").distinct().join(sets, "id").select("id", F.explode("x").alias("t"))
+    df = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    ranked = tokens.join(df, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r")).withColumn("n", F.size("r"))
+    first = F.slice("r", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    return ranked.select("id", "n", F.transform(first, lambda x: F.when(x["df"] > 1, x["t"])).alias("prefix")).where(F.exists("prefix", lambda t: t.isNotNull()))
 
 
 def _apart(members: DataFrame, labels: DataFrame, sets: DataFrame, classes: DataFrame, percent: int, radius: int, slots: int) -> DataFrame:
     """Pairs within the radius that share a key, are in different components and may be linked: a, b, na, nb, far."""
-    able = _able(_split(members, labels), sets, classes, percent)
-    rows = _split(members.join(able, "id", "left_semi"), labels)
-    few = rows.where(F.col("members") <= SMALL)
-    pairs = few.select("key", F.col("id").alias("a"), F.col("label").alias("la")).join(few.select("key", F.col("id").alias("b"), F.col("label").alias("lb")), "key").where("a < b and la != lb").select("a", "b")
+    prefixes = stored(_prefixes(_split(members, labels), sets, percent))
+    rows = _split(members.join(prefixes.select("id"), "id", "left_semi"), labels)
+    few = rows.where(F.col("members") <= SMALL).join(prefixes.select("id", F.filter("prefix", lambda t: t.isNotNull()).alias("p")), "id")
+    one, two = (few.select("key", F.col("id").alias(x), F.col("label").alias(f"l{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
+    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & F.arrays_overlap("pa", "pb")).select("a", "b")
     many = rows.where(F.col("members") > SMALL)
     if many.limit(1).count():
         n, cut = F.ceil(F.col("members") / SIDE).cast("int"), chunks_of(radius, slots)
-        many = many.join(classes.select("id", "sig"), "id").withColumns({"cells": n, "cell": F.pmod(F.xxhash64("id"), n).cast("int")})
-        dealt = many.withColumn("w", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("key", "owner", "id", "label", "sig", "cell", F.least("cell", "w").alias("i"), F.greatest("cell", "w").alias("j"))
+        many = many.join(classes.select("id", "sig"), "id").join(prefixes, "id").withColumns({"cells": n, "cell": F.pmod(F.xxhash64("id"), n).cast("int")})
+        dealt = many.withColumn("w", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("key", "owner", "id", "label", "sig", "n", "prefix", "cell", F.least("cell", "w").alias("i"), F.greatest("cell", "w").alias("j"))
 
         def compare(rows: pa.Table) -> pa.Table:
-            ids, label, cell = (rows.column(c).to_numpy() for c in ("id", "label", "cell"))
+            ids, label, cell, size = (rows.column(c).to_numpy() for c in ("id", "label", "cell", "n"))
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(len(ids), slots)
+            prefix = rows.column("prefix").to_pylist()
             i, j, owner = (rows.column(c)[0].as_py() for c in ("i", "j", "owner"))
             chunk = next(c for c, (a, b) in enumerate(cut) if a <= owner < b)
             starts, first = [a for a, _ in cut], owner == cut[chunk][0]
@@ -258,7 +257,14 @@ def _apart(members: DataFrame, labels: DataFrame, sets: DataFrame, classes: Data
                 errors = np.add.reduceat(unlike, starts, axis=1, dtype=np.int16)
                 # a pair comes out under the first of its keys only
                 own = (np.argmax(errors <= 1, axis=1) == chunk) & np.where(errors[:, chunk] == 0, first, unlike[:, owner])
-                found += [sorted((ids[x], ids[y])) for y in right[own & (errors.sum(axis=1) <= radius)]]
+                right = right[own & (errors.sum(axis=1) <= radius)]
+                place = {t: k for k, t in enumerate(prefix[x]) if t is not None} if len(right) else {}
+                for y in right:
+                    # linked sets share `least` shingles at least, so one that is among the first size - least + 1 of both
+                    least = -(-percent * int(size[x] + size[y]) // (100 + percent))
+                    end = size[x] - least
+                    if end >= 0 and any(place.get(t, len(place) + end + 1) <= end for t in prefix[y][: max(0, size[y] - least + 1)] if t is not None):
+                        found.append(sorted((ids[x], ids[y])))
             return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
         pairs = pairs.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint"))
