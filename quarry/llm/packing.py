@@ -35,7 +35,7 @@ TERMS = 2**18
 K1, B = 1.2, 0.75
 #: Texts whose words aren't parted by one space or line end each, or that may hold a special token, are tokenized whole.
 _WHOLE = r"[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]\z|<\||\x00"
-_BATCH_BYTES = 24_000_000
+_BATCH_BYTES = 6_000_000
 
 
 def default_tokenizer() -> str:
@@ -143,8 +143,10 @@ def read_texts(texts: list[str], encoder: Encoder) -> tuple[list[np.ndarray], li
         first[~led] = len(flat) + np.cumsum(size[~led]) - size[~led]
         flat = np.concatenate([flat, *own])
         n = size[index]
-        upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-        every = flat[np.repeat(first[index] - upto[:-1], n) + np.arange(upto[-1])]
+        upto = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        at = np.repeat(first[index] - upto[:-1], n)
+        at += np.arange(upto[-1], dtype=np.int32)
+        every = flat[at]
         bounds = cut.offsets.to_numpy()
         for k, i in enumerate(rest):
             ids[i] = every[upto[bounds[k]] : upto[bounds[k + 1]]]
