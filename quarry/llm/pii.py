@@ -6,7 +6,7 @@ that match exactly what the plain forms match, leftmost first, but in linear tim
 
 Defined cases: null text is empty and has no spans; repeated rows each get their own result; spans are in code points,
 end exclusive. Base kinds (email, ip, card, phone) stay whatever their score; the added kinds (iban, ssn, local_phone)
-need a score of at least `least` and no overlap with a base span. Input columns that share a name with an output column
+need a score of at least `least` and not to lie within a base span. Input columns that share a name with an output column
 give way to it.
 """
 
@@ -105,7 +105,7 @@ def find(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     df = df.withColumn("p_b", F.array_sort(F.flatten(F.array(*[_found(F.col("p_t"), k) for k in BASE]))))
     more = reduce(F.concat, [_found(F.col("p_t"), k) for k in KINDS if k not in BASE])
     df = df.withColumn("p_m", F.filter(more, lambda s: s["score"] >= least))
-    clear = F.filter("p_m", lambda s: ~F.exists("p_b", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    clear = F.filter("p_m", lambda s: ~F.exists("p_b", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     return df.select(*keep, computed(F.when(F.size("p_m") == 0, F.col("p_b")).otherwise(F.array_sort(F.concat("p_b", clear)))).alias("pii"))
 
 
