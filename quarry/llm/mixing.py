@@ -108,7 +108,7 @@ def _level(df: DataFrame, last: bool) -> DataFrame:
 def _copies(rows: DataFrame, per: DataFrame, block: int) -> DataFrame:
     """doc_id, h, size, source_no of rows with copies, the whole number of times each is taken."""
     per = per.select("source_no", "n_docs", (F.try_divide("target", "source_size")).alias("r"))
-    df = rows.join(F.broadcast(per), "source_no").withColumn("r", F.coalesce("r", F.lit(0.0)))  # a row a source: see targets
+    df = rows.join(per, "source_no").withColumn("r", F.coalesce("r", F.lit(0.0)))
     whole = F.floor(F.col("r") + 1e-9)
     df = df.withColumns({"base": whole.cast("int"), "p": F.greatest(F.lit(0.0), F.col("r") - whole)}).drop("r")
     salt = lambda n: F.pmod(F.xxhash64("h", "doc_id", F.lit("block")), F.greatest(F.lit(1), F.ceil(n / block))).cast("int")
@@ -125,9 +125,10 @@ def plan(documents: DataFrame, weights=WEIGHTS, most: float = MOST, block: int =
     """doc_id, h (hash of the text), source, size, source_size, target, copies and taken for every row of documents."""
     sized = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("bigint").alias("size"))
     sized = stored(sized)  # the words of each text are counted once
+    # a row a source, stored: Spark broadcasts it while it measures small, and splits hot sources in a join of two shuffles else
     per = stored(targets(sized, weights, most).withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
-    rows = sized.join(F.broadcast(per.select("source_no", F.col("source").alias("s"))), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "h", "size", "source_no")
-    out = _copies(rows, per, block).join(F.broadcast(per), "source_no")
+    rows = sized.join(per.select("source_no", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "h", "size", "source_no")
+    out = _copies(rows, per, block).join(per, "source_no")
     return out.select("doc_id", "h", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
 
 
