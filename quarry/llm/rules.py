@@ -30,13 +30,18 @@ def _count(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+def _one(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
+
 def with_stats(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df's columns `keep` (all if None, but for clashes) and a struct `q_`: the base statistics and, as `q_.f`, the features."""
     keep = [c for c in (keep if keep is not None else df.columns) if not c.startswith("q_")]
     df = df.select(*[df[c] for c in keep], text_or_empty(df[text]).alias("q_t"))
     df = df.withColumn("q_w", words(F.col("q_t")))
     df = df.withColumn("q_l", F.filter(F.split("q_t", "\n", -1), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0))
-    df = df.withColumn("q_h", F.when(F.size("q_w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("q_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("q_w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn("q_g", F.transform("q_w", lambda w: F.xxhash64(w)))
+    df = df.withColumn("q_h", F.when(F.size("q_g") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("q_g") - WINDOW), lambda i: F.xxhash64(*[F.get("q_g", i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")))
     # Only a text in which some window occurs twice has its windows sorted.
     df = df.withColumn("q_s", F.when(F.size(F.array_distinct("q_h")) < F.size("q_h"), F.array_sort(F.transform("q_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     twice = F.filter("q_s", lambda x, i: x["h"].eqNullSafe(F.get("q_s", i - 1)["h"]) | x["h"].eqNullSafe(F.get("q_s", i + 1)["h"]))
@@ -49,15 +54,15 @@ def with_stats(df: DataFrame, text: str = "text", keep: list[str] | None = None)
     )
     df = df.select(
         *keep, "q_t", F.size("q_w").cast("bigint").alias("q_n"), F.length(F.translate("q_t", SPACE_CHARS, "")).cast("bigint").alias("q_c"), _count(F.col("q_t"), SYMBOLS).cast("bigint").alias("q_y"),
-        (F.size("q_l") - F.size(F.array_distinct("q_l"))).cast("bigint").alias("q_d"), F.size("q_l").alias("q_k"), covered.alias("q_r"), F.size(F.array_distinct("q_w")).alias("q_u"),
+        (F.size("q_l") - F.size(F.array_distinct("q_l"))).cast("bigint").alias("q_d"), F.size("q_l").alias("q_k"), covered.alias("q_r"), F.size(F.array_distinct("q_g")).alias("q_u"),
     )
     n, chars = F.greatest(F.lit(1.0), F.col("q_n")), F.greatest(F.lit(1.0), F.col("q_c"))
     features = {
         "log_words": F.log(n),
         "word_length": F.col("q_c") / n,
         "symbols": F.col("q_y") / chars,
-        "bars": _count(F.col("q_t"), "|") / n,
-        "bangs": _count(F.col("q_t"), "!") / n,
+        "bars": _one(F.col("q_t"), "|") / n,
+        "bangs": _one(F.col("q_t"), "!") / n,
         "capitals": F.length(F.regexp_replace("q_t", r"[^A-ZÀ-ÖØ-Þ]+", "")) / chars,
         "digits": F.length(F.regexp_replace("q_t", "[^0-9]+", "")) / chars,
         "duplicate_lines": F.col("q_d") / F.greatest(F.lit(1.0), F.col("q_k")),
