@@ -3,9 +3,10 @@
 A page becomes a DOM; what is never main text by its element, role or class (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments) is set aside. For every other node the density is its characters per
 tag, adjusted for links: a node whose text is mostly links scores low. A node's density sum is the sum of its children's
-densities. The threshold is the least density on the path from the body to the node with the largest density sum; nodes
-at or above it are searched, from the body down, for the subtree with the largest density sum, which is taken whole,
-widened to the article or main element that holds it.
+densities. The threshold is the least density on the path from the body to the node with the largest density sum. From the
+body down, each node at or above it that isn't taken yet gives the subtree with the largest density sum in it, which is taken
+whole, widened to the article or main element that holds it; then the node's children are searched likewise. Siblings that
+stand between two taken ones and aren't mostly links are taken with them, and so are the headings right before them.
 
 Text in a subtree is cut into blocks at block elements; white space inside a block becomes one space.
 
@@ -43,14 +44,16 @@ NAMES = frozenset(
     "comment comments disqus respond reply replies discussion share sharing social form search toolbar skip copyright legal disclaimer".split()
 )
 _WORD = re.compile(r"[a-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "aside", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "up", "items", "aside", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "searched")
 
     def __init__(self, tag: str, up: Node | None, aside: bool):
         self.tag, self.up, self.aside = tag, up, aside
         self.items: list[Node | str] = []
+        self.searched = False
 
 
 def _set_aside(tag: str, attributes: str, up: Node) -> bool:
@@ -165,30 +168,51 @@ def main_nodes(root: Node) -> list[Node]:
     measure(nodes)
     if not body.chars:
         return []
-    best = max(nodes[1:] or nodes, key=lambda x: x.sum)
-    least, up = best.density, best
+    for i, node in reversed(list(enumerate(nodes))):
+        node.best = max([(node.sum, -i, node), *(x.best for x in node.items if isinstance(x, Node) and not x.aside)], key=lambda x: x[:2])
+    up = max(nodes[1:] or nodes, key=lambda x: x.sum)
+    least = up.density
     while up is not body and up.up:
         up = up.up
         least = min(least, up.density)
-    found, todo = [], [body]
-    while todo:
-        node = todo.pop(0)
-        if node.density >= least:
-            top = max(_nodes(node), key=lambda x: x.sum)
-            while top is not node and top.tag not in ("article", "main") and any(isinstance(x, str) and not x.isspace() for x in top.up.items):
-                top = top.up  # inline markup belongs to its block
-            found.append(top)
-        else:
-            todo = [x for x in node.items if isinstance(x, Node) and not x.aside] + todo
-    wide: list[Node] = []
-    for node in found:
-        holder, up = node, node
+    taken: set[Node] = set()
+    for node in nodes:  # parents first
+        if node is not body and (node.up in taken or not node.searched or node.density < least or node.tag == "a"):
+            node.searched = False
+            if node.up in taken:
+                taken.add(node)
+            continue
+        top = node.best[2]
+        while top is not node and top.tag not in ("article", "main") and any(isinstance(x, str) and not x.isspace() for x in top.up.items):
+            top = top.up  # inline markup belongs to its block
+        taken.add(top)
+        for x in node.items:
+            if isinstance(x, Node):
+                x.searched = True
+    for node in list(taken):
+        up = node
         while up.up:
             up = up.up
             if up.tag in ("article", "main"):
-                holder = up
-        if holder not in wide:
-            wide.append(holder)
+                taken.add(up)
+    for node in nodes:
+        if node is not body:
+            rows = [x for x in node.items if isinstance(x, Node) and not x.aside]
+            found = [i for i, x in enumerate(rows) if x in taken]
+            for i in range(found[0], found[-1]) if found else ():
+                if rows[i].link_chars * 2 <= rows[i].chars and rows[i].tag != "a":
+                    taken.add(rows[i])  # what stands between two parts of the text belongs to it
+            i = found[0] - 1 if found else -1
+            while i >= 0 and rows[i].tag in HEADINGS:
+                taken.add(rows[i])
+                i -= 1
+    wide, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        if node in taken:
+            wide.append(node)
+        else:
+            stack += [x for x in reversed(node.items) if isinstance(x, Node) and not x.aside]
     return wide or [body]
 
 

@@ -402,6 +402,16 @@ def test_html(spark):
     assert htmltext.extracted(df.limit(0)).count() == 0
 
 
+def test_html_sibling_sections():
+    """All sections of a plain div are main text, with the headings between them; a list of links beside them isn't."""
+    for link in ("", "<a href=x>link</a>"):
+        text = f"<p>{'word ' * 100}{link}</p>"
+        links = "<ul>" + "<li><a href=x>some other page</a></li>" * 8 + "</ul>"
+        for tag in ("section", "div"):
+            got = htmltext.extract(f"<body><div><h2>Head</h2><{tag}>{text * 5}</{tag}><h2>Mid</h2><{tag}>{text * 4}</{tag}></div>{links}</body>").split("\n")
+            assert [b[:4] for b in got] == ["Head", *["word"] * 5, "Mid", *["word"] * 4] and all(b.endswith("word" + (" link" if link else "")) for b in got if b[:4] == "word")
+
+
 # ---- 9 and 10 -------------------------------------------------------------------------------------------------------
 
 
