@@ -1,7 +1,10 @@
 """HTML extraction (8): composite text density.
 
 A page becomes a DOM; what is never main text by its element, role or class (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) is set aside. For every other node the density is its characters per
+adverts, forms, scripts, styles, reader comments) is set aside. A class or id doesn't set aside what holds the page's only article or main elements,
+or over half of the text that isn't links (for comments, adverts and notices nine tenths, of a page without other article),
+nor do listed words behind has-, no- or with-, or before -open or -closed.
+For every other node the density is its characters per
 tag, adjusted for links: a node whose text is mostly links scores low. A node's density sum is the sum of its children's
 densities. The threshold is the least density on the path from the body to the node with the largest density sum. From the
 body down, each node at or above it that isn't taken yet gives the subtree with the largest density sum in it, which is taken
@@ -44,14 +47,19 @@ NAMES = frozenset(
     "comment comments disqus respond reply replies discussion share sharing social form search toolbar skip copyright legal disclaimer".split()
 )
 _WORD = re.compile(r"[a-z]+")
+#: Such names tell how a page is laid out (has-sidebar, no-sidebar, comments-open), not what a node holds.
+_WITHOUT = re.compile(r"(?<![a-z])(?:has|no|with|without)[-_]\S*|\S*[-_](?:open|closed|enabled|disabled)(?![a-z])")
+#: Comments, adverts and notices may be longer than the text beside them.
+OTHERS = frozenset("comment comments disqus respond reply replies discussion ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription disclaimer legal copyright".split())
+MOST, NEARLY_ALL = 0.5, 0.9
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "aside", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "searched")
+    __slots__ = ("tag", "up", "items", "aside", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "searched", "named", "plain", "open", "holds")
 
-    def __init__(self, tag: str, up: Node | None, aside: bool):
-        self.tag, self.up, self.aside = tag, up, aside
+    def __init__(self, tag: str, up: Node | None, aside: bool, named: float = 0):
+        self.tag, self.up, self.aside, self.named = tag, up, aside, named
         self.items: list[Node | str] = []
         self.searched = False
 
@@ -72,13 +80,21 @@ def _set_aside(tag: str, attributes: str, up: Node) -> bool:
         name, value = name.lower(), a or b or c
         if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id"):
-            words = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
-            if not NAMES.isdisjoint(_WORD.findall(words.lower())) and not _heading(tag):
-                return True
     return False
 
 
+def _named(tag: str, attributes: str) -> float:
+    """The share of a page's text from which on a node isn't set aside by its class or id; 0 if they have no listed word."""
+    if not attributes or tag in ("html", "body", "article", "main") or _heading(tag):
+        return 0
+    found: set[str] = set()
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            words = re.sub(r"([a-z])([A-Z])", r"\1-\2", a or b or c).lower()
+            found.update(NAMES.intersection(_WORD.findall(_WITHOUT.sub(" ", words))))
+    return 0 if not found else MOST if found.isdisjoint(OTHERS) else NEARLY_ALL
+
+
 def _heading(tag: str) -> bool:
     return tag in ("h1", "h2", "h3", "b", "strong", "em", "i", "span", "a", "code")
 
@@ -121,16 +137,38 @@ def parse(page: str) -> Node:
                         node = up.up
                         break
                     up = up.up
-        child = Node(tag, node, node.aside or _set_aside(tag, m[3] or "", node))
+        aside = _set_aside(tag, m[3] or "", node)
+        child = Node(tag, node, aside, 0 if aside else _named(tag, m[3] or ""))
         node.items.append(child)
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = page.find(">", end.start()) + 1 or n if end else n
         elif tag not in VOID and not (m[3] or "").endswith("/"):
             node = child
+    _by_name(root)
     return root
 
 
+def _by_name(root: Node) -> None:
+    """Sets nodes with listed names aside, but for those that hold the page's article or main element, or most of its text."""
+    nodes = _nodes(root)
+    if not any(x.named for x in nodes):
+        return
+    for node in reversed(nodes):
+        own = sum(len(x) for x in node.items if isinstance(x, str) and not x.isspace())
+        rows = [x for x in node.items if isinstance(x, Node) and not x.aside]
+        node.plain = 0 if node.tag == "a" else own + sum(x.plain for x in rows)
+        node.open = 0 if node.tag == "a" else own + sum(x.open for x in rows if not x.named)
+        node.holds = node.plain > 0 and (node.tag in ("article", "main") or any(x.holds for x in rows))
+    outside, todo = False, [root]
+    for node in todo:
+        outside = outside or node.tag in ("article", "main") and node.open > 0
+        todo += [x for x in node.items if isinstance(x, Node) and not x.aside and not x.named]
+    for node in nodes:  # parents first; what lies in a node set aside is never looked at
+        if node.named:
+            node.aside = not (node.holds and not outside or node.plain > node.named * root.plain and not (outside and node.named == NEARLY_ALL))
+
+
 def _nodes(root: Node) -> list[Node]:
     """Those not set aside, parents first."""
     out = [root]

@@ -412,6 +412,20 @@ def test_html_sibling_sections():
             assert [b[:4] for b in got] == ["Head", *["word"] * 5, "Mid", *["word"] * 4] and all(b.endswith("word" + (" link" if link else "")) for b in got if b[:4] == "word")
 
 
+def test_html_wrappers_with_listed_names():
+    """A wrapper's class or id doesn't take the page's text with it."""
+    article, para = f"<article><p>{'word ' * 50}</p></article>", f"<p>{'word ' * 50}</p>"
+    side = '<div class="sidebar"><p>Something else to read.</p></div>'
+    for names in ('class="layout has-sidebar"', 'class="no-sidebar"', 'class="with_left_sidebar"', 'id="search-results"', 'class="single-related content"', 'class="post comments-open"'):
+        for body in (article, para):
+            assert htmltext.extract(f"<body><div {names}>{body}{side}</div></body>") == ("word " * 50).strip(), names
+    assert htmltext.extract(f'<body><main><h1>Title</h1><div class="single-related">{para}</div></main></body>').split() == ["Title", *["word"] * 50]
+    comments = '<div id="comments">' + "<article><p>A comment by a reader.</p></article>" * 20 + "</div>"
+    assert htmltext.extract(f"<body>{article}{comments}</body>") == ("word " * 50).strip()
+    assert htmltext.extract(f"<body><div>{para}</div><div id=comments>{para}{para}</div></body>") == ("word " * 50).strip()
+    assert htmltext.extract(f'<body><div class="ad">{para}{para}</div><article><p>Short.</p></article></body>') == "Short."
+
+
 # ---- 9 and 10 -------------------------------------------------------------------------------------------------------
 
 
