@@ -1,8 +1,10 @@
 """Packing (2): lexical retrieval packing into fixed windows.
 
 A document's token ids fill whole windows of its own as far as they go; what remains of it (less than a window) is packed
-with the remains of other documents. The documents are dealt by a hash into shards of about `shard` documents. Each shard
-builds a BM25 inverted index of its documents' words; the seed of a window is the first document with tokens left, and the
+with the remains of other documents. The documents are dealt by lexical closeness into shards of about `shard` documents:
+each has a sketch of its BM25 weights, and a tree of median cuts, fitted on at most `SAMPLE` sketches, tells the shard; a
+leaf of over one and a half shards is cut by a hash. A seed sees the documents of its own shard only: comparing it with all
+others would take time in the square of the corpus. Each shard builds a BM25 inverted index of its documents' words; the seed of a window is the first document with tokens left, and the
 index returns its unused neighbours, best first, which fill the window greedily. A neighbour that doesn't fit is cut, and
 its rest starts the next window. What is left at a shard's end is cut into sequences of powers of two, so nothing is padded.
 
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import stored, worker_cache
 
 WINDOW = 1024
-SHARD = 256
+SHARD = 2048
+#: Length of a sketch, sketches the tree is fitted on, least number of them in a leaf.
+SKETCH, SAMPLE, LEAF = 128, 16384, 16
 TERMS = 2**18
 K1, B = 1.2, 0.75
 #: Texts whose words aren't parted by one space or line end each, or that may hold a special token, are tokenized whole.
@@ -194,6 +198,54 @@ def corpus_statistics(read: DataFrame) -> tuple[int, float, np.ndarray]:
     return docs, total / max(1, docs), df
 
 
+def sketches(terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean: float) -> np.ndarray:
+    """A row of SKETCH numbers and length 1 for each document: its BM25 weights, added up under hashed places and signs."""
+    n = len(terms)
+    doc, term = np.repeat(np.arange(n), [len(t) for t in terms]), np.concatenate([*terms, np.zeros(0, np.int32)])
+    tf = np.concatenate([*counts, np.zeros(0, np.int64)]).astype(float)
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.bincount(doc, tf, n)[doc] / max(mean, 1e-9)))
+    h = term.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    place, sign = ((h >> np.uint64(40)) % np.uint64(SKETCH)).astype(np.int64), 1 - 2 * ((h >> np.uint64(20)) & np.uint64(1)).astype(float)
+    x = np.bincount(doc * SKETCH + place, weight * sign, n * SKETCH).reshape(n, SKETCH)
+    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+class Tree:
+    """Cuts of sketches in halves (or in proportion to the leaves on either side) along their main direction."""
+
+    def __init__(self, x: np.ndarray, leaves: int):
+        self.along, self.cut, self.next, self.leaves = [], [], [], 0
+
+        def grow(rows: np.ndarray, leaves: int) -> int:
+            if leaves < 2:
+                self.leaves += 1
+                return -self.leaves
+            y = x[rows] - x[rows].mean(0)
+            a = y[int(np.argmax((y * y).sum(1)))]
+            for _ in range(8):
+                a = y.T @ (y @ a)
+                a /= max(float(np.linalg.norm(a)), 1e-12)
+            at = x[rows] @ a
+            order = np.argsort(at, kind="stable")
+            k = len(rows) * (leaves // 2) // leaves
+            own = len(self.next)
+            self.along.append(a)
+            self.cut.append(float(at[order[k - 1]] + at[order[k]]) / 2)
+            self.next.append([0, 0])
+            self.next[own] = [grow(rows[order[:k]], leaves // 2), grow(rows[order[k:]], leaves - leaves // 2)]
+            return own
+
+        self.root = grow(np.arange(len(x)), leaves)
+        self.along, self.cut, self.next = np.array(self.along, np.float32).reshape(-1, x.shape[1]), np.array(self.cut, np.float32), np.array(self.next, np.int64).reshape(-1, 2)
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        at = np.full(len(x), self.root)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            node = at[inner]
+            at[inner] = self.next[node, ((x[inner] * self.along[node]).sum(1) > self.cut[node]).astype(int)]
+        return -1 - at
+
+
 def _parts(n: int) -> list[int]:
     """n as powers of two, largest first."""
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -225,10 +277,17 @@ class ShardIndex:
         postings = np.arange(total) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
         return np.argsort(-np.bincount(self.doc[postings], self.weight[postings], self.n), kind="stable")
 
+    def keep(self, free: np.ndarray) -> None:
+        """Drops the postings of all other documents."""
+        kept = free[self.doc]
+        self.doc, self.weight = self.doc[kept], self.weight[kept]
+        self.ends = np.concatenate([[0], np.cumsum(kept)])[self.ends]
+
 
 def pack_shard(left: list[int], index: ShardIndex | None, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, offset in what was left of it, length) for documents with left[i] < window tokens."""
-    used = [0] * len(left)
+    used, free = [0] * len(left), np.array(left, np.int64) > 0
+    live = len(left)
     sequences, seed = [], 0
     while True:
         while seed < len(left) and used[seed] == left[seed]:
@@ -244,12 +303,17 @@ def pack_shard(left: list[int], index: ShardIndex | None, window: int = WINDOW)
                 pieces.append((i, used[i], n))
                 used[i] += n
                 room -= n
+                free[i] = used[i] < left[i]
 
         start = cut if (cut := next((i for s in sequences[-1:] for i, o, n in s[-1:] if used[i] < left[i]), None)) is not None else seed
         put(start)
         if room:
-            for i in index.neighbours(start) if index else range(len(left)):
-                put(int(i))
+            if index and (n := int(free.sum())) * 4 < live * 3:
+                live = n
+                index.keep(free)
+            near = index.neighbours(start) if index else np.arange(len(left))
+            for i in near[free[near]].tolist():
+                put(i)
                 if not room:
                     break
         sequences.append(pieces)
@@ -296,7 +360,26 @@ def pack(documents: DataFrame, tokenizer: str | None = None, end: int = 0, windo
     read = stored(read.mapInArrow(tokens, "doc_id bigint, h bigint, n bigint, crcs binary, rest binary, terms binary, counts binary"))
     docs, mean, df = corpus_statistics(read)
     idf = documents.sparkSession.sparkContext.broadcast(np.log1p((docs - df + 0.5) / (df + 0.5)).astype(np.float32))  # TERMS floats
-    shards = max(1, -(-docs // shard))
+
+    def sketched(batch: pa.RecordBatch) -> np.ndarray:
+        t, c = batch.column("terms").to_pylist(), batch.column("counts").to_pylist()
+        return sketches([np.frombuffer(b, "<i4") for b in t], [np.frombuffer(b, "<u2") for b in c], idf.value, mean)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sketched(batch)], pa.binary())], ["doc_id", "h", "x"])
+
+    some = read.where(F.pmod(F.xxhash64("doc_id", "h", F.lit("sample")), F.lit(max(1, docs))) < SAMPLE).select("doc_id", "h", "terms", "counts")
+    some = some.mapInArrow(sampled, "doc_id bigint, h bigint, x binary").limit(2 * SAMPLE).toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    x = np.frombuffer(b"".join(some.column("x").to_pylist()), np.float32).reshape(-1, SKETCH)
+    tree = documents.sparkSession.sparkContext.broadcast(Tree(x, max(1, min(-(-docs // shard), len(x) // LEAF))))
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.value.leaf(sketched(batch)), pa.int64())], [*batch.schema.names, "leaf"])
+
+    sized = read.select("terms", "counts").mapInArrow(leaves, "terms binary, counts binary, leaf bigint").groupBy("leaf").count().collect()  # SAMPLE / LEAF rows at most
+    cuts = {r["leaf"]: max(1, round(r["count"] / shard)) for r in sized}
 
     def tail_of(b: bytes) -> np.ndarray:
         return np.frombuffer(b, "<u2").astype("<u4") if len(b) % 2 == 0 else np.frombuffer(b[1:], "<u4")
@@ -320,5 +403,8 @@ def pack(documents: DataFrame, tokenizer: str | None = None, end: int = 0, windo
         names = ("doc_id", "text_hash", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
         return pa.table({k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(names)})
 
-    dealt = read.withColumn("s", F.pmod(F.xxhash64("doc_id", "h", F.lit("shard")), F.lit(shards)).cast("bigint"))
+    names = "doc_id bigint, h bigint, n bigint, crcs binary, rest binary, terms binary, counts binary"
+    dealt = read.mapInArrow(leaves, f"{names}, leaf bigint")
+    parts = F.coalesce(F.get(F.array(*[F.lit(cuts.get(i, 1)) for i in range(tree.value.leaves)]), F.col("leaf").cast("int")), F.lit(1))
+    dealt = dealt.withColumn("s", F.col("leaf") * 2**20 + F.pmod(F.xxhash64("doc_id", "h", F.lit("shard")), parts)).drop("leaf")
     return dealt.groupBy("s").applyInArrow(pack_one, "doc_id bigint, text_hash bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

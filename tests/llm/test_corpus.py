@@ -146,6 +146,17 @@ def test_retrieval_orders_neighbours():
     assert packing.pack_shard([600, 10, 600, 300], index)[0] == [(0, 0, 600), (2, 0, 424)]
 
 
+def test_packing_deals_by_closeness(spark):
+    """Documents of one topic share a shard, so that a window holds neighbours."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"topic{i % 4}word{w}" for w in rng.integers(0, 60, 80))) for i in range(256)]
+    found = defaultdict(set)
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), shard=64).collect():
+        found[r["sequence_id"] >> 32].add(r["doc_id"])
+    assert sorted(len(x) for x in found.values()) == [64] * 4
+    assert all(len({i % 4 for i in x}) == 1 for x in found.values())
+
+
 def test_encoder_equals_tokenizer(texts):
     from tokenizers import Tokenizer
 
