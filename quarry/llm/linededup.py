@@ -1,8 +1,11 @@
 """Substring dedup (4): line hashing.
 
 Units are the lines of a text and, in lines of several sentences, their sentences. A unit is normalised (lower case, runs of
-anything but letters and digits become one space) and digested to 128 bits; lines of fewer than `line_words` and sentences of
-fewer than `sentence_words` words are no units, so that small talk doesn't count as copying. Digests are grouped globally:
+anything but letters and digits become one space) and digested to 128 bits, lines and sentences alike, so that a line is found
+as a sentence of a longer line. Lines of fewer than `line_words` and sentences of fewer than `sentence_words` words are no
+units, so that small talk doesn't count as copying; such a sentence is joined with those after it, and with those before it,
+until they have as many words. What a copied passage's first or last sentence has in common with another is not found where
+it runs into the text around it without a sentence's end. Digests are grouped globally:
 the earliest occurrence by (id, text hash, position) stays, all others go. What goes is told in offsets of the original text.
 
 Only ids, offsets and digests are shuffled until the end. A digest that a third of all rows share is summed on the map side;
@@ -33,18 +36,29 @@ _OTHER = re.compile(r"[\W_]+")
 
 
 def units(text: str | None, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> Iterator[tuple[int, int, str]]:
-    """start, end and normalised form (a mark and the words) of each unit of a text, lines before their sentences."""
+    """start, end and normalised form of each unit of a text, lines before their sentences."""
     for line in _LINE.finditer(text or ""):
         norm = _OTHER.sub(" ", line[0].lower()).strip()
         n = norm.count(" ") + 1
         if norm and n >= line_words:
-            yield line.start(), line.end(), f"l{norm}"
+            yield line.start(), line.end(), norm
         if n > sentence_words:
-            found = list(_SENTENCE.finditer(line[0]))
-            for s in found if len(found) > 1 else ():
-                norm = _OTHER.sub(" ", s[0].lower()).strip()
-                if norm.count(" ") + 1 >= sentence_words:
-                    yield line.start() + s.start(), line.start() + s.end(), f"s{norm}"
+            found = [(s.start(), s.end(), w, w.count(" ") + 1) for s in _SENTENCE.finditer(line[0]) if (w := _OTHER.sub(" ", s[0].lower()).strip())]
+            spans = {(i, i) for i, s in enumerate(found) if s[3] >= sentence_words}
+            for i, s in enumerate(found):
+                for step in (1, -1) if s[3] < sentence_words else ():
+                    j, words = i, s[3]
+                    while words < sentence_words and 0 <= j + step < len(found):
+                        j += step
+                        words += found[j][3]
+                    if words >= sentence_words:
+                        spans.add((min(i, j), max(i, j)))
+            ends: dict[str, int] = {}
+            for i, j in sorted(spans - {(0, len(found) - 1)}):
+                norm = " ".join(s[2] for s in found[i : j + 1])
+                if ends.get(norm, -1) < i:  # a unit is no copy of one that it overlaps
+                    ends[norm] = j
+                    yield line.start() + found[i][0], line.start() + found[j][1], norm
 
 
 def cleaned(text: str, spans: list[tuple[int, int]]) -> str:

@@ -217,6 +217,20 @@ def test_line_dedup(spark, empty):
         assert rows[0][1][s["start"] : s["end"]] == passage
 
 
+def test_line_dedup_inside_lines(spark):
+    """Passages inside longer lines: a whole line elsewhere, short sentences only, short ones at either end; nothing is lost."""
+    line = "This single sentence of more than eight words is a whole line elsewhere."
+    short = "Five short words stand here. Then four more come. Three words follow. And again five more words. Two remain."
+    ends = "Short start here. In the middle stands a sentence of well over eight words. Short end there."
+    rows = [(1, line), (2, f"An own sentence of document two that is long enough. {line} Own words after it."), (3, f"Own words of document three before it. {short} Own end of three, in a few words more.")]
+    rows += [(4, f"Document four begins in another way than three. {short} {ends} Its end differs as well."), (5, f"And the fifth has its own beginning. {ends} Nothing of this end is elsewhere.")]
+    rows += [(6, "Yes we can. Yes we can. Yes we can. Yes we can. Yes we can."), (7, "One sentence of eight words or even more. ... - !")]
+    got = {r["doc_id"]: r["text"] for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in (1, 3, 6, 7)] == [rows[i - 1][1] for i in (1, 3, 6, 7)]
+    assert got[2].split() == rows[1][1].replace(line, "").split()
+    assert got[4].split() == rows[3][1].replace(short, "").split() and got[5].split() == rows[4][1].replace(ends, "").split()
+
+
 def test_line_dedup_against_brute_force(docs):
     rows = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in docs.select("doc_id", "text").collect() if r["text"]})
     hashed = {(r["doc_id"], r["text"]): r["h"] for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
