@@ -1,7 +1,9 @@
 """Every named query of the engine against its DuckDB statement on the smallest tables."""
 
+import hashlib
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -45,3 +47,24 @@ def test_query(spark, duck, name):
 def test_plans_prune_and_push(spark):
     plan = catalog.coverage_diff(spark, DATA)._jdf.queryExecution().executedPlan().toString() if os.path.isdir(DATA) else ""
     assert "text" not in plan.split("ReadSchema")[-1]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+def test_sentence_pack_all(spark):
+    """All documents against a fold in Python; those with an overlong sentence are missing from sentence_pack."""
+    want, long = [], set()
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        body = re.sub(r"[ \t]+", " ", r["text"] or "").strip(" \t\n\r")
+        pieces, buf = [], ""
+        for s in [x for x in re.sub(r"([.?!;:])[ \t\n\r\f\v]+", "\\1\x01", body).split("\x01") if x]:
+            if len(s) > 2200:
+                long.add(r["doc_id"])
+                pieces += [buf] * bool(buf) + [s[i : i + 2200] for i in range(0, len(s), 2200)]
+                buf = ""
+            elif buf and len(buf) + 1 + len(s) > 2200:
+                pieces, buf = [*pieces, buf], s
+            else:
+                buf = f"{buf} {s}" if buf else s
+        want += [(r["doc_id"], i, len(x), hashlib.md5(x.encode()).hexdigest()) for i, x in enumerate([*pieces, *[buf] * bool(buf)])]
+    got = [tuple(r) for r in catalog.sentence_pack_all(spark, DATA).collect()]
+    assert long and sorted(got) == sorted(want)
