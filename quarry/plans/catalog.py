@@ -457,6 +457,34 @@ def prompt_assemble(spark, sf):
     return context.prompts(_asked(spark, sf).withColumnRenamed("text", "question"), _trimmed(spark, sf)).select("query_id", F.md5("prompt").alias("hash"))
 
 
+def _near_all(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The seeds of every benchmark item: all chunks of its ten best documents."""
+    chunks = spec_chunks(spark, sf)
+    seeds = bm25_topk(spark, sf).select("query_id", "doc_id").join(chunks.select("doc_id", "chunk_id"), "doc_id").select("query_id", "chunk_id").distinct()
+    return context.neighbours(seeds, chunks), chunks
+
+
+@query(None)
+def neighbour_expand_all(spark, sf):
+    """neighbour_expand from the whole retrieval; tested against loops in Python, as are the two below."""
+    return _near_all(spark, sf)[0]
+
+
+def _trimmed_all(spark: SparkSession, sf: str) -> DataFrame:
+    near, chunks = _near_all(spark, sf)
+    return context.trimmed(near.join(chunks, "chunk_id").select("query_id", F.col("doc_id").cast("string").alias("doc_id"), "clause_id", "chunk_id", "text"))
+
+
+@query(None)
+def context_trim_all(spark, sf):
+    return _trimmed_all(spark, sf).select("query_id", "chunk_id", "place")
+
+
+@query(None)
+def prompt_assemble_all(spark, sf):
+    return context.prompts(_asked(spark, sf).withColumnRenamed("text", "question"), _trimmed_all(spark, sf)).select("query_id", F.md5("prompt").alias("hash"))
+
+
 # ---- answers and evaluation -----------------------------------------------------------------------------------------
 
 

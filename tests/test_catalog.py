@@ -4,10 +4,12 @@ import hashlib
 import math
 import os
 import re
+from collections import defaultdict
 
 import duckdb
 import pytest
 
+from quarry.operators import context
 from quarry.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -68,3 +70,32 @@ def test_sentence_pack_all(spark):
         want += [(r["doc_id"], i, len(x), hashlib.md5(x.encode()).hexdigest()) for i, x in enumerate([*pieces, *[buf] * bool(buf)])]
     got = [tuple(r) for r in catalog.sentence_pack_all(spark, DATA).collect()]
     assert long and sorted(got) == sorted(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+def test_contexts_of_all_items(spark):
+    """Seeds of every benchmark item, their neighbours, the budget and the prompts against loops in Python."""
+    chunks = {c["chunk_id"]: c for c in catalog.spec_chunks(spark, DATA).collect()}
+    sections, by_doc, near = defaultdict(list), defaultdict(list), defaultdict(set)
+    for i in sorted(chunks):
+        sections[chunks[i]["section_path"]].append(i)
+        by_doc[chunks[i]["doc_id"]].append(i)
+    place = {i: (x, k) for s, x in sections.items() if s for k, i in enumerate(x)}
+    for r in catalog.bm25_topk(spark, DATA).collect():
+        for i in by_doc[r["doc_id"]]:
+            x, k = place.get(i, ([i], 0))
+            near[r["query_id"]].update(x[max(0, k - 1) : k + 2])
+    assert {(r["query_id"], r["chunk_id"]) for r in catalog.neighbour_expand_all(spark, DATA).collect()} == {(q, i) for q, x in near.items() for i in x}
+    kept = {}
+    for q, x in near.items():
+        total, kept[q] = 0, []
+        for i in sorted(x, key=lambda i: (str(chunks[i]["doc_id"]), chunks[i]["clause_id"], i)):
+            total += len(chunks[i]["text"])
+            if chunks[i]["text"] and (total <= 25000 or not kept[q]):
+                kept[q].append(i)
+    assert sorted(tuple(r) for r in catalog.context_trim_all(spark, DATA).collect()) == sorted((q, i, k + 1) for q, x in kept.items() for k, i in enumerate(x))
+    asked = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    assert all(kept.get(q) for q in asked)
+    a, b, c = context.TEMPLATE
+    want = {q: hashlib.md5((a + text + b + "\n\n".join(f"[chunk_id={i}]\n{chunks[i]['text']}" for i in kept[q]) + c).encode()).hexdigest() for q, text in asked.items()}
+    assert {r["query_id"]: r["hash"] for r in catalog.prompt_assemble_all(spark, DATA).collect()} == want
