@@ -108,7 +108,7 @@ def deduplicated(documents: DataFrame, line_words: int = LINE_WORDS, sentence_wo
     keep = [c for c in documents.columns if c.lower() != "removed" and not c.startswith("s_")]
     found = stored(_found(documents, line_words, sentence_words))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "no")
-    first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("other")).where("first != other").select("d1", "d2", "first")
+    first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2", "first")
     gone = found.join(first, ["d1", "d2"]).where(rank != F.col("first"))
     key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("s_i"), F.col("h").alias("s_h")]
     spans = gone.select(*key, F.struct(F.col("a").alias("start"), F.col("b").alias("end")).alias("x")).groupBy("s_i", "s_h").agg(F.array_sort(F.collect_set("x")).alias("s_x"))
