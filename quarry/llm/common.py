@@ -1,11 +1,13 @@
-"""What the corpus operators share: the word rule, shared-folder tables, worker-side caches."""
+"""What the corpus operators share: the word rule, rows as structs, shared-folder tables, worker-side caches."""
 
 from __future__ import annotations
 
 import sys
 import tempfile
+import threading
 import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +39,26 @@ def computed(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def rowed(df: DataFrame, **columns: Column) -> DataFrame:
+    """One struct column `row` of all of df's columns, and the columns given, expressions over df: no name of df's can clash with an operator's own."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def fields(df: DataFrame, but: tuple[str, ...] = ()) -> list[Column]:
+    """The columns in df's struct `row`, without those named in `but` in whatever case."""
+    return [F.col("row").getField(f.name).alias(f.name) for f in df.schema["row"].dataType if f.name.lower() not in but]
+
+
+_MADE = threading.local()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share. Where the session names none, one of our own in local mode; elsewhere that's an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
@@ -52,9 +69,22 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.paths = [*getattr(_MADE, "paths", ()), path]
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s result, stored; the tables stored on the way to it are deleted."""
+    before = len(getattr(_MADE, "paths", ()))
+    out = stored(make())
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _MADE.paths[before:-1]:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _MADE.paths = [*_MADE.paths[:before], _MADE.paths[-1]]
+    return out
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, across its tasks."""
     home = sys.modules.setdefault("_quarry_worker_cache", types.ModuleType("_quarry_worker_cache"))

@@ -6,8 +6,8 @@ that match exactly what the plain forms match, leftmost first, but in linear tim
 
 Defined cases: null text is empty and has no spans; repeated rows each get their own result; spans are in code points,
 end exclusive. Base kinds (email, ip, card, phone) stay whatever their score; the added kinds (iban, ssn, local_phone)
-need a score of at least `least` and not to lie within a base span. Input columns that share a name with an output column
-give way to it.
+need a score of at least `least` and not to lie within a base span; of spans with one start the kind listed first comes
+first; an empty table gives no rows; a text of any length is scanned whole. An input column `pii` gives way to find()'s.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import computed, let, text_or_empty
+from quarry.llm.common import computed, fields, let, rowed, text_or_empty
 
 LOCAL = "A-Za-z0-9._%+-"
 #: kind: pattern, a cheap test that any text with a match passes, score once confirmed, context words that raise it.
@@ -100,13 +100,18 @@ def _found(text: Column, kind: str) -> Column:
 
 def find(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     """df's columns and pii: an array, by start and kind, of struct(start, k, end, kind, match, score)."""
-    keep = [c for c in df.columns if c.lower() != "pii" and not c.startswith("p_")]
-    df = df.select(*[df[c] for c in keep], text_or_empty(df[text]).alias("p_t"))
-    df = df.withColumn("p_b", F.array_sort(F.flatten(F.array(*[_found(F.col("p_t"), k) for k in BASE]))))
-    more = reduce(F.concat, [_found(F.col("p_t"), k) for k in KINDS if k not in BASE])
-    df = df.withColumn("p_m", F.filter(more, lambda s: s["score"] >= least))
-    clear = F.filter("p_m", lambda s: ~F.exists("p_b", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    return df.select(*keep, computed(F.when(F.size("p_m") == 0, F.col("p_b")).otherwise(F.array_sort(F.concat("p_b", clear)))).alias("pii"))
+    df = _spans(df, text, least)
+    return df.select(*fields(df, ("pii",)), "pii")
+
+
+def _spans(df: DataFrame, text: str, least: float) -> DataFrame:
+    """row (df's columns), t (the text) and pii."""
+    df = rowed(df, t=text_or_empty(df[text]))
+    df = df.withColumn("b", F.array_sort(F.flatten(F.array(*[_found(F.col("t"), k) for k in BASE]))))
+    more = reduce(F.concat, [_found(F.col("t"), k) for k in KINDS if k not in BASE])
+    df = df.withColumn("m", F.filter(more, lambda s: s["score"] >= least))
+    clear = F.filter("m", lambda s: ~F.exists("b", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    return df.select("row", "t", computed(F.when(F.size("m") == 0, F.col("b")).otherwise(F.array_sort(F.concat("b", clear)))).alias("pii"))
 
 
 def listed(spans: Column) -> Column:
@@ -116,12 +121,11 @@ def listed(spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     """df with each span of its text replaced by the kind in angle brackets; overlapping spans are replaced together,
-    under the first one's kind. Null text stays null."""
-    columns = df.columns
-    df = find(df.drop(*[c for c in columns if c.lower() == "pii"]), text, least)
-    df = df.withColumn("p_e", F.transform("pii", lambda s: s["end"]))
-    df = df.withColumn("p_f", F.transform("pii", lambda s, i: F.when(i > 0, F.array_max(F.slice("p_e", 1, i))).otherwise(F.lit(0))))
-    t = F.col(text).cast("string")
-    parts = F.zip_with("pii", "p_f", lambda s, f: F.when(s["start"] >= f, F.concat(F.substr(t, f + 1, s["start"] - f), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(F.lit("")))
-    new = F.when(F.size("pii") > 0, F.concat(F.array_join(parts, ""), F.substr(t, F.array_max("p_e") + 1))).otherwise(t)
-    return df.select(*[new.alias(c) if c == text else F.col(c) for c in columns if c in df.columns])
+    under the first one's kind. Null text stays null; all other columns stay as they are, whatever their names."""
+    df = _spans(df, text, least)
+    df = df.withColumn("e", F.transform("pii", lambda s: s["end"]))
+    df = df.withColumn("f", F.transform("pii", lambda s, i: F.when(i > 0, F.array_max(F.slice("e", 1, i))).otherwise(F.lit(0))))
+    t = F.col("row").getField(text).cast("string")
+    parts = F.zip_with("pii", "f", lambda s, f: F.when(s["start"] >= f, F.concat(F.substr(t, f + 1, s["start"] - f), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(F.lit("")))
+    new = F.when(F.size("pii") > 0, F.concat(F.array_join(parts, ""), F.substr(t, F.array_max("e") + 1))).otherwise(t)
+    return df.select(*[new.alias(f.name) if f.name.lower() == text.lower() else F.col("row").getField(f.name).alias(f.name) for f in df.schema["row"].dataType])

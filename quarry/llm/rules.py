@@ -5,8 +5,10 @@ documents (those with the smallest hash of their id, so any run picks the same o
 rows are all that reaches the driver. Applying a list is one `CASE WHEN` per row, without a shuffle.
 
 Defined cases: null or empty text has no words and fails the base rule; a null, conflicting or repeated label counts
-once per id, as bad if any says so; without labels of both kinds the list is empty and only the base rule rejects;
-input columns that share a name with an output column give way to it.
+once per id, as bad if any says so; without labels of both kinds the list is empty and only the base rule rejects; an empty
+table gives no rows; repeated rows each get the same verdict; of thresholds that gain the same the first feature's lowest is
+taken, and a row at a threshold counts as above it; a very long text is one row like any other, its windows sorted only where
+one occurs twice; input columns that share a name with an output column of judge() give way to it, kept() leaves all as they are.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE_CHARS, computed, text_or_empty, words
+from quarry.llm.common import SPACE_CHARS, computed, fields, rowed, text_or_empty, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 FIT_ROWS = 8192
+OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
 FEATURES = ("log_words", "word_length", "symbols", "bars", "bangs", "capitals", "digits", "duplicate_lines", "repeated_words", "distinct_words")
 
 
@@ -34,42 +37,41 @@ def _one(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def with_stats(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df's columns `keep` (all if None, but for clashes) and a struct `q_`: the base statistics and, as `q_.f`, the features."""
-    keep = [c for c in (keep if keep is not None else df.columns) if not c.startswith("q_")]
-    df = df.select(*[df[c] for c in keep], text_or_empty(df[text]).alias("q_t"))
-    df = df.withColumn("q_w", words(F.col("q_t")))
-    df = df.withColumn("q_l", F.filter(F.split("q_t", "\n", -1), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0))
-    df = df.withColumn("q_g", F.transform("q_w", lambda w: F.xxhash64(w)))
-    df = df.withColumn("q_h", F.when(F.size("q_g") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("q_g") - WINDOW), lambda i: F.xxhash64(*[F.get("q_g", i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")))
+def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
+    """row (df's columns) and a struct `q`: the base statistics and, as `q.f`, the features."""
+    df = rowed(df, t=text_or_empty(df[text]))
+    df = df.withColumn("w", words(F.col("t")))
+    df = df.withColumn("l", F.filter(F.split("t", "\n", -1), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0))
+    df = df.withColumn("g", F.transform("w", lambda w: F.xxhash64(w)))
+    df = df.withColumn("h", F.when(F.size("g") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("g") - WINDOW), lambda i: F.xxhash64(*[F.get("g", i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")))
     # Only a text in which some window occurs twice has its windows sorted.
-    df = df.withColumn("q_s", F.when(F.size(F.array_distinct("q_h")) < F.size("q_h"), F.array_sort(F.transform("q_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    twice = F.filter("q_s", lambda x, i: x["h"].eqNullSafe(F.get("q_s", i - 1)["h"]) | x["h"].eqNullSafe(F.get("q_s", i + 1)["h"]))
-    df = df.withColumn("q_p", F.array_sort(F.transform(twice, lambda x: x["i"])))
+    df = df.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    twice = F.filter("s", lambda x, i: x["h"].eqNullSafe(F.get("s", i - 1)["h"]) | x["h"].eqNullSafe(F.get("s", i + 1)["h"]))
+    df = df.withColumn("p", F.array_sort(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(
-        "q_p",
+        "p",
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("bigint").alias("n")),
         lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n")),
         lambda a: a["n"],
     )
     df = df.select(
-        *keep, "q_t", F.size("q_w").cast("bigint").alias("q_n"), F.length(F.translate("q_t", SPACE_CHARS, "")).cast("bigint").alias("q_c"), _count(F.col("q_t"), SYMBOLS).cast("bigint").alias("q_y"),
-        (F.size("q_l") - F.size(F.array_distinct("q_l"))).cast("bigint").alias("q_d"), F.size("q_l").alias("q_k"), covered.alias("q_r"), F.size(F.array_distinct("q_g")).alias("q_u"),
+        "row", "t", F.size("w").cast("bigint").alias("n"), F.length(F.translate("t", SPACE_CHARS, "")).cast("bigint").alias("c"), _count(F.col("t"), SYMBOLS).cast("bigint").alias("y"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("d"), F.size("l").alias("k"), covered.alias("r"), F.size(F.array_distinct("g")).alias("u"),
     )
-    n, chars = F.greatest(F.lit(1.0), F.col("q_n")), F.greatest(F.lit(1.0), F.col("q_c"))
+    n, chars = F.greatest(F.lit(1.0), F.col("n")), F.greatest(F.lit(1.0), F.col("c"))
     features = {
         "log_words": F.log(n),
-        "word_length": F.col("q_c") / n,
-        "symbols": F.col("q_y") / chars,
-        "bars": _one(F.col("q_t"), "|") / n,
-        "bangs": _one(F.col("q_t"), "!") / n,
-        "capitals": F.length(F.regexp_replace("q_t", r"[^A-ZÀ-ÖØ-Þ]+", "")) / chars,
-        "digits": F.length(F.regexp_replace("q_t", "[^0-9]+", "")) / chars,
-        "duplicate_lines": F.col("q_d") / F.greatest(F.lit(1.0), F.col("q_k")),
-        "repeated_words": F.col("q_r") / n,
-        "distinct_words": F.col("q_u") / n,
+        "word_length": F.col("c") / n,
+        "symbols": F.col("y") / chars,
+        "bars": _one(F.col("t"), "|") / n,
+        "bangs": _one(F.col("t"), "!") / n,
+        "capitals": F.length(F.regexp_replace("t", r"[^A-ZÀ-ÖØ-Þ]+", "")) / chars,
+        "digits": F.length(F.regexp_replace("t", "[^0-9]+", "")) / chars,
+        "duplicate_lines": F.col("d") / F.greatest(F.lit(1.0), F.col("k")),
+        "repeated_words": F.col("r") / n,
+        "distinct_words": F.col("u") / n,
     }
-    return df.select(*keep, computed(F.struct(F.col("q_n").alias("n_words"), F.col("q_c").alias("word_chars"), F.col("q_y").alias("n_symbols"), F.col("q_d").alias("n_dup_lines"), F.col("q_r").alias("n_repeat_words"), F.struct(*[v.cast("double").alias(k) for k, v in features.items()]).alias("f"))).alias("q_"))
+    return df.select("row", computed(F.struct(F.col("n").alias("n_words"), F.col("c").alias("word_chars"), F.col("y").alias("n_symbols"), F.col("d").alias("n_dup_lines"), F.col("r").alias("n_repeat_words"), F.struct(*[v.cast("double").alias(k) for k, v in features.items()]).alias("f"))).alias("q"))
 
 
 @dataclass(frozen=True)
@@ -96,7 +98,7 @@ class DecisionList:
 
     rules: tuple[tuple[Condition, ...], ...] = ()
 
-    def column(self, at: str = "q_.f") -> Column:
+    def column(self, at: str = "q.f") -> Column:
         """The number, from 1, of the first rule that covers the row; 0 if none does."""
         out = None
         for i, rule in enumerate(self.rules, 1):
@@ -169,17 +171,24 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> De
     one = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(one), "doc_id")  # at most fit_rows rows of two numbers
-    rows = with_stats(texts, keep=["doc_id", "quality"]).groupBy("doc_id").agg(F.min(F.struct("q_.f", "quality")).alias("x")).select("doc_id", "x.f", "x.quality").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = with_stats(texts).groupBy("row.doc_id").agg(F.min(F.struct("q.f", "row.quality")).alias("x")).select("doc_id", "x.f", "x.quality").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     if not rows:
         return DecisionList()
     return learn(np.array([list(r["f"]) for r in rows], float), np.array([r["quality"] == 0 for r in rows]))
 
 
+def _judged(documents: DataFrame, rules: DecisionList) -> DataFrame:
+    """row, q, base (whether the base rule rejects) and rule (the number of the rule that does, or 0)."""
+    base = (F.col("q.n_words") < 10) | (F.col("q.n_repeat_words") * 100 > F.col("q.n_words") * 20)
+    return with_stats(documents).select("row", "q", base.alias("base"), rules.column().alias("rule"))
+
+
 def judge(documents: DataFrame, rules: DecisionList) -> DataFrame:
     """documents' columns, and the base statistics, base_failed, rule (the number of the rule that rejects, or 0) and kept."""
-    out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
-    df = with_stats(documents, keep=[c for c in documents.columns if c.lower() not in out])
-    base = (F.col("q_.n_words") < 10) | (F.col("q_.n_repeat_words") * 100 > F.col("q_.n_words") * 20)
-    rest = [c for c in df.columns if c != "q_"]
-    df = df.withColumn("q_rule", rules.column())
-    return df.select(*rest, *[F.col(f"q_.{c}").alias(c) for c in out[:5]], base.alias("base_failed"), F.col("q_rule").alias("rule"), (~base & (F.col("q_rule") == 0)).alias("kept"))
+    df = _judged(documents, rules)
+    return df.select(*fields(df, OUT), *[F.col(f"q.{c}").alias(c) for c in OUT[:5]], F.col("base").alias("base_failed"), "rule", (~F.col("base") & (F.col("rule") == 0)).alias("kept"))
+
+
+def kept(documents: DataFrame, rules: DecisionList) -> DataFrame:
+    """The documents that judge() keeps, with their own columns, whatever those are called."""
+    return _judged(documents, rules).where("not base and rule = 0").select("row.*")

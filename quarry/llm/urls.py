@@ -10,8 +10,10 @@ DataFrame expressions only. What is joined to the pages is one row for each labe
 broadcasts it only while it measures below spark.sql.autoBroadcastJoinThreshold and else splits hot hosts (AQE).
 
 Defined cases: a null url or one without :// has an empty host and path; the empty host is one host of its own; outcomes
-with a null id or label don't count, repeated ones all do; without outcomes the method allows; input columns that share a
-name with an output column give way to it.
+with a null id or label don't count, repeated ones all do; without outcomes the method allows; repeated pages each get the
+same verdict; of rules of one length that fit, the one first by code point wins; a bound that equals the floor allows; an
+empty table gives no rows; a very long url is matched whole, in linear time; input columns that share a name with an output
+column give way to it, all others stay.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, stored
+from quarry.llm.common import ascii_lower, fields, rowed, stored
 
 #: verdict, host, path
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -88,13 +90,12 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, floor: float = FLOOR) -> DataFrame:
     """pages' columns and host, path, rule, verdict, reputation (the posterior mean that decided, or null)."""
-    keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "reputation") and not c.startswith("u_")]
     known = stored(reputations(pages.select("page_id", "url"), outcomes))  # four joins read it
-    df = pages.select(*[pages[c] for c in keep], host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
+    df = rowed(pages, host=host_of(pages["url"]), path=path_of(pages["url"]))
     for level, key in (("host", F.col("host")), ("domain", domain_of(F.col("host"))), ("suffix", suffix_of(F.col("host"))), ("all", F.lit(""))):
-        at = known.where(F.col("level") == level).select(F.col("name").alias(f"u_{level}"), F.struct("mean", "upper").alias(f"u_{level}_v"))
-        df = df.join(at, F.col(f"u_{level}") == key, "left")
+        at = known.where(F.col("level") == level).select(F.col("name").alias(f"{level}_n"), F.struct("mean", "upper").alias(f"{level}_v"))
+        df = df.join(at, F.col(f"{level}_n") == key, "left")
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    best = F.coalesce("u_host_v", "u_domain_v", "u_suffix_v", "u_all_v")
+    best = F.coalesce("host_v", "domain_v", "suffix_v", "all_v")
     own = F.when(best["upper"] < floor, "block").otherwise("allow")
-    return df.select(*keep, "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), best["mean"].alias("reputation"))
+    return df.select(*fields(df, ("host", "path", "rule", "verdict", "reputation")), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), best["mean"].alias("reputation"))
