@@ -1,20 +1,25 @@
 """Approximate nearest neighbours (7): inverted file, product-quantised residuals, asymmetric distances, exact reranking.
 
 Coarse centroids and codebooks are fitted on a sample of at most `FIT_ROWS` vectors (those with the smallest hash of their
-id, so reruns agree). Every vector is indexed: its cell and the codes of its residual. A query probes as many of the best
-cells as a held-out part of the sample needs for `RECALL` of its true neighbours; the rest of the index isn't read. In a
-probed cell, scores come from the query's table of inner products with the codebooks (asymmetric distances); the best
-`RERANK` of each block of a cell are scored exactly on the original vectors, and the best of all probed blocks are returned.
+id, so reruns agree). Every vector is indexed under its `SPILL` nearest cells, with the codes of its residual in each. A query
+probes as many of the best cells as queries held out of the fit need for `RECALL` of their true neighbours in the sample; the
+rest of the index isn't read for it, and nothing else is scored: the sample serves the fit only. In a probed cell, scores come
+from the query's table of inner products with the codebooks (asymmetric distances); the best `RERANK` of each block of a cell
+are scored exactly on the original vectors, and the best of all probed blocks are returned.
 
-A cell is dealt in blocks of at most about `VECTORS` vectors and `QUERIES` queries, so a cell that holds a third of all rows is
-spread like any other. A query carries the score of its k-th best in the sample: what is below can't be among its nearest,
-and isn't emitted. The sample, the codebooks and one count a cell are what reaches the driver and is broadcast: bounded by
-parameters, whatever the input.
+The best cells of a query are searched first (one in `FIRST` of those it probes); the k-th best score found there is the bound
+for the others, from which only what reaches it comes out. A cell is dealt in blocks of at most about `VECTORS` vectors and
+`QUERIES` queries, so a cell that holds a third of all rows is spread like any other. The sample, the codebooks and one count a
+cell are what reaches the driver and is broadcast: bounded by parameters, whatever the input.
+
+Vectors without any structure are the worst case of an inverted file: the neighbours of a query are spread over many cells.
+Entering each vector twice brings the share of cells that must be probed down by half for the same recall.
 
 Defined cases: vectors that are null, empty, zero, of another length than most of the sample, or hold a null or a
 non-finite component take no part, neither as queries nor as candidates, nor do rows with a null id; candidates with the
-query's own id are its own row; repeated candidates all count, repeated queries count once; ties go to the smaller id; an
-empty table gives no rows.
+query's own id are its own row; repeated candidates all count; a repeated query id counts once, with its least vector; ties go
+to the smaller id; an empty table gives no rows; long vectors only need a cell's block in memory; other columns than vec_id and
+embedding aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,13 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored
 
-FIT_ROWS, RECALL, RERANK = 8192, 0.97, 64
-VECTORS, QUERIES, MOST_CELLS = 4096, 1024, 4096
+FIT_ROWS, RECALL, RERANK, SPILL, FIRST = 32768, 0.94, 64, 2, 16
+VECTORS, QUERIES, MOST_CELLS = 4096, 1024, 8192
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -39,30 +45,42 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     c = x[r.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
         near = nearest(x, c)
-        sums, n = np.zeros_like(c), np.bincount(near, minlength=k)
-        np.add.at(sums, near, x)
+        order, n = np.argsort(near, kind="stable"), np.bincount(near, minlength=k)
+        sums = np.add.reduceat(x[order], np.minimum(np.cumsum(n) - n, len(x) - 1), axis=0)
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[r.randint(0, len(x), k)])
     return c
 
 
+def coarse(x: np.ndarray, k: int) -> np.ndarray:
+    """About k centroids; many of them in two levels, so that fitting takes k ** 1.5 steps instead of k ** 2."""
+    if k <= 512:
+        return kmeans(x, k)
+    top = kmeans(x, round(k**0.5))
+    near = nearest(x, top)
+    return np.concatenate([kmeans(x[near == i], max(1, round(k * int((near == i).sum()) / len(x)))) for i in range(len(top)) if (near == i).any()])
+
+
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = (c * c).sum(axis=1) / 2
     return np.concatenate([np.argmax(x[i : i + 4096] @ c.T - half, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
+def several(x: np.ndarray, c: np.ndarray, m: int) -> np.ndarray:
+    """rows x m: the m nearest centroids of each row, nearest first."""
+    half, m = (c * c).sum(axis=1) / 2, min(m, len(c))
+    return np.concatenate([np.argsort(half - x[i : i + 4096] @ c.T, axis=1, kind="stable")[:, :m] for i in range(0, len(x), 4096)]) if len(x) else np.zeros((0, m), np.int64)
+
+
 @dataclass
 class Index:
     centroids: np.ndarray  # cells x d
     books: np.ndarray  # parts x codes x d / parts
     probes: int
-    sample: np.ndarray
-    sample_ids: np.ndarray
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = nearest(x, self.centroids)
+    def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         parts, _, width = self.books.shape
         rest = (x - self.centroids[cell]).reshape(len(x), parts, width)
-        return cell, np.stack([nearest(np.ascontiguousarray(rest[:, m]), self.books[m]) for m in range(parts)], axis=1).astype(np.uint8)
+        return np.stack([nearest(np.ascontiguousarray(rest[:, m]), self.books[m]) for m in range(parts)], axis=1).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """queries x parts x codes: inner products of a query's parts with the codebooks."""
@@ -89,106 +107,118 @@ def valid(df: DataFrame) -> DataFrame:
 def fit(vectors: DataFrame, k: int, fit_rows: int = FIT_ROWS, recall: float = RECALL, parts: int | None = None) -> Index | None:
     """vectors: vec_id, v."""
     n = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toArrow()
-    rows = sample.column("v").to_pylist()
-    if not rows:
+    h = F.xxhash64("vec_id")
+    some = vectors.where(F.pmod(h, F.lit(max(1, n))) < 2 * fit_rows)  # so that few rows are sorted
+    sample = some.orderBy(h, "vec_id", "v").limit(fit_rows).toArrow()
+    rows = sample.column("v").combine_chunks()
+    if not len(rows):
         return None
-    width = int(np.bincount([len(r) for r in rows]).argmax())
-    ok = [i for i, r in enumerate(rows) if len(r) == width]
-    x, ids = np.array([rows[i] for i in ok], float), sample.column("vec_id").to_numpy()[ok]
-    cells = int(np.clip(round(n**0.5), 1, min(MOST_CELLS, max(1, len(x) // 8))))
-    c = kmeans(x, cells)
-    rest = x - c[nearest(x, c)]
+    long = pc.list_value_length(rows).to_numpy()
+    width = int(np.bincount(long).argmax())
+    x = rows.filter(pa.array(long == width)).flatten().to_numpy().reshape(-1, width)
+    ids = sample.column("vec_id").to_numpy()[long == width]
+    held = np.zeros(len(x), bool)
+    held[:: max(8, len(x) // 256)] = len(x) >= 16  # calibration queries; nothing is fitted on them
+    own = x[~held]
+    c = coarse(own, int(np.clip(round(6 * n**0.5), 1, min(MOST_CELLS, max(1, len(own) // 3)))))
+    rest = own - c[nearest(own, c)]
     parts = parts or next(p for p in (width // 4, width // 3, width // 2, width) if p and width % p == 0)
     w = width // parts
-    books = [kmeans(np.ascontiguousarray(rest[:, m * w : (m + 1) * w]), 256, 5) for m in range(parts)]
+    books = [kmeans(np.ascontiguousarray(rest[:8192, m * w : (m + 1) * w]), 256, 5) for m in range(parts)]
     codes = max(map(len, books))
     books = np.stack([np.concatenate([b, np.full((codes - len(b), w), 1e30)]) if len(b) < codes else b for b in books])
     # probes: how deep in their order of cells held-out queries find their true neighbours within the sample
-    q = x[:: max(1, len(x) // 256)][:256]
+    q, names = (x[held], ids[held]) if held.any() else (x, ids)
     s = q @ x.T
-    s[s >= (q * q).sum(axis=1)[:, None] * (1 - 1e-12)] = -np.inf
-    true = np.argsort(-s, axis=1)[:, : min(k, len(x))]
-    order = np.argsort(-(q @ c.T), axis=1, kind="stable")
-    depth = np.argsort(order, axis=1)
-    at = np.sort(np.take_along_axis(depth, nearest(x, c)[true], axis=1).ravel())
+    s[names[:, None] == ids] = -np.inf
+    true = np.argsort(-s, axis=1)[:, : min(k, max(1, len(x) - 1))]
+    depth = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)
+    homes = several(x, c, SPILL)
+    at = np.sort(np.stack([np.take_along_axis(depth, homes[:, j][true], axis=1) for j in range(homes.shape[1])]).min(axis=0).ravel())
     probes = int(at[min(len(at) - 1, int(np.ceil(recall * len(at))))]) + 1
-    return Index(c, books, min(len(c), probes), x, ids)
+    return Index(c, books, min(len(c), probes))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, fit_rows: int = FIT_ROWS, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each query, by inner product. Both frames: vec_id, embedding."""
     spark = vectors.sparkSession
-    vectors, queries = valid(vectors), valid(queries).dropDuplicates(["vec_id"])
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
+    vectors, queries = valid(vectors), valid(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     index = fit(vectors, k, fit_rows, recall)
     if index is None:
-        return spark.createDataFrame([], schema)
-    width, shared = index.centroids.shape[1], spark.sparkContext.broadcast(tuple(vars(index).values()))  # bounded by fit_rows and MOST_CELLS
-    matrix = lambda col: np.array(col.to_pylist(), float).reshape(len(col), width)
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    width, shared = index.centroids.shape[1], spark.sparkContext.broadcast(tuple(vars(index).values()))  # bounded by MOST_CELLS
+    matrix = lambda col: col.flatten().to_numpy().reshape(len(col), width)
+    raw = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
+    first = 1 + index.probes // FIRST
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = Index(*shared.value)
         for batch in batches:
             x = matrix(batch.column(1))
-            cell, codes = Index(*shared.value).encode(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["vec_id", "cell", "codes", "x"])
+            homes = several(x, ix.centroids, SPILL)
+            for j in range(homes.shape[1]):
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.full(len(x), j, np.int32)), pa.array(homes[:, j].astype(np.int32)), raw(ix.encode(x, homes[:, j])), raw(x)], ["vec_id", "h", "via", "cell", "codes", "x"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = Index(*shared.value)
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                q, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
-                cells, found, bound = ix.cells(q), [], np.full(len(q), -np.inf)
-                for i in range(len(q)):
-                    s = exact(ix.sample, q[i])
-                    s[ix.sample_ids == ids[i]] = -np.inf
-                    best = np.lexsort((ix.sample_ids, -s))[:k]
-                    best = best[np.isfinite(s[best])]
-                    found.append([{"vec_id": int(v), "score": float(x)} for v, x in zip(ix.sample_ids[best], s[best])])
-                    if len(best) == k:
-                        bound[i] = s[best[-1]]
-                raw = [r.tobytes() for r in q]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cells.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(bound), pa.array(raw, pa.binary()), pa.array(found, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))], ["query_id", "cells", "bound", "q", "found"])
+            for at in range(0, len(whole), 1024):
+                batch = whole.slice(at, 1024)
+                q = matrix(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ix.cells(q).astype(np.int32).tolist(), pa.list_(pa.int32())), raw(q)], ["query_id", "cells", "q"])
 
     fits = F.size("v") == width
-    coded = stored(vectors.where(fits).mapInArrow(encode, "vec_id bigint, cell int, codes binary, x binary"))
-    asked = stored(queries.where(fits).mapInArrow(probe, "query_id bigint, cells array<int>, bound double, q binary, found array<struct<vec_id:bigint,score:double>>"))
-    probed = asked.select("query_id", F.explode("cells").alias("cell"), "bound", "q")
-    # how many blocks each cell is dealt in, for vectors and for queries: one row a cell
-    counts = coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(probed.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "cell").select("cell", F.ceil(F.col("n") / VECTORS).cast("int").alias("vs"), F.ceil(F.col("m") / QUERIES).cast("int").alias("qs"))
-    counts = F.broadcast(stored(counts))  # MOST_CELLS rows at most
-    left = coded.join(counts, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("vs")).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), "vec_id", "codes", "x")
-    right = probed.join(counts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("vb"), F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int").alias("qb"), "query_id", "bound", "q")
+    coded = stored(vectors.where(fits).select("vec_id", "v", F.xxhash64("v").alias("h")).mapInArrow(encode, "vec_id bigint, h bigint, via int, cell int, codes binary, x binary"))
+    asked = stored(queries.where(fits).mapInArrow(probe, "query_id bigint, cells array<int>, q binary"))
+    sizes = stored(coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))  # MOST_CELLS rows at most
 
     def score(vs: pa.Table, qs: pa.Table) -> pa.Table:
         ix, out = Index(*shared.value), []
         if len(vs) and len(qs):
-            vs = vs.sort_by("vec_id")
-            ids, x = vs.column("vec_id").to_numpy(), np.frombuffer(b"".join(vs.column("x").to_pylist())).reshape(len(vs), width)
+            vs = vs.sort_by([("vec_id", "ascending"), ("h", "ascending")])
+            ids, h, via = (vs.column(c).to_numpy() for c in ("vec_id", "h", "via"))
+            x = np.frombuffer(b"".join(vs.column("x").to_pylist())).reshape(len(vs), width)
             codes = np.frombuffer(b"".join(vs.column("codes").to_pylist()), np.uint8).reshape(len(vs), -1)
             q, names, bound = np.frombuffer(b"".join(qs.column("q").to_pylist())).reshape(len(qs), width), qs.column("query_id").to_numpy(), qs.column("bound").to_numpy()
-            coarse = q @ ix.centroids[vs.column("cell")[0].as_py()]
+            far = q @ ix.centroids[vs.column("cell")[0].as_py()]
+            most = max(RERANK, k + 1)
             for at in range(0, len(q), 64):
                 table = ix.tables(q[at : at + 64]).astype(np.float32)
-                near = np.repeat(coarse[at : at + 64, None].astype(np.float32), len(ids), axis=1)
+                near = np.repeat(far[at : at + 64, None].astype(np.float32), len(ids), axis=1)
                 for m in range(codes.shape[1]):
                     near += table[:, m][:, codes[:, m]]
-                best = np.argsort(-near, axis=1, kind="stable")[:, : max(RERANK, k)]
+                near[names[at : at + 64, None] == ids] = -np.inf  # a query's own row
+                best = np.argpartition(-near, most - 1, axis=1)[:, :most] if len(ids) > most else np.repeat(np.arange(len(ids))[None], len(near), axis=0)
                 for i, b in enumerate(best, at):
-                    b = b[ids[b] != names[i]]
+                    b = np.sort(b[np.isfinite(near[i - at, b])])
                     s = exact(x[b], q[i])
+                    fine = s >= bound[i]
+                    b, s = b[fine], s[fine]
                     take = np.lexsort((ids[b], -s))[:k]
-                    take = take[s[take] >= bound[i]]
-                    out.append((np.full(len(take), names[i]), ids[b][take], s[take]))
-        cols = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(float))})
-
-    key = ["cell", "vb", "qb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, "query_id bigint, vec_id bigint, score double")
-    # the sample's best, scored when the bound was found, count too; what both found counts once
-    known = asked.select("query_id", F.explode("found").alias("f")).select("query_id", "f.vec_id", "f.score", F.lit(0).alias("a"), F.lit(1).alias("b"))
-    both = found.select("*", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(known).groupBy("query_id", "vec_id", "score").agg(F.greatest(F.sum("a"), F.sum("b")).alias("n"))
-    rows = both.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n").cast("int")))))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return rows.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+                    out.append((np.full(len(take), names[i]), ids[b][take], h[b][take], via[b][take], s[take]))
+        cols = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(5)]
+        return pa.table({n: pa.array(c.astype(t)) for n, c, t in zip(("query_id", "vec_id", "h", "via", "score"), cols, (np.int64, np.int64, np.int64, np.int32, float))})
+
+    def scanned(probed: DataFrame) -> DataFrame:
+        """query_id, vec_id, h, via, score: the best of each block of the cells asked for. probed: query_id, cell, bound, q."""
+        probed = stored(probed)
+        # how many blocks each cell is dealt in, for vectors and for queries: one row a cell
+        counts = sizes.join(probed.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "cell").select("cell", F.ceil(F.col("n") / VECTORS).cast("int").alias("vs"), F.ceil(F.col("m") / QUERIES).cast("int").alias("qs"))
+        counts = F.broadcast(stored(counts))  # MOST_CELLS rows at most
+        left = coded.join(counts, "cell").select("*", F.pmod(F.xxhash64("vec_id"), F.col("vs")).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"))
+        right = probed.join(counts, "cell").select("*", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("vb"), F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int").alias("qb"))
+        key, out = ["cell", "vb", "qb"], "query_id bigint, vec_id bigint, h bigint, via int, score double"
+        return left.select(*key, "vec_id", "h", "via", "codes", "x").groupBy(*key).cogroup(right.select(*key, "query_id", "bound", "q").groupBy(*key)).applyInArrow(score, out)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        """query_id, rank, vec_id, h, score: the k best; a vector found in several of its cells counts once, its copies each."""
+        same = ["query_id", "vec_id", "h", "score"]
+        rows = found.groupBy(*same, "via").agg(F.count(F.lit(1)).alias("n")).groupBy(*same).agg(F.max("n").alias("n"))
+        rows = rows.select(*same, F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n").cast("int")))))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return rows.select("query_id", rank.alias("rank"), "vec_id", "h", "score").where(F.col("rank") <= k)
+
+    known = stored(ranked(scanned(asked.select("query_id", F.explode(F.slice("cells", 1, first)).alias("cell"), F.lit(float("-inf")).alias("bound"), "q"))))
+    bounds = known.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    rest = asked.where(F.size("cells") > first).join(bounds, "query_id", "left").select("query_id", F.explode(F.slice("cells", first + 1, index.probes)).alias("cell"), F.coalesce("bound", F.lit(float("-inf"))).alias("bound"), "q")
+    return ranked(scanned(rest).unionByName(known.select("query_id", "vec_id", "h", F.lit(-1).alias("via"), "score"))).select("query_id", "rank", "vec_id", "score")
