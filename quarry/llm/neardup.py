@@ -7,21 +7,26 @@
    chunks: by the pigeonhole principle a pair within the radius differs in at most one position of some chunk. The
    allowed error is enumerated: a chunk of n positions gives n keys, each with one position left out. So every pair
    within the radius shares a key.
-3. Classes that share a key are linked in rounds, none of which pairs all members of a hot key. First each member is paired
-   with its key's smallest class only; the links that hold make components. Second, each class outside its key's largest
-   component is paired with one member of that, another one for each key. Then only keys whose members are still in several
-   components count, and only pairs from different components that share one of their rarest shingles, as linked sets must
-   (prefix filtering): small keys pair them, larger ones are cut into blocks of
-   `SIDE` classes, compared as matrices, so that only pairs within the radius come out, each under one key. Nothing is capped: a link between different texts is either confirmed or was superfluous, because its ends
-   were connected already.
+3. Classes that share a key are linked in rounds. First each member is paired with its key's smallest class only; the links
+   that hold make components. Second, each class outside its key's largest component is paired with one member of that,
+   another one for each key. Then only keys whose members are still in several components count, and in them only pairs from
+   different components that may be linked by how many of their rarest shingles they share: the prefix of each set, its
+   rarest shingles, bounds how large their intersection can be. Keys of up to `SMALL` classes are joined; larger ones are
+   cut into blocks of `SIDE` classes and compared as matrices inside a task, from which only pairs come out that are within
+   the radius and whose bound allows the link, each under one key. Pages of one template, alike but not linked, are
+   compared there, which takes time in the square of such a key, in blocks; but next to none of their pairs come out.
+   Nothing is capped: a link between different texts is either confirmed or was superfluous, because its ends were
+   connected already.
 4. Every pair within the radius is confirmed on the whole sets before it counts.
 
 Components are found by joining the smaller label over links and following labels (no more than about log n rounds), with
 each round's table in the shared folder.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and form components of their own;
-so do rows with a null id, whose component is null and which are kept. Rows that repeat an id are documents of their own:
-each is linked by its own text. An empty table gives no rows.
+so do rows with a null id, whose component is null and which groups() keeps; deduplicated() drops those whose set of shingles
+another row has. Rows that repeat an id are documents of their own: each is linked by its own text. Of ties the smaller id
+stays. Very long texts have their sets whole. An empty table gives no rows. Only doc_id and text are read; deduplicated()
+hands all columns on as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, worker_cache
+from quarry.llm.common import rowed, stored, stored_alone, worker_cache
 
 SLOTS = 64
 SMALL = 8
@@ -214,57 +219,90 @@ def _to_majority(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """id, n, prefix of the classes in rows that may have a link: the rarest shingles of each, rarest first, as many as a
-    class that lacks all of them couldn't be linked with it; null in the place of those that no other class has.
+    """id, n, prefix of the classes in rows that may have a link: the rarest shingles of each with their count, rarest first,
+    as many as a class that lacks all of them couldn't be linked with it; of those that no other class has, the number only
+    (`alone`), as they come first.
 
     Rarity is counted among these classes. A class all of whose prefix is its own has no link to any of them.
     """
     tokens = rows.select("id").distinct().join(sets, "id").select("id", F.explode("x").alias("t"))
     df = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     ranked = tokens.join(df, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r")).withColumn("n", F.size("r"))
-    first = F.slice("r", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    return ranked.select("id", "n", F.transform(first, lambda x: F.when(x["df"] > 1, x["t"])).alias("prefix")).where(F.exists("prefix", lambda t: t.isNotNull()))
+    first = ranked.select("id", "n", F.slice("r", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")).alias("r"))
+    shared = first.select("id", "n", F.size("r").alias("size"), F.filter("r", lambda x: x["df"] > 1).alias("prefix")).where(F.size("prefix") > 0)
+    return shared.select("id", "n", (F.col("size") - F.size("prefix")).alias("alone"), F.transform("prefix", lambda x: x["df"]).alias("df"), F.transform("prefix", lambda x: x["t"]).alias("prefix"))
+
+
+def may_link(left: np.ndarray, right: np.ndarray, alone: np.ndarray, size: np.ndarray, df: list[np.ndarray], prefix: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of the classes left and right may have the similarity, by their prefixes, as a matrix.
+
+    The order (count, shingle) is the same for all. Up to where the shorter of two prefixes ends, all their common shingles are
+    among those both hold; beyond it they can't share more than the smaller rest.
+    """
+    ends = np.cumsum([0, *map(len, prefix)])
+    flat, counts = np.concatenate(prefix), np.concatenate(df)
+    order = np.lexsort((flat, counts))
+    new = np.append(True, (np.diff(flat[order]) != 0) | (np.diff(counts[order]) != 0))
+    rank = np.empty(len(flat), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    rows = np.repeat(np.arange(len(prefix)), np.diff(ends))
+    held = np.bincount(rank) > 1  # others are in one prefix only
+    column = np.where(held[rank], (np.cumsum(held) - 1)[rank], -1)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(held.sum()), 8192):  # a block of shingles at a time
+        own = (column >= at) & (column < at + 8192)
+        block = np.zeros((len(prefix), 8192), np.float32)
+        block[rows[own], column[own] - at] = 1
+        both += block[left] @ block[right].T
+    last, full = rank[ends[1:] - 1], alone + np.diff(ends)
+
+    def rest(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """How many shingles of each of one lie beyond where its prefix or that of each of other ends."""
+        upto = np.stack([alone[x] + np.searchsorted(rank[ends[x] : ends[x + 1]], last[other], "right") for x in one])
+        return size[one][:, None] - np.where(last[one][:, None] <= last[other], full[one][:, None], upto)
+
+    most = both + np.minimum(rest(left, right), rest(right, left).T)
+    return most * (100 + percent) >= percent * (size[left][:, None] + size[right])
 
 
 def _apart(members: DataFrame, labels: DataFrame, sets: DataFrame, classes: DataFrame, percent: int, radius: int, slots: int) -> DataFrame:
     """Pairs within the radius that share a key, are in different components and may be linked: a, b, na, nb, far."""
     prefixes = stored(_prefixes(_split(members, labels), sets, percent))
     rows = _split(members.join(prefixes.select("id"), "id", "left_semi"), labels)
-    few = rows.where(F.col("members") <= SMALL).join(prefixes.select("id", F.filter("prefix", lambda t: t.isNotNull()).alias("p")), "id")
-    one, two = (few.select("key", F.col("id").alias(x), F.col("label").alias(f"l{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
-    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & F.arrays_overlap("pa", "pb")).select("a", "b")
+    few = rows.where(F.col("members") <= SMALL).join(prefixes.select("id", "n", (F.col("n") - F.col("alone") - F.size("prefix")).alias("rest"), "prefix"), "id")
+    one, two = (few.select("key", F.col("id").alias(x), F.col("label").alias(f"l{x}"), *[F.col(c).alias(c + x) for c in ("n", "rest", "prefix")]) for x in "ab")
+    most = F.size(F.array_intersect("prefixa", "prefixb")) + F.greatest("resta", "restb")
+    may = most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & may).select("a", "b")
     many = rows.where(F.col("members") > SMALL)
     if many.limit(1).count():
         n, cut = F.ceil(F.col("members") / SIDE).cast("int"), chunks_of(radius, slots)
         many = many.join(classes.select("id", "sig"), "id").join(prefixes, "id").withColumns({"cells": n, "cell": F.pmod(F.xxhash64("id"), n).cast("int")})
-        dealt = many.withColumn("w", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("key", "owner", "id", "label", "sig", "n", "prefix", "cell", F.least("cell", "w").alias("i"), F.greatest("cell", "w").alias("j"))
+        dealt = many.withColumn("w", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("key", "owner", "id", "label", "sig", "n", "alone", "df", "prefix", "cell", F.least("cell", "w").alias("i"), F.greatest("cell", "w").alias("j"))
 
         def compare(rows: pa.Table) -> pa.Table:
-            ids, label, cell, size = (rows.column(c).to_numpy() for c in ("id", "label", "cell", "n"))
+            ids, label, cell, size, alone = (rows.column(c).to_numpy() for c in ("id", "label", "cell", "n", "alone"))
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(len(ids), slots)
-            prefix = rows.column("prefix").to_pylist()
+            df, prefix = ([np.asarray(x.values) for x in rows.column(c)] for c in ("df", "prefix"))
             i, j, owner = (rows.column(c)[0].as_py() for c in ("i", "j", "owner"))
             chunk = next(c for c, (a, b) in enumerate(cut) if a <= owner < b)
             starts, first = [a for a, _ in cut], owner == cut[chunk][0]
             names, n = np.unique(label, return_counts=True)
             minor = label != names[np.argmax(n)]  # of two classes from different components at least one is
+            left, right = np.flatnonzero(cell == i), np.flatnonzero(cell == j)
+            may = may_link(left, right, alone, size, df, prefix, percent)
             found = []
-            for x in np.flatnonzero(cell == i):
-                right = np.flatnonzero((cell == j) & (label != label[x]) if minor[x] else (cell == j) & minor)
+            for x, may_x in zip(left, may):
+                to = right[may_x & (label[right] != label[x]) & (minor[x] | minor[right])]
                 if i == j:
-                    right = right[right > x]
-                unlike = sig[right] != sig[x]
+                    to = to[to > x]
+                if not len(to):
+                    continue
+                unlike = sig[to] != sig[x]
                 errors = np.add.reduceat(unlike, starts, axis=1, dtype=np.int16)
                 # a pair comes out under the first of its keys only
                 own = (np.argmax(errors <= 1, axis=1) == chunk) & np.where(errors[:, chunk] == 0, first, unlike[:, owner])
-                right = right[own & (errors.sum(axis=1) <= radius)]
-                place = {t: k for k, t in enumerate(prefix[x]) if t is not None} if len(right) else {}
-                for y in right:
-                    # linked sets share `least` shingles at least, so one that is among the first size - least + 1 of both
-                    least = -(-percent * int(size[x] + size[y]) // (100 + percent))
-                    end = size[x] - least
-                    if end >= 0 and any(place.get(t, len(place) + end + 1) <= end for t in prefix[y][: max(0, size[y] - least + 1)] if t is not None):
-                        found.append(sorted((ids[x], ids[y])))
+                found += [sorted((ids[x], y)) for y in ids[to[own & (errors.sum(axis=1) <= radius)]]]
             return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
         pairs = pairs.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint"))
@@ -298,19 +336,28 @@ def groups(documents: DataFrame, k: int = 5, percent: int = 80, slots: int = SLO
 
 def deduplicated(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents kept, one of each group, with documents' columns. Of rows that repeat an id and a text one is kept."""
-    found = stored(groups(documents, k, percent))
-    odd = stored(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("d_i")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("d_i"))
-    gone = stored(found.where("not kept").select(F.col("doc_id").alias("d_i")).unionByName(odd).distinct())
-    ids = documents.withColumn("d_k", F.col("doc_id").cast("bigint"))
-    rest = ids.join(gone, F.col("d_k") == F.col("d_i"), "left_anti").select(*documents.columns)
-    if not odd.limit(1).count():
-        return rest
-    # an id with several rows: its texts are told apart by their sets
-    lost = found.where("not kept").join(odd, F.col("doc_id") == F.col("d_i"), "left_semi").select(F.col("doc_id").alias("d_a"), F.col("cid").alias("d_c")).distinct()
-    some = ids.join(odd, F.col("d_k") == F.col("d_i"), "left_semi").select("*", _cid(k)(F.col("text").cast("string")).alias("d_s"))
-    some = stored(some.join(lost, (F.col("d_k") == F.col("d_a")) & (F.col("d_s") == F.col("d_c")), "left_anti"))
-    once = some.where("d_s is not null").dropDuplicates(["d_k", "d_s"])
-    return rest.unionByName(once.select(*documents.columns)).unionByName(some.where("d_s is null").select(*documents.columns))
+    spark = documents.sparkSession
+    found = stored_alone(spark, lambda: groups(documents, k, percent))
+    odd = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"))
+    gone = stored(found.where("not kept").select("doc_id").unionByName(odd).distinct())
+    ids = rowed(documents, doc_id=documents["doc_id"].cast("bigint"), text=documents["text"].cast("string"))
+    rest = ids.where("doc_id is not null").join(gone, "doc_id", "left_anti").select("row")
+    # rows without an id are told by their sets: one of those that no row with an id has
+    nameless = found.where("doc_id is null and cid is not null").limit(1).count()
+    without = ids.where("doc_id is null")
+    if nameless:
+        without = without.select("row", _cid(k)("text").alias("cid"))
+        bare = without.where("cid is not null").join(found.where("doc_id is not null").select("cid").distinct(), "cid", "left_anti").groupBy("cid").agg(F.first("row").alias("row"))
+        without = without.where("cid is null").select("row").unionByName(bare.select("row"))
+    rest = rest.unionByName(without.select("row"))
+    if odd.limit(1).count():
+        # an id with several rows: its texts are told apart by their sets
+        lost = found.where("not kept").join(odd, "doc_id", "left_semi").select("doc_id", "cid").distinct()
+        some = ids.join(odd, "doc_id", "left_semi").select("row", "doc_id", _cid(k)("text").alias("cid"))
+        some = stored(some.join(lost, ["doc_id", "cid"], "left_anti"))
+        once = some.where("cid is not null").groupBy("doc_id", "cid").agg(F.first("row").alias("row"))
+        rest = rest.unionByName(once.select("row")).unionByName(some.where("cid is null").select("row"))
+    return rest.select("row.*")
 
 
 def _cid(k: int):
