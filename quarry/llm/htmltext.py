@@ -3,7 +3,8 @@
 A page becomes a DOM; what is never main text by its element, role or class (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments) is set aside. A class or id doesn't set aside what holds the page's only article or main elements,
 or over half of the text that isn't links (for comments, adverts and notices nine tenths, of a page without other article),
-nor do listed words behind has-, no- or with-, or before -open or -closed.
+nor do listed words behind has-, no- or with-, or before -open or -closed; inside an article, words that may name parts of it
+(discussion, legal) don't count, and a form that holds the article is no form. If nothing else is left, names don't count.
 For every other node the density is its characters per
 tag, adjusted for links: a node whose text is mostly links scores low. A node's density sum is the sum of its children's
 densities. The threshold is the least density on the path from the body to the node with the largest density sum. From the
@@ -14,12 +15,16 @@ stand between two taken ones and aren't mostly links are taken with them, and so
 Text in a subtree is cut into blocks at block elements; white space inside a block becomes one space.
 
 Defined cases: null or empty html, and pages without text, give ''; tags that are not closed end as HTML says they do
-(p at the next block, li at the next li) or with their parent; cut-off markup at the end is dropped; a page without body
-or markup is one subtree. Each row is extracted by itself: repeated rows and repeated ids get the same text.
+(p at the next block, li at the next li) or with their parent; end tags without a start are ignored; cut-off markup at the end
+is dropped; a page without body or markup is one subtree; of nodes with one density sum the first is taken. A very long page
+takes time in proportion, however deep its elements are. Each row is extracted by itself: repeated rows and repeated ids get
+the same text; an empty table gives no rows. Input columns keep their names, but for the html's and one called text, which
+gives way to the output's.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import re
@@ -38,7 +43,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 #: An open element of the right ends when one of the left begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
-ASIDE = frozenset("nav footer aside form button dialog menu script style noscript template textarea head title svg math iframe object canvas select".split())
+ASIDE = frozenset("nav footer aside button dialog menu script style noscript template textarea head title svg math iframe object canvas select".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Whole words of class or id; fixed list.
 NAMES = frozenset(
@@ -48,15 +53,17 @@ NAMES = frozenset(
 )
 _WORD = re.compile(r"[a-z]+")
 #: Such names tell how a page is laid out (has-sidebar, no-sidebar, comments-open), not what a node holds.
-_WITHOUT = re.compile(r"(?<![a-z])(?:has|no|with|without)[-_]\S*|\S*[-_](?:open|closed|enabled|disabled)(?![a-z])")
+_WITHOUT = re.compile(r"(?<![a-z])(?:has|no|with|without)[-_]\S*|\S*[-_](?:open|closed|enabled|disabled)(?![a-z])|(?<![a-z])(?:article|chapter|entry|post|story)[-_]header(?![a-z])")
 #: Comments, adverts and notices may be longer than the text beside them.
 OTHERS = frozenset("comment comments disqus respond reply replies discussion ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription disclaimer legal copyright".split())
+#: Inside an article these may be names of its own parts.
+WEAK = frozenset("copyright disclaimer discussion legal pager rail search skip".split())
 MOST, NEARLY_ALL = 0.5, 0.9
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "aside", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "searched", "named", "plain", "open", "holds")
+    __slots__ = ("tag", "up", "items", "aside", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "searched", "named", "plain", "open", "holds", "own")
 
     def __init__(self, tag: str, up: Node | None, aside: bool, named: float = 0):
         self.tag, self.up, self.aside, self.named = tag, up, aside, named
@@ -64,17 +71,11 @@ class Node:
         self.searched = False
 
 
-def _set_aside(tag: str, attributes: str, up: Node) -> bool:
-    if tag in ASIDE:
+def _set_aside(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is never main text by its tag or role. inside: it lies in an article, main or section."""
+    if tag in ASIDE or tag == "header" and not inside:  # an article's own header holds its title
         return True
-    if tag == "header":
-        node = up  # an article's own header holds its title
-        while node:
-            if node.tag in ("article", "main", "section"):
-                return False
-            node = node.up
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "article", "main", "header"):
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
@@ -83,8 +84,11 @@ def _set_aside(tag: str, attributes: str, up: Node) -> bool:
     return False
 
 
-def _named(tag: str, attributes: str) -> float:
-    """The share of a page's text from which on a node isn't set aside by its class or id; 0 if they have no listed word."""
+def _named(tag: str, attributes: str, inside: bool) -> float:
+    """The share of a page's text from which on a node isn't set aside by its class or id; 0 if they have no listed word.
+    inside: it lies in an article or main element."""
+    if tag == "form":
+        return NEARLY_ALL
     if not attributes or tag in ("html", "body", "article", "main") or _heading(tag):
         return 0
     found: set[str] = set()
@@ -92,6 +96,8 @@ def _named(tag: str, attributes: str) -> float:
         if name.lower() in ("class", "id"):
             words = re.sub(r"([a-z])([A-Z])", r"\1-\2", a or b or c).lower()
             found.update(NAMES.intersection(_WORD.findall(_WITHOUT.sub(" ", words))))
+    if inside:
+        found -= WEAK
     return 0 if not found else MOST if found.isdisjoint(OTHERS) else NEARLY_ALL
 
 
@@ -99,11 +105,47 @@ def _heading(tag: str) -> bool:
     return tag in ("h1", "h2", "h3", "b", "strong", "em", "i", "span", "a", "code")
 
 
+class _Open:
+    """The open elements from the root down, with the places of each tag, so that none is searched for step by step."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at place and all in it."""
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCKS:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def begin(self, tag: str) -> None:
+        """Closes what a new element of this tag ends."""
+        if tag in ENDS:
+            least = self.last(WITHIN[tag])
+            found = [x[i] for t in ENDS[tag] if (x := self.at.get(t)) and (i := bisect.bisect_right(x, least)) < len(x)]
+            if found:
+                self.cut(min(found))
+        if tag in BLOCKS and self.blocks and self.nodes[self.blocks[-1]].tag == "p":
+            self.cut(self.blocks[-1])
+
+
 def parse(page: str) -> Node:
-    root = node = Node("", None, False)
+    root = Node("", None, False)
+    stack = _Open(root)
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
+        node = stack.nodes[-1]
         if not m:
             if (tail := page[at:]) and not re.match(r"<[A-Za-z/!?]", tail):
                 node.items.append(entities.unescape(tail))
@@ -114,37 +156,22 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            up = node
-            while up and up.tag != tag:
-                up = up.up
-            if up and up.up:
-                node = up.up
+            if stack.at.get(tag):
+                stack.cut(stack.at[tag][-1])
             continue
         if not page.endswith(">", m.start(), m.end()):
             break  # cut off inside a tag
-        if tag in BLOCKS or tag in ENDS:
-            up = node
-            if tag in ENDS:
-                stop, ends = WITHIN[tag], ENDS[tag]
-                while up and up.tag not in stop:
-                    if up.tag in ends:
-                        node = up.up
-                    up = up.up
-            if tag in BLOCKS:
-                up = node
-                while up and (up.tag == "p" or up.tag not in BLOCKS):
-                    if up.tag == "p":
-                        node = up.up
-                        break
-                    up = up.up
-        aside = _set_aside(tag, m[3] or "", node)
-        child = Node(tag, node, aside, 0 if aside else _named(tag, m[3] or ""))
+        stack.begin(tag)
+        node = stack.nodes[-1]
+        inside = stack.last(("article", "main")) > 0
+        aside = _set_aside(tag, m[3] or "", inside or stack.last(("section",)) > 0)
+        child = Node(tag, node, aside, 0 if aside else _named(tag, m[3] or "", inside))
         node.items.append(child)
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = page.find(">", end.start()) + 1 or n if end else n
         elif tag not in VOID and not (m[3] or "").endswith("/"):
-            node = child
+            stack.push(child)
     _by_name(root)
     return root
 
@@ -167,6 +194,10 @@ def _by_name(root: Node) -> None:
     for node in nodes:  # parents first; what lies in a node set aside is never looked at
         if node.named:
             node.aside = not (node.holds and not outside or node.plain > node.named * root.plain and not (outside and node.named == NEARLY_ALL))
+    if root.plain and not any(isinstance(x, str) and not x.isspace() for node in _nodes(root) for x in node.items):
+        for node in nodes:  # nothing else is left
+            if node.named and node.tag != "form":
+                node.aside = False
 
 
 def _nodes(root: Node) -> list[Node]:
@@ -188,6 +219,7 @@ def measure(nodes: list[Node]) -> None:
                 link = x.tag == "a"
                 link_chars, link_tags = link_chars + (x.chars if link else x.link_chars), link_tags + x.link_tags + link
         node.chars, node.tags, node.link_chars, node.link_tags = chars, tags, link_chars, link_tags
+        node.own = any(isinstance(x, str) and not x.isspace() for x in node.items)
     body = nodes[0]
     ratio = body.link_chars / max(1, body.chars)
     for node in reversed(nodes):
@@ -214,6 +246,7 @@ def main_nodes(root: Node) -> list[Node]:
         up = up.up
         least = min(least, up.density)
     taken: set[Node] = set()
+    tried: set[Node] = set()
     for node in nodes:  # parents first
         if node is not body and (node.up in taken or not node.searched or node.density < least or node.tag == "a"):
             node.searched = False
@@ -221,18 +254,18 @@ def main_nodes(root: Node) -> list[Node]:
                 taken.add(node)
             continue
         top = node.best[2]
-        while top is not node and top.tag not in ("article", "main") and any(isinstance(x, str) and not x.isspace() for x in top.up.items):
-            top = top.up  # inline markup belongs to its block
-        taken.add(top)
+        if top not in tried:
+            tried.add(top)
+            while top is not node and top.tag not in ("article", "main") and top.up.own:
+                top = top.up  # inline markup belongs to its block
+            taken.add(top)
         for x in node.items:
             if isinstance(x, Node):
                 x.searched = True
-    for node in list(taken):
-        up = node
-        while up.up:
-            up = up.up
-            if up.tag in ("article", "main"):
-                taken.add(up)
+    for node in reversed(nodes):
+        node.holds = node in taken or any(x.holds for x in node.items if isinstance(x, Node) and not x.aside)
+        if node.holds and node.tag in ("article", "main"):
+            taken.add(node)
     for node in nodes:
         if node is not body:
             rows = [x for x in node.items if isinstance(x, Node) and not x.aside]
@@ -293,7 +326,7 @@ def extract(page: str | None) -> str:
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages' columns without the html, and text."""
-    keep = [c for c in pages.columns if c not in (html, "text")]
+    keep = [F.col("`" + c.replace("`", "``") + "`") for c in pages.columns if c not in (html, "text")]
     schema = pages.select(*keep, F.col(html).cast("string").alias("text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
