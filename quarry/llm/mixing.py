@@ -4,15 +4,17 @@ Each source's target is its share, by weight, of all words, but no more than `mo
 the rest by weight. A source whose target is r times its size is taken floor(r) times whole, and its documents once more
 with probability r - floor(r). Those probabilities are moved by the cube method: within blocks of about `block` documents
 they walk through the null space of two constraints (words and documents) until at most two of a block are still
-fractional, besides `RESERVE` of all sizes that are held back. Those few are blocked and walked again, then all of a
-source together, and the last twelve land on the 0s and 1s that miss the source's words by least.
+fractional, besides `RESERVE` of all sizes that are held back. Those few are blocked and walked again, level by level, until
+one block of each source is left; there the last twelve land on the 0s and 1s that miss the source's words by least.
 
 Blocks are dealt by a hash of id and text, so no task holds more than a few blocks however large a source is; each level
-leaves about one in 85. The result depends on the rows alone, not on their partitions.
+leaves about one in 85, so 10 billion documents take five. The result depends on the rows alone, not on their partitions.
+One row a source, its sizes and target, goes through a single task; nothing else does.
 
 Defined cases: null or empty text has size 0 and takes 0; a null source is a source of its own, last in the order;
-repeated rows are separate documents; ties are broken by id and text hash; an empty table gives no rows; input columns
-that share a name with an output column give way to it.
+repeated rows are separate documents, also where their id is null, and may be taken a different number of times; ties are
+broken by id and text hash; an empty table gives no rows; a very long text counts its words like any other and may make its
+source miss its target by as much; extra columns aren't read by plan(), and mix() hands all of them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, text_or_empty, words
+from quarry.llm.common import rowed, stored, text_or_empty, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -106,42 +108,49 @@ def _level(df: DataFrame, last: bool) -> DataFrame:
 
 
 def _copies(rows: DataFrame, per: DataFrame, block: int) -> DataFrame:
-    """doc_id, h, size, source_no of rows with copies, the whole number of times each is taken."""
-    per = per.select("source_no", "n_docs", (F.try_divide("target", "source_size")).alias("r"))
+    """rows (source_no, size, doc_id, h and any others) with copies, the whole number of times each is taken."""
+    keep = rows.columns
+    per = per.select("source_no", (F.try_divide("target", "source_size")).alias("r"))
     df = rows.join(per, "source_no").withColumn("r", F.coalesce("r", F.lit(0.0)))
     whole = F.floor(F.col("r") + 1e-9)
     df = df.withColumns({"base": whole.cast("int"), "p": F.greatest(F.lit(0.0), F.col("r") - whole)}).drop("r")
-    salt = lambda n: F.pmod(F.xxhash64("h", "doc_id", F.lit("block")), F.greatest(F.lit(1), F.ceil(n / block))).cast("int")
-    df = df.withColumn("b", F.when(F.col("p") > 0, salt(F.col("n_docs"))).otherwise(F.lit(-1)))
     still = (F.col("p") > 0) & (F.col("p") < 1)
-    first = stored(_level(df.where("p > 0"), False))
-    second = stored(_level(first.where(still).withColumn("b", salt((RESERVE + 2) * F.col("n_docs") / block)), False))
-    third = _level(second.where(still).withColumn("b", F.lit(0)), True)
-    out = df.where("p = 0").unionByName(first.where(~still)).unionByName(second.where(~still)).unionByName(third)
-    return out.select("doc_id", "h", "size", "source_no", (F.col("base") + F.col("p").cast("int")).cast("int").alias("copies"))
+    out, left = df.where("p = 0"), df.where("p > 0")
+    while True:
+        counts = stored(left.groupBy("source_no").agg(F.count(F.lit(1)).alias("n")))  # a row a source
+        last = (counts.agg(F.max("n")).first()[0] or 0) <= block
+        blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block))
+        walked = stored(_level(left.join(counts, "source_no").withColumn("b", F.pmod(F.xxhash64("h", "doc_id", F.lit("block")), blocks).cast("int")).drop("n"), last))
+        out = out.unionByName(walked.drop("b") if last else walked.where(~still).drop("b"))
+        if last:
+            return out.select(*keep, (F.col("base") + F.col("p").cast("int")).cast("int").alias("copies"))
+        left = walked.where(still).drop("b")
+
+
+def _plan(sized: DataFrame, weights, most: float, block: int) -> DataFrame:
+    """sized's columns (source, size, doc_id, h and any others), source_size, target and copies."""
+    # a row a source, stored: Spark broadcasts it while it measures small, and splits hot sources in a join of two shuffles else
+    per = stored(targets(sized, weights, most).withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
+    rows = sized.join(per.select("source_no", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    return _copies(rows, per, block).join(per, "source_no").select(*sized.columns, "source_size", F.col("target").cast("double").alias("target"), "copies")
+
+
+def _sized(documents: DataFrame) -> dict:
+    text = documents["text"]
+    return {"doc_id": documents["doc_id"].cast("bigint"), "h": F.xxhash64(text.cast("string")), "source": documents["source"].cast("string"), "size": F.size(words(text)).cast("bigint")}
 
 
 def plan(documents: DataFrame, weights=WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """doc_id, h (hash of the text), source, size, source_size, target, copies and taken for every row of documents."""
-    sized = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("bigint").alias("size"))
-    sized = stored(sized)  # the words of each text are counted once
-    # a row a source, stored: Spark broadcasts it while it measures small, and splits hot sources in a join of two shuffles else
-    per = stored(targets(sized, weights, most).withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
-    rows = sized.join(per.select("source_no", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "h", "size", "source_no")
-    out = _copies(rows, per, block).join(per, "source_no")
-    return out.select("doc_id", "h", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
+    sized = stored(documents.select(*[c.alias(n) for n, c in _sized(documents).items()]))  # the words of each text are counted once
+    return _plan(sized, weights, most, block).withColumn("taken", (F.col("size") * F.col("copies")).cast("bigint"))
 
 
 def mix(documents: DataFrame, weights=WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """The mixed documents themselves, each as many times as it is taken, with documents' columns.
 
-    Rows that agree in id and text are told apart by number; they are the same document, so which is which doesn't matter.
+    The rows are stored with a number each, so that the plan finds every one of them again: no key of that join is shared.
     """
-    columns = documents.columns
-    taken = plan(documents, weights, most, block).select("doc_id", "h", "source", "copies")
-    same = Window.partitionBy("m_id", "m_h", "m_s")
-    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("m_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("m_s")]
-    left = documents.select("*", *key, F.xxhash64(F.col("text").cast("string")).alias("m_h")).withColumn("m_i", F.row_number().over(same.orderBy("m_h")))
-    right = taken.select(*key, F.col("h").alias("m_h"), "copies").withColumn("m_i", F.row_number().over(same.orderBy(F.desc("copies")))).where("copies > 0")
-    return left.join(right.withColumnRenamed("copies", "m_copies"), ["m_id", "m_h", "m_s", "m_i"]).withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*columns)
-
+    rows = stored(rowed(documents, no=F.monotonically_increasing_id(), **_sized(documents)))
+    taken = _plan(rows.drop("row"), weights, most, block).where("copies > 0").select("no", "copies")
+    return rows.select("no", "row").join(taken, "no").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
