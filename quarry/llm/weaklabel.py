@@ -4,13 +4,15 @@ Overlapping heuristic labellers vote bad, good or nothing on each document, from
 combination of votes occurs is counted over all documents (at most 3 ** labellers rows). Expectation-maximisation estimates
 from those counts, without any gold label, how accurate each labeller is for bad and for good documents, and gives each
 combination its posterior. The posteriors label a sample of at most `FIT_ROWS` documents (those with the smallest hash of
-their id), on which a linear scorer over hashed word shapes is trained. It scores every document.
+their id), on which a linear scorer over hashed word shapes and hashed words is trained. It scores every document.
 
 The texts are read once: votes and hashed features (a few dozen numbers a document) are kept in the shared folder.
 
 Defined cases: null and empty texts have no features and are scored by the labellers' posterior alone, as are all documents
-where the sample is empty; repeated rows get the same score; input columns that share a name with an output column give way
-to it; an empty table gives no rows.
+where the sample is empty; a null id takes no part in the sample; repeated rows get the same score; of rows with one id the
+sample takes them by votes, then features; a statistic that equals a labeller's bound is beyond it; a very long text is read
+whole, a row at a time; input columns that share a name with an output column give way to it, all others stay as they are;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, worker_cache
+from quarry.llm.common import fields, stored, worker_cache
 
-FIT_ROWS, SLOTS, KEEP = 4096, 2048, 0.5
+FIT_ROWS, SHAPES, SLOTS, KEEP = 4096, 2048, 4096, 0.5
 SYMBOLS = "#*$%&|<>"
 #: labeller: votes bad from here, votes good up to here (or the other way round where the first is smaller); None: never good
 LABELLERS: dict[str, tuple[float, float | None]] = {
@@ -97,7 +98,15 @@ class _Shapes(dict):
         if len(self) > 300_000:
             self.clear()
         shape = _UPPER.sub("A", _LOWER.sub("a", _DIGIT.sub("9", word)))
-        s = self[word] = xxhash.xxh3_64_intdigest(re.sub(r"(.)\1+", r"\1", shape).encode("utf-8", "surrogatepass")) % (SLOTS - 64)
+        s = self[word] = xxhash.xxh3_64_intdigest(re.sub(r"(.)\1+", r"\1", shape).encode("utf-8", "surrogatepass")) % (SHAPES - 64)
+        return s
+
+
+class _Words(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        s = self[word] = SHAPES + xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass")) % (SLOTS - SHAPES)
         return s
 
 
@@ -109,12 +118,12 @@ class _Plain(dict):
         return p
 
 
-def features(words: list[str], values: tuple[float, ...], shapes: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values: shares of the hashed word shapes, and in the last slots three statistics."""
+def features(words: list[str], values: tuple[float, ...], shapes: dict, own: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values: shares of the hashed word shapes and of the hashed words, and between them three statistics."""
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    slots, n = np.unique([shapes[w] for w in words], return_counts=True)
-    return np.concatenate([slots, [SLOTS - 3 - min(20, len(words).bit_length()), SLOTS - 2, SLOTS - 1]]).astype("<i4"), np.concatenate([n / len(words), [0.2, 1 - values[5], values[4]]]).astype("<f4")
+    slots, n = np.unique([*(shapes[w] for w in words), *(own[w] for w in words)], return_counts=True)
+    return np.concatenate([slots, [SHAPES - 3 - min(20, len(words).bit_length()), SHAPES - 2, SHAPES - 1]]).astype("<i4"), np.concatenate([n / len(words), [0.2, 1 - values[5], values[4]]]).astype("<f4")
 
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 4.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -133,43 +142,42 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 4.0, de
 def classified(documents: DataFrame, carry: list[str] | None = None, fit_rows: int = FIT_ROWS, keep: float = KEEP) -> DataFrame:
     """The columns `carry` of documents (all if None) and votes, posterior (of bad, by the labellers), score (of good, by the
     scorer) and kept."""
-    names = [c for c in carry or documents.columns if c.lower() not in ("votes", "posterior", "score", "kept") and not c.startswith("w_")]
-    rows = documents.select(*names, F.xxhash64(F.col("doc_id").cast("bigint")).alias("w_h"), F.col("doc_id").cast("bigint").alias("w_id"), F.col("text").cast("string").alias("w_t"))
-    schema = rows.select(*names, "w_h", "w_id", F.col("w_t").alias("votes"), F.lit(b"").alias("w_s"), F.lit(b"").alias("w_v")).schema
+    doc, text = documents["doc_id"].cast("bigint"), documents["text"].cast("string")
+    rows = documents.select(F.struct(*(carry or ["*"])).alias("row"), F.xxhash64(doc).alias("h"), doc.alias("id"), text.alias("t"))
+    schema = rows.select("row", "h", "id", F.col("t").alias("votes"), F.lit(b"").alias("s"), F.lit(b"").alias("v")).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes, plain = worker_cache("shapes").setdefault("s", _Shapes()), worker_cache("plain").setdefault("p", _Plain())
+        shapes, own, plain = (worker_cache("words").setdefault(k.__name__, k()) for k in (_Shapes, _Words, _Plain))
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch, out = whole.slice(at, 256), []
-                for text in batch.column(len(names) + 2):
+                for text in batch.column(3):
                     text = text.as_py() or ""
                     words = text.split()
                     values = statistics(text, words, plain)
-                    out.append((votes(values), *(x.tobytes() for x in features(words, values, shapes))))
+                    out.append((votes(values), *(x.tobytes() for x in features(words, values, shapes, own))))
                 more = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], schema.names)
 
     seen = stored(rows.mapInArrow(read, schema))
     counts = {r["votes"]: r["n"] for r in seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}  # 3 ** labellers rows at most
     posterior = estimate(counts)[0] if counts else {}
-    some = seen.where("w_id is not null").select("w_h", "w_id", "votes", "w_s", "w_v").orderBy("w_h", "w_id", "votes", "w_s").limit(fit_rows).toArrow()
+    some = seen.where("id is not null").select("h", "id", "votes", "s", "v").orderBy("h", "id", "votes", "s", "v").limit(fit_rows).toArrow()
     x, y = np.zeros((len(some), SLOTS), np.float32), np.array([posterior[v] for v in some.column("votes").to_pylist()], np.float32)
-    for i, (s, v) in enumerate(zip(some.column("w_s").to_pylist(), some.column("w_v").to_pylist())):
+    for i, (s, v) in enumerate(zip(some.column("s").to_pylist(), some.column("v").to_pylist())):
         x[i, np.frombuffer(s, "<i4")] = np.frombuffer(v, "<f4")
     w, b = train(x, y) if len(y) else (np.zeros(SLOTS, np.float32), 0.0)
     model = documents.sparkSession.sparkContext.broadcast((w, b, posterior))
 
-    @F.arrow_udf("double")
-    def good(slots: pa.Array, shares: pa.Array, votes: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<posterior:double,score:double>")
+    def judged(slots: pa.Array, shares: pa.Array, votes: pa.Array) -> pa.Array:
         w, b, posterior = model.value
         out = []
         for s, v, p in zip(slots.to_pylist(), shares.to_pylist(), votes.to_pylist()):
-            p = posterior.get(p, 0.5) + 1e-9
-            z = float(w[np.frombuffer(s, "<i4")].astype(float) @ np.frombuffer(v, "<f4").astype(float)) + b if s and w.any() else math.log(p / (1 - min(p, 1 - 1e-9)))
-            out.append(1 / (1 + math.exp(min(30.0, max(-30.0, z)))))
-        return pa.array(out, pa.float64())
-
-    known = reduce(lambda a, kv: a.when(F.col("votes") == kv[0], kv[1]), sorted(posterior.items()), F.when(F.lit(False), 0.0))
-    judged = seen.select(*names, "votes", known.alias("posterior"), good("w_s", "w_v", "votes").alias("score"))
-    return judged.select(*names, "votes", "posterior", "score", (F.col("score") >= keep).alias("kept"))
+            p = posterior[p]
+            z = float(w[np.frombuffer(s, "<i4")].astype(float) @ np.frombuffer(v, "<f4").astype(float)) + b if s and w.any() else math.log(max(p, 1e-9) / max(1 - p, 1e-9))
+            out.append({"posterior": p, "score": 1 / (1 + math.exp(min(30.0, max(-30.0, z))))})
+        return pa.array(out, pa.struct([("posterior", pa.float64()), ("score", pa.float64())]))
+
+    out = seen.select("row", "votes", judged("s", "v", "votes").alias("j"))
+    return out.select(*fields(out, ("votes", "posterior", "score", "kept")), "votes", "j.posterior", "j.score", (F.col("j.score") >= keep).alias("kept"))
