@@ -14,7 +14,8 @@ than a window of token ids, a checksum per whole window and the counts of its di
 with the corpus.
 
 Defined cases: null text is empty and has the end id only; repeated rows are separate documents; ties between neighbours
-go to the smaller doc_id, then the smaller text hash; an empty table gives no rows; extra columns are ignored.
+go to the smaller doc_id, then the smaller text hash; a null id comes last; a very long text is tokenized whole and fills
+windows of its own; an empty table gives no rows; columns but doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -167,6 +168,15 @@ def read_texts(texts: list[str], encoder: Encoder) -> tuple[list[np.ndarray], li
     return ids, [term[a:b] for a, b in zip(at, at[1:])], [count[a:b] for a, b in zip(at, at[1:])]
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Two bytes a count; four, after one byte more, where a count needs them."""
+    return counts.astype("<u2").tobytes() if not len(counts) or counts.max() < 65536 else b"\1" + counts.astype("<u4").tobytes()
+
+
+def counts_of(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<u2") if len(b) % 2 == 0 else np.frombuffer(b[1:], "<u4")
+
+
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """batch in parts of about _BATCH_BYTES of text, or of one row."""
     size, at = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(column)]), 0
@@ -186,7 +196,7 @@ def corpus_statistics(read: DataFrame) -> tuple[int, float, np.ndarray]:
         df, n, total = np.zeros(TERMS, np.int64), 0, 0
         for batch in batches:
             df += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i4"), minlength=TERMS)
-            n, total = n + len(batch), total + int(np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").sum(dtype=np.int64))
+            n, total = n + len(batch), total + sum(int(counts_of(b).sum(dtype=np.int64)) for b in batch.column(1).to_pylist())
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *seen], pa.int32()), pa.array([n, total, *df[seen]], pa.int64())], ["t", "n"])
 
@@ -352,7 +362,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, end: int = 0, windo
                     tail = ids[window * full :]
                     rest.append(tail.astype("<u2").tobytes() if not len(tail) or tail.max() < 65536 else b"\1" + tail.tobytes())
                     found.append(t.astype("<i4").tobytes())
-                    counts.append(np.minimum(c, 65535).astype("<u2").tobytes())
+                    counts.append(packed_counts(c))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (crcs, rest, found, counts))], ["doc_id", "h", "n", "crcs", "rest", "terms", "counts"])
 
     h = F.xxhash64(F.col("text").cast("string"))
@@ -363,7 +373,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, end: int = 0, windo
 
     def sketched(batch: pa.RecordBatch) -> np.ndarray:
         t, c = batch.column("terms").to_pylist(), batch.column("counts").to_pylist()
-        return sketches([np.frombuffer(b, "<i4") for b in t], [np.frombuffer(b, "<u2") for b in c], idf.value, mean)
+        return sketches([np.frombuffer(b, "<i4") for b in t], [counts_of(b) for b in c], idf.value, mean)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -393,7 +403,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, end: int = 0, windo
             for j, crc in enumerate(np.frombuffer(crcs, "<u4").tolist()):
                 out.append((col["doc_id"][i], col["h"][i], j * window, window, crc, col["n"][i], base + no, 0))
                 no += 1
-        index = ShardIndex([np.frombuffer(b, "<i4") for b in col["terms"]], [np.frombuffer(b, "<u2") for b in col["counts"]], idf.value, mean)
+        index = ShardIndex([np.frombuffer(b, "<i4") for b in col["terms"]], [counts_of(b) for b in col["counts"]], idf.value, mean)
         for pieces in pack_shard([len(r) for r in rest], index, window):
             offset = 0
             for i, o, n in pieces:
