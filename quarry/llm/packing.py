@@ -3,7 +3,7 @@
 A document's token ids fill whole windows of its own as far as they go; what remains of it (less than a window) is packed
 with the remains of other documents. The documents are dealt by lexical closeness into shards of about `shard` documents:
 each has a sketch of its BM25 weights, and a tree of median cuts, fitted on at most `SAMPLE` sketches, tells the shard; a
-leaf of over one and a half shards is cut by a hash. A seed sees the documents of its own shard only: comparing it with all
+leaf that holds over one and a half shards by its share of the sample is cut by a hash. A seed sees the documents of its own shard only: comparing it with all
 others would take time in the square of the corpus. Each shard builds a BM25 inverted index of its documents' words; the seed of a window is the first document with tokens left, and the
 index returns its unused neighbours, best first, which fill the window greedily. A neighbour that doesn't fit is cut, and
 its rest starts the next window. What is left at a shard's end is cut into sequences of powers of two, so nothing is padded.
@@ -36,8 +36,10 @@ WINDOW = 1024
 SHARD = 2048
 #: Length of a sketch, sketches the tree is fitted on, least number of them in a leaf.
 SKETCH, SAMPLE, LEAF = 128, 16384, 16
-TERMS = 2**18
+TERMS = 2**20
 K1, B = 1.2, 0.75
+#: So many neighbours are sorted before all others.
+NEAREST = 24
 #: Texts whose words aren't parted by one space or line end each, or that may hold a special token, are tokenized whole.
 _WHOLE = r"[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]\z|<\||\x00"
 _BATCH_BYTES = 6_000_000
@@ -279,13 +281,28 @@ class ShardIndex:
 
     def neighbours(self, seed: int) -> np.ndarray:
         """All documents of the shard by their score for the seed's words, best first; ties by number."""
+        return np.argsort(-self.scores(seed), kind="stable")
+
+    def unused(self, seed: int, free: np.ndarray) -> Iterator[int]:
+        """The documents marked free, in the order of neighbours(): the first few are sorted, the rest only if they are asked for."""
+        score = np.where(free, self.scores(seed), -1.0)
+        first = np.zeros(0, np.int64)
+        if self.n > 4 * NEAREST:
+            first = np.flatnonzero(score > np.partition(score, -NEAREST)[-NEAREST])
+            first = first[np.argsort(-score[first], kind="stable")]
+            yield from first.tolist()
+            score[first] = -1.0
+        rest = np.flatnonzero(score >= 0)
+        yield from rest[np.argsort(-score[rest], kind="stable")].tolist()
+
+    def scores(self, seed: int) -> np.ndarray:
         rows = self.at[self.first[seed] : self.first[seed + 1]]
         starts, sizes = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
         total = int(sizes.sum())
         if not total:
-            return np.arange(self.n)
+            return np.zeros(self.n)
         postings = np.arange(total) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        return np.argsort(-np.bincount(self.doc[postings], self.weight[postings], self.n), kind="stable")
+        return np.bincount(self.doc[postings], self.weight[postings], self.n)
 
     def keep(self, free: np.ndarray) -> None:
         """Drops the postings of all other documents."""
@@ -321,8 +338,7 @@ def pack_shard(left: list[int], index: ShardIndex | None, window: int = WINDOW)
             if index and (n := int(free.sum())) * 4 < live * 3:
                 live = n
                 index.keep(free)
-            near = index.neighbours(start) if index else np.arange(len(left))
-            for i in near[free[near]].tolist():
+            for i in index.unused(start, free) if index else np.flatnonzero(free).tolist():
                 put(i)
                 if not room:
                     break
@@ -388,8 +404,9 @@ def pack(documents: DataFrame, tokenizer: str | None = None, end: int = 0, windo
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.value.leaf(sketched(batch)), pa.int64())], [*batch.schema.names, "leaf"])
 
-    sized = read.select("terms", "counts").mapInArrow(leaves, "terms binary, counts binary, leaf bigint").groupBy("leaf").count().collect()  # SAMPLE / LEAF rows at most
-    cuts = {r["leaf"]: max(1, round(r["count"] / shard)) for r in sized}
+    # how many shards a leaf is cut in, by its share of the sample
+    share = np.bincount(tree.value.leaf(x), minlength=tree.value.leaves) / max(1, len(x))
+    cuts = [max(1, round(docs * s / shard)) for s in share.tolist()]
 
     def tail_of(b: bytes) -> np.ndarray:
         return np.frombuffer(b, "<u2").astype("<u4") if len(b) % 2 == 0 else np.frombuffer(b[1:], "<u4")
@@ -415,6 +432,6 @@ def pack(documents: DataFrame, tokenizer: str | None = None, end: int = 0, windo
 
     names = "doc_id bigint, h bigint, n bigint, crcs binary, rest binary, terms binary, counts binary"
     dealt = read.mapInArrow(leaves, f"{names}, leaf bigint")
-    parts = F.coalesce(F.get(F.array(*[F.lit(cuts.get(i, 1)) for i in range(tree.value.leaves)]), F.col("leaf").cast("int")), F.lit(1))
+    parts = F.coalesce(F.get(F.array(*[F.lit(c) for c in cuts]), F.col("leaf").cast("int")), F.lit(1))
     dealt = dealt.withColumn("s", F.col("leaf") * 2**20 + F.pmod(F.xxhash64("doc_id", "h", F.lit("shard")), parts)).drop("leaf")
     return dealt.groupBy("s").applyInArrow(pack_one, "doc_id bigint, text_hash bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
