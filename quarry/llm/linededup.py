@@ -1,19 +1,21 @@
 """Substring dedup (4): line hashing.
 
-Units are the lines of a text and, in lines of several sentences, their sentences. A unit is normalised (lower case, runs of
-anything but letters and digits become one space) and digested to 128 bits, lines and sentences alike, so that a line is found
-as a sentence of a longer line. Lines of fewer than `line_words` and sentences of fewer than `sentence_words` words are no
-units, so that small talk doesn't count as copying; such a sentence is joined with those after it, and with those before it,
-until they have as many words. What a copied passage's first or last sentence has in common with another is not found where
-it runs into the text around it without a sentence's end. Digests are grouped globally:
-the earliest occurrence by (id, text hash, position) stays, all others go. What goes is told in offsets of the original text.
-
-Only ids, offsets and digests are shuffled until the end. A digest that a third of all rows share is summed on the map side;
-where its rows are joined back, Spark splits them (AQE skew join). A document's own removals are what is gathered per row.
-
-Defined cases: null text stays null and has no units; a null id ranks after all others; rows that repeat an id and a text are
-one document seen twice, and all of them keep the same units; ties within a text go to the first position; an empty table
-gives no rows; input columns that share a name with an output column give way to it.
+Units are the sentences of each line, so a line of one sentence is one unit, and of any length. A unit is normalised (lower
+case, runs of anything but letters and digits become one space) and digested to 128 bits. Digests are grouped globally: the
+earliest occurrence by (id, text hash, position) is the first, all others are repeats. A run of neighbouring repeats in a
+document is a repeated passage; it goes if it has `passage_words` words or more, so that a greeting or a license line that many
+documents share is left in place, whatever line it stands in. What a copied passage's first or last sentence has in common
+with another is not found where it runs into the text around it without a sentence's end. What goes is told in offsets of
+the original text.
+
+Only ids, offsets and digests are shuffled until the end. Repeated digests are counted on the map side. Those that are over
+1 / `HOT` of all units, at most `HOT` by the pigeonhole principle, are broadcast to their occurrences; all others are joined in
+a shuffle in which no key has more than that share. What is gathered per document is its own repeats.
+
+Defined cases: null text stays null and has no units, as has an empty one; a null id ranks after all others; rows that repeat
+an id and a text are one document seen twice, and all of them keep the same units; ties within a text go to the first position;
+an empty table gives no rows; a very long text is one document like any other; an input column `removed` gives way to the
+output's, all others stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,47 +29,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import rowed, stored
 
-LINE_WORDS, SENTENCE_WORDS = 4, 8
+PASSAGE_WORDS, HOT = 20, 1000
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"\S.*?(?:[.!?…]+(?=\s)|\Z)", re.S)
 _OTHER = re.compile(r"[\W_]+")
 
 
-def units(text: str | None, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> Iterator[tuple[int, int, str]]:
-    """start, end and normalised form of each unit of a text, lines before their sentences."""
+def units(text: str | None) -> Iterator[tuple[int, int, str]]:
+    """start, end and normalised form of each unit of a text."""
     for line in _LINE.finditer(text or ""):
-        norm = _OTHER.sub(" ", line[0].lower()).strip()
-        n = norm.count(" ") + 1
-        if norm and n >= line_words:
-            yield line.start(), line.end(), norm
-        if n > sentence_words:
-            found = [(s.start(), s.end(), w, w.count(" ") + 1) for s in _SENTENCE.finditer(line[0]) if (w := _OTHER.sub(" ", s[0].lower()).strip())]
-            spans = {(i, i) for i, s in enumerate(found) if s[3] >= sentence_words}
-            for i, s in enumerate(found):
-                for step in (1, -1) if s[3] < sentence_words else ():
-                    j, words = i, s[3]
-                    while words < sentence_words and 0 <= j + step < len(found):
-                        j += step
-                        words += found[j][3]
-                    if words >= sentence_words:
-                        spans.add((min(i, j), max(i, j)))
-            ends: dict[str, int] = {}
-            for i, j in sorted(spans - {(0, len(found) - 1)}):
-                norm = " ".join(s[2] for s in found[i : j + 1])
-                if ends.get(norm, -1) < i:  # a unit is no copy of one that it overlaps
-                    ends[norm] = j
-                    yield line.start() + found[i][0], line.start() + found[j][1], norm
+        at = line.start()
+        for s in _SENTENCE.finditer(line[0]):
+            if norm := _OTHER.sub(" ", s[0].lower()).strip():
+                yield at + s.start(), at + s.end(), norm
+
+
+def passages(repeats: list[tuple[int, int, int, int]], passage_words: int = PASSAGE_WORDS) -> list[tuple[int, int]]:
+    """Start and end of each run of neighbours in repeats (number of the unit, start, end, words) with words enough."""
+    out, run = [], [-2, 0, 0, 0]
+    for no, a, b, words in [*sorted(repeats), (-1, 0, 0, 0)]:
+        if no == run[0] + 1:
+            run = [no, run[1], b, run[3] + words]
+        else:
+            if run[0] >= 0 and run[3] >= passage_words:
+                out.append((run[1], run[2]))
+            run = [no, a, b, words]
+    return out
 
 
 def cleaned(text: str, spans: list[tuple[int, int]]) -> str:
     """text without the spans; a line that loses all its words goes with its line end."""
-    out, at = [], 0
-    for a, b in sorted(spans):
-        out.append(text[at : max(at, a)])
-        at = max(at, b)
-    out.append(text[at:])
     gone = np.zeros(len(text) + 1, bool)
     for a, b in spans:
         gone[a:b] = True
@@ -80,43 +73,56 @@ def cleaned(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(lines)
 
 
-def _found(documents: DataFrame, line_words: int, sentence_words: int) -> DataFrame:
-    """doc_id, h, no, a, b, d1, d2: every unit of every row, with its digest."""
+def _found(documents: DataFrame) -> DataFrame:
+    """doc_id, h, no, a, b, words, d1, d2: every unit of every row, with its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                row, no, a, b, digest = [], [], [], [], []
+                row, no, a, b, words, digest = [], [], [], [], [], []
                 for i, text in enumerate(batch.column(2)):
-                    for k, (start, end, norm) in enumerate(units(text.as_py(), line_words, sentence_words)):
+                    for k, (start, end, norm) in enumerate(units(text.as_py())):
                         row.append(i)
                         no.append(k)
                         a.append(start)
                         b.append(end)
+                        words.append(norm.count(" ") + 1)
                         digest.append(xxhash.xxh3_128_digest(norm.encode("utf-8", "surrogatepass")))
                 d = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
                 ids = [batch.column(c).take(pa.array(row, pa.int64())) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(no, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc_id", "h", "no", "a", "b", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x, pa.int32()) for x in (no, a, b, words)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc_id", "h", "no", "a", "b", "words", "d1", "d2"])
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, h bigint, no int, a int, b int, d1 bigint, d2 bigint")
+    return texts.mapInArrow(run, "doc_id bigint, h bigint, no int, a int, b int, words int, d1 bigint, d2 bigint")
+
 
+def _repeats(documents: DataFrame) -> DataFrame:
+    """doc_id, h and r, the units that occur earlier: an array of struct(no, a, b, words)."""
+    found = stored(_found(documents))
+    digest, rank = ["d1", "d2"], F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "no")
+    first = stored(found.groupBy(*digest).agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    hot = F.col("n") * HOT > found.count()
+    most = F.broadcast(first.where(hot).select(*digest, "first"))  # HOT rows at most
+    rest = found.join(F.broadcast(first.where(hot).select(*digest)), digest, "left_anti").join(first.where(~hot).select(*digest, "first"), digest)
+    gone = found.join(most, digest).unionByName(rest).where(rank != F.col("first"))
+    return gone.groupBy("doc_id", "h").agg(F.collect_set(F.struct("no", "a", "b", "words")).alias("r"))
 
-def deduplicated(documents: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
+
+def deduplicated(documents: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """documents' columns with the text cleaned, and removed: an array of struct(start, end) in the original text."""
-    keep = [c for c in documents.columns if c.lower() != "removed" and not c.startswith("s_")]
-    found = stored(_found(documents, line_words, sentence_words))
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "no")
-    first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2", "first")
-    gone = found.join(first, ["d1", "d2"]).where(rank != F.col("first"))
-    key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("s_i"), F.col("h").alias("s_h")]
-    spans = gone.select(*key, F.struct(F.col("a").alias("start"), F.col("b").alias("end")).alias("x")).groupBy("s_i", "s_h").agg(F.array_sort(F.collect_set("x")).alias("s_x"))
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def removed(repeats: pa.Array) -> pa.Array:
+        found = [passages([tuple(x.values()) for x in r], passage_words) for r in repeats.to_pylist()]
+        return pa.array([[{"start": a, "end": b} for a, b in f] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else t if not s else cleaned(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
+        return pa.array([t if t is None or not s else cleaned(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
-    rows = documents.select(*keep, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("s_i"), F.xxhash64(F.col("text").cast("string")).alias("s_h"))
-    rows = rows.join(spans, ["s_i", "s_h"], "left").withColumn("s_x", F.coalesce("s_x", F.array().cast("array<struct<start:int,end:int>>")))
-    return rows.select(*[clean(F.col(c).cast("string"), "s_x").alias(c) if c == "text" else F.col(c) for c in keep], F.col("s_x").alias("removed"))
+    spans = _repeats(documents).where(F.aggregate("r", F.lit(0), lambda n, x: n + x["words"]) >= passage_words).select(F.col("doc_id").alias("i"), F.col("h").alias("j"), removed("r").alias("x"))
+    rows = rowed(documents, doc_id=documents["doc_id"].cast("bigint"), h=F.xxhash64(documents["text"].cast("string")))
+    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j")), "left").withColumn("x", F.coalesce("x", F.array().cast("array<struct<start:int,end:int>>")))
+    text = clean(F.col("row.text").cast("string"), "x")
+    return rows.select(*[text.alias(f.name) if f.name.lower() == "text" else F.col("row").getField(f.name).alias(f.name) for f in rows.schema["row"].dataType if f.name.lower() != "removed"], F.col("x").alias("removed"))
