@@ -18,8 +18,8 @@ Defined cases: null or empty html, and pages without text, give ''; tags that ar
 (p at the next block, li at the next li) or with their parent; end tags without a start are ignored; cut-off markup at the end
 is dropped; a page without body or markup is one subtree; of nodes with one density sum the first is taken. A very long page
 takes time in proportion, however deep its elements are. Each row is extracted by itself: repeated rows and repeated ids get
-the same text; an empty table gives no rows. Input columns keep their names, but for the html's and one called text, which
-gives way to the output's.
+the same text; an empty table gives no rows. Input columns stay as they are, but for the html's and one called text, which
+give way to the output's.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import fields, rowed
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.S)
 _SPACE = re.compile(r"\s+")
@@ -326,14 +328,15 @@ def extract(page: str | None) -> str:
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages' columns without the html, and text."""
-    keep = [F.col("`" + c.replace("`", "``") + "`") for c in pages.columns if c not in (html, "text")]
-    schema = pages.select(*keep, F.col(html).cast("string").alias("text")).schema
+    keep = fields(rows := rowed(pages), (html.lower(), "text"))
+    rows = rows.select(F.struct(*(keep or [F.lit(0)])).alias("row"), F.col("row").getField(html).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 128):
                 part = batch.slice(at, 128)
-                texts = [extract(x.as_py()) for x in part.column(len(keep))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], part.schema.names)
+                texts = [extract(x.as_py()) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], part.schema.names)
 
-    return pages.select(*keep, F.col(html).cast("string").alias("text")).mapInArrow(run, schema)
+    out = rows.mapInArrow(run, rows.schema)
+    return out.select(*(fields(out) if keep else []), "text")
