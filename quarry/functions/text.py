@@ -101,14 +101,31 @@ def simple_tokens(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(text(c), F.lit(SIMPLE_TOKEN), F.lit(0)), F.lower)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def computed(value: Column) -> Column:
+    """value, behind a generator, so that what reads it several times doesn't compute it several times."""
+    return F.explode(F.array(value))
+
+
 def domain_tokens(c: Column) -> Column:
-    """Lower-case tokens; a compound also gives its parts and its collapsed form. Repeats stay."""
+    """Lower-case tokens; a compound also gives its parts and its collapsed form. Repeats stay.
+
+    Tokens are ASCII without blanks, so all of a text are put in lower case at once; only texts with compounds look at each.
+    """
 
     def forms(t: Column) -> Column:
         parts = F.filter(F.split(t, "[-_/.]"), lambda p: p != "")
         return F.when(t.rlike("[-_/.]"), F.concat(F.array(t), parts, F.array(F.regexp_replace(t, "[-_/.]", "")))).otherwise(F.array(t))
 
-    return F.flatten(F.transform(F.regexp_extract_all(text(c), F.lit(TOKEN), F.lit(0)), lambda t: forms(F.lower(t))))
+    def tokens(found: Column) -> Column:
+        cut = F.split(found, " ")
+        return F.when(found == "", F.array().cast("array<string>")).when(found.rlike("[-_/.]"), F.flatten(F.transform(cut, forms))).otherwise(cut)
+
+    return let(F.lower(F.array_join(F.regexp_extract_all(text(c), F.lit(TOKEN), F.lit(0)), " ")), tokens)
 
 
 def keywords(c: Column) -> Column:

@@ -9,11 +9,22 @@ from quarry.functions import text as T
 
 _CITATIONS = "array<struct<chunk_id:string,quote:string>>"
 
+# What the behaviour is defined by.
+FENCE = r"(?is)```(?:json)?\s*(.*?)\s*```"
+TRAILING_COMMA = r",\s*([}\]])"
+BARE_KEY = r"([{,]\s*)([A-Za-z_][A-Za-z0-9_]*)\s*:"
+LOOSE_ANSWERS = (r'"answer"\s*:\s*"(\d{1,2})"', r'"answer"\s*:\s*(\d{1,2})', r"(?i)\bAnswer\b\s*[:=]\s*(\d{1,2})\b", r"\b([1-9]\d?)\b")
+LOOSE_CITATION = r'"chunk_id"\s*:\s*"([^"]*)"\s*,\s*"quote"\s*:\s*"([^"]*)"'
+ANSWER_PREFIX = r"(?i)^\s*(final\s*:|answer\s*:|option\s*:)\s*"
+PROMPT_ECHO = r"(?i)USER QUESTION:|Output ONLY|Rewrite the user's question"
+ONLY_OPTION = r"^\s*\(?\s*([1-9]|10)\s*\)?\s*$"
+NAMED_OPTION = r"(?i)^\s*(answer|final|option)\s*[:：]?\s*\(?\s*([1-9]|10)\s*\)?\s*$"
+
 
 def unfenced(c: Column) -> Column:
     """The inside of the first code fence, if there is one; from the first brace on."""
     t = T.strip(T.text(c))
-    inner = F.when(t.rlike(r"(?is)```(?:json)?\s*(.*?)\s*```"), T.strip(F.regexp_extract(t, r"(?is)```(?:json)?\s*(.*?)\s*```", 1))).otherwise(t)
+    inner = F.when(t.rlike(FENCE), T.strip(F.regexp_extract(t, FENCE, 1))).otherwise(t)
     at = F.instr(inner, "{")
     return F.when(at > 0, T.strip(F.substr(inner, at))).otherwise(inner)
 
@@ -35,12 +46,12 @@ def first_object(t: Column) -> Column:
 
 def repaired(c: Column) -> Column:
     """Without trailing commas, smart quotes and, where there is no double quote, single ones; bare keys get quotes."""
-    t = F.regexp_replace(T.strip(c), r",\s*([}\]])", "$1")
+    t = F.regexp_replace(T.strip(c), TRAILING_COMMA, "$1")
     for a, b in (("“", '"'), ("”", '"'), ("’", "'")):
         t = F.replace(t, F.lit(a), F.lit(b))
     single = ~F.contains(t, F.lit('"')) & (F.length(t) - F.length(F.replace(t, F.lit("'"), F.lit(""))) >= 2)
     t = F.when(single, F.replace(t, F.lit("'"), F.lit('"'))).otherwise(t)
-    return F.regexp_replace(t, r"([{,]\s*)([A-Za-z_][A-Za-z0-9_]*)\s*:", '$1"$2":')
+    return F.regexp_replace(t, BARE_KEY, '$1"$2":')
 
 
 def _object(c: Column) -> Column:
@@ -59,15 +70,12 @@ def _citations(v: Column) -> Column:
 
 
 def _salvaged_answer(t: Column) -> Column:
-    out = F.lit("")
-    for pattern in (r"\b([1-9]\d?)\b", r"(?i)\bAnswer\b\s*[:=]\s*(\d{1,2})\b", r'"answer"\s*:\s*(\d{1,2})', r'"answer"\s*:\s*"(\d{1,2})"'):
-        out = F.coalesce(F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")), out)
-    return out
+    """What the first pattern that matches finds; '' if none does."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in LOOSE_ANSWERS], F.lit(""))
 
 
 def _salvaged_citations(t: Column) -> Column:
-    pattern = r'"chunk_id"\s*:\s*"([^"]*)"\s*,\s*"quote"\s*:\s*"([^"]*)"'
-    ids, quotes = (F.slice(F.regexp_extract_all(t, F.lit(pattern), F.lit(g)), 1, 3) for g in (1, 2))
+    ids, quotes = (F.slice(F.regexp_extract_all(t, F.lit(LOOSE_CITATION), F.lit(g)), 1, 3) for g in (1, 2))
     return F.zip_with(ids, quotes, lambda i, q: F.struct(T.strip(i).alias("chunk_id"), T.strip(q).alias("quote"))).cast(_CITATIONS)
 
 
@@ -96,19 +104,23 @@ def parsed(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def schema_fault(c: Column) -> Column:
-    """Why a strict JSON object isn't an answer object: ok, not_dict, bad_keys, answer_not_str, citations_not_list, cite_not_dict, cite_bad_keys."""
+    """Why a strict JSON object isn't an answer object: ok, not_dict, bad_keys= with its keys in order, answer_not_str,
+    citations_not_list, cite_not_dict, cite_bad_keys or cite_val_not_str; of several faults of citations the first citation's."""
     v = F.try_parse_json(c)
     keys = lambda x: F.array_sort(F.coalesce(F.map_keys(F.try_variant_get(x, "$", "map<string,variant>")), F.array().cast("array<string>")))
     kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
     cites = F.coalesce(F.try_variant_get(v, "$.citations", "array<variant>"), F.array().cast("array<variant>"))
+
+    def one(x: Column) -> Column:
+        values = [kind(F.try_variant_get(x, f"$.{k}", "variant")) != "STRING" for k in ("chunk_id", "quote")]
+        return F.when(~kind(x).startswith("OBJECT"), "cite_not_dict").when(keys(x) != F.array(F.lit("chunk_id"), F.lit("quote")), "cite_bad_keys").when(values[0] | values[1], "cite_val_not_str").otherwise("ok")
+
     return (
         F.when(~F.coalesce(kind(v).startswith("OBJECT"), F.lit(False)), "not_dict")
-        .when(keys(v) != F.array(F.lit("answer"), F.lit("citations")), "bad_keys")
+        .when(keys(v) != F.array(F.lit("answer"), F.lit("citations")), F.concat(F.lit("bad_keys=["), F.array_join(F.transform(keys(v), lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", "), F.lit("]")))
         .when(kind(F.try_variant_get(v, "$.answer", "variant")) != "STRING", "answer_not_str")
         .when(~kind(F.try_variant_get(v, "$.citations", "variant")).startswith("ARRAY"), "citations_not_list")
-        .when(F.exists(cites, lambda x: ~kind(x).startswith("OBJECT")), "cite_not_dict")
-        .when(F.exists(cites, lambda x: keys(x) != F.array(F.lit("chunk_id"), F.lit("quote"))), "cite_bad_keys")
-        .otherwise("ok")
+        .otherwise(F.coalesce(F.get(F.filter(F.transform(cites, one), lambda x: x != "ok"), F.lit(0)), F.lit("ok")))
     )
 
 
@@ -124,15 +136,24 @@ def exact_match(predicted: Column, gold: Column) -> Column:
 def one_line(c: Column) -> Column:
     """The first line that isn't blank, without an answer prefix and the quotes around it."""
     first = T.strip(F.coalesce(F.get(F.filter(F.split(T.text(c), T.LINE_END), lambda x: ~T.blank(x)), F.lit(0)), F.lit("")))
-    bare = T.strip(F.regexp_replace(first, r"(?i)^\s*(final\s*:|answer\s*:|option\s*:)\s*", ""))
+    bare = T.strip(F.regexp_replace(first, ANSWER_PREFIX, ""))
     return F.when((F.length(bare) >= 2) & (F.left(bare, F.lit(1)) == F.right(bare, F.lit(1))) & F.left(bare, F.lit(1)).isin("'", '"'), T.strip(F.substr(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare)
 
 
 def rewrite_fault(c: Column, least: int = 12) -> Column:
     """Why a rewritten query is refused: empty, prompt_echo, looks_like_answer, too_short; '' if it is fine."""
     t = T.strip(T.text(c))
-    answer = t.rlike(r"^\s*\(?\s*([1-9]|10)\s*\)?\s*$") | t.rlike(r"(?i)^\s*(answer|final|option)\s*[:：]?\s*\(?\s*([1-9]|10)\s*\)?\s*$") | (t.rlike(r"(?i)^(answer|final|option)") & t.rlike("[0-9]"))
-    return F.when(t == "", "empty").when(t.rlike(r"(?i)USER QUESTION:|Output ONLY|Rewrite the user's question"), "prompt_echo").when(answer, "looks_like_answer").when(F.length(t) < least, "too_short").otherwise("")
+    answer = t.rlike(ONLY_OPTION) | t.rlike(NAMED_OPTION) | (t.rlike(r"(?i)^(answer|final|option)") & t.rlike("[0-9]"))
+    return F.when(t == "", "empty").when(t.rlike(PROMPT_ECHO), "prompt_echo").when(answer, "looks_like_answer").when(F.length(t) < least, "too_short").otherwise("")
+
+
+def rewrite_outcome(raw: Column, question: Column) -> Column:
+    """What comes of a rewriting: struct of clean (its line), used, reject_reason (why not, or '') and question (the new one if
+    it is used, else the old one)."""
+    clean = one_line(raw)
+    fault = rewrite_fault(clean)
+    reason = F.when(fault != "", fault).when(T.strip(clean) == T.strip(T.text(question)), "same_as_original").otherwise("")
+    return F.struct(clean.alias("clean"), (reason == "").alias("used"), reason.alias("reject_reason"), F.when(reason == "", clean).otherwise(T.text(question)).alias("question"))
 
 
 def verified(answers: DataFrame, chunks: DataFrame) -> DataFrame:

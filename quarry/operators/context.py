@@ -37,6 +37,28 @@ TEMPLATE = (
 )
 
 
+#: The question stands between the two parts.
+REWRITE = (
+    "Turn the question below into one line of search words for a collection of technical specifications. Keep abbreviations, "
+    "add what they stand for in parentheses where it helps, and write neither an answer nor the number of an option.\n\nQuestion:\n",
+    "\n\nSearch line:\n",
+)
+#: The question stands between the first two parts, the evidence between the last two.
+JUDGE = ("Is the evidence enough to answer the question? Reply with one JSON object: sufficient (true or false) and missing (what isn't there).\n\nQuestion:\n", "\n\nEvidence:\n", "\n")
+
+
+def rewrite_prompts(questions: DataFrame) -> DataFrame:
+    """query_id, prompt that asks for a rewriting of each question."""
+    return questions.select("query_id", F.concat(F.lit(REWRITE[0]), T.text("question"), F.lit(REWRITE[1])).alias("prompt"))
+
+
+def judge_prompts(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """query_id, prompt that asks whether the contexts (with section_path, page_start, page_end and place) are enough."""
+    one = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), T.text("section_path"), F.lit(" (p"), T.text(F.col("page_start").cast("string")), F.lit("-p"), T.text(F.col("page_end").cast("string")), F.lit(")\n"), T.text("text"))
+    parts = contexts.select("query_id", F.struct("place", one.alias("part")).alias("x")).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["part"]), "\n").alias("context"))
+    return questions.join(parts, "query_id", "left").select("query_id", F.concat(F.lit(JUDGE[0]), T.text("question"), F.lit(JUDGE[1]), T.text("context"), F.lit(JUDGE[2])).alias("prompt"))
+
+
 def prompts(questions: DataFrame, contexts: DataFrame, template: tuple[str, str, str] = TEMPLATE) -> DataFrame:
     """query_id, prompt. questions: query_id, question; contexts as from trimmed()."""
     one = F.concat(F.lit("[chunk_id="), F.col("chunk_id"), F.lit("]\n"), F.col("text"))

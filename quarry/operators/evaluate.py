@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators import answers as A
 
 
@@ -12,6 +13,13 @@ def shard(examples: DataFrame, shard_id: int, shards: int, index: str = "global_
     return examples.where(F.col(index) % shards == shard_id)
 
 
+def ranged(examples: DataFrame, start: int, n: int, index: str = "global_i") -> DataFrame:
+    """The rows numbered start to start + n - 1 (from 0); at least one is asked for, and a start beyond the end is the last row."""
+    last = examples.agg(F.max(index).alias("last"))
+    at = F.least(F.lit(max(0, start)), F.col("last"))
+    return examples.join(F.broadcast(last)).where((F.col(index) >= at) & (F.col(index) < at + max(1, n))).drop("last")  # one row
+
+
 def scored(rows: DataFrame) -> DataFrame:
     """rows (split, global_i, gold, answer, citations) with pred_num, acc, citations_count; a gold that is no number is matched as text."""
     number = F.col("gold").rlike(r"^\s*\d+\s*$")
@@ -43,14 +51,52 @@ def missing_rate(rows: DataFrame) -> DataFrame:
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("pred_num") == "", 1.0).otherwise(0.0)), 6).alias("missing_rate"))
 
 
-def audit(fused: DataFrame, reranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: means and medians of the fused and reranked scores, and the share of fused hits without a clause.
-    chunks: doc_id, clause_id; hits that it lacks count as missing."""
-    joined = fused.join(chunks.select("doc_id", "clause_id"), "doc_id", "left")
-    a = joined.agg(F.round(F.avg("score"), 6).alias("fused_mean"), F.round(F.median("score"), 6).alias("fused_median"), F.round(F.avg(F.when(F.col("clause_id") == "UNKNOWN", 1.0).otherwise(0.0)), 6).alias("unknown_rate"), F.sum(F.col("clause_id").isNull().cast("int")).alias("missing"))
-    return a.join(F.broadcast(reranked.agg(F.round(F.avg("score"), 6).alias("rerank_mean"), F.round(F.median("score"), 6).alias("rerank_median"))))  # two one-row frames
+def audit_rows(fused: DataFrame, reranked: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, list (fused or reranked), rank, score, doc_id, clause_id, snippet and overlap (share of the question's
+    keywords in the snippet). questions: query_id, question; chunks: doc_id, clause_id, text; a hit that chunks lacks keeps
+    null and an overlap of 0."""
+    hits = fused.select(F.lit("fused").alias("list"), "query_id", "rank", "score", "doc_id").unionByName(reranked.select(F.lit("reranked").alias("list"), "query_id", "rank", "score", "doc_id"))
+    rows = hits.join(questions.select("query_id", "question"), "query_id").join(chunks.select("doc_id", "clause_id", T.strip(T.snippet(F.col("text"))).alias("snippet")), "doc_id", "left")
+    overlap = F.round(T.overlap_ratio(T.keywords(F.col("question")), T.keywords(F.col("snippet"))), 6)
+    return rows.select("query_id", "list", "rank", "score", "doc_id", "clause_id", "snippet", overlap.alias("overlap"))
+
+
+def audit(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """One row of audit_rows: the questions, means and medians of score and overlap of both lists, and how many fused hits
+    have no clause (unknown_rate) or aren't among the chunks (missing). An empty list has 0 everywhere."""
+    fused = F.col("list") == "fused"
+    aggregates = []
+    for name, own in (("fused", fused), ("rerank", ~fused)):
+        for what, value in (("", "score"), ("_overlap", "overlap")):
+            aggregates += [F.round(F.coalesce(f(F.when(own, F.col(value))), F.lit(0.0)), 6).alias(f"{name}{what}_{stat}") for stat, f in (("mean", F.avg), ("median", F.median))]
+    unknown = F.round(F.coalesce(F.avg(F.when(fused, (T.text("clause_id") == "UNKNOWN").cast("double"))), F.lit(0.0)), 6)
+    missing = F.coalesce(F.sum((fused & F.col("clause_id").isNull()).cast("bigint")), F.lit(0))
+    return rows.agg(*aggregates, unknown.alias("unknown_rate"), missing.alias("missing")).join(F.broadcast(questions.agg(F.count(F.lit(1)).alias("questions"))))  # one-row frames
 
 
 def outcomes(parsed: DataFrame) -> DataFrame:
     """mode, n, empty (no answer), cited (with citations)."""
     return parsed.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("answer") == "").cast("int")).alias("empty"), F.sum((F.size("citations") > 0).cast("int")).alias("cited"))
+
+
+def parser_report(parsed: DataFrame, raw: str = "raw") -> DataFrame:
+    """One row about parsed outputs (raw, answer, citations, mode): total, schema_ok, schema_fail, one count a mode, empty_raw,
+    answer_missing and the rates of the first and the last."""
+    count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    out = F.to_json(F.struct(F.col("answer"), F.col("citations")), {"ignoreNullFields": "false"})
+    ok = A.schema_fault(out) == "ok"
+    n = F.greatest(F.lit(1), F.count(F.lit(1)))
+    missing = count(T.strip(T.text("answer")) == "")
+    return parsed.agg(
+        F.count(F.lit(1)).alias("total"), count(ok).alias("schema_ok"), count(~ok).alias("schema_fail"), *[count(F.col("mode") == m).alias(m) for m in ("clean", "extracted_or_fixed", "salvaged")],
+        count(T.strip(T.text(raw)) == "").alias("empty_raw"), missing.alias("answer_missing"), F.round(count(ok) / n, 6).alias("schema_ok_rate"), F.round(missing / n, 6).alias("answer_missing_rate"),
+    )
+
+
+def breakdown(rows: DataFrame, cited: int = 2) -> DataFrame:
+    """split, n, correct, failed, well_cited (citations_count of `cited` or more) and citations (a map of count to answers),
+    for each split and, under 'ALL', all rows."""
+    per = rows.groupBy("split", "citations_count").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("acc") == 1).cast("bigint")).alias("correct"))
+    every = per.unionByName(per.groupBy("citations_count").agg(F.sum("n").alias("n"), F.sum("correct").alias("correct")).withColumn("split", F.lit("ALL")))
+    out = every.groupBy("split").agg(F.sum("n").alias("n"), F.sum("correct").alias("correct"), F.sum(F.when(F.col("citations_count") >= cited, F.col("n")).otherwise(0)).alias("well_cited"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("citations_count", "n")))).alias("citations"))
+    return out.select("split", "n", "correct", (F.col("n") - F.col("correct")).alias("failed"), "well_cited", "citations")

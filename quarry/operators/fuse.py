@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,29 @@ def lexical_scorer(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", F.round(T.overlap_ratio(T.keywords(F.col("question")), T.keywords(T.snippet(F.col("body")))), 6))
 
 
+def model_scorer(make: Callable[[], object], question: str = "question", body: str = "body") -> Callable[[DataFrame], DataFrame]:
+    """A scorer from a pair model, made once per task: make() gives an object with score(list of (question, text)) -> floats.
+    Pairs go to it in Arrow batches; scores are rounded to six decimals."""
+
+    def scorer(pairs: DataFrame) -> DataFrame:
+        schema = pairs.select("query_id", "doc_id", F.lit(0.0).alias("score")).schema
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = make()
+            for batch in batches:
+                asked = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([round(float(x), 6) for x in model.score(asked)] if asked else [], pa.float64())], ["query_id", "doc_id", "score"])
+
+        return pairs.select("query_id", "doc_id", T.text(question).alias("q"), T.text(body).alias("b")).mapInArrow(run, schema)
+
+    return scorer
+
+
+def definition_first(filters: dict[str, str] | None = None) -> dict[str, str]:
+    """A hook for filters that prefer definitions: hands them on as they are."""
+    return filters or {}
+
+
 def rerank(hits: DataFrame, questions: DataFrame, bodies: DataFrame, top: int = 12, scorer: Callable[[DataFrame], DataFrame] | None = lexical_scorer) -> DataFrame:
     """query_id, doc_id, score, rank of hits by the scorer; without one, the first `top` of hits as they are.
 

@@ -1,44 +1,134 @@
-"""BM25 as relational algebra: postings, term statistics, scoring, top-k.
+"""BM25 as relational algebra: postings, term statistics, scoring, top-k; over a built index or a stored one.
 
-Texts never travel with scores: only ids, terms and counts do. Filters go below the scoring join. A query's tokens are
-collapsed to (query, term, times) first; Spark broadcasts that side or the postings only while they measure small.
+Texts never travel with scores: only ids, terms and counts do. A document's tokens are sorted and counted inside its row, so
+postings need no shuffle. Filters go below the scoring. A query's tokens are collapsed to (query, term, times) first.
+
+While there are at most `MOST_ASKED` of those, counted beforehand, their terms are broadcast: what is shuffled is the postings
+of asked terms, as numbers, dealt in blocks of about `BLOCK` documents; a block is scored against all queries by products of
+matrices and gives k rows per query. Beyond, queries and postings are joined in a shuffle, and each pair is a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+MOST_ASKED = 1_000_000
+BLOCK = 1024
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings: doc_id, dl, term, tf; terms: term, df, idf; sizes: one row with n, avgdl; ids: doc_id of all documents;
+    counts: what terms and sizes are made of, if they aren't stored."""
+
+    postings: DataFrame
+    terms: DataFrame
+    sizes: DataFrame
+    ids: DataFrame
+    counts: DataFrame | None = None
+
+    def save(self, path: str) -> None:
+        """Writes the four tables; postings are sorted by term, so that a search reads the row groups of its terms only."""
+        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        for name in ("terms", "sizes", "ids"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Index:
+        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "sizes", "ids")))
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", body: Column | str = "text") -> DataFrame:
-    """doc_id, term, tf and dl (the document's number of tokens)."""
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), T.domain_tokens(F.col(body) if isinstance(body, str) else body).alias("tokens"))
-    terms = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return terms.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def term_stats(posts: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """term, df, idf; a negative idf becomes EPSILON times the mean of all. n_docs: one row with n."""
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(n_docs)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = raw.agg(F.avg("idf").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-
-
-def scores(posts: DataFrame, queries: DataFrame, docs: DataFrame, where: Column | None = None, doc_id: str = "doc_id", body: str = "text") -> DataFrame:
-    """query_id, doc_id, score (six decimals, so that equal documents tie) of all that share a term. queries: query_id, text."""
-    sizes = docs.select(F.size(T.domain_tokens(F.col(body))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    idf = term_stats(posts, sizes.select("n"))
-    asked = queries.select("query_id", F.explode(T.domain_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    hits = posts
-    if where is not None:
-        hits = posts.join(docs.where(where).select(F.col(doc_id).alias("doc_id")), "doc_id", "left_semi")
-    hits = asked.join(idf, "term").join(hits, "term").join(F.broadcast(sizes.select("avgdl")))
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    """doc_id, dl (the document's number of tokens), term, tf."""
+    tokens = T.domain_tokens(F.col(body) if isinstance(body, str) else body)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), T.computed(F.sort_array(tokens)).alias("s")).withColumn("dl", F.size("s")).where("dl > 0")
+    first = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))  # where each term begins
+    rows = rows.select("doc_id", "dl", "s", T.computed(first).alias("p")).select("doc_id", "dl", "s", "p", F.posexplode("p").alias("j", "at"))
+    return rows.select("doc_id", "dl", F.get("s", F.col("at")).alias("term"), (F.coalesce(F.get("p", F.col("j") + 1), F.col("dl")) - F.col("at")).cast("bigint").alias("tf"))
+
+
+def build(docs: DataFrame, posts: DataFrame | None = None) -> Index:
+    """The index of docs (doc_id, text). A negative idf becomes EPSILON times the mean of all."""
+    posts = postings(docs) if posts is None else posts
+    ids = docs.select("doc_id")
+    counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all"))
+    n = ids.agg(F.count(F.lit(1)).alias("n"))
+    raw = counts.join(F.broadcast(n)).select("term", "df", "all", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    mean = raw.agg(F.avg("idf").alias("mean"), F.coalesce(F.sum("all"), F.lit(0)).alias("all"))
+    terms = raw.drop("all").join(F.broadcast(mean.select("mean"))).select("term", "df", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    sizes = n.join(F.broadcast(mean.select("all"))).select("n", F.try_divide("all", "n").alias("avgdl"))  # two one-row frames
+    return Index(posts, terms, sizes, ids, counts)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(T.domain_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+
+
+def _of(index: Index, allowed: DataFrame | None) -> DataFrame:
+    return index.postings if allowed is None else index.postings.join(allowed.select("doc_id"), "doc_id", "left_semi")
+
+
+def blockwise(index: Index, queries: DataFrame, table: pa.Table, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score (six decimals) of at least the k best documents of each query that share a term with it. table:
+    the collected _asked(queries), of at most MOST_ASKED rows."""
+    spark = queries.sparkSession
+    if index.counts is not None:
+        index.counts.persist()  # one row a term, for the two reads below
+    weighted = index.terms.join(F.broadcast(spark.createDataFrame(table)), "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w")).toArrow()
+    n, avgdl = index.sizes.select("n", "avgdl").first()
+    if index.counts is not None:
+        index.counts.unpersist()
+    ids = queries.schema["query_id"].dataType.simpleString()
+    out = f"query_id {ids}, doc_id {index.postings.schema['doc_id'].dataType.simpleString()}, score double"
+    if not len(weighted):
+        return spark.createDataFrame([], out)
+    term = weighted.column("term").combine_chunks().dictionary_encode()
+    names = weighted.column("query_id").combine_chunks().dictionary_encode()
+    shared = spark.sparkContext.broadcast((names.dictionary, names.indices.to_numpy(), term.indices.to_numpy(), weighted.column("w").to_numpy()))
+    numbered = spark.createDataFrame(pa.table({"term": term.dictionary, "j": pa.array(range(len(term.dictionary)), pa.int32())}))
+    hits = _of(index, allowed).join(F.broadcast(numbered), "term").select("doc_id", "dl", "j", "tf", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // BLOCK))).alias("b"))
+
+    def block(rows: pa.Table) -> pa.Table:
+        asked, query, of, w = shared.value
+        docs = rows.column("doc_id").combine_chunks().dictionary_encode()
+        doc, j, tf, dl = docs.indices.to_numpy(), *(rows.column(c).to_numpy() for c in ("j", "tf", "dl"))
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+        found: list[tuple] = []
+        for at in range(0, len(asked), 256):
+            own = (query >= at) & (query < at + 256)
+            terms, local = np.unique(of[own], return_inverse=True)
+            weights = np.zeros((len(terms), min(256, len(asked) - at)))
+            weights[local, query[own] - at] = w[own]
+            place = np.minimum(np.searchsorted(terms, j), len(terms) - 1)
+            held = terms[place] == j
+            for low in range(0, len(docs.dictionary), 256):
+                these = held & (doc >= low) & (doc < low + 256)
+                dense = np.zeros((256, len(terms)))
+                dense[doc[these] - low, place[these]] = part[these]
+                score = (dense @ weights).round(6)
+                least = np.partition(score, -k, axis=0)[-k] if k < len(score) else -np.inf
+                d, q = np.nonzero((score >= least) & (score != 0))
+                found.append((q + at, d + low, score[d, q]))
+        q, d, score = (np.concatenate([f[i] for f in found]) for i in range(3))
+        return pa.table({"query_id": asked.take(pa.array(q)), "doc_id": docs.dictionary.take(pa.array(d)), "score": pa.array(score)})
+
+    return hits.groupBy("b").applyInArrow(block, out)
+
+
+def scores(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score (six decimals, so that equal documents tie) of all that share a term. queries: query_id, text;
+    allowed: the doc_id that count, or None for all."""
+    weighted = index.terms.join(_asked(queries), "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w"))
+    hits = _of(index, allowed).join(weighted, "term").join(F.broadcast(index.sizes.select("avgdl")))  # one row
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
@@ -48,16 +138,20 @@ def topk(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, posts: DataFrame | None = None) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, index: Index | None = None) -> DataFrame:
     """query_id, doc_id, score, rank. A query that shares terms with fewer than k documents is filled up with others at score 0.
 
-    The fill needs only the k smallest ids: of those, at most the ones found already are taken.
+    The fill needs only the k smallest ids: of those, at most the ones found already are taken. Without an index, one is built
+    of docs; with one, docs is read for `where` alone.
     """
-    posts = postings(docs) if posts is None else posts
-    best = topk(scores(posts, queries, docs, where), k)
-    some = (docs if where is None else docs.where(where)).select("doc_id").orderBy("doc_id").limit(k)
-    ids = some.agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))  # k ids
-    found = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.collect_list("doc_id").alias("have"))  # k ids each
-    short = queries.select("query_id").join(found, "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)
-    fill = short.join(F.broadcast(ids)).select("query_id", F.explode(F.array_except("ids", F.coalesce("have", F.array().cast("array<bigint>")))).alias("doc_id"), F.lit(0.0).alias("score"))
-    return topk(best.select("query_id", "doc_id", "score").unionByName(fill), k)
+    index = build(docs) if index is None else index
+    allowed = None if where is None else docs.where(where)
+    asked = _asked(queries).limit(MOST_ASKED + 1).toArrow()
+    scored = blockwise(index, queries, asked, k, allowed) if 0 < len(asked) <= MOST_ASKED else scores(index, queries, allowed)
+    best = topk(scored, k).select("query_id", "doc_id", "score", F.lit(1).alias("own"))
+    some = (index.ids if allowed is None else allowed.select("doc_id")).orderBy("doc_id").limit(k)  # k ids
+    fill = queries.select("query_id").join(F.broadcast(some)).select("query_id", "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("own"))
+    both = best.unionByName(fill).groupBy("query_id", "doc_id").agg(F.max(F.struct("own", "score")).alias("x"))
+    found = F.sum("x.own").over(Window.partitionBy("query_id"))
+    short = both.withColumn("n", found).where((F.col("x.own") == 1) | (F.col("n") < k))
+    return topk(short.select("query_id", "doc_id", F.col("x.score").alias("score")), k)

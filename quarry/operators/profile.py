@@ -71,6 +71,14 @@ def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").select(F.lit("left_only").alias("side"), key).unionByName(b.join(a, key, "left_anti").select(F.lit("right_only").alias("side"), key))
 
 
+def coverage_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row: left_rows, right_rows, missing (ids of left that right lacks) and extra (those of right that left lacks)."""
+    side = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    both = side(left.where(F.col(key).isNotNull()), "l").join(side(right.where(F.col(key).isNotNull()), "r"), key, "full")
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return both.agg(n("l").alias("left_rows"), n("r").alias("right_rows"), n(F.col("r").isNull().cast("int")).alias("missing"), n(F.col("l").isNull().cast("int")).alias("extra"))
+
+
 def sampled(df: DataFrame, key: str, k: int, seed: int = 7) -> DataFrame:
     """k rows, the same on every run: those whose seeded digest is least."""
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(k)

@@ -79,17 +79,28 @@ _EMPTY = "array<string>"
 
 
 def packed(parts: Column, most: int = MOST) -> Column:
-    """Sentences joined greedily up to `most` characters; a longer one is cut into windows of its own."""
+    """Sentences joined greedily up to `most` characters; a longer one is cut into windows of its own.
 
-    def add(a: Column, s: Column) -> Column:
-        joined = F.when(a["buf"] == "", s).otherwise(F.concat(a["buf"], F.lit(" "), s))
-        return (
-            F.when(F.length(s) > most, _state(F.concat(_flushed(a), _pieces(s, most)), F.lit("")))
-            .when((a["buf"] == "") | (F.length(a["buf"]) + 1 + F.length(s) <= most), _state(a["out"], joined))
-            .otherwise(_state(F.concat(a["out"], F.array(a["buf"])), s))
-        )
+    The fold goes over lengths and keeps where pieces begin; texts are joined once, when all is known.
+    """
 
-    return F.aggregate(parts, _state(F.array().cast(_EMPTY), F.lit("")), add, _flushed)
+    def starts(sizes: Column) -> Column:
+        def add(a: Column, n: Column) -> Column:
+            fits = (a["n"] > 0) & (n <= most) & (a["n"] + 1 + n <= most)
+            begun = F.when(fits, a["out"]).otherwise(F.concat(a["out"], F.array(a["i"])))
+            return F.struct(begun.alias("out"), (a["i"] + 1).alias("i"), F.when(n > most, 0).when(fits, a["n"] + 1 + n).otherwise(n).alias("n"))
+
+        start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("i"), F.lit(0).alias("n"))
+        return F.aggregate(sizes, start, add, lambda a: a["out"])
+
+    def join(s: Column, begin: Column) -> Column:
+        def piece(i: Column, j: Column) -> Column:
+            whole = F.array_join(F.slice(s, i + 1, F.coalesce(F.get(begin, j + 1), F.size(s)) - i), " ")
+            return F.when(F.length(F.get(s, i)) > most, _pieces(F.get(s, i), most)).otherwise(F.array(whole))
+
+        return F.flatten(F.transform(begin, piece))
+
+    return T.let(parts, lambda s: T.let(starts(F.transform(s, F.length)), lambda begin: join(s, begin)))
 
 
 def grown(parts: Column, least: int = LEAST) -> Column:
@@ -114,17 +125,18 @@ def joined_short(parts: Column, short: int = SHORT, most: int = MOST) -> Column:
 
 def chunks(blocks: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
     """doc_id, block_i, clause_id, title, page_start, page_end, idx, text of every chunk kept; idx may have gaps."""
-    df = blocks.where(F.col("body") != "").withColumn("c_s", sentences(F.col("body")))
-    df = df.withColumn("c_p", packed(F.col("c_s"), most)).withColumn("c_g", grown(F.col("c_p"), least)).withColumn("c_j", joined_short(F.col("c_g"), SHORT, most))
+    df = blocks.where(F.col("body") != "")
+    df = df.withColumn("c_p", packed(sentences(F.col("body")), most)).withColumn("c_g", grown(F.col("c_p"), least)).withColumn("c_j", T.computed(joined_short(F.col("c_g"), SHORT, most)))
     kept = F.filter(F.transform("c_j", T.strip), lambda t: (F.length(t) >= KEEP) | ((F.length(t) >= KEEP_DEFINITION) & T.is_definition(t)))
     df = df.withColumn("c_k", kept).select("doc_id", "block_i", "clause_id", "title", "page_start", "page_end", F.posexplode("c_k").alias("idx", "piece"))
     return df.withColumn("text", T.normalised(F.col("piece"))).where(F.length("text") >= KEEP_DEFINITION).drop("piece")
 
 
-def corpus(pages: DataFrame, names: DataFrame | None = None, boilerplate: bool = True) -> DataFrame:
-    """The chunk table of pages (doc_id, page_num, text): twelve columns, flags as 0 or 1. names: doc_id, version, wg."""
-    source = without_toc(lines(pages))
-    df = chunks(blocks(aligned(source, headings(source))))
+def corpus(pages: DataFrame, names: DataFrame | None = None, boilerplate: bool = True, least: int = LEAST, most: int = MOST, last_toc_page: int = 30) -> DataFrame:
+    """The chunk table of pages (doc_id, page_num, text): twelve columns, flags as 0 or 1. names: doc_id, version, wg; the
+    sizes and the last page that may hold a table of contents are those of the configuration's ingest section."""
+    source = without_toc(lines(pages), last_toc_page)
+    df = chunks(blocks(aligned(source, headings(source))), least, most)
     if boilerplate:
         df = df.where(~T.is_boilerplate(F.col("clause_id"), F.col("page_end"), F.col("text")))
     if names is not None:

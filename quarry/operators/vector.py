@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators.lexical import topk
 
-MOST_QUERIES = 100_000
+#: So many numbers (32 MB) of queries are broadcast.
+MOST_NUMBERS = 4_000_000
 
 
 def unit(v: Column) -> Column:
@@ -25,30 +27,80 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
+def hashed(docs: DataFrame, dims: int = 64, body: str = "text") -> DataFrame:
+    """doc_id, embedding: a deterministic stand-in for a model's embedding. Each token adds 1 or -1 in a place that its digest
+    tells; the sum is scaled to length 1. A text without tokens has no row."""
+    tokens = docs.select("doc_id", F.explode(T.domain_tokens(F.col(body))).alias("t")).select("doc_id", F.conv(F.left(F.md5("t"), F.lit(7)), 16, 10).cast("bigint").alias("h"))
+    sums = tokens.select("doc_id", (F.col("h") % dims).cast("int").alias("i"), (1 - 2 * (F.floor(F.col("h") / 2**20) % 2)).alias("x")).groupBy("doc_id", "i").agg(F.sum("x").cast("double").alias("x"))
+    held = sums.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))  # at most dims entries
+    full = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
+    return held.select("doc_id", unit(full).alias("embedding"))
+
+
+def encoded(docs: DataFrame, make: Callable[[], object], body: str = "text") -> DataFrame:
+    """doc_id, embedding by a model, made once per task: make() gives an object with encode(texts) -> rows of numbers; rows are
+    scaled to length 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for whole in batches:
+            for at in range(0, len(whole), 64):
+                part = whole.slice(at, 64)
+                x = np.asarray(model.encode(part.column(1).to_pylist()), float)
+                x = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "embedding"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), T.text(body).alias("text")).mapInArrow(run, "doc_id bigint, embedding array<double>")
+
+
+def _best(names: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[pa.Array]:
+    """Columns query_id, doc_id, score of the k best rows of x for each row of q, ties to the smaller id."""
+    out: list[list[np.ndarray]] = [[], [], []]
+    for at in range(0, len(q), 256):
+        s = (q[at : at + 256] @ x.T).round(6) + 0.0
+        best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+        for to, values in zip(out, (np.repeat(names[at : at + 256], best.shape[1]), ids[best].ravel(), np.take_along_axis(s, best, axis=1).ravel())):
+            to.append(values)
+    return [pa.array(np.concatenate(o)) for o in out]
+
+
+def _matrix(rows: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.array(rows.to_pylist(), float)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, most_numbers: int = MOST_NUMBERS) -> DataFrame:
     """query_id, doc_id, score (six decimals), rank. vectors: doc_id, embedding; queries: query_id, embedding.
 
-    The queries are broadcast as one matrix, refused beyond MOST_QUERIES; each block of vectors is scored with one
-    product and gives its k best per query, so what is shuffled is k rows per query and block.
+    While the queries hold at most `most_numbers` numbers, counted beforehand, they are broadcast as one matrix and each block
+    of vectors gives its k best per query. Beyond that both sides are dealt in blocks, and each pair of blocks is one task.
+    What is shuffled in the end is k rows per query and block.
     """
     if where is not None:
         vectors = vectors.where(where)
-    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).limit(MOST_QUERIES + 1).toArrow()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: search them in several calls")
-    shared = vectors.sparkSession.sparkContext.broadcast((asked.column("query_id").to_numpy(), np.array(asked.column("v").to_pylist(), float)))
+    out = "query_id bigint, doc_id bigint, score double"
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")).where("query_id is not null and q is not null")
+    rows = vectors.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
+    if n * (width or 0) <= most_numbers:
+        table = asked.toArrow()
+        shared = vectors.sparkSession.sparkContext.broadcast((table.column("query_id").to_numpy(), _matrix(table.column("q"))))
 
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
-        for whole in batches:
-            for at in range(0, len(whole), 4096):
-                part = whole.slice(at, 4096)
-                ids, x = part.column(0).to_numpy(), np.array(part.column(1).to_pylist(), float)
-                if not len(names):
-                    continue
-                s = (q @ x.T).round(6) + 0.0
-                best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(s, best, axis=1).ravel())], ["query_id", "doc_id", "score"])
-
-    found = vectors.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(block, "query_id bigint, doc_id bigint, score double")
-    return topk(found, k)
+        def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            for whole in batches:
+                for at in range(0, len(whole) if len(names) else 0, 4096):
+                    part = whole.slice(at, 4096)
+                    yield pa.RecordBatch.from_arrays(_best(names, q, part.column(0).to_numpy(), _matrix(part.column(1)), k), ["query_id", "doc_id", "score"])
+
+        return topk(rows.mapInArrow(block, out), k)
+    size = max(1, most_numbers // (4 * width))
+    qs, vs = -(-n // size), max(1, -(-rows.count() // (4 * size)))
+    left = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(vs)).alias("vb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(qs - 1).cast("bigint"))).alias("qb"), "doc_id", "v")
+    right = asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(vs - 1).cast("bigint"))).alias("vb"), F.pmod(F.xxhash64("query_id"), F.lit(qs)).alias("qb"), "query_id", "q")
+
+    def pair(v: pa.Table, q: pa.Table) -> pa.Table:
+        if not len(v) or not len(q):
+            return pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64()))})
+        return pa.table(_best(q.column("query_id").to_numpy(), _matrix(q.column("q")), v.column("doc_id").to_numpy(), _matrix(v.column("v")), k), ["query_id", "doc_id", "score"])
+
+    return topk(left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(pair, out), k)

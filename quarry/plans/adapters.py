@@ -102,6 +102,47 @@ class Remote:
         return [self._one(p, max_tokens=max_new_tokens, temperature=temperature, top_p=top_p) for p in prompts]
 
 
+@dataclass
+class Sentences:
+    """Embeddings of the sentence-transformers library."""
+
+    name: str = "sentence-transformers/all-MiniLM-L6-v2"
+
+    def __post_init__(self) -> None:
+        from sentence_transformers import SentenceTransformer
+
+        self.model = SentenceTransformer(self.name)
+
+    def encode(self, texts: list[str]):
+        return self.model.encode(texts, batch_size=64, show_progress_bar=False, convert_to_numpy=True, normalize_embeddings=True)
+
+
+@dataclass
+class Pairs:
+    """A cross-encoder of the sentence-transformers library, which scores (question, text)."""
+
+    name: str = "cross-encoder/ms-marco-MiniLM-L-6-v2"
+    batch: int = 64
+    max_length: int = 512
+
+    def __post_init__(self) -> None:
+        from sentence_transformers import CrossEncoder
+
+        self.model = CrossEncoder(self.name, max_length=self.max_length)
+
+    def score(self, pairs: list[tuple[str, str]]):
+        return self.model.predict(pairs, batch_size=self.batch, show_progress_bar=False)
+
+
+@dataclass
+class SharedWords:
+    """A deterministic stand-in for a cross-encoder: the share of the question's words that the text has."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]:
+        words = [(set(re.findall(r"[a-z0-9]+", q.lower())), set(re.findall(r"[a-z0-9]+", t.lower()))) for q, t in pairs]
+        return [len(q & t) / max(1, len(q)) for q, t in words]
+
+
 def adapter(kind: str, name: str = "", url: str = "") -> Callable[[], Model]:
     """A factory that executors call once per worker: stub, local, chat, vllm, or remote (also vllm_api, openai)."""
     made: dict[str, Callable[[], Model]] = {"stub": Stub, "local": lambda: Local(name, chat="gemma" in name.lower()), "chat": lambda: Local(name, chat=True), "vllm": lambda: Batched(name)}

@@ -1,44 +1,71 @@
-"""Whole plans over many questions at once: retrieve, rerank, gate, expand, trim, prompt, generate, parse."""
+"""Whole plans over many questions at once: retrieve, rerank, gate, rewrite, expand, trim, prompt, generate, parse."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import answers, context, fuse, lexical, vector
-from quarry.plans.adapters import Model, Stub, generated
-from quarry.sources.tables import Config
+from quarry.operators import answers, context, fuse, lexical, segment, vector
+from quarry.plans.adapters import Model, adapter, generated
+from quarry.sources.tables import Config, stored
+
+
+def health() -> dict[str, bool]:
+    return {"ok": True}
+
+
+def build_corpus(pages: DataFrame, names: DataFrame | None = None, config: Config = Config()) -> DataFrame:
+    """The chunk table of pages (doc_id, page_num, text) as the configuration's ingest section asks."""
+    i = config.ingest
+    kept = pages if i.max_pages is None else pages.where(F.col("page_num") <= i.max_pages)
+    return segment.corpus(kept, names, least=i.min_chunk_chars, most=i.max_chunk_chars, last_toc_page=i.max_toc_page)
 
 
 @dataclass
 class Engine:
     """chunks: the chunk table; vectors: chunk_id, embedding, or None; a question frame has query_id, question, and embedding
-    where vectors are used. Ids of chunks are numbered once, so that retrieval moves numbers, not strings."""
+    where vectors are used. Ids of chunks are numbered once, so that retrieval moves numbers, not strings. index: a stored
+    lexical index of index_texts(); without one it is built for each search. model: makes the generating model; None takes the
+    configuration's."""
 
     chunks: DataFrame
     vectors: DataFrame | None = None
     config: Config = Config()
     scorer: Callable[[DataFrame], DataFrame] | None = fuse.lexical_scorer
-    model: Callable[[], Model] = Stub
+    model: Callable[[], Model] | None = None
+    index: lexical.Index | None = None
 
     def __post_init__(self) -> None:
-        self.docs = self.chunks.select(F.xxhash64("chunk_id").alias("doc_id"), "chunk_id", T.search_text(F.col("title"), F.col("clause_id"), F.col("text")).alias("text"), "wg")
+        self.docs = self.chunks.select(F.xxhash64("chunk_id").alias("doc_id"), *[F.col(c).alias("document" if c == "doc_id" else c) for c in self.chunks.columns if c not in ("text", "document")], T.search_text(F.col("title"), F.col("clause_id"), F.col("text")).alias("text"))
+        if self.model is None:
+            self.model = adapter(self.config.model.adapter, self.config.model.name, self.config.model.url)
+
+    def index_texts(self) -> DataFrame:
+        """doc_id, text: what a lexical index is built of."""
+        return self.docs.select("doc_id", "text")
+
+    def _where(self, filters: dict[str, str] | None) -> Column | None:
+        named = {"document" if k == "doc_id" else k: v for k, v in fuse.definition_first(filters).items()}
+        return T.matches(named, self.docs.columns) if named else None
 
     def retrieve(self, questions: DataFrame, filters: dict[str, str] | None = None) -> DataFrame:
         """query_id, doc_id, score, rank: both lists fused; the lexical one alone where there are no vectors."""
-        r, where = self.config.retrieval, T.matches(filters, self.docs.columns) if filters else None
-        lists = {"bm25": lexical.search(self.docs, questions.select("query_id", F.col("question").alias("text")), r.bm25_topk, where)}
+        r, where = self.config.retrieval, self._where(filters)
+        lists = {"bm25": lexical.search(self.docs, questions.select("query_id", F.col("question").alias("text")), r.bm25_topk, where, self.index)}
         if self.vectors is not None and "embedding" in questions.columns:
-            own = self.vectors.join(self.docs.where(where) if where is not None else self.docs, "chunk_id").select("doc_id", "embedding")
+            own = self.vectors.join((self.docs.where(where) if where is not None else self.docs).select("chunk_id", "doc_id"), "chunk_id").select("doc_id", "embedding")
             lists["dense"] = vector.search(own, questions.select("query_id", "embedding"), r.dense_topk)
         return fuse.rrf(lists, r.rrf_k, {"bm25": r.weight_bm25, "dense": r.weight_dense}, {"bm25": r.cap_bm25, "dense": r.cap_dense}, r.fused_topk)
 
+    def _ranked(self, questions: DataFrame, fused: DataFrame) -> DataFrame:
+        return fuse.rerank(fused, questions.select("query_id", "question"), self.docs.select("doc_id", F.col("text").alias("body")), self.config.retrieval.rerank_topk, self.scorer)
+
     def reranked(self, questions: DataFrame, filters: dict[str, str] | None = None) -> DataFrame:
-        return fuse.rerank(self.retrieve(questions, filters), questions.select("query_id", "question"), self.docs.select("doc_id", F.col("text").alias("body")), self.config.retrieval.rerank_topk, self.scorer)
+        return self._ranked(questions, self.retrieve(questions, filters))
 
     def search(self, questions: DataFrame, filters: dict[str, str] | None = None, top_k: int = 10) -> DataFrame:
         """query_id, rank, chunk_id, score, preview and the chunk's columns; at most 50, and no more than are reranked."""
@@ -46,19 +73,83 @@ class Engine:
         named = hits.join(self.docs.select("doc_id", "chunk_id"), "doc_id").drop("doc_id")
         return named.join(self.chunks, "chunk_id").withColumn("preview", T.preview(F.col("text"), 300)).drop("text")
 
+    def _generated(self, prompts: DataFrame, **more: float) -> DataFrame:
+        m = self.config.model
+        return generated(prompts, self.model, **({"max_new_tokens": m.max_new_tokens, "temperature": m.temperature, "top_p": m.top_p} | more))
+
+    def rewritten(self, questions: DataFrame) -> DataFrame:
+        """query_id, question (the new one if it is used), raw, clean, used, reject_reason: one guarded rewriting each, at
+        temperature 0."""
+        raw = self._generated(context.rewrite_prompts(questions), max_new_tokens=64, temperature=0.0, top_p=1.0)
+        out = questions.join(raw, "query_id", "left").withColumn("r", T.computed(answers.rewrite_outcome(F.col("raw"), F.col("question"))))
+        return out.select("query_id", "r.question", "raw", "r.clean", "r.used", "r.reject_reason")
+
+    def rewritten_unguarded(self, questions: DataFrame) -> DataFrame:
+        """query_id, question, raw: the first line of the model's answer, whatever it is; the old question where there is none."""
+        raw = self._generated(context.rewrite_prompts(questions), max_new_tokens=64, temperature=0.2, top_p=0.9)
+        line = F.get(F.split(T.strip(T.text("raw")), T.LINE_END), F.lit(0))
+        return questions.join(raw, "query_id", "left").select("query_id", F.when(T.strip(T.text("raw")) == "", F.col("question")).otherwise(line).alias("question"), "raw")
+
+    def _gated(self, questions: DataFrame, filters: dict[str, str] | None, rewrite: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """The reranked and the fused hits, the gates, and query_id, round, query (what was asked last): a question that fails
+        the gate is asked again in other words, from its first wording, while rounds are left. Only failed ones are. The hits of
+        each round, a few dozen rows a question, are stored, as all that follows reads them."""
+        gate = self.config.gate
+        fused = stored(self.retrieve(questions, filters))
+        seeds = stored(self._ranked(questions, fused))
+        gates = fuse.gate(seeds, questions, gate.min_score)
+        asked = questions.select("query_id", F.lit(1).alias("round"), F.col("question").alias("query"))
+        for i in range(2, gate.max_rounds + 1 if gate.enabled and rewrite else 2):
+            failed = questions.join(gates.where("fallback"), "query_id", "left_semi")
+            new = stored(failed.drop("question").join(rewrite(failed).select("query_id", "question"), "query_id"))
+            again = stored(self.retrieve(new, filters))
+            named = new.select("query_id")
+            swap = lambda old, more: old.join(named, "query_id", "left_anti").unionByName(more)
+            fused, seeds = stored(swap(fused, again)), stored(swap(seeds, self._ranked(new, again)))
+            asked = stored(swap(asked, new.select("query_id", F.lit(i).alias("round"), F.col("question").alias("query"))))
+            gates = fuse.gate(seeds, questions, gate.min_score)
+        return seeds, fused, gates, asked
+
+    def contexts(self, seeds: DataFrame, top_k: int) -> DataFrame:
+        """query_id, place and the columns of the chunks that go into each prompt."""
+        first = seeds.where(F.col("rank") <= max(3, top_k)).join(self.docs.select("doc_id", "chunk_id"), "doc_id").select("query_id", "chunk_id")
+        near = context.neighbours(first, self.chunks, self.config.packing.neighbor_window)
+        return context.trimmed(near.join(self.chunks, "chunk_id"), self.config.packing.max_context_chars)
+
+    def _answered(self, questions: DataFrame, seeds: DataFrame, top_k: int) -> DataFrame:
+        """query_id, prompt, raw, answer, citations, mode."""
+        prompts = context.prompts(questions.select("query_id", "question"), self.contexts(seeds, top_k))
+        return answers.parsed(prompts.join(self._generated(prompts), "query_id")).select("query_id", "prompt", "raw", "answer", "citations", "mode")
+
     def ask(self, questions: DataFrame, filters: dict[str, str] | None = None, top_k: int = 5, rewrite: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """query_id, answer, citations, mode, raw, fallback. rewrite: query_id, question to query_id, question, for the
-        questions that the gate fails; what it gives is used where rewrite_fault finds nothing wrong."""
-        seeds = self.reranked(questions, filters)
-        gates = fuse.gate(seeds, questions, self.config.gate.min_score)
-        for _ in range(max(0, self.config.gate.max_rounds - 1) if rewrite else 0):
-            failed = questions.join(gates.where("fallback"), "query_id", "left_semi")
-            new = rewrite(failed).select("query_id", answers.one_line(F.col("question")).alias("question")).where(answers.rewrite_fault(F.col("question")) == "")
-            again = self.reranked(new, filters)
-            seeds = seeds.join(again.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
-            gates = fuse.gate(seeds, questions, self.config.gate.min_score)
-        seeds = seeds.where(F.col("rank") <= max(3, top_k)).join(self.docs.select("doc_id", "chunk_id"), "doc_id").select("query_id", "chunk_id")
-        near = context.neighbours(seeds, self.chunks, self.config.packing.neighbor_window)
-        contexts = context.trimmed(near.join(self.chunks, "chunk_id").select("query_id", "doc_id", "clause_id", "chunk_id", "text"), self.config.packing.max_context_chars)
-        raw = generated(context.prompts(questions.select("query_id", "question"), contexts), self.model)
-        return answers.parsed(raw).join(gates.select("query_id", "fallback"), "query_id").select("query_id", "answer", "citations", "mode", "raw", "fallback")
+        questions that the gate fails; the guarded rewriting by the model if None."""
+        seeds, _, gates, _ = self._gated(questions, filters, rewrite or self.rewritten)
+        return self._answered(questions, seeds, top_k).join(gates.select("query_id", "fallback"), "query_id").select("query_id", "answer", "citations", "mode", "raw", "fallback")
+
+    def _tops(self, fused: DataFrame, seeds: DataFrame, k: int = 5) -> DataFrame:
+        """query_id, fused_top, reranked_top: score and chunk of the first k hits of both lists."""
+        ids = self.docs.select("doc_id", "chunk_id")
+        one = lambda df, name: df.where(F.col("rank") <= k).join(ids, "doc_id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score", "chunk_id"))), lambda x: F.struct(x["score"].alias("score"), x["chunk_id"].alias("chunk_id"))).alias(name))
+        return one(fused, "fused_top").join(one(seeds, "reranked_top"), "query_id", "full")
+
+    def logged(self, questions: DataFrame, filters: dict[str, str] | None = None, top_k: int = 5, max_prompt: int = 2000, max_raw: int = 2000) -> DataFrame:
+        """What ask() gives, with unguarded rewriting, and what happened on the way: round, query, fused_top, reranked_top,
+        prompt and raw (cut, with a note of their length). questions may have asked, the wording for the model where it
+        differs from the one that is searched for."""
+        seeds, fused, _, asked = self._gated(questions, filters, self.rewritten_unguarded)
+        worded = questions.withColumn("question", F.coalesce("asked", "question")) if "asked" in questions.columns else questions
+        out = self._answered(worded, seeds, top_k).join(asked, "query_id").join(self._tops(fused, seeds), "query_id", "left")
+        return out.select("query_id", "answer", "citations", "mode", "round", "query", "fused_top", "reranked_top", T.truncated(F.col("prompt"), max_prompt).alias("prompt"), T.truncated(F.col("raw"), max_raw).alias("raw"))
+
+    def mini(self, examples: DataFrame, top_k: int = 10, keep_raw: bool = False) -> DataFrame:
+        """examples (query_id, question, options, gold, and embedding where vectors are used) answered without the gate, each
+        as a multiple-choice prompt, with pred_num, acc, citations and the hits; with keep_raw the first 2,000 characters of
+        the answer and 3,000 of the prompt."""
+        fused = stored(self.retrieve(examples))
+        seeds = stored(self._ranked(examples, fused))
+        asked = examples.withColumn("question", T.mcq_prompt(F.col("question"), F.col("options"))).select("query_id", "question")
+        out = examples.drop("embedding").join(self._answered(asked, seeds, top_k), "query_id").join(self._tops(fused, seeds), "query_id", "left")
+        number = answers.option_number(F.col("answer"))
+        more = [F.left("raw", F.lit(2000)).alias("raw"), F.left("prompt", F.lit(3000)).alias("prompt")] if keep_raw else []
+        return out.select("query_id", "question", "options", "gold", number.alias("pred_num"), F.col("answer").alias("pred_text"), answers.exact_match(number, F.col("gold")).alias("acc"), "citations", "fused_top", "reranked_top", *more)

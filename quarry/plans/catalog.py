@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import answers, context, evaluate, fuse, lexical, profile, segment, vector
-from quarry.sources import tables
+from quarry.plans import adapters
+from quarry.sources import reports, store, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,11 +34,16 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are worked on."""
+    return tables.spread(_t(spark, sf, name))
+
+
 # ---- views that several queries share -------------------------------------------------------------------------------
 
 
 def spec_lines(spark: SparkSession, sf: str) -> DataFrame:
-    raw = _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "l")).select("doc_id", "i", F.regexp_replace("l", r"\s+$", "").alias("l")).where("l != ''")
+    raw = _texts(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "l")).select("doc_id", "i", F.regexp_replace("l", r"\s+$", "").alias("l")).where("l != ''")
     number = F.when(F.col("i") % 7 == 3, F.concat((F.floor(F.col("i") / 49) + 1).cast("string"), F.lit("."), (F.floor(F.col("i") / 14) % 7 + 1).cast("string"), F.lit(" "))).otherwise("")
     modal = F.when(F.col("i") % 5 == 0, " shall apply.").otherwise("")
     return raw.select("doc_id", (F.floor(F.col("i") / 40) + 1).cast("int").alias("page_num"), F.col("i").alias("line_no"), F.concat(number, F.col("l"), modal).alias("line"))
@@ -160,7 +166,7 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf: str, k: int, where=None) -> DataFrame:
-    return lexical.search(_t(spark, sf, "documents").select("doc_id", "text", "lang", "source"), _asked(spark, sf), k, where)
+    return lexical.search(_texts(spark, sf).select("doc_id", "text", "lang", "source"), _asked(spark, sf), k, where)
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -211,9 +217,15 @@ def bm25_topk_filtered(spark, sf):
 
 @query(f"WITH {_bm25(1)} SELECT term, df, round(idf, 6) AS idf FROM tidf")
 def term_stats(spark, sf):
-    docs = _t(spark, sf, "documents")
-    stats = lexical.term_stats(lexical.postings(docs), docs.agg(F.count(F.lit(1)).alias("n")))
-    return stats.select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.build(_texts(spark, sf)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_bm25(10)} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm")
+def bm25_stored_index(spark, sf):
+    """bm25_topk over an index that is written and loaded again."""
+    path = tables.scratch(spark)
+    lexical.build(_texts(spark, sf).select("doc_id", "text")).save(path)
+    return lexical.search(_t(spark, sf, "documents"), _asked(spark, sf), 10, index=lexical.Index.load(spark, path))
 
 
 @query(f"WITH {_dense(10)} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM dn")
@@ -228,6 +240,24 @@ def dense_topk_filtered(spark, sf):
     return vector.search(v, q, 10, T.matches({"label": "3"}, v.columns))
 
 
+@query(f"WITH {_dense(10)} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM dn")
+def dense_topk_blocked(spark, sf):
+    """dense_topk with queries too many to be broadcast, as it were: pairs of blocks."""
+    v, q = _vectors(spark, sf)
+    return vector.search(v, q, 10, most_numbers=1000)
+
+
+@query(
+    f"""WITH h AS (SELECT doc_id, ('0x' || left(md5(t), 7))::BIGINT AS h FROM (SELECT doc_id, unnest({_TOKENS}) AS t FROM documents)),
+  v AS (SELECT doc_id, h % 64 AS slot, sum(1 - 2 * ((h // 1048576) % 2))::DOUBLE AS x FROM h GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM v GROUP BY doc_id)
+  SELECT doc_id, CAST(slot AS INTEGER) AS slot, round(CASE WHEN n = 0 THEN x ELSE x / n END, 6) AS value FROM v JOIN n USING (doc_id) WHERE x <> 0"""
+)
+def embed_hashed(spark, sf):
+    """The places that aren't 0 of each document's stand-in embedding."""
+    e = vector.hashed(_texts(spark, sf).select("doc_id", "text"))
+    return e.select("doc_id", F.posexplode("embedding").alias("slot", "value")).where("value != 0").select("doc_id", "slot", F.round("value", 6).alias("value"))
+
+
 @query(_fsql() + " SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM fused")
 def rrf_fuse(spark, sf):
     return _fused(spark, sf)
@@ -243,6 +273,16 @@ def overlap_rerank(spark, sf):
     return _reranked(spark, sf)
 
 
+@query(
+    _fsql() + """, words AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark), sc2 AS (SELECT f.query_id, f.doc_id, round(len(list_intersect(q, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')))) / greatest(1, len(q))::DOUBLE, 6) AS score FROM fused f JOIN words USING (query_id) JOIN documents d USING (doc_id))
+  SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc2) WHERE rank <= 12"""
+)
+def model_rerank(spark, sf):
+    """Reranking through the adapter of pair models, with the stand-in model."""
+    bodies = _t(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
+    return fuse.rerank(_fused(spark, sf), _asked(spark, sf).withColumnRenamed("text", "question"), bodies, scorer=fuse.model_scorer(adapters.SharedWords))
+
+
 @query(_fsql() + _RERANKED + " SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, r.doc_id, r.score, d.source, CASE WHEN length(d.text) > 300 THEN left(d.text, 300) || '...' ELSE d.text END AS preview FROM rerank r JOIN documents d USING (doc_id) WHERE rank <= 10")
 def hybrid_search(spark, sf):
     hits = _reranked(spark, sf).where("rank <= 10")
@@ -254,24 +294,44 @@ def gate_fallback(spark, sf):
     return fuse.gate(_reranked(spark, sf), _asked(spark, sf), 0.25)
 
 
-@query(
-    _fsql() + _RERANKED + """, cl AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'UNKNOWN' ELSE '4.' || (doc_id % 7) END AS clause_id FROM documents WHERE doc_id % 11 <> 0),
-  fa AS (SELECT round(avg(score), 6) AS fused_mean, round(median(score), 6) AS fused_median, round(avg(CASE WHEN clause_id = 'UNKNOWN' THEN 1 ELSE 0 END), 6) AS unknown_rate, CAST(sum(CASE WHEN clause_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM fused LEFT JOIN cl USING (doc_id)),
-  ra AS (SELECT round(avg(score), 6) AS rerank_mean, round(median(score), 6) AS rerank_median FROM rerank) SELECT * FROM fa, ra"""
+_AUDIT = (
+    _fsql() + _RERANKED + f""", cl AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'UNKNOWN' ELSE '4.' || (doc_id % 7) END AS clause_id, trim(left(replace(text, chr(10), chr(32)), 700)) AS snippet FROM documents WHERE doc_id % 11 <> 0),
+  hits AS (SELECT 'fused' AS list, query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM fused UNION ALL SELECT 'reranked', query_id, doc_id, score, CAST(rank AS INTEGER) FROM rerank),
+  audited AS (SELECT h.*, c.clause_id, c.snippet, round(len(list_intersect({_KEYS('b.text')}, coalesce({_KEYS('c.snippet')}, []))) / greatest(1, len({_KEYS('b.text')}))::DOUBLE, 6) AS overlap FROM hits h JOIN benchmark b ON b.item_id = h.query_id LEFT JOIN cl c USING (doc_id))"""
 )
+
+
+def _audited(spark: SparkSession, sf: str) -> DataFrame:
+    clause = F.when(F.col("doc_id") % 7 == 0, "UNKNOWN").otherwise(F.concat(F.lit("4."), (F.col("doc_id") % 7).cast("string")))
+    chunks = _t(spark, sf, "documents").where("doc_id % 11 != 0").select("doc_id", clause.alias("clause_id"), "text")
+    return evaluate.audit_rows(_fused(spark, sf), _reranked(spark, sf), _asked(spark, sf).withColumnRenamed("text", "question"), chunks)
+
+
+@query(_AUDIT + " SELECT query_id, list, rank, score, doc_id, clause_id, snippet, overlap FROM audited")
+def retrieval_audit_rows(spark, sf):
+    return _audited(spark, sf)
+
+
+_HALF = lambda name, own, value: f"round(coalesce(avg({value}) FILTER ({own}), 0), 6) AS {name}_mean, round(coalesce(median({value}) FILTER ({own}), 0), 6) AS {name}_median"
+
+
+@query(
+    _AUDIT + f" SELECT {_HALF('fused', 'list = ' + repr('fused'), 'score')}, {_HALF('fused_overlap', 'list = ' + repr('fused'), 'overlap')}, {_HALF('rerank', 'list <> ' + repr('fused'), 'score')}, {_HALF('rerank_overlap', 'list <> ' + repr('fused'), 'overlap')},"
+    " round(avg(CASE WHEN clause_id = 'UNKNOWN' THEN 1 ELSE 0 END) FILTER (list = 'fused'), 6) AS unknown_rate, count(*) FILTER (list = 'fused' AND clause_id IS NULL) AS missing, (SELECT count(*) FROM benchmark) AS questions FROM audited"
+)
 def retrieval_audit_summary(spark, sf):
-    clauses = _t(spark, sf, "documents").where("doc_id % 11 != 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "UNKNOWN").otherwise(F.concat(F.lit("4."), (F.col("doc_id") % 7).cast("string"))).alias("clause_id"))
-    return evaluate.audit(_fused(spark, sf), _reranked(spark, sf), clauses)
+    return evaluate.audit(_audited(spark, sf), _asked(spark, sf))
 
 
-_OWN = "SELECT doc_id AS query_id, left(text, 400) AS text FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100"
+_OWN = "SELECT doc_id AS query_id, concat_ws(chr(10), coalesce(source, ''), coalesce(lang, ''), left(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 400)) AS text FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100"
 
 
 @query(f"WITH {_bm25(10, _OWN)}, own AS (SELECT query_id, min(rank) AS rank FROM bm WHERE query_id = doc_id GROUP BY query_id) SELECT count(*) AS queries, round(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1 END), 6) AS hit_rate, round(coalesce(avg(rank), 0), 6) AS mean_rank FROM asked LEFT JOIN own USING (query_id)")
 def self_retrieval_bm25(spark, sf):
-    """A sample (the feature) of 100 documents, each asked for by its own first 400 characters."""
-    docs = _t(spark, sf, "documents")
-    asked = profile.sampled(docs, "doc_id", 100).select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(400)).alias("text"))
+    """A sample (the feature) of 100 documents, each asked for by its source and language in the place of a title and a clause
+    and its own first 400 characters."""
+    docs = _texts(spark, sf)
+    asked = profile.sampled(docs, "doc_id", 100).select(F.col("doc_id").alias("query_id"), T.self_query(F.col("source"), F.col("lang"), F.col("text")).alias("text"))
     return profile.self_retrieval_with(lambda d, q: lexical.search(d, q, 10), docs, asked)
 
 
@@ -292,14 +352,14 @@ def self_retrieval_dense(spark, sf):
 
 @query(r"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS line_no, l AS line FROM (SELECT doc_id, i, regexp_replace(l, '\s+$', '') AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)) WHERE l <> ''")
 def lines_split(spark, sf):
-    pages = _t(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_num"), "text")
+    pages = _texts(spark, sf).select("doc_id", F.lit(1).alias("page_num"), "text")
     return segment.lines(pages).select("doc_id", "line_no", "line")
 
 
 @query(r"SELECT doc_id, md5(n) AS hash, length(n) AS n, length(c) AS cleaned FROM (SELECT doc_id, trim(regexp_replace(replace(text, chr(160), ' '), '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS n, regexp_replace(regexp_replace(replace(text, chr(173), ''), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS c FROM documents)")
 def text_normalise(spark, sf):
     n, c = T.normalised(F.col("text")), T.without_artefacts(F.col("text"))
-    return _t(spark, sf, "documents").select("doc_id", F.md5(n).alias("hash"), F.length(n).cast("bigint").alias("n"), F.length(c).cast("bigint").alias("cleaned"))
+    return _texts(spark, sf).select("doc_id", F.md5(n).alias("hash"), F.length(n).cast("bigint").alias("n"), F.length(c).cast("bigint").alias("cleaned"))
 
 
 _MARK = " OR ".join(f"contains(low, '{m}')" for m in T.DEFINITION_MARKERS)
@@ -331,12 +391,12 @@ def wg_version_from_name(spark, sf):
 
 @query(f"SELECT doc_id, CAST(len(toks) AS BIGINT) AS n, md5(array_to_string(toks, ' ')) AS hash FROM (SELECT doc_id, {_TOKENS} AS toks FROM documents)")
 def domain_tokens(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", T.domain_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("hash"))
+    return _texts(spark, sf).select("doc_id", T.domain_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("hash"))
 
 
 @query(r"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, ' ')) AS hash FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_/\-.]+'), lambda x: lower(x)) AS t FROM documents)")
 def simple_tokens(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", T.simple_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("hash"))
+    return _texts(spark, sf).select("doc_id", T.simple_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("hash"))
 
 
 @query(f"SELECT item_id, round(len(list_intersect({_KEYS('b.text')}, {_KEYS('d.text')})) / greatest(1, len({_KEYS('b.text')}))::DOUBLE, 6) AS overlap FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
@@ -346,11 +406,11 @@ def keyword_overlap(spark, sf):
 
 
 @query(
-    """SELECT page_id, replace(replace(replace(left(html, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, length(html) - length(replace(html, chr(10), '')) + 1 AS n_lines,
+    """SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped, length(html) - length(replace(html, chr(10), '')) + 1 AS n_lines,
   CASE WHEN length(html) > 100 THEN left(html, 100) || '...(truncated, len=' || length(html) || ')' ELSE html END AS short, left(replace(html, chr(10), ' '), 700) AS snippet, coalesce(TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS INTEGER), -1) AS n FROM pages"""
 )
 def previews(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", T.html_escape(F.left("html", F.lit(400))).alias("escaped"), T.line_count(F.col("html")).cast("bigint").alias("n_lines"), T.truncated(F.col("html"), 100).alias("short"), T.snippet(F.col("html")).alias("snippet"), T.safe_int(F.regexp_extract("url", "/([0-9]+)", 1), -1).alias("n"))
+    return _t(spark, sf, "pages").select("page_id", F.md5(T.html_escape(F.col("html"))).alias("escaped"), T.line_count(F.col("html")).cast("bigint").alias("n_lines"), T.truncated(F.col("html"), 100).alias("short"), T.snippet(F.col("html")).alias("snippet"), T.safe_int(F.regexp_extract("url", "/([0-9]+)", 1), -1).alias("n"))
 
 
 # ---- segmentation ---------------------------------------------------------------------------------------------------
@@ -385,30 +445,45 @@ def chunk_ids(spark, sf):
     return spec_chunks(spark, sf).select("chunk_id", "doc_id", "section_path")
 
 
+_CUT = r"""flatten(list_transform(list_filter(string_split(regexp_replace(body, '([.?!;:])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: CASE WHEN length(x) > 2200
+    THEN list_transform(range(0, (length(x) - 1) // 2200 + 1), lambda i: {'out': []::VARCHAR[], 'buf': substr(x, i * 2200 + 1, 2200), 'hard': true}) ELSE [{'out': []::VARCHAR[], 'buf': x, 'hard': false}] END))"""
+_FOLD = """list_reduce(parts, lambda a, x: CASE WHEN a.hard OR x.hard OR length(a.buf) + 1 + length(x.buf) > 2200 THEN {'out': list_append(a.out, a.buf), 'buf': x.buf, 'hard': x.hard}
+    ELSE {'out': a.out, 'buf': a.buf || ' ' || x.buf, 'hard': false} END)"""
+
+
 @query(
-    r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace(body, '([.?!;:])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM documents)),
-  f AS (SELECT doc_id, parts, 1 AS i, 0 AS piece, parts[1] AS buf FROM s WHERE len(parts) > 0
-    UNION ALL SELECT doc_id, parts, i + 1, CASE WHEN length(buf) + 1 + length(parts[i + 1]) <= 2200 THEN piece ELSE piece + 1 END, CASE WHEN length(buf) + 1 + length(parts[i + 1]) <= 2200 THEN buf || ' ' || parts[i + 1] ELSE parts[i + 1] END FROM f WHERE i < len(parts)),
-  p AS (SELECT doc_id, piece, arg_max(buf, i) AS piece_text FROM f WHERE NOT list_has_any(list_transform(parts, lambda x: length(x) > 2200), [true]) GROUP BY doc_id, piece)
-  SELECT doc_id, CAST(piece AS INTEGER) AS piece, length(piece_text) AS n, md5(piece_text) AS hash FROM p"""
+    rf"""WITH s AS (SELECT doc_id, {_CUT} AS parts FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM documents)),
+  f AS (SELECT doc_id, {_FOLD} AS r FROM s WHERE len(parts) > 0), p AS (SELECT doc_id, list_append(r.out, r.buf) AS l FROM f)
+  SELECT doc_id, CAST(piece AS INTEGER) AS piece, length(t) AS n, md5(t) AS hash FROM (SELECT doc_id, unnest(l) AS t, unnest(range(len(l))) AS piece FROM p)"""
 )
 def sentence_pack(spark, sf):
-    """Documents whose sentences all fit, as in the statement; sentence_pack_all has all documents."""
-    s = _t(spark, sf, "documents").select("doc_id", segment.sentences(T.normalised(F.col("text"))).alias("s"))
-    s = s.where(F.forall("s", lambda x: F.length(x) <= segment.MOST)).withColumn("p", segment.packed(F.col("s")))
+    s = _texts(spark, sf).select("doc_id", segment.packed(segment.sentences(T.normalised(F.col("text")))).alias("p"))
     return s.select("doc_id", F.posexplode("p").alias("piece", "t")).select("doc_id", "piece", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("hash"))
 
 
-@query(None)
-def sentence_pack_all(spark, sf):
-    """Every document, those with overlong sentences too; tested against a fold in Python."""
-    s = _t(spark, sf, "documents").select("doc_id", segment.packed(segment.sentences(T.normalised(F.col("text")))).alias("p"))
-    return s.select("doc_id", F.posexplode("p").alias("piece", "t")).select("doc_id", "piece", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("hash"))
+_WHITE = "' ' || chr(9) || chr(10) || chr(13)"
+_DEFINES = lambda t: (
+    "(" + " OR ".join(f"contains(' ' || lower({t}) || ' ', '{m}')" for m in T.DEFINITION_MARKERS)
+    + rf" OR regexp_matches(left({t}, 400), '^[A-Z][A-Za-z0-9/\-\(\)\s]{{1,50}}\s*[:\-–]\s+\S+') OR (regexp_matches(split_part(left({t}, 400), chr(10), 1), '^\s*\d+(\.\d+){{0,3}}\s+[A-Z][A-Za-z0-9/\-\(\)\s]{{1,60}}\s*$') AND regexp_matches(lower({t}), '\b(is|are|means|refers to|shall mean)\b')))"
+)
+_FRONT = " OR ".join(f"contains(lower(text), '{m}')" for m in T.BOILERPLATE)
+_CHUNKS_FULL = (
+    _BLOCKS
+    + f""", packed AS (SELECT * EXCLUDE (parts), {_FOLD} AS r FROM (SELECT doc_id, block_i, clause_id, title, page_start, page_end, {_CUT} AS parts FROM blocks WHERE body <> '') WHERE len(parts) > 0),
+grown AS (SELECT * EXCLUDE (r), list_reduce(list_transform(list_append(r.out, r.buf), lambda x: {{'out': []::VARCHAR[], 'buf': x}}), lambda a, x: CASE WHEN length(a.buf) < 400 THEN {{'out': a.out, 'buf': trim(a.buf || ' ' || x.buf, {_WHITE})}} ELSE {{'out': list_append(a.out, a.buf), 'buf': x.buf}} END) AS r FROM packed),
+short AS (SELECT * EXCLUDE (r), list_reduce(list_transform(list_append(r.out, r.buf), lambda x: CASE WHEN trim(x, {_WHITE}) = '' THEN []::VARCHAR[] ELSE [trim(x, {_WHITE})] END), lambda a, x: CASE WHEN len(x) = 0 THEN a
+  WHEN len(a) > 0 AND length(x[1]) < 200 AND length(a[-1]) + 1 + length(x[1]) <= 2200 THEN list_append(a[1:len(a) - 1], a[-1] || ' ' || x[1]) ELSE list_concat(a, x) END) AS l FROM grown),
+kept AS (SELECT * EXCLUDE (l), list_filter(l, lambda t: length(t) >= 120 OR (length(t) >= 80 AND {_DEFINES('t')})) AS k FROM short),
+each AS (SELECT * EXCLUDE (k, piece), trim(regexp_replace(piece, '[ \\t]+', ' ', 'g'), {_WHITE}) AS text FROM (SELECT *, unnest(k) AS piece, unnest(range(len(k))) AS idx FROM kept)),
+full_chunks AS (SELECT printf('%s::%s::p%d-%d::b%04d::%04d::%d::%s', CAST(doc_id AS VARCHAR), clause_id, page_start, page_end, block_i, idx, length(text), left(md5(text), 8)) AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, 'v1' AS version, 'WG' || (doc_id % 11) AS wg, clause_id,
+  CASE WHEN clause_id = 'UNKNOWN' THEN 'UNKNOWN' ELSE trim(clause_id || ' ' || coalesce(title, '')) END AS section_path, coalesce(title, '') AS title, text, page_start, page_end, CAST({_DEFINES('text')} AS INTEGER) AS is_definition,
+  CAST(({' OR '.join(f"contains(lower(text), '{m}')" for m in T.NORMATIVE)}) AS INTEGER) AS is_normative FROM each WHERE length(text) >= 80 AND NOT (clause_id = 'UNKNOWN' AND page_end <= 8 AND ({_FRONT} OR (contains(lower(text), 'contents') AND contains(lower(text), 'intellectual property')))))"""
+)
 
 
-@query(None)
+@query(f"WITH {_CHUNKS_FULL} SELECT * FROM full_chunks")
 def chunks_full(spark, sf):
-    """The whole chunk table of the spec view; sequential folds, tested on fixtures."""
+    """The whole chunk table of the spec view."""
     pages = spec_lines(spark, sf).groupBy("doc_id", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     names = _t(spark, sf, "documents").select("doc_id", F.lit("v1").alias("version"), F.concat(F.lit("WG"), (F.col("doc_id") % 11).cast("string")).alias("wg"))
     return segment.corpus(pages, names)
@@ -416,17 +491,15 @@ def chunks_full(spark, sf):
 
 # ---- context --------------------------------------------------------------------------------------------------------
 
-_SEEDS = "seeds AS (SELECT doc_id % 10 AS query_id, chunk_id FROM chunks WHERE doc_id % 25 = 3)"
-_NEAR = (
-    _SEEDS
-    + """, pos AS (SELECT chunk_id, section_path, row_number() OVER (PARTITION BY section_path ORDER BY chunk_id) AS rn FROM chunks),
-near AS (SELECT DISTINCT s.query_id, b.chunk_id FROM seeds s JOIN pos a USING (chunk_id) JOIN pos b ON b.section_path = a.section_path AND abs(a.rn - b.rn) <= 1)"""
-)
+_NEAR = f"""{_bm25(10)}, seeds AS (SELECT DISTINCT bm.query_id, c.chunk_id FROM bm JOIN chunks c USING (doc_id)),
+pos AS (SELECT chunk_id, section_path, row_number() OVER (PARTITION BY section_path ORDER BY chunk_id) AS rn FROM chunks),
+near AS (SELECT DISTINCT s.query_id, b.chunk_id FROM seeds s JOIN pos a USING (chunk_id) JOIN pos b ON b.section_path = a.section_path AND b.rn BETWEEN a.rn - 1 AND a.rn + 1)"""
 
 
 def _near(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The seeds of every benchmark item, all chunks of its ten best documents, with their neighbours."""
     chunks = spec_chunks(spark, sf)
-    seeds = chunks.where("doc_id % 25 = 3").select((F.col("doc_id") % 10).alias("query_id"), "chunk_id")
+    seeds = bm25_topk(spark, sf).select("query_id", "doc_id").join(chunks.select("doc_id", "chunk_id"), "doc_id").select("query_id", "chunk_id").distinct()
     return context.neighbours(seeds, chunks), chunks
 
 
@@ -457,34 +530,6 @@ def prompt_assemble(spark, sf):
     return context.prompts(_asked(spark, sf).withColumnRenamed("text", "question"), _trimmed(spark, sf)).select("query_id", F.md5("prompt").alias("hash"))
 
 
-def _near_all(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The seeds of every benchmark item: all chunks of its ten best documents."""
-    chunks = spec_chunks(spark, sf)
-    seeds = bm25_topk(spark, sf).select("query_id", "doc_id").join(chunks.select("doc_id", "chunk_id"), "doc_id").select("query_id", "chunk_id").distinct()
-    return context.neighbours(seeds, chunks), chunks
-
-
-@query(None)
-def neighbour_expand_all(spark, sf):
-    """neighbour_expand from the whole retrieval; tested against loops in Python, as are the two below."""
-    return _near_all(spark, sf)[0]
-
-
-def _trimmed_all(spark: SparkSession, sf: str) -> DataFrame:
-    near, chunks = _near_all(spark, sf)
-    return context.trimmed(near.join(chunks, "chunk_id").select("query_id", F.col("doc_id").cast("string").alias("doc_id"), "clause_id", "chunk_id", "text"))
-
-
-@query(None)
-def context_trim_all(spark, sf):
-    return _trimmed_all(spark, sf).select("query_id", "chunk_id", "place")
-
-
-@query(None)
-def prompt_assemble_all(spark, sf):
-    return context.prompts(_asked(spark, sf).withColumnRenamed("text", "question"), _trimmed_all(spark, sf)).select("query_id", F.md5("prompt").alias("hash"))
-
-
 # ---- answers and evaluation -----------------------------------------------------------------------------------------
 
 
@@ -514,6 +559,41 @@ def rewrite_guards(spark, sf):
     return _t(spark, sf, "conversations").select("conv_id", "turn", answers.rewrite_fault(t).alias("reason"))
 
 
+_REASON = """CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, 'USER QUESTION:|Output ONLY|Rewrite the user''s question', 'i') THEN 'prompt_echo' WHEN regexp_matches(t, '^\\(?\\s*([1-9]|10)\\s*\\)?$') OR (regexp_matches(t, '^(answer|final|option)', 'i') AND regexp_matches(t, '[0-9]')) THEN 'looks_like_answer' WHEN length(t) < 12 THEN 'too_short' WHEN t = question THEN 'same_as_original' ELSE '' END"""
+
+
+@query(
+    rf"""WITH r AS (SELECT conv_id, turn, 'what is interface ' || conv_id AS question, CASE conv_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'interface ' || (turn + 1) || ' of the unit' WHEN 2 THEN 'short' WHEN 3 THEN 'Output ONLY the query ' || turn ELSE 'what is interface ' || conv_id END AS t FROM conversations),
+  o AS (SELECT *, {_REASON} AS reject_reason FROM r) SELECT conv_id, turn, t AS clean, reject_reason = '' AS used, reject_reason, CASE WHEN reject_reason = '' THEN t ELSE question END AS question FROM o"""
+)
+def rewrite_record(spark, sf):
+    """Rewritings of five shapes, each in quotes on the second line, with what becomes of them."""
+    i, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    k = F.col("conv_id") % 5
+    question = F.concat(F.lit("what is interface "), i)
+    line = F.when(k == 0, "").when(k == 1, F.concat(F.lit("interface "), (F.col("turn") + 1).cast("string"), F.lit(" of the unit"))).when(k == 2, "short").when(k == 3, F.concat(F.lit("Output ONLY the query "), turn)).otherwise(question)
+    raw = F.when(line == "", "").otherwise(F.concat(F.lit("\n'"), line, F.lit("'\nmore")))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", T.computed(answers.rewrite_outcome(raw, question)).alias("r")).select("conv_id", "turn", "r.clean", "r.used", "r.reject_reason", "r.question")
+
+
+_SHAPED = """CASE conv_id % 8 WHEN 0 THEN '{"answer": "1", "citations": [{"chunk_id": "c", "quote": "q"}]}' WHEN 1 THEN '{"answer": 1, "citations": []}' WHEN 2 THEN '{"answer": "1", "citations": [{"chunk_id": 1, "quote": "q"}]}' WHEN 3 THEN '{"answer": "1", "citations": [{"id": "c"}]}'
+  WHEN 4 THEN '{"citations": [], "ans": "1"}' WHEN 5 THEN '["answer"]' WHEN 6 THEN '{"answer": "1", "citations": ["c", 2]}' ELSE '{"answer": "1", "citations": "none"}' END"""
+
+
+@query(f"SELECT conv_id, turn, ['ok', 'answer_not_str', 'cite_val_not_str', 'cite_bad_keys', 'bad_keys=[''ans'', ''citations'']', 'not_dict', 'cite_not_dict', 'citations_not_list'][conv_id % 8 + 1] AS fault FROM (SELECT conv_id, turn, {_SHAPED} AS raw FROM conversations)")
+def schema_faults(spark, sf):
+    """Objects of eight shapes and what is wrong with them."""
+    return _t(spark, sf, "conversations").select("conv_id", "turn", answers.schema_fault(F.expr(_SHAPED)).alias("fault"))
+
+
+@query(
+    f"""WITH {_RAW}, m AS (SELECT conv_id, CASE WHEN conv_id % 6 = 0 THEN 'clean' WHEN conv_id % 6 = 5 THEN 'salvaged' ELSE 'extracted_or_fixed' END AS mode FROM raws)
+  SELECT count(*) AS total, count(*) AS schema_ok, CAST(0 AS BIGINT) AS schema_fail, count(*) FILTER (mode = 'clean') AS clean, count(*) FILTER (mode = 'extracted_or_fixed') AS extracted_or_fixed, count(*) FILTER (mode = 'salvaged') AS salvaged, CAST(0 AS BIGINT) AS empty_raw, CAST(0 AS BIGINT) AS answer_missing, 1.0::DOUBLE AS schema_ok_rate, 0.0::DOUBLE AS answer_missing_rate FROM m"""
+)
+def parser_report(spark, sf):
+    return evaluate.parser_report(answers.parsed(raw_outputs(spark, sf)))
+
+
 @query(
     f"""WITH {_BLOCKS}, c AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE chunk_id END AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 20) ELSE 'no such quote' END AS quote FROM chunks)
   SELECT c.id, c.chunk_id, c.quote, k.text IS NOT NULL AS known, coalesce(contains(k.text, c.quote) AND c.quote <> '', false) AS supported FROM c LEFT JOIN chunks k USING (chunk_id)"""
@@ -550,6 +630,21 @@ def eval_shard(spark, sf):
     return evaluate.shard(eval_rows(spark, sf), 1, 4).select("split", "global_i", "pred_num", "acc")
 
 
+@query(f"WITH {_EVAL} SELECT split, global_i, pred_num, acc FROM scored WHERE global_i >= 250 AND global_i < 250 + 400")
+def range_slice(spark, sf):
+    """The rows numbered 250 to 649 (the feature)."""
+    return evaluate.ranged(eval_rows(spark, sf), 250, 400).select("split", "global_i", "pred_num", "acc")
+
+
+@query(
+    f"""WITH {_EVAL}, twice AS (SELECT split, acc, citations_count FROM scored UNION ALL SELECT 'ALL', acc, citations_count FROM scored)
+  SELECT split, count(*) AS n, count(*) FILTER (acc = 1) AS correct, count(*) FILTER (acc <> 1) AS failed, count(*) FILTER (citations_count >= 2) AS well_cited, concat_ws(',', '0:' || nullif(count(*) FILTER (citations_count = 0), 0), '1:' || nullif(count(*) FILTER (citations_count = 1), 0)) AS citations FROM twice GROUP BY split"""
+)
+def eval_breakdown(spark, sf):
+    shown = F.array_join(F.transform(F.map_entries("citations"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
+    return evaluate.breakdown(eval_rows(spark, sf)).withColumn("citations", shown)
+
+
 @query(f"WITH {_EVAL} SELECT split, count(*) AS n, round(avg(CASE WHEN pred_num = '' THEN 1 ELSE 0 END), 6) AS missing_rate FROM scored GROUP BY split")
 def missing_answer_rate(spark, sf):
     return evaluate.missing_rate(eval_rows(spark, sf))
@@ -632,3 +727,46 @@ def upsert_chunks(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", "text", "lang")
     one = docs.where("doc_id % 3 = 0").withColumn("v", F.lit(1)).unionByName(docs.where("doc_id % 3 = 0").withColumns({"text": F.concat("text", F.lit(" (new)")), "v": F.lit(2)}))
     return tables.upsert(docs.withColumn("v", F.lit(0)), one, "doc_id", F.col("v")).select("doc_id", F.md5("text").alias("hash"), "lang")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS left_rows, (SELECT count(*) FROM labels) AS right_rows, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS missing, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS extra")
+def coverage_counts(spark, sf):
+    return profile.coverage_counts(_t(spark, sf, "documents"), _t(spark, sf, "labels"), "doc_id")
+
+
+def _stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of the spec view, through a store: created, filled, and upserted with other texts of the even documents."""
+    kept = store.Store(spark, tables.scratch(spark), "chunk_id string, doc_id bigint, clause_id string, section_path string, text string, page_start int, page_end int").create()
+    chunks = spec_chunks(spark, sf)
+    return kept.upsert(chunks).upsert(chunks.where("doc_id % 2 = 0").withColumn("text", F.concat("text", F.lit(" (new)")))).read()
+
+
+_STORED = f"{_BLOCKS}, stored AS (SELECT chunk_id, doc_id, clause_id, section_path, CASE WHEN doc_id % 2 = 0 THEN text || ' (new)' ELSE text END AS text, page_start, page_end FROM chunks)"
+
+
+@query(f"WITH {_STORED} SELECT doc_id, count(*) AS n FROM stored GROUP BY doc_id")
+def store_counts(spark, sf):
+    return store.per_document(_stored_chunks(spark, sf))
+
+
+@query(f"WITH {_STORED} SELECT w.chunk_id, s.clause_id, md5(s.text) AS hash, s.chunk_id IS NULL AS missing FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN chunk_id || '?' ELSE chunk_id END AS chunk_id FROM chunks) w LEFT JOIN stored s USING (chunk_id)")
+def store_lookup(spark, sf):
+    """Every chunk by its id, with some ids that there aren't."""
+    wanted = spec_chunks(spark, sf).select(F.when(F.col("doc_id") % 5 == 0, F.concat("chunk_id", F.lit("?"))).otherwise(F.col("chunk_id")).alias("chunk_id"))
+    return store.by_id(_stored_chunks(spark, sf), wanted).select("chunk_id", "clause_id", F.md5("text").alias("hash"), "missing")
+
+
+@query(f"WITH {_STORED} SELECT section_path, chunk_id, md5(text) AS hash FROM stored WHERE section_path IN (SELECT section_path FROM chunks WHERE doc_id = 3)")
+def store_sections(spark, sf):
+    """The chunks of all sections that document 3 has."""
+    chunks = spec_chunks(spark, sf)
+    return store.in_sections(_stored_chunks(spark, sf), chunks.where("doc_id = 3")).select("section_path", "chunk_id", F.md5("text").alias("hash"))
+
+
+@query(
+    f"""WITH {_CHUNKS_FULL}, t AS (SELECT md5(trim(text, {_WHITE})) AS h, count(*) AS n FROM full_chunks GROUP BY 1 HAVING count(*) >= 3)
+  SELECT count(*) AS chunks, CAST(0 AS BIGINT) AS empty, count(*) FILTER (length(text) < 200) AS too_short, count(*) FILTER (length(text) > 4000) AS too_long, count(*) FILTER (clause_id = 'UNKNOWN') AS unknown_clause, coalesce(sum(is_definition), 0)::BIGINT AS definitions, coalesce(sum(is_normative), 0)::BIGINT AS normative,
+  count(*) - count(DISTINCT chunk_id) AS duplicate_ids, (SELECT coalesce(sum(least(n, 10)), 0)::BIGINT FROM t) AS repeated_texts FROM full_chunks"""
+)
+def chunk_report_flags(spark, sf):
+    return reports.chunk_flags(chunks_full(spark, sf))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import json
 import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -24,6 +26,7 @@ class Ingest:
     min_chunk_chars: int = 400
     max_chunk_chars: int = 2200
     max_toc_page: int = 30
+    max_pages: int | None = None
 
 
 @dataclass(frozen=True)
@@ -47,28 +50,65 @@ class Packing:
 
 @dataclass(frozen=True)
 class Gate:
-    enabled: bool = True
+    enabled: bool = True  # whether a question that fails is rewritten
     min_score: float = -1.25
     max_rounds: int = 1
 
 
+@dataclass(frozen=True)
+class Generation:
+    adapter: str = "stub"
+    name: str = ""
+    url: str = ""
+    max_new_tokens: int = 512
+    temperature: float = 0.2
+    top_p: float = 0.9
+
+
 @dataclass(frozen=True)
 class Config:
     ingest: Ingest = field(default_factory=Ingest)
     retrieval: Retrieval = field(default_factory=Retrieval)
     packing: Packing = field(default_factory=Packing)
     gate: Gate = field(default_factory=Gate)
-    adapter: str = "stub"
+    model: Generation = field(default_factory=Generation)
+    paths: dict[str, str] = field(default_factory=dict)
 
 
 def load_config(path: str) -> Config:
-    """A YAML file's sections over the defaults; unknown keys are ignored. Credentials come from the environment only."""
+    """A YAML file's sections (ingest, retrieval, packing, gate, model, paths) over the defaults; unknown keys are ignored.
+    Credentials come from the environment only. Every value acts: segment.corpus takes ingest, ask.Engine all others."""
     import yaml
 
     with open(path) as f:
         raw = yaml.safe_load(f) or {}
-    own = {n: type(d)(**{k: v for k, v in (raw.get(n) or {}).items() if k in asdict(d)}) for n, d in (("ingest", Ingest()), ("retrieval", Retrieval()), ("packing", Packing()), ("gate", Gate()))}
-    return Config(**own, adapter=str(raw.get("adapter", "stub")))
+    own = {n: type(d)(**{k: v for k, v in (raw.get(n) or {}).items() if k in asdict(d)}) for n, d in (("ingest", Ingest()), ("retrieval", Retrieval()), ("packing", Packing()), ("gate", Gate()), ("model", Generation()))}
+    return Config(**own, paths={k: str(v) for k, v in (raw.get("paths") or {}).items()})
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan, dealt over the cores if its files make fewer partitions than there are: a small table in one file is one
+    task otherwise. A table of more partitions than cores isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the folder that all executors share; in local mode a temporary one where none is named."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="quarry-")
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder: what reads it several times doesn't compute it several times."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | Ty.StructType) -> DataFrame:
@@ -147,14 +187,15 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: Column | None = None
 def write_csv_by_split(rows: DataFrame, path: str) -> None:
     """One folder of CSV a split; nested columns as JSON; in the order of the questions."""
     flat = rows.select("split", "global_i", "question", F.to_json("options").alias("options"), "gold", "pred_num", "pred_text", "acc", F.to_json("citations").alias("citations"))
-    flat.repartition("split").sortWithinPartitions("split", "global_i").write.mode("overwrite").option("header", True).partitionBy("split").csv(path)
+    # ranges, not one task a split: each file is sorted, and the files of a split follow each other in order
+    flat.repartitionByRange("split", "global_i").sortWithinPartitions("split", "global_i").write.mode("overwrite").option("header", True).partitionBy("split").csv(path)
 
 
-def markdown_report(summary: DataFrame, config: Config, title: str = "Evaluation") -> str:
-    """summary: split, n, acc, avg_citations (a row a split)."""
+def markdown_report(summary: DataFrame, config: Config, title: str = "Evaluation", files: tuple[str, ...] = ()) -> str:
+    """summary: split, n, acc, avg_citations (a row a split); files: what the run wrote."""
     rows = summary.orderBy("split").collect()
     table = "\n".join(f"| {r['split']} | {r['n']} | {r['acc']:.4f} | {r['avg_citations']:.2f} |" for r in rows)
-    return f"# {title}\n\n## Settings\n\n```json\n{json.dumps(asdict(config), indent=2)}\n```\n\n## Results\n\n| split | n | accuracy | citations |\n| - | - | - | - |\n{table}\n"
+    return f"# {title}\n\n## Settings\n\n```json\n{json.dumps(asdict(config), indent=2)}\n```\n\n## Results\n\n| split | n | accuracy | citations |\n| - | - | - | - |\n{table}\n" + ("\n## Files\n\n" + "\n".join(f"- `{f}`" for f in files) + "\n" if files else "")
 
 
 def html_report(sections: dict[str, DataFrame], title: str = "Corpus profile", most: int = 200) -> str:

@@ -52,8 +52,8 @@ def test_plans_prune_and_push(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
-def test_sentence_pack_all(spark):
-    """All documents against a fold in Python; those with an overlong sentence are missing from sentence_pack."""
+def test_sentence_pack(spark):
+    """All documents, those with an overlong sentence too, against a fold in Python."""
     want, long = [], set()
     for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
         body = re.sub(r"[ \t]+", " ", r["text"] or "").strip(" \t\n\r")
@@ -68,7 +68,7 @@ def test_sentence_pack_all(spark):
             else:
                 buf = f"{buf} {s}" if buf else s
         want += [(r["doc_id"], i, len(x), hashlib.md5(x.encode()).hexdigest()) for i, x in enumerate([*pieces, *[buf] * bool(buf)])]
-    got = [tuple(r) for r in catalog.sentence_pack_all(spark, DATA).collect()]
+    got = [tuple(r) for r in catalog.sentence_pack(spark, DATA).collect()]
     assert long and sorted(got) == sorted(want)
 
 
@@ -85,7 +85,7 @@ def test_contexts_of_all_items(spark):
         for i in by_doc[r["doc_id"]]:
             x, k = place.get(i, ([i], 0))
             near[r["query_id"]].update(x[max(0, k - 1) : k + 2])
-    assert {(r["query_id"], r["chunk_id"]) for r in catalog.neighbour_expand_all(spark, DATA).collect()} == {(q, i) for q, x in near.items() for i in x}
+    assert {(r["query_id"], r["chunk_id"]) for r in catalog.neighbour_expand(spark, DATA).collect()} == {(q, i) for q, x in near.items() for i in x}
     kept = {}
     for q, x in near.items():
         total, kept[q] = 0, []
@@ -93,9 +93,9 @@ def test_contexts_of_all_items(spark):
             total += len(chunks[i]["text"])
             if chunks[i]["text"] and (total <= 25000 or not kept[q]):
                 kept[q].append(i)
-    assert sorted(tuple(r) for r in catalog.context_trim_all(spark, DATA).collect()) == sorted((q, i, k + 1) for q, x in kept.items() for k, i in enumerate(x))
+    assert sorted(tuple(r) for r in catalog.context_trim(spark, DATA).collect()) == sorted((q, i, k + 1) for q, x in kept.items() for k, i in enumerate(x))
     asked = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     assert all(kept.get(q) for q in asked)
     a, b, c = context.TEMPLATE
     want = {q: hashlib.md5((a + text + b + "\n\n".join(f"[chunk_id={i}]\n{chunks[i]['text']}" for i in kept[q]) + c).encode()).hexdigest() for q, text in asked.items()}
-    assert {r["query_id"]: r["hash"] for r in catalog.prompt_assemble_all(spark, DATA).collect()} == want
+    assert {r["query_id"]: r["hash"] for r in catalog.prompt_assemble(spark, DATA).collect()} == want

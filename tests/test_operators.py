@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import answers, context, evaluate, fuse, lexical, profile, segment, vector
 from quarry.plans import adapters, ask
-from quarry.sources import tables
+from quarry.sources import reports, store, tables
 from quarry.streaming import questions as stream
 
 
@@ -127,7 +127,7 @@ def test_parsing(spark):
     long = spark.createDataFrame([('{"answer": "1", "citations": [{"chunk_id": "c", "quote": "%s"}]}' % ("y" * 261),)], "raw string")
     assert answers.parsed(long).first()["citations"][0]["quote"] == "y" * 260 + "…"
     faults = df.select("id", answers.schema_fault(F.col("raw")).alias("f")).collect()
-    assert {r["id"]: r["f"] for r in faults}[0] == "ok" and {r["id"]: r["f"] for r in faults}[8] == "bad_keys" and {r["id"]: r["f"] for r in faults}[12] == "answer_not_str" and {r["id"]: r["f"] for r in faults}[9] == "not_dict"
+    assert {r["id"]: r["f"] for r in faults}[0] == "ok" and {r["id"]: r["f"] for r in faults}[8] == "bad_keys=['ans']" and {r["id"]: r["f"] for r in faults}[12] == "answer_not_str" and {r["id"]: r["f"] for r in faults}[9] == "not_dict"
 
 
 def test_rewrites(spark):
@@ -213,3 +213,111 @@ def test_ask_end_to_end(spark, tmp_path):
     q = stream.answered(spark.readStream.schema(questions.schema).json(str(tmp_path / "in")), lambda b: engine.search(b, top_k=1).select("query_id", "chunk_id"), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_lexical_ways_agree(spark, monkeypatch, tmp_path):
+    """Blocks of matrices, the join in a shuffle, and a stored index give the same; with and without a filter."""
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 9))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "w3 w5 w5"), (2, "none of it"), (3, "w0 w1 w2 w16")], "query_id bigint, text string")
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    monkeypatch.setattr(lexical, "BLOCK", 7)
+    for where in (None, F.col("doc_id") % 3 == 0):
+        want = plain(lexical.search(docs, asked, 8, where))
+        assert len(want) == 24
+        lexical.build(docs).save(str(tmp_path / "index"))
+        assert plain(lexical.search(docs, asked, 8, where, lexical.Index.load(spark, str(tmp_path / "index")))) == want
+        with monkeypatch.context() as m:
+            m.setattr(lexical, "MOST_ASKED", 2)
+            assert plain(lexical.search(docs, asked, 8, where)) == want
+    empty = lexical.search(docs.limit(0), asked, 3)
+    assert empty.count() == 0
+
+
+def test_embeddings(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "two one"), (3, ""), (4, None), (5, "other words")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["embedding"] for r in vector.hashed(docs, 16).collect()}
+    assert set(got) == {1, 2, 5} and got[1] == got[2] != got[5] and all(len(v) == 16 and abs(sum(x * x for x in v) - 1) < 1e-9 for v in got.values())
+
+    class Lengths:
+        def encode(self, texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
+    rows = {r["doc_id"]: r["embedding"] for r in vector.encoded(docs, Lengths).collect()}
+    assert rows[3] == [0.0, 1.0] and abs(rows[1][0] - 7 / 50**0.5) < 1e-9
+    v = spark.createDataFrame([(i, [float(i % 5), float(i % 3)]) for i in range(50)], "doc_id bigint, embedding array<double>")
+    q = v.withColumnRenamed("doc_id", "query_id")
+    assert sorted(map(tuple, vector.search(v, q, 4).collect())) == sorted(map(tuple, vector.search(v, q, 4, most_numbers=20).collect()))
+    assert vector.search(v, q.limit(0), 4).count() == vector.search(v.limit(0), q, 4, most_numbers=20).count() == 0
+
+
+def test_rewriting(spark):
+    df = spark.createDataFrame([("one", 'Final: "a better query"', "q"), ("two", "short", "q"), ("three", "the same question", "the same question"), ("four", None, "q")], "id string, raw string, question string")
+    got = {r["id"]: tuple(r["r"]) for r in df.select("id", answers.rewrite_outcome(F.col("raw"), F.col("question")).alias("r")).collect()}
+    assert got == {"one": ("a better query", True, "", "a better query"), "two": ("short", False, "too_short", "q"), "three": ("the same question", False, "same_as_original", "the same question"), "four": ("", False, "empty", "q")}
+    judge = context.judge_prompts(spark.createDataFrame([(1, "why?")], "query_id bigint, question string"), spark.createDataFrame([(1, 2, "4.2 S", 3, 4, "b"), (1, 1, "4.1 S", 1, 2, "a")], "query_id bigint, place int, section_path string, page_start int, page_end int, text string")).first()["prompt"]
+    assert "why?" in judge and judge.index("[1] 4.1 S (p1-p2)\na") < judge.index("[2] 4.2 S (p3-p4)\nb")
+
+
+def test_evaluation_reports(spark):
+    rows = spark.createDataFrame([(i, "E" if i < 6 else "M", float(i % 2), i % 4) for i in range(10)], "global_i int, split string, acc double, citations_count int")
+    assert [r["global_i"] for r in evaluate.ranged(rows, 3, 2).orderBy("global_i").collect()] == [3, 4] and [r["global_i"] for r in evaluate.ranged(rows, 99, 0).collect()] == [9] and evaluate.ranged(rows.limit(0), 0, 5).count() == 0
+    got = {r["split"]: r.asDict() for r in evaluate.breakdown(rows).collect()}
+    assert got["ALL"] == {"split": "ALL", "n": 10, "correct": 5, "failed": 5, "well_cited": 4, "citations": {0: 3, 1: 3, 2: 2, 3: 2}} and got["E"]["n"] == 6
+    out = answers.parsed(spark.createDataFrame([(r[0],) for r in RAW], "raw string"))
+    report = evaluate.parser_report(out).first().asDict()
+    modes = [r[3] for r in RAW]
+    assert report["total"] == report["schema_ok"] == len(RAW) and all(report[m] == modes.count(m) for m in set(modes)) and report["empty_raw"] == 2 and report["answer_missing"] == 3
+    left, right = (spark.createDataFrame([(i,) for i in x], "k int") for x in ([1, 2, 2, 3], [3, 4]))
+    assert tuple(profile.coverage_counts(left, right, "k").first()) == (4, 2, 2, 1)
+
+
+def test_store_and_reports(spark, tmp_path):
+    chunks = segment.corpus(spark.createDataFrame(PAGES, "doc_id string, page_num int, text string"))
+    kept = store.Store(spark, str(tmp_path / "chunks")).create()
+    assert kept.read().count() == 0 and kept.create().read().count() == 0
+    n = chunks.count()
+    assert kept.upsert(chunks).upsert(chunks.limit(1).withColumn("text", F.lit("changed"))).read().count() == n
+    assert kept.read().where("text = 'changed'").count() == 1 and kept.ids().count() == n and kept.counts().agg(F.sum("n")).first()[0] == n
+    wanted = chunks.select("chunk_id").limit(1).unionByName(spark.createDataFrame([("none",)], "chunk_id string"))
+    assert sorted(r["missing"] for r in store.by_id(kept.read(), wanted).collect()) == [False, True]
+    assert store.in_sections(kept.read(), chunks.select("section_path").limit(1)).count() >= 1
+    page = reports.chunk_report(chunks)
+    assert f"<td>chunks</td><td>{n}</td>" in page and reports.chunk_samples(chunks).count() >= 0
+    questions = spark.createDataFrame([(1, "what <is> it")], "query_id bigint, question string")
+    rows = spark.createDataFrame([(1, "fused", 1, 0.5, 3, "4.1", "a & b", 0.1)], "query_id bigint, list string, rank int, score double, doc_id bigint, clause_id string, snippet string, overlap double")
+    html = reports.audit_report(questions, rows, evaluate.audit(rows, questions))
+    assert "what &lt;is&gt; it" in html and "a &amp; b" in html and "questions" in html
+    log = reports.tee(str(tmp_path / "a.log"))
+    log.info("one line")
+    reports.joined_logs([str(tmp_path / "a.log")], str(tmp_path / "all.log"))
+    assert "one line" in (tmp_path / "all.log").read_text() and fuse.definition_first(None) == {}
+    with pytest.raises(FileNotFoundError):
+        store.Store(spark, str(tmp_path / "nothing")).read()
+
+
+def test_configuration_acts(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("ingest:\n  max_chunk_chars: 200\n  min_chunk_chars: 1\n  max_pages: 10\ngate:\n  enabled: true\n  min_score: 2.0\n  max_rounds: 2\nmodel:\n  adapter: stub\npaths:\n  chunks: /x\n")
+    config = tables.load_config(str(tmp_path / "c.yaml"))
+    assert config.paths == {"chunks": "/x"} and ask.health() == {"ok": True}
+    pages = spark.createDataFrame([*PAGES, ("d1", 50, "last page " * 40)], "doc_id string, page_num int, text string")
+    small, whole = ask.build_corpus(pages, config=config), ask.build_corpus(pages)
+    assert whole.agg(F.max("page_end")).first()[0] == 50 and small.agg(F.max("page_end")).first()[0] == 10
+    engine = ask.Engine(whole, config=config)
+    engine.index = lexical.build(engine.index_texts())
+    questions = spark.createDataFrame([(1, "what is the scope of work")], "query_id bigint, question string")
+
+    class Worded(adapters.Stub):
+        def generate(self, prompts, max_new_tokens=256, temperature=0.0, top_p=1.0):
+            return ["other words of the text" if "Search line" in p else super(Worded, self).generate([p])[0] for p in prompts]
+
+    engine.model = Worded
+    guarded = engine.rewritten(questions).first()
+    assert guarded["used"] and guarded["question"] == "other words of the text"
+    out = engine.logged(questions.withColumn("asked", F.lit("asked in these words")), max_prompt=60).first()
+    assert out["round"] == 2 and out["query"] == "other words of the text" and out["answer"] == "1" and "truncated" in out["prompt"] and out["fused_top"] and out["reranked_top"]
+    assert engine.ask(questions).first()["fallback"]
+    mini = engine.mini(questions.withColumns({"options": F.array(F.lit("1. a"), F.lit("2. b")), "gold": F.lit("1")}), keep_raw=True).first()
+    assert mini["acc"] == 1.0 and mini["pred_num"] == "1" and len(mini["prompt"]) <= 3000 and "2. b" in mini["prompt"]
+    scored = fuse.rerank(engine.retrieve(questions), questions, engine.docs.select("doc_id", F.col("text").alias("body")), scorer=fuse.model_scorer(adapters.SharedWords)).collect()
+    assert scored and all(0 <= r["score"] <= 1 for r in scored)
