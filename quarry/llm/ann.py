@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import stored
 
-FIT_ROWS, RECALL, RERANK, SPILL, FIRST = 32768, 0.94, 64, 2, 16
+FIT_ROWS, RECALL, RERANK, SPILL, FIRST = 16384, 0.94, 64, 2, 16
 VECTORS, QUERIES, MOST_CELLS = 4096, 1024, 8192
 
 
@@ -62,13 +62,13 @@ def coarse(x: np.ndarray, k: int) -> np.ndarray:
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = (c * c).sum(axis=1) / 2
-    return np.concatenate([np.argmax(x[i : i + 4096] @ c.T - half, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+    return np.concatenate([np.argmax(x[i : i + 512] @ c.T - half, axis=1) for i in range(0, len(x), 512)]) if len(x) else np.zeros(0, np.int64)
 
 
 def several(x: np.ndarray, c: np.ndarray, m: int) -> np.ndarray:
     """rows x m: the m nearest centroids of each row, nearest first."""
     half, m = (c * c).sum(axis=1) / 2, min(m, len(c))
-    return np.concatenate([np.argsort(half - x[i : i + 4096] @ c.T, axis=1, kind="stable")[:, :m] for i in range(0, len(x), 4096)]) if len(x) else np.zeros((0, m), np.int64)
+    return np.concatenate([np.argsort(half - x[i : i + 512] @ c.T, axis=1, kind="stable")[:, :m] for i in range(0, len(x), 512)]) if len(x) else np.zeros((0, m), np.int64)
 
 
 @dataclass
@@ -129,9 +129,12 @@ def fit(vectors: DataFrame, k: int, fit_rows: int = FIT_ROWS, recall: float = RE
     books = np.stack([np.concatenate([b, np.full((codes - len(b), w), 1e30)]) if len(b) < codes else b for b in books])
     # probes: how deep in their order of cells held-out queries find their true neighbours within the sample
     q, names = (x[held], ids[held]) if held.any() else (x, ids)
-    s = q @ x.T
-    s[names[:, None] == ids] = -np.inf
-    true = np.argsort(-s, axis=1)[:, : min(k, max(1, len(x) - 1))]
+    true = []
+    for i in range(0, len(q), 32):  # a few queries at a time, as the driver has little memory
+        s = x @ q[i : i + 32].T
+        s[ids[:, None] == names[i : i + 32]] = -np.inf
+        true.append(np.argsort(-s, axis=0, kind="stable")[: min(k, max(1, len(x) - 1))].T)
+    true = np.concatenate(true)
     depth = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)
     homes = several(x, c, SPILL)
     at = np.sort(np.stack([np.take_along_axis(depth, homes[:, j][true], axis=1) for j in range(homes.shape[1])]).min(axis=0).ravel())
