@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, htmltext, linededup, mixing, neardup, packing, pii, rules, urls, weaklabel
+from quarry.llm import ann, exactdup, htmltext, infill, linededup, mixing, neardup, packing, pii, rules, urls, weaklabel
 from quarry.llm.common import table
 
 
@@ -69,6 +69,17 @@ def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weaklabel.classified(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "votes", F.round("posterior", 9).alias("posterior"), F.round("score", 9).alias("score"), "kept")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.marked(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of the outputs and of the texts rebuilt from them."""
+    out = infill.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c, 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op1_mix_sources aims at: each document's size, its source's size and target."""
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", F.round("target", 3).alias("target"))
@@ -98,6 +109,8 @@ QUERIES = {
         op8_main_text,
         op9_quality_rules,
         op10_weak_labels,
+        op11_exact_dedup,
+        op12_fill_in_middle,
         mix_targets,
         personal_data_base,
         quality_base,
@@ -158,6 +171,14 @@ ways AS (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links UNION
 reach(x, y) AS (SELECT x, y FROM ways UNION SELECT reach.x, ways.y FROM reach JOIN ways ON reach.y = ways.x),
 least_ AS (SELECT x AS id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id, coalesce(component_id, sets.doc_id) = sets.doc_id AS kept FROM sets LEFT JOIN classes USING (s) LEFT JOIN least_ USING (id)""",
+    "op11_exact_dedup": """WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM t WINDOW w AS (PARTITION BY t)""",
+    "op12_fill_in_middle": """WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h, length(coalesce(text, '')) AS n FROM documents),
+d AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS h1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS h2, ('0x' || substr(h, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS h4 FROM t),
+f AS (SELECT *, least(h1, h2) AS a, greatest(h1, h2) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
     "personal_data_base": r"""WITH kinds(k, kind, pattern) AS (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
 cut AS (SELECT doc_id, k, kind, regexp_extract_all(coalesce(text, ''), pattern) AS m, regexp_split_to_array(coalesce(text, ''), pattern) AS p FROM documents, kinds),
 found AS (SELECT doc_id, k, kind, unnest(m) AS m, unnest(p[1:len(m)]) AS p, generate_subscripts(m, 1) AS i FROM cut),

@@ -82,7 +82,7 @@ def test_odd_rows(spark, folder, tmp_path):
 
 
 def test_names():
-    assert sorted(n.split("_")[0] for n in QUERIES if n.startswith("op")) == sorted(f"op{i}" for i in range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(n.split("_")[0] for n in QUERIES if n.startswith("op")) == sorted(f"op{i}" for i in range(1, 13)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_stages_keep_clashing_columns(spark, folder):
