@@ -32,17 +32,32 @@ def headings(lines: DataFrame) -> DataFrame:
     return lines.where(T.is_heading(line)).select("doc_id", "page_num", "line_no", T.heading_number(line).alias("number"), T.heading_title(line).alias("title"))
 
 
+def _numbers(low: Column) -> Column:
+    """The heading numbers that a line starts with: a first part, and what its next parts, of two digits at most and six of
+    them, begin with. 4.10 gives 4.1 and 4.10."""
+    first, more = F.regexp_extract(low, r"^(\d+)((?:\.\d{1,2}){1,6})", 1), F.regexp_extract(low, r"^(\d+)((?:\.\d{1,2}){1,6})", 2)
+    ends = F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length(more))), lambda k: (k <= F.length(more)) & (F.substr(more, k, F.lit(1)) != "."))
+    return T.let(F.struct(first.alias("a"), more.alias("b")), lambda x: F.transform(ends, lambda k: F.concat(x["a"], F.substr(x["b"], F.lit(1), k))))
+
+
 def aligned(lines: DataFrame, found: DataFrame) -> DataFrame:
     """lines with the heading (number, title) that each one starts, if any: the first of its page whose number it starts
-    with and enough of whose title words it has."""
-    words = F.slice(F.filter(F.regexp_extract_all(F.lower("h_title"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 3), 1, 6)
-    h = found.select(F.col("doc_id").alias("h_doc"), F.col("page_num").alias("h_page"), F.col("line_no").alias("h_no"), F.col("number").alias("h_number"), F.col("title").alias("h_title")).withColumn("h_words", words)
+    with and enough of whose title words it has.
+
+    A line that starts with no number has none and isn't joined; for the others the numbers they may start with are keys of
+    an equality join. All other lines travel only where the blocks are formed.
+    """
+    words = F.slice(F.filter(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 3), 1, 6)
+    h = found.select("doc_id", "page_num", F.col("number").alias("h_number"), F.struct(F.col("line_no").alias("no"), "number", "title", words.alias("words")).alias("h"))
     low = F.lower(T.strip(F.col("line")))
-    hits = F.size(F.filter("h_words", lambda w: F.contains(low, w)))
-    enough = (F.size("h_words") == 0) | (hits >= F.when(F.size("h_words") <= 2, 1).otherwise(2))
-    on = (F.col("doc_id") == F.col("h_doc")) & (F.col("page_num") == F.col("h_page")) & low.startswith(F.lower("h_number")) & enough
-    first = lines.join(h, on).groupBy("doc_id", "line_no").agg(F.min_by(F.struct(F.col("h_number").alias("number"), F.col("h_title").alias("title")), "h_no").alias("heading"))
-    return lines.join(first, ["doc_id", "line_no"], "left")
+    numbered = low.rlike(r"^\d+\.\d")
+    kind = "struct<number:string,title:string>"
+    asked = lines.where(numbered).select("doc_id", "page_num", "line_no", "line", F.explode_outer(_numbers(low)).alias("h_number")).join(h, ["doc_id", "page_num", "h_number"], "left")
+    enough = F.size(F.filter("h.words", lambda w: F.contains(F.lower("line"), w))) >= F.when(F.size("h.words") == 0, 0).when(F.size("h.words") <= 2, 1).otherwise(2)
+    best = F.min(F.when(F.col("h").isNotNull() & enough, F.struct(F.col("h.no"), F.col("h.number"), F.col("h.title"))))
+    some = asked.groupBy("doc_id", "page_num", "line_no", "line").agg(best.alias("x")).select("doc_id", "page_num", "line_no", "line", F.when(F.col("x").isNotNull(), F.struct("x.number", "x.title")).cast(kind).alias("heading"))
+    rest = lines.where(~F.coalesce(numbered, F.lit(False))).select("doc_id", "page_num", "line_no", "line", F.lit(None).cast(kind).alias("heading"))
+    return rest.unionByName(some)
 
 
 def blocks(aligned_lines: DataFrame) -> DataFrame:
@@ -103,13 +118,36 @@ def packed(parts: Column, most: int = MOST) -> Column:
     return T.let(parts, lambda s: T.let(starts(F.transform(s, F.length)), lambda begin: join(s, begin)))
 
 
+def _begins(sizes: Column, joins) -> Column:
+    """Where the pieces that are joined by a space begin: a part joins the piece before it if joins(length so far, its length)."""
+
+    def add(a: Column, n: Column) -> Column:
+        go = (a["i"] > 0) & joins(a["n"], n)
+        begun = F.when(go, a["out"]).otherwise(F.concat(a["out"], F.array(a["i"])))
+        return F.struct(begun.alias("out"), (a["i"] + 1).alias("i"), F.when(go, a["n"] + 1 + n).otherwise(n).alias("n"))
+
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("i"), F.lit(0).alias("n"))
+    return F.aggregate(sizes, start, add, lambda a: a["out"])
+
+
+def _merged(parts: Column, joins, fold) -> Column:
+    """Parts without white space at their ends are merged by their lengths alone, and each piece's text is joined once; where a
+    part has some, which a merge strips again and again, by a fold over the texts."""
+
+    def by_length(s: Column) -> Column:
+        piece = lambda begin: F.transform(begin, lambda i, j: F.array_join(F.slice(s, i + 1, F.coalesce(F.get(begin, j + 1), F.size(s)) - i), " "))
+        return T.let(_begins(F.transform(s, F.length), joins), piece)
+
+    return T.let(parts, lambda s: F.when(F.exists(s, lambda x: x.rlike(r"(?U)^\s|\s$|^$")), fold(s)).otherwise(by_length(s)))
+
+
 def grown(parts: Column, least: int = LEAST) -> Column:
     """A piece below `least` takes the next one, whatever the length."""
 
     def add(a: Column, s: Column) -> Column:
         return F.when(a["buf"] == "", _state(a["out"], s)).when(F.length(a["buf"]) < least, _state(a["out"], T.strip(F.concat(a["buf"], F.lit(" "), s)))).otherwise(_state(F.concat(a["out"], F.array(a["buf"])), s))
 
-    return F.aggregate(parts, _state(F.array().cast(_EMPTY), F.lit("")), add, _flushed)
+    return _merged(parts, lambda n, more: n < least, lambda s: F.aggregate(s, _state(F.array().cast(_EMPTY), F.lit("")), add, _flushed))
 
 
 def joined_short(parts: Column, short: int = SHORT, most: int = MOST) -> Column:
@@ -120,7 +158,7 @@ def joined_short(parts: Column, short: int = SHORT, most: int = MOST) -> Column:
         fits = (F.size(out) > 0) & (F.length(s) < short) & (F.length(F.get(out, F.size(out) - 1)) + 1 + F.length(s) <= most)
         return F.when(s == "", out).when(fits, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(T.strip(F.concat(last, F.lit(" "), s))))).otherwise(F.concat(out, F.array(s)))
 
-    return F.aggregate(parts, F.array().cast(_EMPTY), add)
+    return _merged(parts, lambda n, more: (more < short) & (n + 1 + more <= most), lambda s: F.aggregate(s, F.array().cast(_EMPTY), add))
 
 
 def chunks(blocks: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
@@ -129,7 +167,7 @@ def chunks(blocks: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame
     df = df.withColumn("c_p", packed(sentences(F.col("body")), most)).withColumn("c_g", grown(F.col("c_p"), least)).withColumn("c_j", T.computed(joined_short(F.col("c_g"), SHORT, most)))
     kept = F.filter(F.transform("c_j", T.strip), lambda t: (F.length(t) >= KEEP) | ((F.length(t) >= KEEP_DEFINITION) & T.is_definition(t)))
     df = df.withColumn("c_k", kept).select("doc_id", "block_i", "clause_id", "title", "page_start", "page_end", F.posexplode("c_k").alias("idx", "piece"))
-    return df.withColumn("text", T.normalised(F.col("piece"))).where(F.length("text") >= KEEP_DEFINITION).drop("piece")
+    return df.withColumn("text", T.computed(T.normalised(F.col("piece")))).where(F.length("text") >= KEEP_DEFINITION).drop("piece")  # the filters below it read it a dozen times
 
 
 def corpus(pages: DataFrame, names: DataFrame | None = None, boilerplate: bool = True, least: int = LEAST, most: int = MOST, last_toc_page: int = 30) -> DataFrame:
