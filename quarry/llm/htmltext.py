@@ -38,9 +38,11 @@ from quarry.llm.common import fields, rowed
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.S)
+_VALUE_END = re.compile(r"=\s*[^\s\"'>]+\Z")
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select".split())
+FOREIGN = frozenset(("svg", "math"))
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An open element of the right ends when one of the left begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
@@ -144,7 +146,7 @@ class _Open:
 def parse(page: str) -> Node:
     root = Node("", None, False)
     stack = _Open(root)
-    at, n = 0, len(page)
+    at, n, endless = 0, len(page), set()
     while at < n:
         m = _TOKEN.search(page, at)
         node = stack.nodes[-1]
@@ -169,10 +171,19 @@ def parse(page: str) -> Node:
         aside = _set_aside(tag, m[3] or "", inside or stack.last(("section",)) > 0)
         child = Node(tag, node, aside, 0 if aside else _named(tag, m[3] or "", inside))
         node.items.append(child)
-        if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            at = page.find(">", end.start()) + 1 or n if end else n
-        elif tag not in VOID and not (m[3] or "").endswith("/"):
+        # a slash at the end closes foreign elements only, and isn't one where it ends a value without quotes
+        slash = m[3].endswith("/") and not _VALUE_END.search(m[3])
+        if tag in VOID or slash and tag in FOREIGN:
+            continue
+        if tag in RAW:
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+            if end:
+                at = page.find(">", end.start()) + 1 or n
+            elif slash:
+                endless.add(tag)  # written as if it were closed, and never closed: what follows is the page
+            else:
+                at = n
+        else:
             stack.push(child)
     _by_name(root)
     return root

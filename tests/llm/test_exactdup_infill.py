@@ -174,3 +174,23 @@ def test_infill_keeps_columns(spark, empty):  # noqa: F811
     assert all(r[c] == f"own {c}" for r in out.collect() for c in kept)
     assert infill.encoded(df).columns == [c for c in df.columns if c != "runs"] + ["runs"]
     assert infill.transformed(empty).count() == infill.encoded(empty).count() == 0
+
+
+# ---- 8 --------------------------------------------------------------------------------------------------------------
+
+
+def test_slashes_at_the_end_of_tags():
+    """A slash closes no HTML element, least of all one that ends a value without quotes."""
+    from quarry.llm.htmltext import extract
+
+    body = "".join(f"<p>Sentence number {i} of the article, which is long enough to count as text.</p>" for i in range(6))
+    want = extract(f"<body><article>{body}</article></body>")
+    assert want.count("\n") == 5
+    for odd in (
+        "<script src=//cdn/x/>var a = 1;</script>", "<script src='x'/>var a = 1;</script>", "<style media=all/>p {}</style>", "<svg viewBox='0 0 1 1'/>", "<math/>", "<iframe src=/a/></iframe>",
+        "<nav data-u=/a/><a href=/b/>Home</a> <a href=/c/>News</a></nav>", "<script src='never-closed'/>", "<br/>", "<hr />", "<img src=/a/b/>",
+    ):
+        assert extract(f"<body>{odd}<article>{body}</article></body>") == want, odd
+        assert extract(f"<body><article>{body}{odd}</article></body>") == want, odd
+    assert extract(f"<body><article>{body}<div class=comments data-u=/c/><p>A reader's comment that isn't part of it.</p></div></article></body>") == want
+    assert extract(f"<body>{'<script a/>' * 20000}<article>{body}</article></body>") == want
