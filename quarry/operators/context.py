@@ -6,17 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.sources.tables import stored
 
 
-def neighbours(seeds: DataFrame, chunks: DataFrame, reach: int = 1, scope: str = "section") -> DataFrame:
+def ranged(chunks: DataFrame, section: list[str], ranges: int | None = None) -> DataFrame:
+    """section's columns, chunk_id and p, the number of the range of (section, chunk_id) that the row lies in; written, so that
+    ranges stay what they are. Ranges are of like sizes, however many chunks one section has."""
+    n = ranges or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(chunks.select(*section, "chunk_id").repartitionByRange(n, *section, "chunk_id").withColumn("p", F.spark_partition_id()))
+
+
+def neighbours(seeds: DataFrame, chunks: DataFrame, reach: int = 1, scope: str = "section", ranges: int | None = None) -> DataFrame:
     """query_id, chunk_id of the seeds and the chunks within `reach` places of them, once each.
 
     Places count along a section by chunk_id; scope 'document' keeps to the seed's document as well. Seeds that aren't in
-    chunks, or whose section is empty, pass through. Each place looks `reach` rows around itself in one window, so that the
-    join is on the chunk's id, not on a section that may hold most chunks.
+    chunks, or whose section is empty, pass through. Chunks are dealt in ranges, each place looks `reach` rows around itself in its
+    range, and the first and last `reach` rows of the ranges are looked at once more in a row: what comes from another range there is
+    a neighbour too. A section of any size is no single task, and the join is on the chunk's id.
     """
-    along = Window.partitionBy("section_path", *(["doc_id"] if scope == "document" else [])).orderBy("chunk_id").rowsBetween(-reach, reach)
-    near = chunks.where(T.text("section_path") != "").select("chunk_id", F.collect_list("chunk_id").over(along).alias("near"))
+    section = ["section_path", *(["doc_id"] if scope == "document" else [])]
+    rows = ranged(chunks.where(T.text("section_path") != ""), section, ranges)
+    own, around = Window.partitionBy("p", *section), lambda w: w.orderBy("chunk_id").rowsBetween(-reach, reach)
+    inside = rows.select("chunk_id", F.collect_list("chunk_id").over(around(own)).alias("near"))
+    place = lambda order: F.row_number().over(own.orderBy(order))
+    border = rows.withColumns({"i": place(F.col("chunk_id")), "j": place(F.desc("chunk_id"))}).where((F.col("i") <= reach) | (F.col("j") <= reach))
+    others = F.filter(F.collect_list(F.struct("p", "chunk_id")).over(around(Window.partitionBy(*section))), lambda x: x["p"] != F.col("p"))
+    across = border.select("chunk_id", F.transform(others, lambda x: x["chunk_id"]).alias("near")).where(F.size("near") > 0)
+    near = inside.unionByName(across)
     found = seeds.select("query_id", "chunk_id").join(near, "chunk_id", "left")
     return found.select("query_id", F.explode(F.coalesce("near", F.array("chunk_id"))).alias("chunk_id")).distinct()
 

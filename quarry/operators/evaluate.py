@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import answers as A
+from quarry.operators import profile
+from quarry.sources.tables import stored
 
 
 def shard(examples: DataFrame, shard_id: int, shards: int, index: str = "global_i") -> DataFrame:
@@ -64,14 +66,16 @@ def audit_rows(fused: DataFrame, reranked: DataFrame, questions: DataFrame, chun
 def audit(rows: DataFrame, questions: DataFrame) -> DataFrame:
     """One row of audit_rows: the questions, means and medians of score and overlap of both lists, and how many fused hits
     have no clause (unknown_rate) or aren't among the chunks (missing). An empty list has 0 everywhere."""
+    rows = stored(rows.select("list", "score", "overlap", "clause_id"))  # read twice
     fused = F.col("list") == "fused"
-    aggregates = []
-    for name, own in (("fused", fused), ("rerank", ~fused)):
-        for what, value in (("", "score"), ("_overlap", "overlap")):
-            aggregates += [F.round(F.coalesce(f(F.when(own, F.col(value))), F.lit(0.0)), 6).alias(f"{name}{what}_{stat}") for stat, f in (("mean", F.avg), ("median", F.median))]
+    own = F.when(fused, "fused").otherwise("rerank")
+    values = rows.select(F.explode(F.array(F.struct(own.alias("series"), F.col("score").alias("v")), F.struct(F.concat(own, F.lit("_overlap")).alias("series"), F.col("overlap").alias("v")))).alias("x")).select("x.*")
+    stats = profile.ranked(values, {"low": profile.LOW, "high": profile.HIGH}).select("series", (F.col("total") / F.col("n")).alias("mean"), ((F.col("low") + F.col("high")) / 2).alias("median"))
+    one = [F.round(F.coalesce(F.max(F.when(F.col("series") == name, F.col(stat))), F.lit(0.0)), 6).alias(f"{name}_{stat}") for name in ("fused", "fused_overlap", "rerank", "rerank_overlap") for stat in ("mean", "median")]
     unknown = F.round(F.coalesce(F.avg(F.when(fused, (T.text("clause_id") == "UNKNOWN").cast("double"))), F.lit(0.0)), 6)
     missing = F.coalesce(F.sum((fused & F.col("clause_id").isNull()).cast("bigint")), F.lit(0))
-    return rows.agg(*aggregates, unknown.alias("unknown_rate"), missing.alias("missing")).join(F.broadcast(questions.agg(F.count(F.lit(1)).alias("questions"))))  # one-row frames
+    counts = rows.agg(unknown.alias("unknown_rate"), missing.alias("missing"))
+    return stats.agg(*one).join(F.broadcast(counts)).join(F.broadcast(questions.agg(F.count(F.lit(1)).alias("questions"))))  # one-row frames
 
 
 def outcomes(parsed: DataFrame) -> DataFrame:

@@ -11,9 +11,11 @@ matrices and gives k rows per query. Beyond, queries and postings are joined in
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,24 +28,66 @@ BLOCK = 1024
 
 @dataclass(frozen=True)
 class Index:
-    """postings: doc_id, dl, term, tf; terms: term, df, idf; sizes: one row with n, avgdl; ids: doc_id of all documents;
-    counts: what terms and sizes are made of, if they aren't stored."""
+    """postings: doc_id, dl, term, tf; counts: term, df, all (how often it occurs), a row per term and segment; ids: doc_id of all
+    documents; vectors: doc_id, embedding, or None. What depends on the whole corpus (idf, mean length) follows from counts and
+    ids when a search asks for it, so that an index grows by segments that are never rewritten."""
 
     postings: DataFrame
-    terms: DataFrame
-    sizes: DataFrame
+    counts: DataFrame
     ids: DataFrame
-    counts: DataFrame | None = None
-
-    def save(self, path: str) -> None:
-        """Writes the four tables; postings are sorted by term, so that a search reads the row groups of its terms only."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("terms", "sizes", "ids"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    vectors: DataFrame | None = None
+    stored: bool = False
+
+    def _raw(self) -> DataFrame:
+        """term, df, all, idf, before negative ones are replaced."""
+        whole = self.counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("all").alias("all")) if self.stored else self.counts
+        n = self.ids.agg(F.count(F.lit(1)).alias("n"))
+        return whole.join(F.broadcast(n)).select("term", "df", "all", "n", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+
+    @property
+    def terms(self) -> DataFrame:
+        """term, df, idf. A negative idf becomes EPSILON times the mean of all."""
+        raw = self._raw()
+        mean = raw.agg(F.avg("idf").alias("mean"))
+        return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+
+    @property
+    def sizes(self) -> DataFrame:
+        """One row: n, avgdl, mean (of all idf)."""
+        n = self.ids.agg(F.count(F.lit(1)).alias("n"))
+        all_ = self._raw().agg(F.avg("idf").alias("mean"), F.coalesce(F.sum("all"), F.lit(0)).alias("all"))
+        return n.join(F.broadcast(all_)).select("n", F.try_divide("all", "n").alias("avgdl"), "mean")  # two one-row frames
+
+    def save(self, path: str, segment: str = "0") -> None:
+        """Writes the tables as one segment, in the place of what it was; postings are sorted by term, so that a search reads the
+        row groups of its terms only."""
+        at = lambda name: f"{path}/{name}/segment={segment}"
+        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(at("postings"))
+        self.counts.write.mode("overwrite").parquet(at("counts"))
+        if self.vectors is not None:
+            self.vectors.write.mode("overwrite").parquet(at("vectors"))
+        self.ids.write.mode("overwrite").parquet(at("ids"))
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "sizes", "ids")))
+    def load(spark: SparkSession, path: str, vectors: bool = False) -> Index:
+        """All segments at path; with `vectors`, those beside the postings too."""
+        read = lambda name: spark.read.parquet(f"{path}/{name}").drop("segment")
+        return Index(read("postings"), read("counts"), read("ids"), read("vectors") if vectors else None, True)
+
+
+def add(docs: DataFrame, path: str, segment: str, vectors: DataFrame | None = None) -> None:
+    """Adds docs (doc_id, text), and their vectors (doc_id, embedding), to the index at path as a segment; makes the index where
+    there is none. Documents that another segment has are passed over; a segment that is added again is replaced."""
+    try:
+        known = docs.sparkSession.read.parquet(f"{path}/ids")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        known = known.where(F.col("segment").cast("string") != segment).select("doc_id")
+        docs = docs.join(known, "doc_id", "left_anti")
+        vectors = vectors if vectors is None else vectors.join(known, "doc_id", "left_anti")
+    build(docs, vectors=vectors).save(path, segment)
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", body: Column | str = "text") -> DataFrame:
@@ -55,17 +99,10 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", body: Column | str = "text
     return rows.select("doc_id", "dl", F.get("s", F.col("at")).alias("term"), (F.coalesce(F.get("p", F.col("j") + 1), F.col("dl")) - F.col("at")).cast("bigint").alias("tf"))
 
 
-def build(docs: DataFrame, posts: DataFrame | None = None) -> Index:
-    """The index of docs (doc_id, text). A negative idf becomes EPSILON times the mean of all."""
+def build(docs: DataFrame, posts: DataFrame | None = None, vectors: DataFrame | None = None) -> Index:
+    """The index of docs (doc_id, text)."""
     posts = postings(docs) if posts is None else posts
-    ids = docs.select("doc_id")
-    counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all"))
-    n = ids.agg(F.count(F.lit(1)).alias("n"))
-    raw = counts.join(F.broadcast(n)).select("term", "df", "all", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = raw.agg(F.avg("idf").alias("mean"), F.coalesce(F.sum("all"), F.lit(0)).alias("all"))
-    terms = raw.drop("all").join(F.broadcast(mean.select("mean"))).select("term", "df", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    sizes = n.join(F.broadcast(mean.select("all"))).select("n", F.try_divide("all", "n").alias("avgdl"))  # two one-row frames
-    return Index(posts, terms, sizes, ids, counts)
+    return Index(posts, posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")), docs.select("doc_id"), vectors)
 
 
 def _asked(queries: DataFrame) -> DataFrame:
@@ -76,16 +113,16 @@ def _of(index: Index, allowed: DataFrame | None) -> DataFrame:
     return index.postings if allowed is None else index.postings.join(allowed.select("doc_id"), "doc_id", "left_semi")
 
 
-def blockwise(index: Index, queries: DataFrame, table: pa.Table, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score (six decimals) of at least the k best documents of each query that share a term with it. table:
-    the collected _asked(queries), of at most MOST_ASKED rows."""
+def _rounded(score: Column) -> Column:
+    """Six decimals, as numpy rounds."""
+    return F.rint(score * 1e6) / 1e6
+
+
+def blockwise(index: Index, queries: DataFrame, table: pa.Table, k: int, allowed: DataFrame | None, n: int, avgdl: float) -> DataFrame:
+    """query_id, doc_id, score of at least the k best documents of each query whose score isn't 0, and of all whose score is
+    below 0. table: the collected _asked(queries), of at most MOST_ASKED rows."""
     spark = queries.sparkSession
-    if index.counts is not None:
-        index.counts.persist()  # one row a term, for the two reads below
     weighted = index.terms.join(F.broadcast(spark.createDataFrame(table)), "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w")).toArrow()
-    n, avgdl = index.sizes.select("n", "avgdl").first()
-    if index.counts is not None:
-        index.counts.unpersist()
     ids = queries.schema["query_id"].dataType.simpleString()
     out = f"query_id {ids}, doc_id {index.postings.schema['doc_id'].dataType.simpleString()}, score double"
     if not len(weighted):
@@ -115,7 +152,7 @@ def blockwise(index: Index, queries: DataFrame, table: pa.Table, k: int, allowed
                 dense[doc[these] - low, place[these]] = part[these]
                 score = (dense @ weights).round(6)
                 least = np.partition(score, -k, axis=0)[-k] if k < len(score) else -np.inf
-                d, q = np.nonzero((score >= least) & (score != 0))
+                d, q = np.nonzero((score >= least) & (score != 0) | (score < 0))
                 found.append((q + at, d + low, score[d, q]))
         q, d, score = (np.concatenate([f[i] for f in found]) for i in range(3))
         return pa.table({"query_id": asked.take(pa.array(q)), "doc_id": docs.dictionary.take(pa.array(d)), "score": pa.array(score)})
@@ -123,13 +160,12 @@ def blockwise(index: Index, queries: DataFrame, table: pa.Table, k: int, allowed
     return hits.groupBy("b").applyInArrow(block, out)
 
 
-def scores(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score (six decimals, so that equal documents tie) of all that share a term. queries: query_id, text;
-    allowed: the doc_id that count, or None for all."""
+def scores(index: Index, queries: DataFrame, allowed: DataFrame | None, avgdl: float) -> DataFrame:
+    """query_id, doc_id, score of all documents whose score isn't 0. queries: query_id, text; allowed: the doc_id that count, or
+    None for all."""
     weighted = index.terms.join(_asked(queries), "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w"))
-    hits = _of(index, allowed).join(weighted, "term").join(F.broadcast(index.sizes.select("avgdl")))  # one row
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    return _of(index, allowed).join(weighted, "term").groupBy("query_id", "doc_id").agg(_rounded(F.sum(part)).alias("score")).where("score != 0")
 
 
 def topk(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id") -> DataFrame:
@@ -138,20 +174,33 @@ def topk(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, index: Index | None = None) -> DataFrame:
-    """query_id, doc_id, score, rank. A query that shares terms with fewer than k documents is filled up with others at score 0.
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, index: Index | None = None, most_asked: int | None = None) -> DataFrame:
+    """query_id, doc_id, score (six decimals, so that equal documents tie), rank. Documents that share no term with a query have
+    score 0 for it, as have those whose terms weigh nothing; they fill it up where fewer than k have more.
 
-    The fill needs only the k smallest ids: of those, at most the ones found already are taken. Without an index, one is built
-    of docs; with one, docs is read for `where` alone.
+    The fill needs only the k smallest ids: of those, at most the ones found already are taken. Scores below 0 come from a corpus so
+    small that terms are in most documents on average; those documents come last, and so many more ids are needed. Without an index,
+    one is built of docs; with one, docs is read for `where` alone.
     """
     index = build(docs) if index is None else index
     allowed = None if where is None else docs.where(where)
-    asked = _asked(queries).limit(MOST_ASKED + 1).toArrow()
-    scored = blockwise(index, queries, asked, k, allowed) if 0 < len(asked) <= MOST_ASKED else scores(index, queries, allowed)
-    best = topk(scored, k).select("query_id", "doc_id", "score", F.lit(1).alias("own"))
-    some = (index.ids if allowed is None else allowed.select("doc_id")).orderBy("doc_id").limit(k)  # k ids
-    fill = queries.select("query_id").join(F.broadcast(some)).select("query_id", "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("own"))
-    both = best.unionByName(fill).groupBy("query_id", "doc_id").agg(F.max(F.struct("own", "score")).alias("x"))
-    found = F.sum("x.own").over(Window.partitionBy("query_id"))
-    short = both.withColumn("n", found).where((F.col("x.own") == 1) | (F.col("n") < k))
-    return topk(short.select("query_id", "doc_id", F.col("x.score").alias("score")), k)
+    most = MOST_ASKED if most_asked is None else most_asked
+    asked = _asked(queries).limit(most + 1).toArrow()
+    if not index.stored:
+        index.counts.persist()  # one row a term, for the reads below
+    n, avgdl, mean = index.sizes.first()
+    if n and len(asked) <= most:
+        scored = blockwise(index, queries, asked, k, allowed, n, avgdl)
+    else:
+        scored = scores(index, queries, allowed, avgdl or 1.0)
+    if not index.stored:
+        index.counts.unpersist()
+    parts, more = [topk(scored.where("score > 0"), k).select("query_id", "doc_id", "score", F.lit(1).alias("own"))], k
+    if (mean or 0) < 0:
+        below = scored.where("score < 0")
+        parts.append(below.select("query_id", "doc_id", "score", F.lit(1).alias("own")))
+        more += below.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    some = (index.ids if allowed is None else allowed.select("doc_id")).orderBy("doc_id").limit(more)
+    parts.append(queries.select("query_id").join(F.broadcast(some)).select("query_id", "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("own")))
+    both = reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id").agg(F.max(F.struct("own", "score")).alias("x"))
+    return topk(both.select("query_id", "doc_id", F.col("x.score").alias("score")), k)

@@ -8,23 +8,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.sources.tables import stored
 
 
-def summary(df: DataFrame, value: Column) -> DataFrame:
-    """One row: n, avg, med, p10, p90, minv, maxv. Percentiles are the value at rank rint((n - 1) * p) from 0.
+def ranked(values: DataFrame, ranks: dict[str, Callable[[Column], Column]], ranges: int | None = None) -> DataFrame:
+    """series, n, total, least, most and the value at each of the ranks, which are functions of n and count from 0. values: series,
+    v; nulls don't count, and a series without values has no row.
 
-    Values are counted first: what is ranked in one task is one row per distinct value, not per row.
+    Distinct values with their counts are dealt in ranges and written; counts of ranges tell which one holds a rank, and only that
+    one is sorted.
     """
-    seen = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = seen.withColumns({"last": F.sum("c").over(upto) - 1, "n": F.sum("c").over(Window.partitionBy())})
-    at = lambda p: F.min(F.when(F.col("last") >= p, F.col("v")))
-    rank = lambda p: F.rint((F.col("n") - 1) * p)
-    low, high = at(F.floor((F.col("n") - 1) / 2)), at(F.ceil((F.col("n") - 1) / 2))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return ranked.agg(
-        F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.round(F.coalesce(F.sum(F.col("v") * F.col("c")) / F.sum("c"), F.lit(0.0)), 6).alias("avg"), F.coalesce((low + high) / 2.0, F.lit(0.0)).alias("med"),
-        zero(at(rank(0.1))).alias("p10"), zero(at(rank(0.9))).alias("p90"), zero(F.min("v")).alias("minv"), zero(F.max("v")).alias("maxv"),
+    n = ranges or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = values.where("v is not null").groupBy("series", "v").agg(F.count(F.lit(1)).alias("c"))
+    seen = stored(counted.repartitionByRange(n, "series", "v").withColumn("p", F.spark_partition_id()))
+    per = seen.groupBy("series", "p").agg(F.sum("c").alias("rows"), F.sum(F.col("v") * F.col("c")).alias("total"), F.min("v").alias("least"), F.max("v").alias("most"))
+    along = Window.partitionBy("series").orderBy("p")  # a row for each range
+    placed = per.withColumns({"before": F.sum("rows").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows"), "n": F.sum("rows").over(Window.partitionBy("series"))})
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), f(F.col("n")).cast("bigint").alias("rank")) for name, f in ranks.items()]))
+    wanted = placed.select("series", "p", "before", "rows", asked.alias("w")).where((F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("before") + F.col("rows")))
+    wanted = wanted.select("series", "p", "w.name", (F.col("w.rank") - F.col("before")).alias("skip"))
+    upto = F.sum("c").over(Window.partitionBy("series", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    hits = seen.join(wanted, ["series", "p"]).withColumn("last", upto).where("last > skip")
+    found = hits.groupBy("series").agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks])
+    return per.groupBy("series").agg(F.sum("rows").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most")).join(found, "series", "left")
+
+
+LOW, HIGH = (lambda n: F.floor((n - 1) / 2)), (lambda n: F.ceil((n - 1) / 2))
+
+
+def summary(df: DataFrame, value: Column) -> DataFrame:
+    """One row: n, avg, med, p10, p90, minv, maxv. Percentiles are the value at rank rint((n - 1) * p) from 0."""
+    r = ranked(df.select(F.lit(0).alias("series"), value.alias("v")), {"low": LOW, "high": HIGH, "p10": lambda n: F.rint((n - 1) * 0.1), "p90": lambda n: F.rint((n - 1) * 0.9)})
+    zero = lambda c: F.coalesce(F.max(c), F.lit(0))
+    return r.agg(
+        zero("n").alias("n"), F.round(F.coalesce(F.max(F.col("total") / F.col("n")), F.lit(0.0)), 6).alias("avg"), F.coalesce(F.max((F.col("low") + F.col("high")) / 2.0), F.lit(0.0)).alias("med"),
+        zero("p10").alias("p10"), zero("p90").alias("p90"), zero("least").alias("minv"), zero("most").alias("maxv"),
     )
 
 

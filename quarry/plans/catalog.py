@@ -228,6 +228,27 @@ def bm25_stored_index(spark, sf):
     return lexical.search(_t(spark, sf, "documents"), _asked(spark, sf), 10, index=lexical.Index.load(spark, path))
 
 
+@query(f"WITH {_bm25(10)} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm")
+def bm25_shuffled(spark, sf):
+    """bm25_topk by the way for more questions than can be broadcast: questions and postings are joined in a shuffle."""
+    index = lexical.build(_texts(spark, sf).select("doc_id", "text"))
+    return lexical.search(_t(spark, sf, "documents"), _asked(spark, sf), 10, index=index, most_asked=0)
+
+
+@query(_fsql() + " SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM fused")
+def grown_index(spark, sf):
+    """rrf_fuse over an index that was made of half the documents and their vectors, to which the others were added; the second
+    segment is added twice, with documents of the first among it, which changes nothing."""
+    path, docs, v = tables.scratch(spark), _texts(spark, sf).select("doc_id", "text"), _vectors(spark, sf)[0].select("doc_id", "embedding")
+    half = F.xxhash64("doc_id") % 2 == 0
+    lexical.add(docs.where(half), path, "a", v.where(half))
+    for _ in range(2):
+        lexical.add(docs, path, "b", v)
+    index = lexical.Index.load(spark, path, vectors=True)
+    lists = {"bm25": lexical.search(_t(spark, sf, "documents"), _asked(spark, sf), 80, index=index), "dense": vector.search(index.vectors, _vectors(spark, sf)[1], 80)}
+    return fuse.rrf(lists)
+
+
 @query(f"WITH {_dense(10)} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM dn")
 def dense_topk(spark, sf):
     v, q = _vectors(spark, sf)

@@ -2,7 +2,8 @@
 
 import json
 import math
-from collections import Counter
+import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,6 +235,101 @@ def test_lexical_ways_agree(spark, monkeypatch, tmp_path):
     assert empty.count() == 0
 
 
+def brute_bm25(rows, asked, k):
+    """query_id, doc_id, score, rank by loops: every document has a score, ties go to the smaller id."""
+    docs = {i: Counter(t.split()) for i, t in rows}
+    n, df = len(docs), Counter(w for c in docs.values() for w in c)
+    avgdl = sum(sum(c.values()) for c in docs.values()) / n
+    raw = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    mean = sum(raw.values()) / len(raw) if raw else 0
+    idf = {w: 0.25 * mean if x < 0 else x for w, x in raw.items()}
+    out = []
+    for q, t in asked:
+        scores = {i: round(sum(m * idf[w] * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * sum(c.values()) / avgdl)) for w, m in Counter(t.split()).items() if w in idf and c[w]), 6) for i, c in docs.items()}
+        out += [(q, i, x + 0.0, r) for r, (i, x) in enumerate(sorted(scores.items(), key=lambda s: (-s[1], s[0]))[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 2])
+def test_lexical_ways_by_loops(spark, monkeypatch, seed):
+    """Both ways against loops: terms of no weight (in half of the documents), of negative weight, ties, more asked for than match."""
+    r = random.Random(seed)
+    words = ["a", "b", "c"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 9)))) for i in range(12)]
+    if seed == 0:
+        rows = [(1, "x y"), (2, "z"), (3, "x"), (4, "v")]  # x is in half of them, its idf is 0
+    asked = [(1, "x"), (2, "a b b"), (3, "c none"), (4, "none"), (5, "x z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    questions = spark.createDataFrame(asked, "query_id bigint, text string")
+    monkeypatch.setattr(lexical, "BLOCK", 3)
+    for k in (1, 20):
+        want = sorted(brute_bm25(rows, asked, k))
+        for most in (None, 0):
+            assert [(q, i, pytest.approx(x, abs=2e-6), n) for q, i, x, n in want] == sorted((h["query_id"], h["doc_id"], h["score"], h["rank"]) for h in lexical.search(docs, questions, k, most_asked=most).collect()), (seed, k, most)
+
+
+def test_index_grows(spark, tmp_path):
+    """Segments added one by one, one of them twice and with documents that are there already, equal the index of all."""
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(0, 12)))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    vectors = docs.select("doc_id", F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("embedding"))
+    path, plain = str(tmp_path / "index"), lambda df: sorted(map(tuple, df.collect()))
+    lexical.add(docs.where("doc_id < 30"), path, "0", vectors.where("doc_id < 30"))
+    lexical.add(docs.where("doc_id < 60"), path, "1", vectors.where("doc_id < 60"))
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "index").rglob("*.parquet") if "segment=0" in str(f)}
+    for _ in range(2):
+        lexical.add(docs, path, "late", vectors)
+    assert before == {f: f.stat().st_mtime_ns for f in (tmp_path / "index").rglob("*.parquet") if "segment=0" in str(f)}
+    grown, whole = lexical.Index.load(spark, path, vectors=True), lexical.build(docs)
+    assert plain(grown.terms) == plain(whole.terms) and plain(grown.sizes) == plain(whole.sizes) and plain(grown.ids) == plain(whole.ids)
+    assert plain(grown.postings.select("doc_id", "dl", "term", "tf")) == plain(whole.postings) and plain(grown.vectors) == plain(vectors)
+    asked = spark.createDataFrame([(1, "a b c"), (2, "p")], "query_id bigint, text string")
+    assert plain(lexical.search(docs, asked, 7, index=grown)) == plain(lexical.search(docs, asked, 7))
+    lexical.add(docs.limit(0), path, "none", vectors.limit(0))
+    assert plain(lexical.Index.load(spark, path).ids) == plain(whole.ids)
+
+
+def test_neighbours_over_ranges(spark):
+    """A section with nine tenths of the chunks, cut in many ranges, some shorter than the reach; against loops."""
+    r = random.Random(6)
+    ids = [f"c{i:04d}" for i in range(400)]
+    rows = [(i, "hot" if r.random() < 0.9 else r.choice(["one", "two", "", None]), f"d{r.randint(0, 2)}") for i in ids]
+    chunks = spark.createDataFrame(rows, "chunk_id string, section_path string, doc_id string").repartition(5)
+    seeds = spark.createDataFrame([(q, r.choice(ids)) for q in range(60)] + [(99, "nowhere")], "query_id bigint, chunk_id string")
+    for scope in ("section", "document"):
+        order = defaultdict(list)
+        for i, s, d in rows:
+            if s:
+                order[(s, d if scope == "document" else None)].append(i)
+        at = {i: (x, k) for x in order.values() for k, i in enumerate(x)}
+        for reach, ranges in ((1, 7), (4, 150)):
+            want = set()
+            for q, i in map(tuple, seeds.collect()):
+                x, k = at.get(i, ([i], 0))
+                want |= {(q, j) for j in x[max(0, k - reach) : k + reach + 1]}
+            assert sorted(map(tuple, context.neighbours(seeds, chunks, reach, scope, ranges).collect())) == sorted(want), (scope, reach, ranges)
+
+
+def test_no_task_has_a_whole_section(spark):
+    """Ranges of a table with one section are of like sizes."""
+    chunks = spark.range(20_000).select(F.format_string("c%06d", "id").alias("chunk_id"), F.lit("hot").alias("section_path"), F.lit("d").alias("doc_id"))
+    sizes = [x["count"] for x in context.ranged(chunks, ["section_path"], 8).groupBy("p").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sorted(sizes)[4]
+
+
+def test_ranks_of_doubles(spark):
+    """Distinct doubles in several series, ties and nulls, against sorted lists."""
+    r = random.Random(2)
+    rows = [("a", r.random()) for _ in range(501)] + [("b", float(r.randint(0, 3))) for _ in range(200)] + [("c", 1.5), ("d", None), ("a", None)]
+    ranks = {"low": lambda n: F.floor((n - 1) / 2), "p90": lambda n: F.rint((n - 1) * 0.9)}
+    got = {x["series"]: x for x in profile.ranked(spark.createDataFrame(rows, "series string, v double").repartition(3), ranks, 9).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for name in got:
+        v = sorted(x for s, x in rows if s == name and x is not None)
+        assert (got[name]["n"], got[name]["low"], got[name]["p90"], got[name]["least"], got[name]["most"]) == (len(v), v[(len(v) - 1) // 2], v[round((len(v) - 1) * 0.9)], v[0], v[-1])
+
+
 def test_embeddings(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, "two one"), (3, ""), (4, None), (5, "other words")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["embedding"] for r in vector.hashed(docs, 16).collect()}
