@@ -59,11 +59,12 @@ class Index:
         return n.join(F.broadcast(all_)).select("n", F.try_divide("all", "n").alias("avgdl"), "mean")  # two one-row frames
 
     def save(self, path: str, segment: str = "0") -> None:
-        """Writes the tables as one segment, in the place of what it was; postings are sorted by term, so that a search reads the
-        row groups of its terms only."""
+        """Writes the tables as one segment, in the place of what it was. Postings are dealt by term, a frequent one over several
+        tasks, and sorted by it in each file, so that a search reads the row groups of its terms only. Counts are taken from what is
+        written: texts are read once."""
         at = lambda name: f"{path}/{name}/segment={segment}"
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(at("postings"))
-        self.counts.write.mode("overwrite").parquet(at("counts"))
+        self.postings.hint("rebalance", F.col("term")).sortWithinPartitions("term").write.mode("overwrite").parquet(at("postings"))
+        _counts(self.postings.sparkSession.read.schema(self.postings.schema).parquet(at("postings"))).write.mode("overwrite").parquet(at("counts"))
         if self.vectors is not None:
             self.vectors.write.mode("overwrite").parquet(at("vectors"))
         self.ids.write.mode("overwrite").parquet(at("ids"))
@@ -102,7 +103,11 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", body: Column | str = "text
 def build(docs: DataFrame, posts: DataFrame | None = None, vectors: DataFrame | None = None) -> Index:
     """The index of docs (doc_id, text)."""
     posts = postings(docs) if posts is None else posts
-    return Index(posts, posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")), docs.select("doc_id"), vectors)
+    return Index(posts, _counts(posts), docs.select("doc_id"), vectors)
+
+
+def _counts(posts: DataFrame) -> DataFrame:
+    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all"))
 
 
 def _asked(queries: DataFrame) -> DataFrame:
