@@ -8,8 +8,9 @@ import threading
 import types
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -73,6 +74,29 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, key: tuple[str, ...], more: int) -> DataFrame:
+    """rows, a stored table, with `repeat`: null, but 1 to n in each group of n > `more` rows alike in the columns `key`.
+
+    The rows of a group are numbered by file blocks, whose counts tell where each block's numbers begin, so that no task takes
+    more of one group than a block holds. Where all of a group's rows are alike, the result doesn't depend on the blocks.
+    """
+    if set(key) & {"repeat", "block_"}:
+        raise ValueError("repeat and block_ are numbered()'s own columns")
+    many = stored(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > more).select(*[F.col(k).alias(f"{k}_") for k in key]))
+
+    def same(names: tuple[str, ...]) -> Column:
+        return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in names])
+
+    blocked = rows.select(*rows.columns, F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")).alias("block_"))
+    alike = blocked.join(many, same(key), "left_semi")
+    sizes = alike.groupBy(*key, "block_").agg(F.count(F.lit(1)).alias("size_"))
+    earlier = Window.partitionBy(*key).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select(*[F.col(k).alias(f"{k}_") for k in (*key, "block_")], F.coalesce(F.sum("size_").over(earlier), F.lit(0)).alias("begin_"))
+    own = F.row_number().over(Window.partitionBy(*key, "block_").orderBy("block_"))
+    alike = alike.withColumn("own_", own).join(begins, same((*key, "block_"))).select(*rows.columns, (F.col("begin_") + F.col("own_")).cast("bigint").alias("repeat"))
+    return rows.join(many, same(key), "left_anti").withColumn("repeat", F.lit(None).cast("bigint")).unionByName(alike)
+
+
 def stored_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """make()'s result, stored; the tables stored on the way to it are deleted."""
     before = len(getattr(_MADE, "paths", ()))

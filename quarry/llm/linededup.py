@@ -2,18 +2,19 @@
 
 Units are the sentences of each line, so a line of one sentence is one unit, and of any length. A unit is normalised (lower
 case, runs of anything but letters and digits become one space) and digested to 128 bits. Digests are grouped globally: the
-earliest occurrence by (id, text hash, position) is the first, all others are repeats. A run of neighbouring repeats in a
-document is a repeated passage; it goes if it has `passage_words` words or more, so that a greeting or a license line that many
-documents share is left in place, whatever line it stands in. What a copied passage's first or last sentence has in common
-with another is not found where it runs into the text around it without a sentence's end. What goes is told in offsets of
-the original text.
+earliest occurrence by (id, text hash, position) is the first, all others are repeats and go, whatever their length; neighbours
+go as one span. A caller who would rather leave greetings and license lines that many documents share passes `passage_words`:
+then a run of neighbouring repeats goes only if it has that many words or more. What a copied passage's first or last sentence
+has in common with another is not found where it runs into the text around it without a sentence's end. What goes is told in
+offsets of the original text.
 
 Only ids, offsets and digests are shuffled until the end. Repeated digests are counted on the map side. Those that are over
 1 / `HOT` of all units, at most `HOT` by the pigeonhole principle, are broadcast to their occurrences; all others are joined in
 a shuffle in which no key has more than that share. What is gathered per document is its own repeats.
 
-Defined cases: null text stays null and has no units, as has an empty one; a null id ranks after all others; rows that repeat
-an id and a text are one document seen twice, and all of them keep the same units; ties within a text go to the first position;
+Defined cases: null text stays null and has no units, as has an empty one; a null id ranks after all others; of rows
+that repeat an id and a text (which of them, where their other columns differ, isn't fixed) one comes first and keeps what is
+not found earlier, all units of the others are repeats; ties within a text go to the first position;
 an empty table gives no rows; a very long text is one document like any other; an input column `removed` gives way to the
 output's, all others stay as they are, whatever their names.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import rowed, stored
 
-PASSAGE_WORDS, HOT = 20, 1000
+PASSAGE_WORDS, HOT = 0, 1000
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"\S.*?(?:[.!?…]+(?=\s)|\Z)", re.S)
 _OTHER = re.compile(r"[\W_]+")
@@ -97,9 +98,8 @@ def _found(documents: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id bigint, h bigint, no int, a int, b int, words int, d1 bigint, d2 bigint")
 
 
-def _repeats(documents: DataFrame) -> DataFrame:
+def _repeats(found: DataFrame) -> DataFrame:
     """doc_id, h and r, the units that occur earlier: an array of struct(no, a, b, words)."""
-    found = stored(_found(documents))
     digest, rank = ["d1", "d2"], F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "no")
     first = stored(found.groupBy(*digest).agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     hot = F.col("n") * HOT > found.count()
@@ -121,8 +121,21 @@ def deduplicated(documents: DataFrame, passage_words: int = PASSAGE_WORDS) -> Da
     def clean(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([t if t is None or not s else cleaned(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
-    spans = _repeats(documents).where(F.aggregate("r", F.lit(0), lambda n, x: n + x["words"]) >= passage_words).select(F.col("doc_id").alias("i"), F.col("h").alias("j"), removed("r").alias("x"))
+    @F.arrow_udf("array<struct<no:int,a:int,b:int,words:int>>")
+    def every(texts: pa.Array) -> pa.Array:
+        found = [[{"no": i, "a": a, "b": b, "words": norm.count(" ") + 1} for i, (a, b, norm) in enumerate(units(t))] for t in texts.to_pylist()]
+        return pa.array(found, pa.list_(pa.struct([(c, pa.int32()) for c in ("no", "a", "b", "words")])))
+
+    found = stored(_found(documents))
+    spans = _repeats(found).where(F.aggregate("r", F.lit(0), lambda n, x: n + x["words"]) >= passage_words).select(F.col("doc_id").alias("i"), F.col("h").alias("j"), removed("r").alias("x"))
     rows = rowed(documents, doc_id=documents["doc_id"].cast("bigint"), h=F.xxhash64(documents["text"].cast("string")))
-    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j")), "left").withColumn("x", F.coalesce("x", F.array().cast("array<struct<start:int,end:int>>")))
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j"))
+    twice = stored(found.where("no = 0").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("i"), F.col("h").alias("j")))
+    # rows alike in id and text: numbered where they are stored, so that the same one is the first in both joins, which have no hot key
+    alike = stored(rows.join(twice, same, "left_semi").withColumn("nth", F.monotonically_increasing_id()))
+    first = alike.groupBy("doc_id", "h").agg(F.min("nth").alias("nth")).select("nth")
+    rows = rows.join(twice, same, "left_anti").unionByName(alike.join(first, "nth", "left_semi").drop("nth"))
+    rows = rows.join(spans, same, "left").withColumn("x", F.coalesce("x", F.array().cast("array<struct<start:int,end:int>>"))).select("row", "x")
+    rows = rows.unionByName(alike.join(first, "nth", "left_anti").select("row", removed(every(F.col("row.text").cast("string"))).alias("x")))
     text = clean(F.col("row.text").cast("string"), "x")
     return rows.select(*[text.alias(f.name) if f.name.lower() == "text" else F.col("row").getField(f.name).alias(f.name) for f in rows.schema["row"].dataType if f.name.lower() != "removed"], F.col("x").alias("removed"))

@@ -7,8 +7,8 @@ they walk through the null space of two constraints (words and documents) until
 fractional, besides `RESERVE` of all sizes that are held back. Those few are blocked and walked again, level by level, until
 one block of each source is left; there the last twelve land on the 0s and 1s that miss the source's words by least.
 
-Blocks are dealt by a hash of id and text, so no task holds more than a few blocks however large a source is; each level
-leaves about one in 85, so 10 billion documents take five. The result depends on the rows alone, not on their partitions.
+Blocks are dealt by a hash of id and text, and of a number where more than `ALIKE` rows are alike in both, so no task holds more
+than a few blocks however large a source is and however often a row is repeated; each level leaves about one in 85, so 10 billion documents take five. The result depends on the rows alone, not on their partitions.
 One row a source, its sizes and target, goes through a single task; nothing else does.
 
 Defined cases: null or empty text has size 0 and takes 0; a null source is a source of its own, last in the order;
@@ -26,12 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import rowed, stored, text_or_empty, words
+from quarry.llm.common import numbered, rowed, stored, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 BLOCK = 1024
 RESERVE = 10
+#: So many rows with one id and text may share a block without a number of their own.
+ALIKE = 256
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
@@ -96,7 +98,7 @@ def _level(df: DataFrame, last: bool) -> DataFrame:
     """One walk of each (source_no, b) block; with `last` its rest lands."""
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "h"], ascending=[False, True, True], na_position="last", kind="stable")
+        rows = rows.sort_values(["size", "doc_id", "h", "repeat"], ascending=[False, True, True, True], na_position="last", kind="stable")
         p, size = rows["p"].to_numpy(float).copy(), rows["size"].to_numpy()
         # some of all sizes stay as they are, so that the last landing has fine steps
         stay = np.unique(np.linspace(0, len(p) - 1, RESERVE).astype(int))
@@ -108,7 +110,7 @@ def _level(df: DataFrame, last: bool) -> DataFrame:
 
 
 def _copies(rows: DataFrame, per: DataFrame, block: int) -> DataFrame:
-    """rows (source_no, size, doc_id, h and any others) with copies, the whole number of times each is taken."""
+    """rows (source_no, size, doc_id, h, repeat and any others) with copies, the whole number of times each is taken."""
     keep = rows.columns
     per = per.select("source_no", (F.try_divide("target", "source_size")).alias("r"))
     df = rows.join(per, "source_no").withColumn("r", F.coalesce("r", F.lit(0.0)))
@@ -120,7 +122,7 @@ def _copies(rows: DataFrame, per: DataFrame, block: int) -> DataFrame:
         counts = stored(left.groupBy("source_no").agg(F.count(F.lit(1)).alias("n")))  # a row a source
         last = (counts.agg(F.max("n")).first()[0] or 0) <= block
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block))
-        walked = stored(_level(left.join(counts, "source_no").withColumn("b", F.pmod(F.xxhash64("h", "doc_id", F.lit("block")), blocks).cast("int")).drop("n"), last))
+        walked = stored(_level(left.join(counts, "source_no").withColumn("b", F.pmod(F.xxhash64("h", "doc_id", "repeat", F.lit("block")), blocks).cast("int")).drop("n"), last))
         out = out.unionByName(walked.drop("b") if last else walked.where(~still).drop("b"))
         if last:
             return out.select(*keep, (F.col("base") + F.col("p").cast("int")).cast("int").alias("copies"))
@@ -128,10 +130,11 @@ def _copies(rows: DataFrame, per: DataFrame, block: int) -> DataFrame:
 
 
 def _plan(sized: DataFrame, weights, most: float, block: int) -> DataFrame:
-    """sized's columns (source, size, doc_id, h and any others), source_size, target and copies."""
+    """The columns of sized, a stored table (source, size, doc_id, h and any others), source_size, target and copies."""
     # a row a source, stored: Spark broadcasts it while it measures small, and splits hot sources in a join of two shuffles else
     per = stored(targets(sized, weights, most).withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
-    rows = sized.join(per.select("source_no", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    rows = numbered(sized, ("source", "doc_id", "h"), ALIKE)
+    rows = rows.join(per.select("source_no", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
     return _copies(rows, per, block).join(per, "source_no").select(*sized.columns, "source_size", F.col("target").cast("double").alias("target"), "copies")
 
 

@@ -3,7 +3,8 @@
 A document's token ids fill whole windows of its own as far as they go; what remains of it (less than a window) is packed
 with the remains of other documents. The documents are dealt by lexical closeness into shards of about `shard` documents:
 each has a sketch of its BM25 weights, and a tree of median cuts, fitted on at most `SAMPLE` sketches, tells the shard; a
-leaf that holds over one and a half shards by its share of the sample is cut by a hash. A seed sees the documents of its own shard only: comparing it with all
+leaf that holds over one and a half shards by its share of the sample is cut by a hash of id and text, and of a number where more
+than `ALIKE` rows are alike in both. A seed sees the documents of its own shard only: comparing it with all
 others would take time in the square of the corpus. Each shard builds a BM25 inverted index of its documents' words; the seed of a window is the first document with tokens left, and the
 index returns its unused neighbours, best first, which fill the window greedily. A neighbour that doesn't fit is cut, and
 its rest starts the next window. What is left at a shard's end is cut into sequences of powers of two, so nothing is padded.
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, worker_cache
+from quarry.llm.common import numbered, stored, worker_cache
 
 WINDOW = 1024
 SHARD = 2048
@@ -40,6 +41,8 @@ TERMS = 2**20
 K1, B = 1.2, 0.75
 #: So many neighbours are sorted before all others.
 NEAREST = 24
+#: So many rows with one id and text may share a shard without a number of their own.
+ALIKE = 256
 #: Texts whose words aren't parted by one space or line end each, or that may hold a special token, are tokenized whole.
 _WHOLE = r"[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]\z|<\||\x00"
 _BATCH_BYTES = 6_000_000
@@ -395,8 +398,11 @@ def pack(documents: DataFrame, tokenizer: str | None = None, end: int = 0, windo
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sketched(batch)], pa.binary())], ["doc_id", "h", "x"])
 
-    some = read.where(F.pmod(F.xxhash64("doc_id", "h", F.lit("sample")), F.lit(max(1, docs))) < SAMPLE).select("doc_id", "h", "terms", "counts")
-    some = some.mapInArrow(sampled, "doc_id bigint, h bigint, x binary").limit(2 * SAMPLE).toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    read = numbered(read, ("doc_id", "h"), ALIKE)
+    drawn = F.pmod(F.xxhash64("doc_id", "h", "repeat", F.lit("sample")), F.lit(max(1, docs)))
+    # about SAMPLE rows, as long as no more than ALIKE are drawn together; the limit is the bound of what the driver holds
+    some = read.where(drawn < SAMPLE).orderBy(drawn, "doc_id", "h", "repeat").limit(2 * SAMPLE).select("doc_id", "h", "terms", "counts")
+    some = some.mapInArrow(sampled, "doc_id bigint, h bigint, x binary").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
     x = np.frombuffer(b"".join(some.column("x").to_pylist()), np.float32).reshape(-1, SKETCH)
     tree = documents.sparkSession.sparkContext.broadcast(Tree(x, max(1, min(-(-docs // shard), len(x) // LEAF))))
 
@@ -431,7 +437,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, end: int = 0, windo
         return pa.table({k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(names)})
 
     names = "doc_id bigint, h bigint, n bigint, crcs binary, rest binary, terms binary, counts binary"
-    dealt = read.mapInArrow(leaves, f"{names}, leaf bigint")
+    dealt = read.mapInArrow(leaves, f"{names}, repeat bigint, leaf bigint")
     parts = F.coalesce(F.get(F.array(*[F.lit(c) for c in cuts]), F.col("leaf").cast("int")), F.lit(1))
-    dealt = dealt.withColumn("s", F.col("leaf") * 2**20 + F.pmod(F.xxhash64("doc_id", "h", F.lit("shard")), parts)).drop("leaf")
+    dealt = dealt.withColumn("s", F.col("leaf") * 2**20 + F.pmod(F.xxhash64("doc_id", "h", "repeat", F.lit("shard")), parts)).drop("leaf", "repeat")
     return dealt.groupBy("s").applyInArrow(pack_one, "doc_id bigint, text_hash bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

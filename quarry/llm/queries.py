@@ -152,9 +152,9 @@ SELECT doc_id, source, size, source_size, round(least(cap, coalesce(w * stop.lev
 lines AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY l) - length(line) - 1 AS o FROM cut),
 pieces AS (SELECT doc_id, l, o, unnest(s) AS piece, generate_subscripts(s, 1) AS p FROM (SELECT doc_id, l, o, string_split(regexp_replace(line, '([.!?…])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM lines)),
 placed AS (SELECT *, o + sum(length(piece)) OVER (PARTITION BY doc_id, l ORDER BY p) - length(piece) AS a, trim(regexp_replace(lower(piece), '[^\pL\pN]+', ' ', 'g')) AS norm FROM pieces),
-units AS (SELECT doc_id, (a + length(piece) - length(ltrim(piece, ' ' || chr(9) || chr(11) || chr(12) || chr(13))))::INT AS a, (a + length(rtrim(piece, chr(0))))::INT AS b, norm, row_number() OVER (PARTITION BY doc_id ORDER BY l, p) AS no, len(string_split(norm, ' ')) AS words FROM placed WHERE norm <> ''),
+units AS (SELECT doc_id, (a + length(piece) - length(ltrim(piece, ' ' || chr(9) || chr(11) || chr(12) || chr(13))))::INT AS a, (a + length(rtrim(piece, chr(0))))::INT AS b, norm, row_number() OVER (PARTITION BY doc_id ORDER BY l, p) AS no FROM placed WHERE norm <> ''),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, no) > 1 AS again FROM units),
-runs AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT *, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS run FROM ranked WHERE again) GROUP BY doc_id, run HAVING sum(words) >= 20),
+runs AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT *, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS run FROM ranked WHERE again) GROUP BY doc_id, run),
 spans AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed, count(*) AS n FROM runs GROUP BY doc_id),
 touched AS (SELECT l.doc_id, l.l, l.line, l.o, greatest(r.a, l.o) AS a, least(r.b, l.o + length(l.line)) AS b FROM lines l JOIN runs r ON r.doc_id = l.doc_id AND r.a < l.o + length(l.line) AND r.b > l.o),
 gaps AS (SELECT *, substr(line, (coalesce(lag(b) OVER w, o) - o + 1)::BIGINT, (a - coalesce(lag(b) OVER w, o))::BIGINT) AS gap, row_number() OVER (PARTITION BY doc_id, l ORDER BY a DESC) AS back FROM touched WINDOW w AS (PARTITION BY doc_id, l ORDER BY a)),

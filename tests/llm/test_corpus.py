@@ -182,6 +182,23 @@ def test_encoder_equals_tokenizer(texts):
         assert dict(zip(terms.tolist(), counts.tolist())) == want
 
 
+def test_rows_alike_are_dealt(spark, monkeypatch):
+    """Repeats of one id and text: no block and no shard is larger for them, and the numbers don't depend on the files."""
+    text = "these words are repeated in very many rows of one table " * 4
+    n, few = 20_000, [(i, f"word{i} of document {i} with some more words {i % 7}") for i in range(500)]
+    rows = spark.range(n).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame(few, "doc_id bigint, text string")).withColumn("source", F.lit("one"))
+    sizes, level = [], mixing._level
+    monkeypatch.setattr(mixing, "_level", lambda df, last: sizes.append(df.groupBy("source_no", "b").count().agg(F.max("count")).first()[0]) or level(df, last))
+    weights = (5.0, 2.0)
+    both = rows.unionByName(rows.withColumn("source", F.lit("two")))
+    got = mixing.plan(both, weights).groupBy("source", "doc_id", "copies").count().collect()
+    assert max(sizes) <= 2048 and sum(r["count"] for r in got) == 2 * (n + 500)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.plan(both.repartition(7), weights).groupBy("source", "doc_id", "copies").count().collect()))
+    shards = packing.pack(rows).where("start + length = doc_tokens").withColumn("shard", F.expr("shiftright(sequence_id, 32)")).groupBy("shard").count()
+    counts = [r["count"] for r in shards.collect()]
+    assert sum(counts) == n + 500 and max(counts) <= 2 * packing.SHARD
+
+
 def test_packing_counts_beyond_two_bytes():
     """A word that occurs 70,000 times keeps its count and its text's length."""
     text = "again " * 70_000 + "end"
@@ -230,7 +247,7 @@ def test_line_dedup(spark, empty):
     rows = [(3, f"own words here first\n{passage}\nlast words of three"), (1, f"{passage}\n{passage}\nanother line of document one"), (2, None), (4, ""), (5, f"A start that is its own sentence of nine words. {passage[0].upper() + passage[1:]}. And an end that is its own sentence as well.")]
     rows += [(None, f"null id has it too\n{passage}"), (6, f"{short}\n\nwith its empty line"), (7, f"{short}\n{short}\nand its own end")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("removed", F.lit("clash"))
-    got = {r["doc_id"]: r for r in linededup.deduplicated(docs).collect()}
+    got = {r["doc_id"]: r for r in linededup.deduplicated(docs, passage_words=20).collect()}
     assert got[1]["text"] == f"{passage}\nanother line of document one" and [tuple(s) for s in got[1]["removed"]] == [(len(passage) + 1, 2 * len(passage) + 1)]
     assert got[3]["text"] == "own words here first\nlast words of three" and got[2]["text"] is None and got[4]["text"] == ""
     assert got[5]["text"].split() == rows[4][1].replace(passage[0].upper() + passage[1:] + ".", "").split()
@@ -238,8 +255,18 @@ def test_line_dedup(spark, empty):
     assert linededup.deduplicated(empty).count() == 0
     for s in got[3]["removed"]:
         assert rows[0][1][s["start"] : s["end"]] == passage
-    every = {r["doc_id"]: r["text"] for r in linededup.deduplicated(docs, passage_words=1).collect()}
-    assert every[6] == rows[6][1] and every[7] == "and its own end"
+    every = {r["doc_id"]: r["text"] for r in linededup.deduplicated(docs).collect()}
+    assert every[6] == rows[6][1] and every[7] == "and its own end" and every[3] == got[3]["text"]
+
+
+def test_line_dedup_of_rows_alike(spark):
+    """Rows that repeat an id and a text: one keeps its units, null ids too; an earlier document's text takes all of them."""
+    two = "First line of both.\nSecond line of both."
+    rows = [(None, two, "x")] * 3 + [(7, "A line of seven.", "y")] * 2 + [(8, "A line of seven.", "z")] * 2 + [(9, "--- ...", "q")] * 2 + [(5, None, "n")] * 2
+    got = linededup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string, row string").repartition(3)).collect()
+    texts = sorted((str(r["doc_id"]), r["row"], str(r["text"]), [tuple(s) for s in r["removed"]]) for r in got)
+    want = [("None", "x", two, [])] + [("None", "x", "", [(0, len(two))])] * 2 + [("7", "y", "A line of seven.", [])] + [(i, c, "", [(0, 16)]) for i, c in (("7", "y"), ("8", "z"), ("8", "z"))]
+    assert texts == sorted(want + [("9", "q", "--- ...", [])] * 2 + [("5", "n", "None", [])] * 2)
 
 
 def test_line_dedup_inside_lines(spark):
@@ -248,14 +275,14 @@ def test_line_dedup_inside_lines(spark):
     short = "Five short words stand here. Then four more come. Three words follow. And again five more words. Two remain. And so it ends."
     rows = [(1, line), (2, f"An own sentence of document two that is long enough. {line} Own words after it."), (3, f"Own words of document three before it. {short} Own end of three, in a few words more.")]
     rows += [(4, f"Document four begins in another way than three. {short.replace('. Then', '.' + chr(10) + 'Then')} Its end differs as well."), (6, "Yes we can. Yes we can. Yes we can."), (7, "One sentence of eight words or even more. ... - !")]
-    got = {r["doc_id"]: r["text"] for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {r["doc_id"]: r["text"] for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"), passage_words=20).collect()}
     assert all(got[i] == dict(rows)[i] for i in (1, 3, 6, 7))
     assert got[2].split() == rows[1][1].replace(line, "").split()
     assert got[4].split() == "Document four begins in another way than three. Its end differs as well.".split()
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
-def test_line_dedup_against_brute_force(docs, hot):
+@pytest.mark.parametrize("hot, least", [(1000, 20), (3, 20), (1000, 0), (3, 0)])
+def test_line_dedup_against_brute_force(docs, hot, least):
     rows = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in docs.select("doc_id", "text").collect() if r["text"]})
     hashed = {(r["doc_id"], r["text"]): r["h"] for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
     order = sorted(rows, key=lambda x: (x[0], x[1], hashed[None if x[0] else x[1], x[2]]))
@@ -266,7 +293,7 @@ def test_line_dedup_against_brute_force(docs, hot):
             if norm in seen and norm is not None:
                 run, words = (run[0] if run else a, b), words + len(norm.split())
             else:
-                if run and words >= 20:
+                if run and words >= least:
                     spans.append(run)
                 run, words = None, 0
             seen.add(norm)
@@ -274,7 +301,7 @@ def test_line_dedup_against_brute_force(docs, hot):
     assert any(want.values())
     old, linededup.HOT = linededup.HOT, hot
     try:
-        got = linededup.deduplicated(docs).where("text is not null and text != ''").collect()
+        got = linededup.deduplicated(docs.dropDuplicates(["doc_id", "text"]), passage_words=least).where("text is not null and text != ''").collect()
     finally:
         linededup.HOT = old
     for r in got:
