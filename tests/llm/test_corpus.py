@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import ann, htmltext, linededup, mixing, neardup, packing, pii, rules, urls, weaklabel
@@ -741,6 +742,84 @@ def test_weak_labels(spark, docs, empty):
     assert post["----gg-g"] < 0.1 < 0.9 < post["b---gg-b"] and 0.05 < share < 0.15
 
 
+def brute_em(rows, rounds=100):
+    """Posteriors of bad, document by document, in plain products."""
+    post = [0.9 if "b" in v else 0.01 for v in rows]
+    for _ in range(rounds):
+        share = min(0.5, max(1e-3, (sum(post) + 1) / (len(rows) + 2)))
+        seen = [[{c: 0.1 for c in "bg-"} for _ in (0, 1)] for _ in rows[0]]
+        for v, p in zip(rows, post):
+            for j, c in enumerate(v):
+                seen[j][0][c] += 1 - p
+                seen[j][1][c] += p
+        post = []
+        for v in rows:
+            good, bad = 1 - share, share
+            for j, c in enumerate(v):
+                good *= seen[j][0][c] / sum(seen[j][0].values())
+                bad *= seen[j][1][c] / sum(seen[j][1].values())
+            post.append(bad / (good + bad))
+    return post
+
+
+def simulated_votes(n=1500, seed=4):
+    """Votes of labellers that know one defect each and are independent given the truth, and that truth."""
+    r, rows, truth = random.Random(seed), [], []
+    for _ in range(n):
+        bad = r.random() < 0.2
+        rows.append("".join("b" if r.random() < (0.6 if bad else 0.02) else "g" if r.random() < 0.5 else "-" for _ in weaklabel.LABELLERS))
+        truth.append(bad)
+    return rows, truth
+
+
+def test_accuracies_against_brute_force():
+    """EM over counts of vote patterns is EM over documents, and finds the labellers' accuracies where they are known."""
+    rows, truth = simulated_votes()
+    post, table, share = weaklabel.estimate(dict(Counter(rows)))
+    assert max(abs(post[v] - p) for v, p in zip(rows, brute_em(rows))) < 1e-9
+    assert abs(share - sum(truth) / len(truth)) < 0.03
+    assert all(abs(table[j, 1, 0] - 0.6) < 0.1 and abs(table[j, 0, 0] - 0.02) < 0.02 for j in range(len(weaklabel.LABELLERS)))
+    assert sum((post[v] > 0.5) == t for v, t in zip(rows, truth)) / len(rows) > 0.98
+
+
+def test_scorer_reaches_the_optimum():
+    """Gradient steps end where Newton's method does."""
+    r = np.random.default_rng(3)
+    x = r.random((200, 6)).astype(np.float32)
+    y = 1 / (1 + np.exp(-(x @ np.array([3.0, -2, 1, 0, 0, -1]) - 0.5)))
+    w, b = weaklabel.train(x, y, rounds=4000, rate=1.0, decay=0.01)
+    one, at = np.hstack([x, np.ones((200, 1))]).astype(float), np.zeros(7)
+    weight, decay = y * 0.5 / y.mean() + (1 - y) * 0.5 / (1 - y.mean()), np.diag([0.01] * 6 + [0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-one @ at))
+        at -= np.linalg.solve((one * (weight * p * (1 - p) / 200)[:, None]).T @ one + decay, one.T @ ((p - y) * weight / 200) + decay @ at)
+    assert np.abs(np.append(w, b) - at).max() < 1e-3
+
+
+def test_scores_against_brute_force(spark):
+    """Votes' posteriors and scores of every document from features counted one by one; the fit takes all documents."""
+    own, _, _ = labelled(spark, 150)
+    got = {r["doc_id"]: r for r in weaklabel.classified(own).collect()}
+    rows = [(r["doc_id"], r["text"], r["h"]) for r in own.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).collect()]
+    rows.sort(key=lambda x: x[2])
+    post = brute_em([got[d]["votes"] for d, _, _ in rows])
+    x = np.zeros((len(rows), weaklabel.SLOTS), np.float32)
+    for i, (_, text, _) in enumerate(rows):
+        words = text.split()
+        for w in words:
+            shape = "".join("A" if c.isupper() else "a" if c.islower() else "9" if c.isdigit() else c for c in w)
+            shape = re.sub(r"(.)\1+", r"\1", "".join(c for k, c in enumerate(shape) if k == 0 or c not in "Aa9" or shape[k - 1] != c))
+            x[i, xxhash.xxh3_64_intdigest(shape) % (weaklabel.SHAPES - 64)] += 1 / len(words)
+            x[i, weaklabel.SHAPES + xxhash.xxh3_64_intdigest(w.lower()) % (weaklabel.SLOTS - weaklabel.SHAPES)] += 1 / len(words)
+        x[i, weaklabel.SHAPES - 3 - min(20, len(words).bit_length())] = 0.2
+        x[i, weaklabel.SHAPES - 2] = 1 - len(set(words)) / len(words)
+        x[i, weaklabel.SHAPES - 1] = sum(a == b for a, b in zip(words, words[1:])) / len(words)
+    w, b = weaklabel.train(x, np.array(post, np.float32))
+    for (d, _, _), p, z in zip(rows, post, x.astype(float) @ w + b):
+        assert abs(got[d]["posterior"] - p) < 1e-6 and abs(got[d]["score"] - 1 / (1 + np.exp(z))) < 1e-3
+        assert got[d]["kept"] == (got[d]["score"] >= weaklabel.KEEP)
+
+
 def test_weak_labels_ties_and_repeats(spark):
     """Repeated ids and rows, and a model fitted on less than all rows, give each row of one text one score, whatever the order."""
     own, _, _ = labelled(spark, 120)
