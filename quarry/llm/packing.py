@@ -396,13 +396,13 @@ def pack(documents: DataFrame, tokenizer: str | None = None, end: int = 0, windo
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sketched(batch)], pa.binary())], ["doc_id", "h", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x.tobytes() for x in sketched(batch)], pa.binary())], ["doc_id", "h", "repeat", "drawn", "x"])
 
     read = numbered(read, ("doc_id", "h"), ALIKE)
     drawn = F.pmod(F.xxhash64("doc_id", "h", "repeat", F.lit("sample")), F.lit(max(1, docs)))
     # about SAMPLE rows, as long as no more than ALIKE are drawn together; the limit is the bound of what the driver holds
-    some = read.where(drawn < SAMPLE).orderBy(drawn, "doc_id", "h", "repeat").limit(2 * SAMPLE).select("doc_id", "h", "terms", "counts")
-    some = some.mapInArrow(sampled, "doc_id bigint, h bigint, x binary").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    some = read.where(drawn < SAMPLE).select("doc_id", "h", "repeat", drawn.alias("drawn"), "terms", "counts")
+    some = some.mapInArrow(sampled, "doc_id bigint, h bigint, repeat bigint, drawn bigint, x binary").orderBy("drawn", "doc_id", "h", "repeat").limit(2 * SAMPLE).select("doc_id", "h", "x").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
     x = np.frombuffer(b"".join(some.column("x").to_pylist()), np.float32).reshape(-1, SKETCH)
     tree = documents.sparkSession.sparkContext.broadcast(Tree(x, max(1, min(-(-docs // shard), len(x) // LEAF))))
 
