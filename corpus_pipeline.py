@@ -1,6 +1,17 @@
 """A corpus pipeline of five stages: quality rules, near-dedup, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written and read again as the next one's docs.
+
+Defined cases, by stage; what isn't said here stands in the operator's module:
+quality rules: null and empty texts fail the base rule and go; repeated rows are judged alike and stay or go together.
+near duplicates: texts without words are linked with nothing and stay; of rows alike in id and text one stays. Rows with a
+null id are told by their sets of shingles: one row of each set stays, none if a row with an id has it; near sets aren't linked.
+personal data: a null text stays null; a text without personal data is unchanged; a long text is read whole.
+mixing: a document of size 0 counts for its source's documents only; those of a source without words go; repeated rows
+are documents of their own.
+packing: one piece at least for each row; a null text has the end id only.
+An empty table gives an empty one of the same columns at every stage, and no pieces. All stages but the last hand on every
+column of documents, extra ones too, whatever their names.
 """
 
 from __future__ import annotations
