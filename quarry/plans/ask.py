@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import answers, context, fuse, lexical, segment, vector
+from quarry.operators import answers, context, fuse, lexical, rounds, segment, vector
 from quarry.plans.adapters import Model, adapter, generated
-from quarry.sources.tables import Config, stored
+from quarry.sources.tables import Config, scratch, stored
 
 
 def health() -> dict[str, bool]:
@@ -30,7 +30,8 @@ class Engine:
     """chunks: the chunk table; vectors: chunk_id, embedding, or None; a question frame has query_id, question, and embedding
     where vectors are used. Ids of chunks are numbered once, so that retrieval moves numbers, not strings. index: a stored
     lexical index of index_texts(); without one it is built for each search. model: makes the generating model; None takes the
-    configuration's."""
+    configuration's. number: a column of chunks with a unique integer for each; None takes the id's 64-bit hash. Hits of one score
+    are in the order of these numbers."""
 
     chunks: DataFrame
     vectors: DataFrame | None = None
@@ -38,9 +39,10 @@ class Engine:
     scorer: Callable[[DataFrame], DataFrame] | None = fuse.lexical_scorer
     model: Callable[[], Model] | None = None
     index: lexical.Index | None = None
+    number: str | None = None
 
     def __post_init__(self) -> None:
-        self.docs = self.chunks.select(F.xxhash64("chunk_id").alias("doc_id"), *[F.col(c).alias("document" if c == "doc_id" else c) for c in self.chunks.columns if c not in ("text", "document")], T.search_text(F.col("title"), F.col("clause_id"), F.col("text")).alias("text"))
+        self.docs = self.chunks.select((F.col(self.number).cast("bigint") if self.number else F.xxhash64("chunk_id")).alias("doc_id"), *[F.col(c).alias("document" if c == "doc_id" else c) for c in self.chunks.columns if c not in ("text", "document")], T.search_text(F.col("title"), F.col("clause_id"), F.col("text")).alias("text"))
         if self.model is None:
             self.model = adapter(self.config.model.adapter, self.config.model.name, self.config.model.url)
 
@@ -90,25 +92,20 @@ class Engine:
         line = F.get(F.split(T.strip(T.text("raw")), T.LINE_END), F.lit(0))
         return questions.join(raw, "query_id", "left").select("query_id", F.when(T.strip(T.text("raw")) == "", F.col("question")).otherwise(line).alias("question"), "raw")
 
-    def _gated(self, questions: DataFrame, filters: dict[str, str] | None, rewrite: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """The reranked and the fused hits, the gates, and query_id, round, query (what was asked last): a question that fails
-        the gate is asked again in other words, from its first wording, while rounds are left. Only failed ones are. The hits of
-        each round, a few dozen rows a question, are stored, as all that follows reads them."""
+    def gated(self, questions: DataFrame, filters: dict[str, str] | None = None, rewrite: Callable[[DataFrame], DataFrame] | None = None) -> rounds.Rounds:
+        """The last round of each question: its hits, its gate and what was asked. Only questions that fail the gate are asked
+        again, while rounds are left; rewrite gets query_id, question and round. Where there may be more rounds than one, the lexical
+        index is built once and stored."""
         gate = self.config.gate
-        fused = stored(self.retrieve(questions, filters))
-        seeds = stored(self._ranked(questions, fused))
-        gates = fuse.gate(seeds, questions, gate.min_score)
-        asked = questions.select("query_id", F.lit(1).alias("round"), F.col("question").alias("query"))
-        for i in range(2, gate.max_rounds + 1 if gate.enabled and rewrite else 2):
-            failed = questions.join(gates.where("fallback"), "query_id", "left_semi")
-            new = stored(failed.drop("question").join(rewrite(failed).select("query_id", "question"), "query_id"))
-            again = stored(self.retrieve(new, filters))
-            named = new.select("query_id")
-            swap = lambda old, more: old.join(named, "query_id", "left_anti").unionByName(more)
-            fused, seeds = stored(swap(fused, again)), stored(swap(seeds, self._ranked(new, again)))
-            asked = stored(swap(asked, new.select("query_id", F.lit(i).alias("round"), F.col("question").alias("query"))))
-            gates = fuse.gate(seeds, questions, gate.min_score)
-        return seeds, fused, gates, asked
+        rewrite = rewrite if gate.enabled and gate.max_rounds > 1 else None
+        engine = self if self.index or not rewrite else replace(self, index=self.stored_index())
+        return rounds.gated(questions, lambda now: engine.retrieve(now, filters), engine._ranked, gate.min_score, rewrite, gate.max_rounds)
+
+    def stored_index(self) -> lexical.Index:
+        """The lexical index of index_texts(), written to the shared folder."""
+        path = scratch(self.chunks.sparkSession)
+        lexical.build(self.index_texts()).save(path)
+        return lexical.Index.load(self.chunks.sparkSession, path)
 
     def contexts(self, seeds: DataFrame, top_k: int) -> DataFrame:
         """query_id, place and the columns of the chunks that go into each prompt."""
@@ -124,8 +121,8 @@ class Engine:
     def ask(self, questions: DataFrame, filters: dict[str, str] | None = None, top_k: int = 5, rewrite: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """query_id, answer, citations, mode, raw, fallback. rewrite: query_id, question to query_id, question, for the
         questions that the gate fails; the guarded rewriting by the model if None."""
-        seeds, _, gates, _ = self._gated(questions, filters, rewrite or self.rewritten)
-        return self._answered(questions, seeds, top_k).join(gates.select("query_id", "fallback"), "query_id").select("query_id", "answer", "citations", "mode", "raw", "fallback")
+        last = self.gated(questions, filters, rewrite or self.rewritten)
+        return self._answered(questions, last.seeds, top_k).join(last.gates.select("query_id", "fallback"), "query_id").select("query_id", "answer", "citations", "mode", "raw", "fallback")
 
     def _tops(self, fused: DataFrame, seeds: DataFrame, k: int = 5) -> DataFrame:
         """query_id, fused_top, reranked_top: score and chunk of the first k hits of both lists."""
@@ -133,13 +130,13 @@ class Engine:
         one = lambda df, name: df.where(F.col("rank") <= k).join(ids, "doc_id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score", "chunk_id"))), lambda x: F.struct(x["score"].alias("score"), x["chunk_id"].alias("chunk_id"))).alias(name))
         return one(fused, "fused_top").join(one(seeds, "reranked_top"), "query_id", "full")
 
-    def logged(self, questions: DataFrame, filters: dict[str, str] | None = None, top_k: int = 5, max_prompt: int = 2000, max_raw: int = 2000) -> DataFrame:
-        """What ask() gives, with unguarded rewriting, and what happened on the way: round, query, fused_top, reranked_top,
+    def logged(self, questions: DataFrame, filters: dict[str, str] | None = None, top_k: int = 5, max_prompt: int = 2000, max_raw: int = 2000, rewrite: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """What ask() gives, with unguarded rewriting where rewrite is None, and what happened on the way: round, query, fused_top, reranked_top,
         prompt and raw (cut, with a note of their length). questions may have asked, the wording for the model where it
         differs from the one that is searched for."""
-        seeds, fused, _, asked = self._gated(questions, filters, self.rewritten_unguarded)
+        last = self.gated(questions, filters, rewrite or self.rewritten_unguarded)
         worded = questions.withColumn("question", F.coalesce("asked", "question")) if "asked" in questions.columns else questions
-        out = self._answered(worded, seeds, top_k).join(asked, "query_id").join(self._tops(fused, seeds), "query_id", "left")
+        out = self._answered(worded, last.seeds, top_k).join(last.asked, "query_id").join(self._tops(last.fused, last.seeds), "query_id", "left")
         return out.select("query_id", "answer", "citations", "mode", "round", "query", "fused_top", "reranked_top", T.truncated(F.col("prompt"), max_prompt).alias("prompt"), T.truncated(F.col("raw"), max_raw).alias("raw"))
 
     def mini(self, examples: DataFrame, top_k: int = 10, keep_raw: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import answers, context, evaluate, fuse, lexical, profile, segment, vector
-from quarry.plans import adapters
+from quarry.plans import adapters, ask
 from quarry.sources import reports, store, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,9 +95,9 @@ def spec_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    """Model outputs of six shapes, made from the conversations' numbers: conv_id, turn, k (the option), raw."""
+    """Model outputs of six shapes, made from the conversations: conv_id, turn, raw. Quotes hold the turn's letters and digits."""
     k = (F.col("turn") % 4 + 1).cast("string")
-    cite = F.concat(F.lit('[{"chunk_id": "c'), F.col("conv_id").cast("string"), F.lit('", "quote": "q'), F.col("turn").cast("string"), F.lit('"}]'))
+    cite = F.concat(F.lit('[{"chunk_id": "c'), F.col("conv_id").cast("string"), F.lit('", "quote": "q'), F.col("turn").cast("string"), F.lit(" "), F.regexp_replace(T.text("text"), "[^A-Za-z0-9]+", " "), F.lit('"}]'))
     clean = F.concat(F.lit('{"answer": "'), k, F.lit('", "citations": '), cite, F.lit("}"))
     shape = F.col("conv_id") % 6
     raw = (
@@ -111,7 +111,7 @@ def raw_outputs(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "conversations").select("conv_id", "turn", raw.alias("raw"))
 
 
-_RAW = """outs AS (SELECT conv_id, turn, CAST(turn % 4 + 1 AS VARCHAR) AS k, '[{"chunk_id": "c' || conv_id || '", "quote": "q' || turn || '"}]' AS cite FROM conversations),
+_RAW = """outs AS (SELECT conv_id, turn, CAST(turn % 4 + 1 AS VARCHAR) AS k, '[{"chunk_id": "c' || conv_id || '", "quote": "q' || turn || ' ' || regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g') || '"}]' AS cite FROM conversations),
 raws AS (SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN '{"answer": "' || k || '", "citations": ' || cite || '}'
   WHEN 1 THEN '```json' || chr(10) || '{"answer": "' || k || '", "citations": ' || cite || '}' || chr(10) || '```'
   WHEN 2 THEN 'Sure: {"answer": "' || k || '", "citations": ' || cite || '} Hope that helps {ok}.'
@@ -316,15 +316,16 @@ def gate_fallback(spark, sf):
 
 
 _AUDIT = (
-    _fsql() + _RERANKED + f""", cl AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'UNKNOWN' ELSE '4.' || (doc_id % 7) END AS clause_id, trim(left(replace(text, chr(10), chr(32)), 700)) AS snippet FROM documents WHERE doc_id % 11 <> 0),
+    _fsql() + _RERANKED + f""", cl AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'UNKNOWN' ELSE '4.' || (doc_id % 7) END AS clause_id, trim(left(replace(text, chr(10), chr(32)), 700)) AS snippet FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
   hits AS (SELECT 'fused' AS list, query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM fused UNION ALL SELECT 'reranked', query_id, doc_id, score, CAST(rank AS INTEGER) FROM rerank),
   audited AS (SELECT h.*, c.clause_id, c.snippet, round(len(list_intersect({_KEYS('b.text')}, coalesce({_KEYS('c.snippet')}, []))) / greatest(1, len({_KEYS('b.text')}))::DOUBLE, 6) AS overlap FROM hits h JOIN benchmark b ON b.item_id = h.query_id LEFT JOIN cl c USING (doc_id))"""
 )
 
 
 def _audited(spark: SparkSession, sf: str) -> DataFrame:
+    """The hits over all documents, looked up in a chunk table of the labelled ones: what that lacks is told as missing."""
     clause = F.when(F.col("doc_id") % 7 == 0, "UNKNOWN").otherwise(F.concat(F.lit("4."), (F.col("doc_id") % 7).cast("string")))
-    chunks = _t(spark, sf, "documents").where("doc_id % 11 != 0").select("doc_id", clause.alias("clause_id"), "text")
+    chunks = _t(spark, sf, "documents").join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", clause.alias("clause_id"), "text")
     return evaluate.audit_rows(_fused(spark, sf), _reranked(spark, sf), _asked(spark, sf).withColumnRenamed("text", "question"), chunks)
 
 
@@ -551,10 +552,94 @@ def prompt_assemble(spark, sf):
     return context.prompts(_asked(spark, sf).withColumnRenamed("text", "question"), _trimmed(spark, sf)).select("query_id", F.md5("prompt").alias("hash"))
 
 
+# ---- whole plans ----------------------------------------------------------------------------------------------------
+
+
+ROUNDS, LEAST = 3, 0.2
+
+
+def _engine(spark: SparkSession, sf: str) -> tuple[ask.Engine, DataFrame]:
+    """An engine over whole documents as chunks, sources being sections, with a gate of three rounds; the benchmark's questions."""
+    chunks = _texts(spark, sf).select(
+        F.col("doc_id").alias("number"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("section_path"), F.lit("").alias("clause_id"), F.lit("").alias("title"), "text"
+    )
+    vectors, _ = _vectors(spark, sf)
+    questions = _asked(spark, sf).withColumnRenamed("text", "question").join(vectors.select(F.col("doc_id").alias("query_id"), "embedding"), "query_id", "left")
+    config = tables.Config(gate=tables.Gate(min_score=LEAST, max_rounds=ROUNDS))
+    return ask.Engine(chunks, vectors.select(F.col("doc_id").cast("string").alias("chunk_id"), "embedding"), config, number="number"), questions
+
+
+def _longer_words(questions: DataFrame) -> DataFrame:
+    """A rewriting that needs no model: the question's words of at least 6 characters, of 8 in the third round."""
+    kept = F.filter(F.split("question", " ", -1), lambda w: F.length(w) >= 2 * F.col("round") + 2)
+    return questions.select("query_id", F.array_join(kept, " ").alias("question"))
+
+
+def _rounds_sql(n: int) -> str:
+    """All rounds of all questions, as questions of their own (4 * item_id + round), then each question's last one."""
+    worded = f"SELECT item_id * 4 + r AS query_id, CASE WHEN r = 1 THEN text ELSE array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) >= 2 * r + 2), ' ') END AS text FROM benchmark, range(1, {n + 1}) t(r)"
+    return f"""WITH {_bm25(80, worded)}, dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT a.query_id, e.vec_id AS doc_id, round(list_inner_product(qe.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+  FROM asked a JOIN embeddings qe ON qe.vec_id = a.query_id // 4 CROSS JOIN embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents))) WHERE rank <= 80), {_FUSED.format(wb=1.0, wd=1.0, cb=80, cd=80)},
+rr AS (SELECT f.query_id, f.doc_id, round(len(list_intersect({_KEYS('a.text')}, {_KEYS("left(replace(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g'), chr(10), chr(32)), 700)")})) / greatest(1, len({_KEYS('a.text')}))::DOUBLE, 6) AS score
+  FROM fused f JOIN asked a USING (query_id) JOIN documents d USING (doc_id)),
+rerank AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rr) WHERE rank <= 12),
+gates AS (SELECT a.query_id // 4 AS item, a.query_id % 4 AS r, a.text AS query, max(score) AS best, coalesce(max(score) < {LEAST}, true) AS fallback FROM asked a LEFT JOIN rerank USING (query_id) GROUP BY ALL),
+ended AS (SELECT item, coalesce(min(r) FILTER (NOT fallback), {n}) AS r FROM gates GROUP BY item),
+outcome AS (SELECT g.* FROM gates g JOIN ended USING (item, r)),
+seeds AS (SELECT item, doc_id FROM outcome o JOIN rerank k ON k.query_id = o.item * 4 + o.r WHERE rank <= {{k}}),
+tops AS (SELECT o.item, (SELECT string_agg(doc_id, ',' ORDER BY rank) FROM fused f WHERE f.query_id = o.item * 4 + o.r AND rank <= 5) AS fused_top, (SELECT string_agg(doc_id, ',' ORDER BY rank) FROM rerank f WHERE f.query_id = o.item * 4 + o.r AND rank <= 5) AS reranked_top FROM outcome o),
+pos AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY CAST(doc_id AS VARCHAR)) AS rn FROM documents WHERE source <> ''),
+near AS (SELECT DISTINCT s.item, coalesce(b.doc_id, s.doc_id) AS doc_id FROM seeds s LEFT JOIN pos a USING (doc_id) LEFT JOIN pos b ON b.source = a.source AND b.rn BETWEEN a.rn - 1 AND a.rn + 1),
+placed AS (SELECT n.item, d.doc_id, d.text, row_number() OVER w AS place, sum(length(d.text)) OVER w AS total FROM near n JOIN documents d USING (doc_id) WHERE d.text <> ''
+  WINDOW w AS (PARTITION BY n.item ORDER BY CAST(d.doc_id AS VARCHAR) ROWS UNBOUNDED PRECEDING)),
+kept AS (SELECT * FROM placed WHERE total <= 25000 OR place = 1),
+ctx AS (SELECT item, string_agg('[chunk_id=' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY place) AS c FROM kept GROUP BY item),
+cited AS (SELECT item, CAST(doc_id AS VARCHAR) AS chunk_id, trim(left(string_split(text, chr(10))[1], 120)) AS quote FROM kept WHERE place = 1)"""
+
+
+def _tops(c: str):
+    return F.array_join(F.transform(c, lambda x: x["chunk_id"]), ",").alias(c)
+
+
+@query(_rounds_sql(ROUNDS).format(k=5) + " SELECT item AS query_id, CAST(r AS INTEGER) AS round, query, best, fallback FROM outcome")
+def gate_rounds(spark, sf):
+    """The gate's loop over the hybrid search: one, two or three rounds, questions that pass leave it."""
+    engine, questions = _engine(spark, sf)
+    last = engine.gated(questions, rewrite=_longer_words)
+    return last.gates.join(last.asked, "query_id").select("query_id", "round", "query", "best", "fallback")
+
+
+@query(_rounds_sql(ROUNDS).format(k=5) + " SELECT o.item AS query_id, '1' AS answer, c.chunk_id, c.quote, 'clean' AS mode, o.fallback FROM outcome o LEFT JOIN cited c USING (item)")
+def ask_answers(spark, sf):
+    """Answers of the deterministic model after the gate's loop, with the chunk that each cites."""
+    engine, questions = _engine(spark, sf)
+    one = F.get("citations", F.lit(0))
+    return engine.ask(questions, rewrite=_longer_words).select("query_id", "answer", one["chunk_id"].alias("chunk_id"), one["quote"].alias("quote"), "mode", "fallback")
+
+
+@query(
+    _rounds_sql(ROUNDS).format(k=5) + f" SELECT o.item AS query_id, CAST(o.r AS INTEGER) AS round, o.query, t.fused_top, t.reranked_top, '1' AS answer, md5('{_HEAD}' || b.text || '{_MID}' || coalesce(c.c, '') || '{_TAIL}') AS prompt_hash FROM outcome o JOIN tops t USING (item) JOIN benchmark b ON b.item_id = o.item LEFT JOIN ctx c USING (item)"
+)
+def ask_logged(spark, sf):
+    """What happened on the way to each answer: its last round, the first hits before and after reranking, the whole prompt's digest."""
+    engine, questions = _engine(spark, sf)
+    out = engine.logged(questions, max_prompt=2**31 - 1, rewrite=_longer_words)
+    return out.select("query_id", "round", "query", _tops("fused_top"), _tops("reranked_top"), "answer", F.md5("prompt").alias("prompt_hash"))
+
+
+@query(_rounds_sql(1).format(k=10) + " SELECT o.item AS query_id, '1' AS pred_num, CASE WHEN o.item % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS acc, t.fused_top, t.reranked_top, c.chunk_id FROM outcome o JOIN tops t USING (item) LEFT JOIN cited c USING (item)")
+def ask_mini(spark, sf):
+    """The benchmark as multiple-choice examples of two options, answered without the gate and scored."""
+    engine, questions = _engine(spark, sf)
+    examples = questions.withColumns({"options": F.array(F.lit("1. yes"), F.lit("2. no")), "gold": (F.col("query_id") % 2 + 1).cast("string")})
+    return engine.mini(examples).select("query_id", "pred_num", "acc", _tops("fused_top"), _tops("reranked_top"), F.get("citations", F.lit(0))["chunk_id"].alias("chunk_id"))
+
+
 # ---- answers and evaluation -----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_RAW} SELECT conv_id, turn, regexp_extract(raw, '(?i)answer[\"'':\\s]+([0-9]+)', 1) AS answer, CASE WHEN contains(raw, '\"chunk_id\"') THEN 1 ELSE 0 END AS n_citations, coalesce(nullif(regexp_extract(raw, '\"quote\": \"([^\"]*)\"', 1), ''), '') AS quote FROM raws")
+@query(f"WITH {_RAW} SELECT conv_id, turn, regexp_extract(raw, '(?i)answer[\"'':\\s]+([0-9]+)', 1) AS answer, CASE WHEN contains(raw, '\"chunk_id\"') THEN 1 ELSE 0 END AS n_citations, CASE WHEN length(q) > 260 THEN rtrim(left(q, 260)) || '…' ELSE q END AS quote FROM (SELECT *, trim(regexp_extract(raw, '\"quote\": \"([^\"]*)\"', 1)) AS q FROM raws)")
 def parse_answers(spark, sf):
     p = answers.parsed(raw_outputs(spark, sf))
     return p.select("conv_id", "turn", "answer", F.size("citations").alias("n_citations"), F.coalesce(F.get("citations", F.lit(0))["quote"], F.lit("")).alias("quote"))
@@ -571,12 +656,12 @@ def parse_mode_histogram(spark, sf):
 
 
 @query(
-    r"""WITH r AS (SELECT conv_id, turn, trim(CASE conv_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Answer: ' || (turn + 1) WHEN 2 THEN 'short' WHEN 3 THEN 'Output ONLY the query ' || turn ELSE replace(left(text, 60), chr(10), ' ') || ' interface' END) AS t FROM conversations)
+    r"""WITH r AS (SELECT conv_id, turn, trim(CASE conv_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Answer: ' || (turn + 1) WHEN 2 THEN 'short' WHEN 3 THEN 'Output ONLY the query ' || turn ELSE replace(coalesce(text, ''), chr(10), ' ') || ' interface' END) AS t FROM conversations)
   SELECT conv_id, turn, CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, 'USER QUESTION:|Output ONLY|Rewrite the user''s question', 'i') THEN 'prompt_echo' WHEN regexp_matches(t, '^\(?\s*([1-9]|10)\s*\)?$') OR (regexp_matches(t, '^(answer|final|option)', 'i') AND regexp_matches(t, '[0-9]')) THEN 'looks_like_answer' WHEN length(t) < 12 THEN 'too_short' ELSE '' END AS reason FROM r"""
 )
 def rewrite_guards(spark, sf):
     k = F.col("conv_id") % 5
-    t = F.when(k == 0, "").when(k == 1, F.concat(F.lit("Answer: "), (F.col("turn") + 1).cast("string"))).when(k == 2, "short").when(k == 3, F.concat(F.lit("Output ONLY the query "), F.col("turn").cast("string"))).otherwise(F.concat(F.replace(F.left("text", F.lit(60)), F.lit("\n"), F.lit(" ")), F.lit(" interface")))
+    t = F.when(k == 0, "").when(k == 1, F.concat(F.lit("Answer: "), (F.col("turn") + 1).cast("string"))).when(k == 2, "short").when(k == 3, F.concat(F.lit("Output ONLY the query "), F.col("turn").cast("string"))).otherwise(F.concat(F.replace(T.text("text"), F.lit("\n"), F.lit(" ")), F.lit(" interface")))
     return _t(spark, sf, "conversations").select("conv_id", "turn", answers.rewrite_fault(t).alias("reason"))
 
 

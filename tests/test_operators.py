@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import answers, context, evaluate, fuse, lexical, profile, segment, vector
+from quarry.operators import answers, context, evaluate, fuse, lexical, profile, rounds, segment, vector
 from quarry.plans import adapters, ask
 from quarry.sources import reports, store, tables
 from quarry.streaming import questions as stream
@@ -418,3 +418,31 @@ def test_configuration_acts(spark, tmp_path):
     assert mini["acc"] == 1.0 and mini["pred_num"] == "1" and len(mini["prompt"]) <= 3000 and "2. b" in mini["prompt"]
     scored = fuse.rerank(engine.retrieve(questions), questions, engine.docs.select("doc_id", F.col("text").alias("body")), scorer=fuse.model_scorer(adapters.SharedWords)).collect()
     assert scored and all(0 <= r["score"] <= 1 for r in scored)
+
+
+def test_rounds_of_the_gate(spark):
+    """Questions that pass in the first, second and third round, one that never does, one without any hit, one whose rewriting is
+    missing; each round sees the open ones only."""
+    passes, seen = {1: 1, 2: 2, 3: 3, 4: 9, 6: 2}, []
+    questions = spark.createDataFrame([(i, f"q{i}", i * 10) for i in (1, 2, 3, 4, 5, 6)], "query_id bigint, question string, extra int")
+
+    def retrieve(now):
+        rows = now.collect()
+        seen.append({r["query_id"]: r["question"] for r in rows})
+        assert all(r["extra"] == r["query_id"] * 10 for r in rows)
+        hits = [(r["query_id"], d, 1.0 if passes[r["query_id"]] <= len(seen) else 0.1 * len(seen), d) for r in rows if r["query_id"] in passes for d in (1, 2)]
+        return spark.createDataFrame(hits, "query_id bigint, doc_id bigint, score double, rank int")
+
+    def rewrite(open_):
+        return open_.where("query_id != 6").select("query_id", F.concat("question", F.lit("/"), F.col("round").cast("string")).alias("question"))
+
+    last = rounds.gated(questions, retrieve, lambda now, hits: hits, 0.5, rewrite, 4)
+    assert seen == [{i: f"q{i}" for i in range(1, 7)}, {i: "q6" if i == 6 else f"q{i}/2" for i in (2, 3, 4, 5, 6)}, {i: f"q{i}/3" for i in (3, 4, 5)}, {i: f"q{i}/4" for i in (4, 5)}]
+    got = {r["query_id"]: (r["round"], r["query"], r["best"], r["fallback"]) for r in last.asked.join(last.gates, "query_id").collect()}
+    assert got == {1: (1, "q1", 1.0, False), 2: (2, "q2/2", 1.0, False), 3: (3, "q3/3", 1.0, False), 4: (4, "q4/4", 0.4, True), 5: (4, "q5/4", None, True), 6: (2, "q6", 1.0, False)}
+    assert sorted((r["query_id"], r["doc_id"]) for r in last.seeds.collect()) == [(i, d) for i in (1, 2, 3, 4, 6) for d in (1, 2)] == sorted((r["query_id"], r["doc_id"]) for r in last.fused.collect())
+    seen.clear()
+    once = rounds.gated(questions, retrieve, lambda now, hits: hits, 0.5, None, 4)
+    assert len(seen) == 1 and once.gates.where("fallback").count() == 5 and once.asked.count() == 6
+    none = rounds.gated(questions.where("false"), retrieve, lambda now, hits: hits, 0.5, rewrite, 4)
+    assert none.asked.count() == none.gates.count() == none.seeds.count() == 0
