@@ -543,6 +543,23 @@ def test_neighbours_through_the_index(spark):
     assert all(few[q] == min(ann.VECTORS, sum((homes == best[q]).any(axis=1)) - (best[q] in homes[q])) for q in range(0, 4000, 20))
 
 
+def test_neighbours_of_rows_unlike_the_sample(spark):
+    """A few rows far longer than the others, most of them outside the sample, and numbers beyond single precision."""
+    r = np.random.RandomState(2)
+    long, large = r.randn(4000, 16), r.randn(600, 16) * 1e30
+    long[r.permutation(4000)[:30]] *= 50
+    for x in (long, large):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+        found = defaultdict(set)
+        for g in ann.search(df, df.where("vec_id % 20 = 0"), 20, fit_rows=512).collect():
+            found[g["query_id"]].add(g["vec_id"])
+        hit = 0
+        for q in range(0, len(x), 20):
+            s = (x * x[q]).sum(axis=1)
+            hit += len(found[q] & set([i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20]))
+        assert hit / len(x) >= 0.9  # 20 neighbours for a query in 20 rows
+
+
 def test_neighbours_of_a_repeated_query_and_ties(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), *[(i, [1.0, 1.0]) for i in range(1, 9)], (9, [2.0, 0.0])]
     df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], "vec_id bigint, embedding array<double>, h int, via int, cell int")
