@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,9 @@ MOST_NUMBERS = 4_000_000
 
 def unit(v: Column) -> Column:
     """v scaled to length 1; a zero vector stays."""
-    d = v.cast("array<double>")
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(d, lambda x: F.when(norm == 0, x).otherwise(x / norm))
+    norm = lambda d: F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
+    # what a lambda reads from outside is computed for each of its elements: the norm is bound first
+    return T.let(v.cast("array<double>"), lambda d: T.let(norm(d), lambda n: F.transform(d, lambda x: F.when(n == 0, x).otherwise(x / n))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,12 +30,30 @@ def dot(a: Column, b: Column) -> Column:
 
 def hashed(docs: DataFrame, dims: int = 64, body: str = "text") -> DataFrame:
     """doc_id, embedding: a deterministic stand-in for a model's embedding. Each token adds 1 or -1 in a place that its digest
-    tells; the sum is scaled to length 1. A text without tokens has no row."""
-    tokens = docs.select("doc_id", F.explode(T.domain_tokens(F.col(body))).alias("t")).select("doc_id", F.conv(F.left(F.md5("t"), F.lit(7)), 16, 10).cast("bigint").alias("h"))
-    sums = tokens.select("doc_id", (F.col("h") % dims).cast("int").alias("i"), (1 - 2 * (F.floor(F.col("h") / 2**20) % 2)).alias("x")).groupBy("doc_id", "i").agg(F.sum("x").cast("double").alias("x"))
-    held = sums.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))  # at most dims entries
-    full = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    return held.select("doc_id", unit(full).alias("embedding"))
+    tells; the sum is scaled to length 1. A text without tokens has no row.
+
+    Tokens don't leave their task: a batch's distinct ones are digested once and its rows of one id are summed there, so that what
+    is shuffled is one short list a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                part = whole.slice(at, 256)
+                tokens, docs = part.column(1), part.column(0).dictionary_encode(null_encoding="encode")
+                terms = tokens.flatten().dictionary_encode()
+                h = np.array([int(md5(t.encode()).hexdigest()[:7], 16) for t in terms.dictionary.to_pylist()], np.int64)
+                place, sign = h % dims, 1 - 2 * (h >> 20 & 1)
+                n, j = tokens.value_lengths().to_numpy(), terms.indices.to_numpy()
+                row = docs.indices.to_numpy()
+                sums = np.bincount(np.repeat(row, n) * dims + place[j], sign[j], len(docs.dictionary) * dims).astype(np.int64).reshape(-1, dims)
+                held = np.flatnonzero(np.bincount(row, n, len(docs.dictionary)))
+                x = pa.ListArray.from_arrays(np.arange(len(held) + 1, dtype=np.int32) * dims, pa.array(sums[held].ravel()))
+                yield pa.RecordBatch.from_arrays([docs.dictionary.take(pa.array(held)), x], ["doc_id", "x"])
+
+    tokens = docs.select("doc_id", T.domain_tokens(F.col(body)).alias("t"))
+    sums = tokens.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<bigint>").groupBy("doc_id").agg(F.collect_list("x").alias("l"))
+    whole = F.when(F.size("l") == 1, F.get("l", F.lit(0))).otherwise(F.aggregate(F.slice("l", 2, F.size("l")), F.get("l", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q)))
+    return sums.select("doc_id", unit(whole).alias("embedding"))
 
 
 def encoded(docs: DataFrame, make: Callable[[], object], body: str = "text") -> DataFrame:

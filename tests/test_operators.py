@@ -331,6 +331,15 @@ def test_ranks_of_doubles(spark):
         assert (got[name]["n"], got[name]["low"], got[name]["p90"], got[name]["least"], got[name]["most"]) == (len(v), v[(len(v) - 1) // 2], v[round((len(v) - 1) * 0.9)], v[0], v[-1])
 
 
+def test_hashed_rows_of_one_id(spark):
+    """Rows of one document add up, wherever they lie, and tokens aren't rows of a shuffle."""
+    docs = spark.createDataFrame([(i % 3, f"word{i} other") for i in range(900)] + [(7, ""), (8, None)], "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["embedding"] for r in vector.hashed(docs, 16).collect()}
+    joined = spark.createDataFrame([(d, " ".join(f"word{i} other" for i in range(d, 900, 3))) for d in range(3)], "doc_id bigint, text string")
+    assert got == {r["doc_id"]: r["embedding"] for r in vector.hashed(joined, 16).collect()} and set(got) == {0, 1, 2}
+    assert "Generate" not in vector.hashed(docs, 16)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_embeddings(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, "two one"), (3, ""), (4, None), (5, "other words")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["embedding"] for r in vector.hashed(docs, 16).collect()}
