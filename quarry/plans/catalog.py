@@ -519,8 +519,9 @@ near AS (SELECT DISTINCT s.query_id, b.chunk_id FROM seeds s JOIN pos a USING (c
 
 
 def _near(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The seeds of every benchmark item, all chunks of its ten best documents, with their neighbours."""
-    chunks = spec_chunks(spark, sf)
+    """The seeds of every benchmark item, all chunks of its ten best documents, with their neighbours. The chunks are written once, as
+    seeds, places and texts read them."""
+    chunks = tables.stored(spec_chunks(spark, sf))
     seeds = bm25_topk(spark, sf).select("query_id", "doc_id").join(chunks.select("doc_id", "chunk_id"), "doc_id").select("query_id", "chunk_id").distinct()
     return context.neighbours(seeds, chunks), chunks
 
@@ -705,7 +706,7 @@ def parser_report(spark, sf):
   SELECT c.id, c.chunk_id, c.quote, k.text IS NOT NULL AS known, coalesce(contains(k.text, c.quote) AND c.quote <> '', false) AS supported FROM c LEFT JOIN chunks k USING (chunk_id)"""
 )
 def citation_verify(spark, sf):
-    chunks = spec_chunks(spark, sf)
+    chunks = tables.stored(spec_chunks(spark, sf))  # cited and looked up
     i = F.col("doc_id")
     cite = F.struct(F.when(i % 3 == 0, "none").otherwise(F.col("chunk_id")).alias("chunk_id"), F.when(i % 2 == 0, F.left("text", F.lit(20))).otherwise("no such quote").alias("quote"))
     return answers.verified(chunks.select(i.alias("id"), F.array(cite).alias("citations")), chunks)
@@ -840,10 +841,11 @@ def coverage_counts(spark, sf):
     return profile.coverage_counts(_t(spark, sf, "documents"), _t(spark, sf, "labels"), "doc_id")
 
 
-def _stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """The chunks of the spec view, through a store: created, filled, and upserted with other texts of the even documents."""
+def _stored_chunks(spark: SparkSession, sf: str, chunks: DataFrame | None = None) -> DataFrame:
+    """The chunks of the spec view, through a store: created, filled, and upserted with other texts of the even documents. chunks:
+    those of the spec view, written, where they are at hand."""
     kept = store.Store(spark, tables.scratch(spark), "chunk_id string, doc_id bigint, clause_id string, section_path string, text string, page_start int, page_end int").create()
-    chunks = spec_chunks(spark, sf)
+    chunks = tables.stored(spec_chunks(spark, sf)) if chunks is None else chunks
     return kept.upsert(chunks).upsert(chunks.where("doc_id % 2 = 0").withColumn("text", F.concat("text", F.lit(" (new)")))).read()
 
 
@@ -858,15 +860,16 @@ def store_counts(spark, sf):
 @query(f"WITH {_STORED} SELECT w.chunk_id, s.clause_id, md5(s.text) AS hash, s.chunk_id IS NULL AS missing FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN chunk_id || '?' ELSE chunk_id END AS chunk_id FROM chunks) w LEFT JOIN stored s USING (chunk_id)")
 def store_lookup(spark, sf):
     """Every chunk by its id, with some ids that there aren't."""
-    wanted = spec_chunks(spark, sf).select(F.when(F.col("doc_id") % 5 == 0, F.concat("chunk_id", F.lit("?"))).otherwise(F.col("chunk_id")).alias("chunk_id"))
-    return store.by_id(_stored_chunks(spark, sf), wanted).select("chunk_id", "clause_id", F.md5("text").alias("hash"), "missing")
+    chunks = tables.stored(spec_chunks(spark, sf))
+    wanted = chunks.select(F.when(F.col("doc_id") % 5 == 0, F.concat("chunk_id", F.lit("?"))).otherwise(F.col("chunk_id")).alias("chunk_id"))
+    return store.by_id(_stored_chunks(spark, sf, chunks), wanted).select("chunk_id", "clause_id", F.md5("text").alias("hash"), "missing")
 
 
 @query(f"WITH {_STORED} SELECT section_path, chunk_id, md5(text) AS hash FROM stored WHERE section_path IN (SELECT section_path FROM chunks WHERE doc_id = 3)")
 def store_sections(spark, sf):
     """The chunks of all sections that document 3 has."""
-    chunks = spec_chunks(spark, sf)
-    return store.in_sections(_stored_chunks(spark, sf), chunks.where("doc_id = 3")).select("section_path", "chunk_id", F.md5("text").alias("hash"))
+    chunks = tables.stored(spec_chunks(spark, sf))
+    return store.in_sections(_stored_chunks(spark, sf, chunks), chunks.where("doc_id = 3")).select("section_path", "chunk_id", F.md5("text").alias("hash"))
 
 
 @query(

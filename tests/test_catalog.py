@@ -99,3 +99,11 @@ def test_contexts_of_all_items(spark):
     a, b, c = context.TEMPLATE
     want = {q: hashlib.md5((a + text + b + "\n\n".join(f"[chunk_id={i}]\n{chunks[i]['text']}" for i in kept[q]) + c).encode()).hexdigest() for q, text in asked.items()}
     assert {r["query_id"]: r["hash"] for r in catalog.prompt_assemble(spark, DATA).collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("name", ["citation_verify", "store_lookup", "store_sections"])
+def test_chunks_are_made_once(spark, name):
+    """What reads the chunks several times reads them as written; documents aren't cut anew for each."""
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "page_num" not in plan and "spark_partition_id" not in plan
