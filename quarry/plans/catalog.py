@@ -197,8 +197,8 @@ _RERANKED = (
 )
 
 
-def _reranked(spark: SparkSession, sf: str) -> DataFrame:
-    return fuse.rerank(_fused(spark, sf), _asked(spark, sf).withColumnRenamed("text", "question"), _t(spark, sf, "documents").select("doc_id", F.col("text").alias("body")))
+def _reranked(spark: SparkSession, sf: str, fused: DataFrame | None = None) -> DataFrame:
+    return fuse.rerank(_fused(spark, sf) if fused is None else fused, _asked(spark, sf).withColumnRenamed("text", "question"), _t(spark, sf, "documents").select("doc_id", F.col("text").alias("body")))
 
 
 # ---- retrieval ------------------------------------------------------------------------------------------------------
@@ -326,7 +326,8 @@ def _audited(spark: SparkSession, sf: str) -> DataFrame:
     """The hits over all documents, looked up in a chunk table of the labelled ones: what that lacks is told as missing."""
     clause = F.when(F.col("doc_id") % 7 == 0, "UNKNOWN").otherwise(F.concat(F.lit("4."), (F.col("doc_id") % 7).cast("string")))
     chunks = _t(spark, sf, "documents").join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", clause.alias("clause_id"), "text")
-    return evaluate.audit_rows(_fused(spark, sf), _reranked(spark, sf), _asked(spark, sf).withColumnRenamed("text", "question"), chunks)
+    fused = tables.stored(_fused(spark, sf))  # a few dozen rows a question, for the hits and the reranking
+    return evaluate.audit_rows(fused, _reranked(spark, sf, fused), _asked(spark, sf).withColumnRenamed("text", "question"), chunks)
 
 
 @query(_AUDIT + " SELECT query_id, list, rank, score, doc_id, clause_id, snippet, overlap FROM audited")

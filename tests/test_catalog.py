@@ -107,3 +107,10 @@ def test_chunks_are_made_once(spark, name):
     """What reads the chunks several times reads them as written; documents aren't cut anew for each."""
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "page_num" not in plan and "spark_partition_id" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+def test_audit_searches_once(spark):
+    """Both of its lists come from the fused hits as written: no search is left in the plan."""
+    plan = catalog.retrieval_audit_rows(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InArrow" not in plan
