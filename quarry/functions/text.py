@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Where a text breaks into lines (Unicode line ends).
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
+#: White space of Unicode, what (?U)\s stands for.
+WHITE = "\t\n\x0b\x0c\r \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # What the behaviour is defined by.
 STOP_WORDS = "the a an is are was were to of in on for and or with from by between within about as".split()
 NORMATIVE = (" shall ", " should ", " must ", " may ")
@@ -34,6 +37,7 @@ NUMBERED_TITLE = r"^\s*\d+(\.\d+){0,3}\s+[A-Z][A-Za-z0-9/\-\(\)\s]{1,60}\s*$"
 DEFINING_VERB = r"\b(is|are|means|refers to|shall mean)\b"
 TOC = r"\.{3,}\s*(?:\.\s*)*\d+\s*$"
 HEADING = r"(?i)^\s*(\d+(?:\.\d+){1,6})\s+(.+?)\s*$"
+NUMBERED = r"(?U)^\s*[0-9]+\.[0-9]"
 TOKEN = r"[A-Za-z0-9]+(?:[-_/.][A-Za-z0-9]+)*"
 SIMPLE_TOKEN = r"[A-Za-z0-9_/\-.]+"
 KEYWORD = r"[A-Za-z0-9][A-Za-z0-9\-/.]*"
@@ -45,11 +49,16 @@ def text(c: Column | str) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space (of Unicode) at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.rtrim(c, F.lit(WHITE))
+
+
+def lines_of(c: Column) -> Column:
+    """The lines of c, cut at LINE_END; what it takes for one end of two characters is made one first, as a class is found faster."""
+    return F.split(F.replace(c, F.lit("\r\n"), F.lit("\n")), LINE_END.partition("|")[2], -1)
 
 
 def blank(c: Column) -> Column:
@@ -57,8 +66,9 @@ def blank(c: Column) -> Column:
 
 
 def normalised(c: Column) -> Column:
-    """No-break spaces become spaces, runs of blanks and tabs one space; line ends stay."""
-    return strip(F.regexp_replace(F.replace(text(c), F.lit("\u00a0"), F.lit(" ")), r"[ \t]+", " "))
+    """No-break spaces become spaces, runs of blanks and tabs one space; line ends stay. Only texts with runs look for them."""
+    runs = lambda t: F.when(F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t")), F.regexp_replace(t, r"[ \t]+", " ")).otherwise(t)
+    return strip(let(F.replace(text(c), F.lit("\u00a0"), F.lit(" ")), runs))
 
 
 def without_artefacts(c: Column) -> Column:
@@ -208,7 +218,12 @@ def is_boilerplate(clause: Column, last_page: Column, body: Column) -> Column:
 
 
 def is_toc(line: Column) -> Column:
-    return line.rlike(TOC)
+    return F.contains(line, F.lit("...")) & line.rlike(TOC)
+
+
+def is_numbered(line: Column) -> Column:
+    """Whether a line starts with a number of parts, as each heading does; few lines come to the pattern."""
+    return F.left(strip(line), F.lit(1)).between("0", "9") & line.rlike(NUMBERED)
 
 
 def without_toc(title: Column) -> Column:

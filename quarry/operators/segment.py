@@ -15,21 +15,38 @@ LEAST, MOST, SHORT = 400, 2200, 200
 KEEP, KEEP_DEFINITION = 120, 80
 
 
+def _cut(pages: DataFrame) -> DataFrame:
+    """doc_id, page_num, pos, line: a line's place is that in its page."""
+    cut = pages.select("doc_id", "page_num", F.posexplode(T.lines_of(F.replace(T.text("text"), F.lit("\u00a0"), F.lit(" ")))).alias("pos", "raw"))
+    return cut.select("doc_id", "page_num", "pos", T.rstrip(F.col("raw")).alias("line")).where("line != ''")
+
+
+def _placed(pages: DataFrame) -> DataFrame:
+    """As lines, but line_no is a line's page and its place there, which orders lines as counting them along the document does,
+    without a shuffle. A page without number comes first, as nulls do."""
+    place = F.shiftleft(F.coalesce(F.col("page_num").cast("bigint"), F.lit(-(2**31)).cast("bigint")), 32) + F.col("pos")
+    return _cut(pages).select("doc_id", "page_num", place.alias("line_no"), "line")
+
+
 def lines(pages: DataFrame) -> DataFrame:
     """doc_id, page_num, line_no, line of every line that isn't blank; line_no counts along the document's pages."""
-    cut = pages.select("doc_id", "page_num", F.posexplode(F.split(F.replace(T.text("text"), F.lit("\u00a0"), F.lit(" ")), T.LINE_END, -1)).alias("pos", "raw"))
-    cut = cut.select("doc_id", "page_num", "pos", T.rstrip(F.col("raw")).alias("line")).where(~T.blank(F.col("line")))
     order = Window.partitionBy("doc_id").orderBy("page_num", "pos")
-    return cut.select("doc_id", "page_num", (F.row_number().over(order) - 1).alias("line_no"), "line")
+    return _cut(pages).select("doc_id", "page_num", (F.row_number().over(order) - 1).alias("line_no"), "line")
 
 
 def without_toc(lines: DataFrame, last_page: int = 30) -> DataFrame:
     return lines.where(~((F.col("page_num") <= last_page) & T.is_toc(F.col("line"))))
 
 
+def _heading(line: Column) -> Column:
+    """number and title of a line that is a heading, or null; each is found once."""
+    found = F.struct(T.heading_number(line).alias("number"), T.heading_title(line).alias("title"))
+    return T.let(found, lambda h: F.when((h["number"] != "") & T.plausible_clause(h["number"]) & (F.length(h["title"]) >= 2), h))
+
+
 def headings(lines: DataFrame) -> DataFrame:
-    line = F.col("line")
-    return lines.where(T.is_heading(line)).select("doc_id", "page_num", "line_no", T.heading_number(line).alias("number"), T.heading_title(line).alias("title"))
+    own = lines.where(T.is_numbered(F.col("line"))).withColumn("h", T.computed(_heading(F.col("line"))))
+    return own.where("h is not null").select("doc_id", "page_num", "line_no", "h.number", "h.title")
 
 
 def _numbers(low: Column) -> Column:
@@ -40,38 +57,74 @@ def _numbers(low: Column) -> Column:
     return T.let(F.struct(first.alias("a"), more.alias("b")), lambda x: F.transform(ends, lambda k: F.concat(x["a"], F.substr(x["b"], F.lit(1), k))))
 
 
+def _first(asked: DataFrame) -> DataFrame:
+    """doc_id, page_num, line_no, heading: of each line in asked the first heading of its page whose number it starts with and enough
+    of whose title words it has; lines without any have no row.
+
+    asked: doc_id, page_num, number, and a line that may start with that number (line_no, low: the line in lower case) or a heading
+    with it (h: no, number, title), or both. A page's number is a row, in which its headings stand once.
+    """
+    words = F.slice(F.filter(F.regexp_extract_all(F.lower("h.title"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 3), 1, 6)
+    one = F.when(F.col("h").isNotNull(), F.struct("h.no", "h.number", "h.title", words.alias("words")))
+    row = F.when(F.col("line_no").isNotNull(), F.struct("line_no", "low"))
+    by = asked.where("doc_id is not null and page_num is not null").groupBy("doc_id", "page_num", "number").agg(F.array_sort(F.collect_list(one)).alias("heads"), F.collect_list(row).alias("rows"))
+
+    def has(h: Column, low: Column) -> Column:
+        return F.size(F.filter(h["words"], lambda w: F.contains(low, w))) >= F.when(F.size(h["words"]) == 0, 0).when(F.size(h["words"]) <= 2, 1).otherwise(2)
+
+    pairs = F.transform("rows", lambda x: F.struct(x["line_no"].alias("line_no"), F.get(F.filter("heads", lambda h: has(h, x["low"])), F.lit(0)).alias("h")))
+    found = by.where(F.size("heads") > 0).select("doc_id", "page_num", F.explode(pairs).alias("x")).where("x.h is not null")
+    best = found.groupBy("doc_id", "page_num", "x.line_no").agg(F.min(F.struct("x.h.no", "x.h.number", "x.h.title")).alias("x"))
+    return best.select("doc_id", "page_num", "line_no", F.struct("x.number", "x.title").alias("heading"))
+
+
+def _asked(lines: DataFrame) -> DataFrame:
+    """The lines that start with a number: doc_id, page_num, line_no, line, low, number (each that the line may start with)."""
+    starts = lines.where(T.is_numbered(F.col("line"))).select("doc_id", "page_num", "line_no", "line", F.lower("line").alias("low"))
+    return starts.withColumn("number", F.explode(_numbers(F.lower(T.strip(F.col("line"))))))
+
+
 def aligned(lines: DataFrame, found: DataFrame) -> DataFrame:
     """lines with the heading (number, title) that each one starts, if any: the first of its page whose number it starts
     with and enough of whose title words it has.
 
-    A line that starts with no number has none and isn't joined; for the others the numbers they may start with are keys of
-    an equality join. All other lines travel only where the blocks are formed.
+    A line that starts with no number has none and isn't compared.
     """
-    words = F.slice(F.filter(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 3), 1, 6)
-    h = found.select("doc_id", "page_num", F.col("number").alias("h_number"), F.struct(F.col("line_no").alias("no"), "number", "title", words.alias("words")).alias("h"))
-    low = F.lower(T.strip(F.col("line")))
-    numbered = low.rlike(r"^\d+\.\d")
+    asked = _asked(lines).select("doc_id", "page_num", "number", "line_no", "low")
+    heads = found.select("doc_id", "page_num", "number", F.struct(F.col("line_no").alias("no"), "number", "title").alias("h"))
+    first = _first(asked.unionByName(heads, allowMissingColumns=True))
+    return lines.select("doc_id", "page_num", "line_no", "line").join(first, ["doc_id", "page_num", "line_no"], "left")
+
+
+def marked(lines: DataFrame) -> DataFrame:
+    """lines with a row more, its line null, for each one that starts a heading of the lines' own (number, title); `blocks` takes
+    these as it takes aligned lines. Texts of lines without numbers aren't joined and aren't shuffled here."""
     kind = "struct<number:string,title:string>"
-    asked = lines.where(numbered).select("doc_id", "page_num", "line_no", "line", F.explode_outer(_numbers(low)).alias("h_number")).join(h, ["doc_id", "page_num", "h_number"], "left")
-    enough = F.size(F.filter("h.words", lambda w: F.contains(F.lower("line"), w))) >= F.when(F.size("h.words") == 0, 0).when(F.size("h.words") <= 2, 1).otherwise(2)
-    best = F.min(F.when(F.col("h").isNotNull() & enough, F.struct(F.col("h.no"), F.col("h.number"), F.col("h.title"))))
-    some = asked.groupBy("doc_id", "page_num", "line_no", "line").agg(best.alias("x")).select("doc_id", "page_num", "line_no", "line", F.when(F.col("x").isNotNull(), F.struct("x.number", "x.title")).cast(kind).alias("heading"))
-    rest = lines.where(~F.coalesce(numbered, F.lit(False))).select("doc_id", "page_num", "line_no", "line", F.lit(None).cast(kind).alias("heading"))
-    return rest.unionByName(some)
-
-
-def blocks(aligned_lines: DataFrame) -> DataFrame:
-    """doc_id, block_i, clause_id, title, page_start, page_end, body: runs of lines under one clause number."""
-    along = Window.partitionBy("doc_id").orderBy("line_no")
-    filled = aligned_lines.withColumn("h", F.last("heading", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    filled = filled.withColumn("clause_id", F.coalesce("h.number", F.lit("UNKNOWN")))
+    asked = _asked(lines).withColumn("own", T.computed(_heading(F.col("line"))))  # a heading is among the numbers that its line starts with
+    mine = F.when(F.col("own.number") == F.col("number"), F.struct(F.col("line_no").alias("no"), F.col("own.number").alias("number"), F.col("own.title").alias("title")))
+    first = _first(asked.select("doc_id", "page_num", "number", "line_no", "low", mine.alias("h")))
+    rest = lines.select("doc_id", "page_num", "line_no", "line", F.lit(None).cast(kind).alias("heading"))
+    return rest.unionByName(first.select("doc_id", "page_num", "line_no", F.lit(None).cast("string").alias("line"), F.col("heading").cast(kind).alias("heading")))
+
+
+def filled(lines: DataFrame) -> DataFrame:
+    """marked or aligned lines with h, the heading that each one is under, if any."""
+    along = Window.partitionBy("doc_id").orderBy("line_no", F.col("line").isNotNull())
+    return lines.withColumn("h", F.last("heading", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def blocks(lines: DataFrame) -> DataFrame:
+    """doc_id, block_i, clause_id, title, page_start, page_end, body: runs of lines (marked or aligned) under one clause number."""
+    along = Window.partitionBy("doc_id").orderBy("line_no", F.col("line").isNotNull())
+    under = filled(lines).withColumn("clause_id", F.coalesce("h.number", F.lit("UNKNOWN")))
     changed = (F.col("clause_id") != F.lag("clause_id").over(along)).cast("int")
-    filled = filled.withColumn("changed", F.coalesce(changed, F.lit(0))).withColumn("block_i", F.sum("changed").over(along))
-    runs = filled.groupBy("doc_id", "block_i", "clause_id").agg(
+    under = under.withColumn("changed", F.coalesce(changed, F.lit(0))).withColumn("block_i", F.sum("changed").over(along))
+    runs = under.where("line is not null").groupBy("doc_id", "block_i", "clause_id").agg(
         F.min_by("h.title", "line_no").alias("title"), F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("raw"),
     )
-    return runs.select("doc_id", F.col("block_i").cast("int"), "clause_id", "title", "page_start", "page_end", T.normalised(F.col("raw")).alias("body"))
+    # behind a generator: filters, ids and digests read the body several times
+    return runs.select("doc_id", F.col("block_i").cast("int"), "clause_id", "title", "page_start", "page_end", T.computed(T.normalised(F.col("raw"))).alias("body"))
 
 
 def sentences(body: Column) -> Column:
@@ -138,7 +191,7 @@ def _merged(parts: Column, joins, fold) -> Column:
         piece = lambda begin: F.transform(begin, lambda i, j: F.array_join(F.slice(s, i + 1, F.coalesce(F.get(begin, j + 1), F.size(s)) - i), " "))
         return T.let(_begins(F.transform(s, F.length), joins), piece)
 
-    return T.let(parts, lambda s: F.when(F.exists(s, lambda x: x.rlike(r"(?U)^\s|\s$|^$")), fold(s)).otherwise(by_length(s)))
+    return T.let(parts, lambda s: F.when(F.exists(s, lambda x: (x == "") | (x != T.strip(x))), fold(s)).otherwise(by_length(s)))
 
 
 def grown(parts: Column, least: int = LEAST) -> Column:
@@ -173,8 +226,7 @@ def chunks(blocks: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame
 def corpus(pages: DataFrame, names: DataFrame | None = None, boilerplate: bool = True, least: int = LEAST, most: int = MOST, last_toc_page: int = 30) -> DataFrame:
     """The chunk table of pages (doc_id, page_num, text): twelve columns, flags as 0 or 1. names: doc_id, version, wg; the
     sizes and the last page that may hold a table of contents are those of the configuration's ingest section."""
-    source = without_toc(lines(pages), last_toc_page)
-    df = chunks(blocks(aligned(source, headings(source))), least, most)
+    df = chunks(blocks(marked(without_toc(_placed(pages), last_toc_page))), least, most)
     if boilerplate:
         df = df.where(~T.is_boilerplate(F.col("clause_id"), F.col("page_end"), F.col("text")))
     if names is not None:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -42,11 +42,26 @@ def _texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
 # ---- views that several queries share -------------------------------------------------------------------------------
 
 
+def _spec_line(line: Column, i: Column) -> Column:
+    """Line i of a text in the spec view, or null where it is blank."""
+    number = F.when(i % 7 == 3, F.concat((F.floor(i / 49) + 1).cast("string"), F.lit("."), (F.floor(i / 14) % 7 + 1).cast("string"), F.lit(" "))).otherwise("")
+    modal = F.when(i % 5 == 0, " shall apply.").otherwise("")
+    return T.let(F.rtrim(line, F.lit(" \t\n\f\r")), lambda x: F.when(x != "", F.concat(number, x, modal)))
+
+
 def spec_lines(spark: SparkSession, sf: str) -> DataFrame:
-    raw = _texts(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "l")).select("doc_id", "i", F.regexp_replace("l", r"\s+$", "").alias("l")).where("l != ''")
-    number = F.when(F.col("i") % 7 == 3, F.concat((F.floor(F.col("i") / 49) + 1).cast("string"), F.lit("."), (F.floor(F.col("i") / 14) % 7 + 1).cast("string"), F.lit(" "))).otherwise("")
-    modal = F.when(F.col("i") % 5 == 0, " shall apply.").otherwise("")
-    return raw.select("doc_id", (F.floor(F.col("i") / 40) + 1).cast("int").alias("page_num"), F.col("i").alias("line_no"), F.concat(number, F.col("l"), modal).alias("line"))
+    raw = _texts(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "l"))
+    rows = raw.select("doc_id", "i", T.computed(_spec_line(F.col("l"), F.col("i"))).alias("line")).where("line is not null")
+    return rows.select("doc_id", (F.floor(F.col("i") / 40) + 1).cast("int").alias("page_num"), F.col("i").alias("line_no"), "line")
+
+
+def spec_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, page_num, text: the same lines by pages, which are cut inside a document's row."""
+    raw = _texts(spark, sf).select("doc_id", T.computed(F.split("text", "\n", -1)).alias("l"))
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 40).cast("int")), lambda p: F.slice("l", p * 40 + 1, 40))
+    cut = raw.select("doc_id", F.posexplode(pages).alias("p", "l"))
+    lines = F.array_compact(F.transform("l", lambda x, i: _spec_line(x, F.col("p") * 40 + i)))
+    return cut.select("doc_id", (F.col("p") + 1).alias("page_num"), F.array_join(lines, "\n").alias("text"))
 
 
 _SPEC = r"""raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
@@ -82,8 +97,7 @@ chunks AS (SELECT printf('%s::%s::p%d-%d::b%04d::%04d::%d::%s', CAST(doc_id AS V
 
 
 def spec_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    lines = spec_lines(spark, sf)
-    return segment.blocks(segment.aligned(lines, segment.headings(lines)))
+    return segment.blocks(segment.marked(spec_lines(spark, sf)))
 
 
 def spec_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -452,9 +466,7 @@ def heading_detect(spark, sf):
 
 @query(f"WITH {_BLOCKS} SELECT doc_id, line_no, clause_id, title FROM filled")
 def heading_align_ffill(spark, sf):
-    lines = spec_lines(spark, sf)
-    along = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    filled = segment.aligned(lines, segment.headings(lines)).withColumn("h", F.last("heading", ignorenulls=True).over(along))
+    filled = segment.filled(segment.marked(spec_lines(spark, sf))).where("line is not null")
     return filled.select("doc_id", "line_no", F.coalesce("h.number", F.lit("UNKNOWN")).alias("clause_id"), F.col("h.title").alias("title"))
 
 
@@ -507,9 +519,8 @@ full_chunks AS (SELECT printf('%s::%s::p%d-%d::b%04d::%04d::%d::%s', CAST(doc_id
 @query(f"WITH {_CHUNKS_FULL} SELECT * FROM full_chunks")
 def chunks_full(spark, sf):
     """The whole chunk table of the spec view."""
-    pages = spec_lines(spark, sf).groupBy("doc_id", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     names = _t(spark, sf, "documents").select("doc_id", F.lit("v1").alias("version"), F.concat(F.lit("WG"), (F.col("doc_id") % 11).cast("string")).alias("wg"))
-    return segment.corpus(pages, names)
+    return segment.corpus(spec_pages(spark, sf), names)
 
 
 # ---- context --------------------------------------------------------------------------------------------------------

@@ -53,6 +53,15 @@ def test_blocks_and_chunks(spark):
     assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
 
 
+def test_marked_lines_make_the_blocks_of_aligned_ones_without_joining_texts(spark):
+    pages = PAGES + [("d2", None, "4.1 Scope of work\n4.1 Scope again"), ("d2", 2, "\u00a04.10 Other things\n4.1 Scope\n4.1234 scope\n12 plain\n4.10.2 deep things\n4.10.21 deep"), ("d3", 1, "1.5 was the value\r\n1.5 was it")]
+    lines = segment.lines(spark.createDataFrame(pages, "doc_id string, page_num int, text string"))
+    marked = segment.marked(lines)
+    assert marked.where("line is not null").count() == lines.count() and "Join" not in marked._jdf.queryExecution().optimizedPlan().toString()
+    want = segment.blocks(segment.aligned(lines, segment.headings(lines))).collect()
+    assert Counter(map(tuple, want)) == Counter(map(tuple, segment.blocks(marked).collect())) and {r["clause_id"] for r in want} >= {"UNKNOWN", "4.1", "4.10.2", "1.5"}
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([(1, "red red fish"), (2, "blue fish"), (3, "green bird bird"), (4, ""), (5, "blue fish")], "doc_id bigint, text string")
     asked = spark.createDataFrame([(1, "red bird bird"), (2, "nothing")], "query_id bigint, text string")
