@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import profile
 from quarry.sources.store import per_document
+from quarry.sources.tables import stored
 
 
 def _page(title: str, parts: Iterable[str]) -> str:
@@ -25,16 +26,18 @@ def _table(head: Iterable[str], rows: Iterable[Iterable]) -> str:
 
 
 def chunk_flags(chunks: DataFrame, least: int = 200, most: int = 4000) -> DataFrame:
-    """One row: how many chunks there are and how many raise each flag."""
-    n = F.length(T.text("text"))
-    count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
-    flags = chunks.agg(
-        F.count(F.lit(1)).alias("chunks"), count(T.strip(T.text("text")) == "").alias("empty"), count(n < least).alias("too_short"), count(n > most).alias("too_long"),
-        count(F.upper(T.text("clause_id")) == "UNKNOWN").alias("unknown_clause"), count(F.col("is_definition") == 1).alias("definitions"), count(F.col("is_normative") == 1).alias("normative"),
-    )
+    """One row: how many chunks there are and how many raise each flag. Chunks are read once: their ids, digests and flags are written,
+    and three counts read those."""
+    n, whole = F.length(T.text("text")), T.strip(T.text("text"))
+    tests = {
+        "empty": whole == "", "too_short": n < least, "too_long": n > most, "unknown_clause": F.upper(T.text("clause_id")) == "UNKNOWN",
+        "definitions": F.col("is_definition") == 1, "normative": F.col("is_normative") == 1,
+    }
+    rows = stored(chunks.select("chunk_id", T.text_hash(whole).alias("digest"), *[test.alias(name) for name, test in tests.items()]))
+    flags = rows.agg(F.count(F.lit(1)).alias("chunks"), *[F.coalesce(F.sum(F.col(name).cast("bigint")), F.lit(0)).alias(name) for name in tests])
     one = lambda df, n: df.agg(F.coalesce(F.sum(n), F.lit(0)).alias("x"))
-    ids = one(profile.duplicate_ids(chunks, "chunk_id"), F.col("extra")).withColumnRenamed("x", "duplicate_ids")
-    texts = one(profile.duplicate_texts(chunks.where(T.strip(T.text("text")) != "")), F.least(F.col("n"), F.lit(10))).withColumnRenamed("x", "repeated_texts")
+    ids = one(profile.duplicate_ids(rows, "chunk_id"), F.col("extra")).withColumnRenamed("x", "duplicate_ids")
+    texts = one(profile.duplicate_texts(rows.where("not empty"), "digest"), F.least(F.col("n"), F.lit(10))).withColumnRenamed("x", "repeated_texts")
     return flags.join(F.broadcast(ids)).join(F.broadcast(texts))  # one-row frames
 
 

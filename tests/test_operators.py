@@ -387,6 +387,21 @@ def test_evaluation_reports(spark):
     assert tuple(profile.coverage_counts(left, right, "k").first()) == (4, 2, 2, 1)
 
 
+def test_flags_of_chunks_read_them_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = [("a", "4.1", "x" * 300, 1, 0), ("a", "UNKNOWN", "same", 0, 1), ("b", "unknown", " same ", 0, 0), ("c", "4", "same", 0, 0), ("d", None, None, 0, None)]
+    schema = "chunk_id string, clause_id string, text string, is_definition int, is_normative int"
+    flags = reports.chunk_flags(spark.createDataFrame(rows, schema).mapInArrow(counted, schema)).first().asDict()
+    assert flags == {"chunks": 5, "empty": 1, "too_short": 4, "too_long": 0, "unknown_clause": 2, "definitions": 1, "normative": 1, "duplicate_ids": 1, "repeated_texts": 3}
+    assert read.value == 5
+
+
 def test_store_and_reports(spark, tmp_path):
     chunks = segment.corpus(spark.createDataFrame(PAGES, "doc_id string, page_num int, text string"))
     kept = store.Store(spark, str(tmp_path / "chunks")).create()
