@@ -15,6 +15,8 @@ from quarry.operators.lexical import topk
 
 #: So many numbers (32 MB) of queries are broadcast.
 MOST_NUMBERS = 4_000_000
+#: So many numbers (8 MB) a block of vectors or queries holds where both sides are dealt in blocks.
+BLOCK_NUMBERS = 1_000_000
 
 
 def unit(v: Column) -> Column:
@@ -84,15 +86,18 @@ def _best(names: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
 
 
 def _matrix(rows: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    rows = pa.concat_arrays(rows.chunks) if isinstance(rows, pa.ChunkedArray) and rows.num_chunks else rows
+    if isinstance(rows, pa.Array) and len(rows) and not rows.null_count and len(widths := rows.value_lengths().unique()) == 1:
+        return rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), widths[0].as_py())
     return np.array(rows.to_pylist(), float)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, most_numbers: int = MOST_NUMBERS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, most_numbers: int = MOST_NUMBERS, block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
     """query_id, doc_id, score (six decimals), rank. vectors: doc_id, embedding; queries: query_id, embedding.
 
     While the queries hold at most `most_numbers` numbers, counted beforehand, they are broadcast as one matrix and each block
-    of vectors gives its k best per query. Beyond that both sides are dealt in blocks, and each pair of blocks is one task.
-    What is shuffled in the end is k rows per query and block.
+    of vectors gives its k best per query. Beyond that both sides are dealt in blocks of `block_numbers` numbers, whatever may be
+    broadcast, and pairs of blocks are dealt over the tasks. What is shuffled in the end is k rows per query and 4096 vectors.
     """
     if where is not None:
         vectors = vectors.where(where)
@@ -112,14 +117,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column |
                     yield pa.RecordBatch.from_arrays(_best(names, q, part.column(0).to_numpy(), _matrix(part.column(1)), k), ["query_id", "doc_id", "score"])
 
         return topk(rows.mapInArrow(block, out), k)
-    size = max(1, most_numbers // (4 * width))
-    qs, vs = -(-n // size), max(1, -(-rows.count() // (4 * size)))
+    size = max(1, block_numbers // (width or 1))
+    qs, vs = -(-n // size), max(1, -(-rows.count() // size))
     left = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(vs)).alias("vb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(qs - 1).cast("bigint"))).alias("qb"), "doc_id", "v")
     right = asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(vs - 1).cast("bigint"))).alias("vb"), F.pmod(F.xxhash64("query_id"), F.lit(qs)).alias("qb"), "query_id", "q")
 
     def pair(v: pa.Table, q: pa.Table) -> pa.Table:
         if not len(v) or not len(q):
             return pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64()))})
-        return pa.table(_best(q.column("query_id").to_numpy(), _matrix(q.column("q")), v.column("doc_id").to_numpy(), _matrix(v.column("v")), k), ["query_id", "doc_id", "score"])
+        names, asked = q.column("query_id").to_numpy(), _matrix(q.column("q"))
+        parts = [v.slice(at, 4096) for at in range(0, len(v), 4096)]
+        return pa.concat_tables(pa.table(_best(names, asked, p.column("doc_id").to_numpy(), _matrix(p.column("v")), k), ["query_id", "doc_id", "score"]) for p in parts)
 
     return topk(left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(pair, out), k)

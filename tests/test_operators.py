@@ -349,6 +349,14 @@ def test_hashed_rows_of_one_id(spark):
     assert "Generate" not in vector.hashed(docs, 16)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_postings_count_the_tokens(spark):
+    texts = ["A-b a_B ab A", "x/y.z x-x \u212aelvin \u0130s naïve-té", "", None, "--- ... 1.5.", "same same"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = docs.select("doc_id", T.domain_tokens(F.col("text")).alias("t")).collect()
+    want = sorted((r["doc_id"], len(r["t"]), term, n) for r in want for term, n in Counter(r["t"]).items())
+    assert want == sorted(map(tuple, lexical.postings(docs).collect())) and {w[0] for w in want} == {0, 1, 4, 5}
+
+
 def test_embeddings(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, "two one"), (3, ""), (4, None), (5, "other words")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["embedding"] for r in vector.hashed(docs, 16).collect()}
@@ -366,6 +374,15 @@ def test_embeddings(spark):
     assert vector.search(v, q.limit(0), 4).count() == vector.search(v.limit(0), q, 4, most_numbers=20).count() == 0
 
 
+def test_pairs_of_blocks_are_of_a_size_of_their_own(spark):
+    v = spark.createDataFrame([(i, [float(i * 7 % 11), float(i % 3)]) for i in range(60)], "doc_id bigint, embedding array<double>")
+    q = v.withColumnRenamed("doc_id", "query_id")
+    want = sorted(map(tuple, vector.search(v, q, 4).collect()))
+    assert want == sorted(map(tuple, vector.search(v, q, 4, most_numbers=2).collect())) == sorted(map(tuple, vector.search(v, q, 4, most_numbers=2, block_numbers=14).collect()))
+    # what may be broadcast doesn't tell how often rows are repeated: one block of queries, one copy of each row
+    assert "[0,1" not in vector.search(v, q, 4, most_numbers=2)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rewriting(spark):
     df = spark.createDataFrame([("one", 'Final: "a better query"', "q"), ("two", "short", "q"), ("three", "the same question", "the same question"), ("four", None, "q")], "id string, raw string, question string")
     got = {r["id"]: tuple(r["r"]) for r in df.select("id", answers.rewrite_outcome(F.col("raw"), F.col("question")).alias("r")).collect()}
