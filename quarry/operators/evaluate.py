@@ -58,7 +58,8 @@ def audit_rows(fused: DataFrame, reranked: DataFrame, questions: DataFrame, chun
     keywords in the snippet). questions: query_id, question; chunks: doc_id, clause_id, text; a hit that chunks lacks keeps
     null and an overlap of 0."""
     hits = fused.select(F.lit("fused").alias("list"), "query_id", "rank", "score", "doc_id").unionByName(reranked.select(F.lit("reranked").alias("list"), "query_id", "rank", "score", "doc_id"))
-    rows = hits.join(questions.select("query_id", "question"), "query_id").join(chunks.select("doc_id", "clause_id", T.strip(T.snippet(F.col("text"))).alias("snippet")), "doc_id", "left")
+    own = chunks.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")  # texts that no hit has go where they are read
+    rows = hits.join(questions.select("query_id", "question"), "query_id").join(own.select("doc_id", "clause_id", T.strip(T.snippet(F.col("text"))).alias("snippet")), "doc_id", "left")
     overlap = F.round(T.overlap_ratio(T.keywords(F.col("question")), T.keywords(F.col("snippet"))), 6)
     return rows.select("query_id", "list", "rank", "score", "doc_id", "clause_id", "snippet", overlap.alias("overlap"))
 

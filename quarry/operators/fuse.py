@@ -56,11 +56,12 @@ def definition_first(filters: dict[str, str] | None = None) -> dict[str, str]:
 def rerank(hits: DataFrame, questions: DataFrame, bodies: DataFrame, top: int = 12, scorer: Callable[[DataFrame], DataFrame] | None = lexical_scorer) -> DataFrame:
     """query_id, doc_id, score, rank of hits by the scorer; without one, the first `top` of hits as they are.
 
-    questions: query_id, question; bodies: doc_id, body. Bodies are joined to the few hits, not to all scores.
+    questions: query_id, question; bodies: doc_id, body. Bodies are joined to the few hits, not to all scores, and to those first: hits
+    that are known to be small (written, or held) are broadcast, and no text is shuffled.
     """
     if scorer is None:
         return hits.where(F.col("rank") <= top).select("query_id", "doc_id", "score", "rank")
-    pairs = hits.select("query_id", "doc_id").join(questions, "query_id").join(bodies, "doc_id")
+    pairs = hits.select("query_id", "doc_id").join(bodies, "doc_id").join(questions, "query_id")
     return topk(scorer(pairs).select("query_id", "doc_id", "score"), top)
 
 

@@ -212,7 +212,7 @@ _RERANKED = (
 
 
 def _reranked(spark: SparkSession, sf: str, fused: DataFrame | None = None) -> DataFrame:
-    return fuse.rerank(_fused(spark, sf) if fused is None else fused, _asked(spark, sf).withColumnRenamed("text", "question"), _t(spark, sf, "documents").select("doc_id", F.col("text").alias("body")))
+    return fuse.rerank(tables.stored(_fused(spark, sf)) if fused is None else fused, _asked(spark, sf).withColumnRenamed("text", "question"), _t(spark, sf, "documents").select("doc_id", F.col("text").alias("body")))
 
 
 # ---- retrieval ------------------------------------------------------------------------------------------------------
@@ -315,7 +315,7 @@ def overlap_rerank(spark, sf):
 def model_rerank(spark, sf):
     """Reranking through the adapter of pair models, with the stand-in model."""
     bodies = _t(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
-    return fuse.rerank(_fused(spark, sf), _asked(spark, sf).withColumnRenamed("text", "question"), bodies, scorer=fuse.model_scorer(adapters.SharedWords))
+    return fuse.rerank(tables.stored(_fused(spark, sf)), _asked(spark, sf).withColumnRenamed("text", "question"), bodies, scorer=fuse.model_scorer(adapters.SharedWords))
 
 
 @query(_fsql() + _RERANKED + " SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, r.doc_id, r.score, d.source, CASE WHEN length(d.text) > 300 THEN left(d.text, 300) || '...' ELSE d.text END AS preview FROM rerank r JOIN documents d USING (doc_id) WHERE rank <= 10")

@@ -12,6 +12,7 @@ from quarry.functions import text as T
 from quarry.operators import answers, context, evaluate, fuse, lexical, profile, rounds, segment, vector
 from quarry.plans import adapters, ask
 from quarry.sources import reports, store, tables
+from quarry.sources.tables import stored
 from quarry.streaming import questions as stream
 
 
@@ -331,6 +332,20 @@ def test_index_grows(spark, tmp_path):
     assert plain(lexical.Index.load(spark, path).ids) == plain(whole.ids)
 
 
+def test_rerank_shuffles_no_text(spark):
+    """Written hits are broadcast to the texts, whatever the questions' size; texts alone are beyond what is broadcast."""
+    bodies = stored(spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("cell "), F.sha2(F.col("id").cast("string"), 512)).alias("body")))
+    hits = stored(spark.range(50).select(F.lit(1).alias("query_id"), F.col("id").alias("doc_id")).coalesce(1))
+    questions = spark.createDataFrame([(1, "cell of it")], "query_id int, question string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30k")
+    try:
+        out = fuse.rerank(hits, questions, bodies, 3)
+        assert "BroadcastHashJoin [doc_id" in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["doc_id"], r["rank"]) for r in out.collect()) == [(0, 1), (1, 2), (2, 3)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_vectors_of_no_document_are_added_once(spark, tmp_path):
     """A segment has vectors of ids that no document has: a later segment that is given them again passes them over."""
     docs = spark.createDataFrame([(i, f"w{i}") for i in range(4)], "doc_id bigint, text string")
