@@ -67,10 +67,13 @@ def run(spark: SparkSession, documents: str, questions: str, vectors: str, outpu
     log.info("read %d documents of %s, %d questions of %s, %d vectors of %s", done["documents"], documents, done["questions"], questions, done["vectors"], vectors)
     fused = _fused(docs, asked, rows, s).persist()  # a few dozen rows a question, for the reranking and the hits
     try:
-        reranked = fuse.rerank(fused, asked, docs.select("doc_id", F.col("text").alias("body")), s.rerank_topk)
+        fused.count()  # held before the next is planned, so that its size is known: hits are broadcast, texts aren't shuffled
+        reranked = fuse.rerank(fused, asked, docs.select("doc_id", F.col("text").alias("body")), s.rerank_topk).persist()
+        reranked.count()
         chunks = docs.select("doc_id", F.coalesce("source", F.lit("UNKNOWN")).alias("clause_id"), "text")
         hits = evaluate.audit_rows(fused, reranked, asked, chunks).withColumnRenamed("clause_id", "source")
         hits.repartitionByRange("list", "query_id").sortWithinPartitions("list", "query_id", "rank").write.mode("overwrite").partitionBy("list").parquet(f"{output}/hits")
+        reranked.unpersist()
     finally:
         fused.unpersist()
     found = read(spark, output)  # all that follows comes from what is written

@@ -173,6 +173,18 @@ def test_audit_filter_and_no_vectors(spark, tmp_path):
     assert Counter(h["list"] for h in audit.read(spark, out).collect()) == {"fused": 20, "reranked": 12}
 
 
+def test_audit_knows_how_few_hits_there_are(spark, tmp_path, monkeypatch):
+    """Hits are held when the joins with texts are planned, so that the hits are broadcast and not the texts shuffled."""
+    sizes = []
+    size = lambda df: int(df._jdf.queryExecution().withCachedData().stats().sizeInBytes())
+    rerank, rows_of = audit.fuse.rerank, audit.evaluate.audit_rows
+    monkeypatch.setattr(audit.fuse, "rerank", lambda hits, *a: sizes.append(size(hits)) or rerank(hits, *a))
+    monkeypatch.setattr(audit.evaluate, "audit_rows", lambda f, r, *a: sizes.extend([size(f), size(r)]) or rows_of(f, r, *a))
+    docs = [(i, prose(i, 3), f"s{i % 3}", "en") for i in range(20)]
+    audited(spark, tmp_path, "k", audit.Settings(), docs, [(1, prose(1, 1))], [(i, [1.0, float(i)]) for i in range(20)])[1]()
+    assert len(sizes) == 3 and max(sizes) < 5000
+
+
 def test_settings(tmp_path):
     path = f"{tmp_path}/c.json"
     with open(path, "w") as f:
